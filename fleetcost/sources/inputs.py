@@ -108,17 +108,34 @@ SELECT CASE WHEN l_linenumber % 2 = 0 THEN 'PREMIUM' ELSE 'Enterprise' END || '_
   CAST(10 + l_partkey % 40 + CASE WHEN l_partkey % 5 = 0 THEN l_orderkey % 3 ELSE 0 END AS DOUBLE) / 100 AS list_default,
   CASE WHEN l_partkey % 3 = 0 THEN NULL ELSE CAST(9 + l_partkey % 40 AS DOUBLE) / 100 END AS effective_default
 FROM {lineitem}""",
-    # account price log whose SKU names are those of the rate card
+    # account price log whose SKU names are those of the rate card, or their regional billing names
     "account_price_log": """
-SELECT CASE l_suppkey % 6 WHEN 0 THEN 'ENTERPRISE_JOBS_SERVERLESS_COMPUTE' WHEN 1 THEN 'enterprise_sql_pro_compute'
-    WHEN 2 THEN 'ENTERPRISE_ALL_PURPOSE_COMPUTE' WHEN 3 THEN 'ENTERPRISE_SERVERLESS_REAL_TIME_INFERENCE'
-    WHEN 4 THEN 'ENTERPRISE_RETIRED' ELSE 'ENTERPRISE_OTHER' END || '_US_EAST_A' AS sku_name,
+SELECT CASE WHEN l_orderkey % 2 = 0
+    THEN CASE l_suppkey % 6 WHEN 0 THEN 'ENTERPRISE_JOBS_SERVERLESS' WHEN 1 THEN 'sql_pro' WHEN 2 THEN 'ENTERPRISE_ALL_PURPOSE_COMPUTE'
+      WHEN 3 THEN 'ENTERPRISE_OLD_SKU' WHEN 4 THEN 'ENTERPRISE_RETIRED' ELSE 'ENTERPRISE_OTHER' END
+    ELSE CASE l_suppkey % 6 WHEN 0 THEN 'ENTERPRISE_JOBS_SERVERLESS_COMPUTE' WHEN 1 THEN 'enterprise_sql_pro_compute'
+      WHEN 2 THEN 'ENTERPRISE_ALL_PURPOSE_COMPUTE' WHEN 3 THEN 'ENTERPRISE_SERVERLESS_REAL_TIME_INFERENCE'
+      WHEN 4 THEN 'ENTERPRISE_RETIRED' ELSE 'ENTERPRISE_OTHER' END || '_US_EAST_A' END AS sku_name,
   CASE WHEN l_linenumber = 6 THEN 'GCP' ELSE 'aws' END AS cloud, 'USD' AS currency_code, 'DBU' AS usage_unit,
   l_shipdate AS price_start_time,
   CASE WHEN l_linenumber = 7 THEN NULL ELSE l_shipdate + INTERVAL '1' DAY * CAST(30 * l_linenumber AS INT) END AS price_end_time,
-  CASE l_suppkey % 6 WHEN 0 THEN 0.33 WHEN 1 THEN 0.44 WHEN 2 THEN CAST(50 + l_linenumber % 3 AS DOUBLE) / 100 ELSE 0.08 END AS list_default,
-  CASE WHEN l_suppkey % 6 = 3 THEN 0.07 ELSE NULL END AS effective_default
+  CASE l_suppkey % 6 WHEN 0 THEN CAST(33 AS DOUBLE) / 100 WHEN 1 THEN CAST(44 AS DOUBLE) / 100 WHEN 2 THEN CAST(50 + l_linenumber % 3 AS DOUBLE) / 100
+    ELSE CAST(8 AS DOUBLE) / 100 END AS list_default,
+  CASE WHEN l_suppkey % 6 = 3 THEN CAST(7 AS DOUBLE) / 100 ELSE NULL END AS effective_default
 FROM {lineitem}""",
+    # rate questions: one exact key per line; model questions: one per order
+    "rate_questions": """
+SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 = 0 THEN 'PLATFORM' ELSE 'cloud' END AS provider,
+  CASE l_suppkey % 10 WHEN 0 THEN 'ENTERPRISE_JOBS_SERVERLESS' WHEN 1 THEN 'datasync-bytes' WHEN 2 THEN 'sql_pro' WHEN 3 THEN 'TimedStorage-ByteHrs'
+    WHEN 4 THEN 'ENTERPRISE_ALL_PURPOSE_COMPUTE' WHEN 5 THEN 'KMS-Keys' WHEN 6 THEN 'ENTERPRISE_SERVERLESS_REAL_TIME_INFERENCE' WHEN 7 THEN 'Requests-Tier1'
+    WHEN 8 THEN 'ENTERPRISE_OLD_SKU' ELSE 'No-Such' END AS sku,
+  CASE l_suppkey % 10 WHEN 1 THEN 'GB' WHEN 3 THEN 'gb_month' WHEN 5 THEN 'KEY_MONTH' WHEN 7 THEN 'REQUEST_1000' ELSE 'DBU' END AS unit,
+  CASE WHEN l_linenumber % 3 = 0 THEN 'AP_SOUTH_1' ELSE 'us_east_1' END AS region, l_quantity AS quantity
+FROM {lineitem}""",
+    "model_questions": """
+SELECT o_orderkey, CASE o_custkey % 7 WHEN 0 THEN 'nano-chat' WHEN 1 THEN 'embed-large' WHEN 2 THEN 'pro-chat' WHEN 3 THEN 'draft-chat' WHEN 4 THEN 'half-chat'
+  WHEN 5 THEN 'Nano-Chat' ELSE 'none' END AS model, CASE WHEN o_orderkey % 9 = 0 THEN 'PROVISIONED' ELSE 'PAY_PER_TOKEN' END AS serving_mode
+FROM {orders}""",
     # usage log with the SKU and unit of each line
     "usage_log": """
 SELECT l_orderkey, l_linenumber, CAST(l_shipdate AS DATE) AS usage_date, l_shipdate AS usage_start_time,
