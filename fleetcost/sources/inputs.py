@@ -165,6 +165,37 @@ SELECT c_custkey AS request_id,
   CASE c_nationkey % 3 WHEN 0 THEN NULL WHEN 1 THEN true ELSE false END AS photon,
   CASE WHEN c_nationkey % 5 = 0 THEN NULL ELSE 4 + c_nationkey END AS days_per_month
 FROM {{customer}}""",
+    # estimate requests, flat: one per customer; plans.requests.assemble nests the sections
+    "request_wide": """
+SELECT k AS request_id, 'UC-' || CAST(k AS STRING) AS use_case_id, 'Workload ' || CAST(k % 40 AS STRING) || ' of ' || CAST(k AS STRING) AS use_case_name,
+  CASE k % 4 WHEN 0 THEN 'LOW,EXPECTED,HIGH' WHEN 1 THEN 'LOW,EXPECTED,HIGH,STRESS' WHEN 2 THEN 'EXPECTED' ELSE 'HIGH,STRESS' END AS scenario_list,
+  CASE WHEN k % 23 = 0 THEN 'EU_WEST_1' ELSE 'US_EAST_1' END AS region, CASE WHEN k % 2 = 0 THEN 30 ELSE 22 END AS model_days, k % 3 <> 0 AS calibration_allowed,
+  CASE WHEN k % 9 = 0 THEN CAST(2 AS DOUBLE) ELSE NULL END AS ov_batch, CASE WHEN k % 10 = 0 THEN 5 ELSE NULL END AS ov_band, CASE WHEN k % 8 = 0 THEN CAST(3 AS DOUBLE) ELSE NULL END AS ov_sql_high,
+  k % 5 <> 4 AS p1, 'UC-' || CAST(k AS STRING) || '-C01' AS p1_id, 'Main load' AS p1_name,
+  CASE k % 5 WHEN 0 THEN 'CONTINUOUS_STREAMING' WHEN 1 THEN 'SCHEDULED_BATCH' WHEN 2 THEN 'EVENT_DRIVEN_BATCH' ELSE CASE WHEN k % 2 = 0 THEN 'ML_TRAINING' ELSE 'BATCH_SCORING' END END AS p1_type,
+  CAST(1 + k % 2 AS INT) AS p1_quantity, CASE k % 4 WHEN 0 THEN 'CONTINUOUS' WHEN 1 THEN 'SCHEDULED' WHEN 2 THEN 'TBD' ELSE 'AS_NEEDED' END AS p1_pattern,
+  CASE WHEN k % 11 = 0 THEN NULL ELSE CAST(1 + k % 5 AS DOUBLE) / 4 END AS p1_low, CASE WHEN k % 13 = 0 THEN NULL ELSE CAST(2 + k % 5 AS DOUBLE) / 4 END AS p1_expected,
+  CAST(4 + k % 7 AS DOUBLE) / 4 AS p1_high, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 19 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(k % 31 AS DOUBLE) END AS p1_runs,
+  CASE WHEN k % 6 = 0 THEN CAST(3 AS DOUBLE) / 4 ELSE NULL END AS p1_fix_expected, CASE WHEN k % 6 = 0 THEN CAST(5 AS DOUBLE) / 4 ELSE NULL END AS p1_fix_high,
+  CASE WHEN k % 12 = 6 THEN 'MEASURED' ELSE '' END AS p1_fix_basis, CASE WHEN k % 12 = 0 THEN 'CONFIRMED' ELSE 'PLANNING_ASSUMPTION' END AS p1_fix_evidence,
+  k % 14 = 3 AS p1_gpu, k % 12 = 5 AS p1_custom_runtime, k % 18 = 7 AS p1_custom_network, k % 10 = 1 AS p1_declarative,
+  CASE WHEN k % 15 = 0 THEN 'TRUE_CONTINUOUS_LOW_LATENCY' WHEN k % 15 = 5 THEN 'INCREMENTAL_AVAILABLE_NOW' ELSE 'UNCONFIRMED' END AS p1_mode,
+  CASE WHEN k % 40 = 10 THEN 'SECONDS' WHEN k % 40 = 20 THEN 'MINUTES_OR_MORE' ELSE 'UNCONFIRMED' END AS p1_latency,
+  k % 3 = 0 AS p2, 'UC-' || CAST(k AS STRING) || '-C02' AS p2_id, 'Nightly job' AS p2_name, 'SCHEDULED_BATCH' AS p2_type, CAST(30 AS DOUBLE) AS p2_runs,
+  k % 2 = 0 AS s1, 'UC-' || CAST(k AS STRING) || '-SQL' AS s1_id, CAST(1 + k % 37 AS INT) AS s1_users, CASE WHEN k % 4 = 0 THEN 22 ELSE 20 END AS s1_days,
+  k % 3 <> 1 AS t1, CASE WHEN k % 9 = 2 THEN NULL ELSE CAST(k % 10 AS DOUBLE) END AS t1_low, CASE WHEN k % 12 = 3 THEN NULL ELSE CAST(1 + k % 10 AS DOUBLE) END AS t1_expected,
+  CAST(5 + k % 10 AS DOUBLE) AS t1_high, CASE WHEN k % 6 = 0 THEN 30 ELSE 22 END AS t1_days, CASE WHEN k % 4 = 2 THEN NULL ELSE CAST(k * 10 AS DOUBLE) END AS t1_initial,
+  k % 4 <> 1 AS st, CASE WHEN k % 11 = 5 THEN NULL ELSE CAST(k % 20 AS DOUBLE) / 2 END AS st_tb, CASE WHEN k % 17 = 3 THEN NULL ELSE CAST(10 * (k % 30) AS DOUBLE) END AS st_files,
+  CAST(10 * (k % 3) AS DOUBLE) AS st_encrypted, CAST(k % 2 AS DOUBLE) AS st_keys, CASE WHEN k % 26 = 4 THEN NULL ELSE CAST(1 AS DOUBLE) END AS st_writes,
+  CASE WHEN k % 8 < 4 THEN NULL ELSE CAST(k % 8 - 3 AS DOUBLE) END AS st_reads, CASE WHEN k % 22 = 8 THEN NULL ELSE CAST(1 AS DOUBLE) END AS st_kms, k % 5 = 0 AS st_confirmed,
+  k % 3 = 2 AS e1, 'UC-' || CAST(k AS STRING) || '-M01' AS e1_id, CASE k % 6 WHEN 0 THEN 'nano-chat' WHEN 1 THEN 'draft-chat' WHEN 2 THEN 'pro-chat' WHEN 3 THEN 'half-chat' WHEN 4 THEN 'none' ELSE 'embed-large' END AS e1_model,
+  CAST(10 + k % 100 AS DOUBLE) AS e1_calls, CASE WHEN k % 14 = 2 THEN NULL ELSE CAST(100 * (k % 9) AS DOUBLE) END AS e1_in_low, CASE WHEN k % 4 = 0 THEN CAST(777 AS DOUBLE) ELSE NULL END AS e1_in_expected,
+  CAST(1000 + k AS DOUBLE) AS e1_in_high, CAST(10 * (k % 9) AS DOUBLE) AS e1_out_low, CASE WHEN k % 8 = 0 THEN CAST(55 AS DOUBLE) ELSE NULL END AS e1_out_expected,
+  CASE WHEN k % 16 = 5 THEN NULL ELSE CAST(100 + k % 50 AS DOUBLE) END AS e1_out_high, CASE WHEN k % 21 = 2 THEN 'PROVISIONED' ELSE 'PAY_PER_TOKEN' END AS e1_mode,
+  k % 7 = 3 AS j1, 'UC-' || CAST(k AS STRING) || '-J01' AS j1_id, CASE WHEN k % 2 = 0 THEN 'embed-large' ELSE 'pro-chat' END AS j1_model, CAST(100000 * (k % 50) AS DOUBLE) AS j1_in_low,
+  CASE WHEN k % 14 = 10 THEN NULL ELSE CAST(200000 * (1 + k % 50) AS DOUBLE) END AS j1_in_high, CAST(0 AS DOUBLE) AS j1_out_low, CAST(1000 * (k % 50) AS DOUBLE) AS j1_out_high,
+  CASE k % 5 WHEN 0 THEN 'EXCLUDED' WHEN 1 THEN 'unknown' WHEN 2 THEN 'NOT_APPLICABLE' ELSE NULL END AS area_transfer, CASE k % 3 WHEN 0 THEN 'excluded' ELSE NULL END AS area_sql
+FROM (SELECT *, c_custkey AS k FROM {customer})""",
     # cluster policy documents, one per supplier
     "policy_documents": """
 SELECT s_suppkey AS policy_id, CASE s_suppkey % 4 WHEN 0 THEN 'AWS' WHEN 1 THEN 'AZURE' WHEN 2 THEN 'GCP' ELSE 'OTHER' END AS cloud, s_name AS policy_name,
