@@ -73,5 +73,6 @@ def with_decisions(requests: DataFrame) -> DataFrame:
 
 def decisions(requests: DataFrame) -> DataFrame:
     """One row per processing component."""
-    return (with_decisions(requests).select("request_id", F.explode("components").alias("x"))
+    # explode_outer: the optimizer copies the whole array expression into a filter in front of a plain explode
+    return (with_decisions(requests).select("request_id", F.explode_outer("components").alias("x")).where("x IS NOT NULL")
             .select("request_id", F.col("x.c.component_id").alias("component_id"), F.col("x.c.workload_type").alias("workload_type"), "x.d.*"))

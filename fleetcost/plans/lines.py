@@ -191,13 +191,14 @@ def drafts(requests: DataFrame, calibration: DataFrame | None = None, carry: tup
         d = d.withColumn("cal", F.when(F.col("calibration_allowed"), calibration.select(F.struct("*")).scalar()))
         cal = F.col("cal")
     keep = ["request_id", "region", "model_days_per_month", "a", "components", "sql", "transfer", "storage", "model_endpoints", "one_time_model_jobs", *carry]
-    d = d.select(*keep, *(["cal"] if cal is not None else []), F.explode("scenarios").alias("scenario"))
+    d = d.select(*keep, *(["cal"] if cal is not None else []), F.explode_outer("scenarios").alias("scenario")).where("scenario IS NOT NULL")
     sc, a, days = F.col("scenario"), F.col("a"), F.col("model_days_per_month")
     s, t, st = F.col("sql"), F.col("transfer"), F.col("storage")
     single = F.array_compact(F.array(F.when(s.isNotNull(), _sql(s, sc, a, cal)), *_transfer(t, sc), *_storage(st)))
     lines = F.concat(F.transform("components", lambda x: _processing(x, sc, a, cal)), single, F.transform("model_endpoints", lambda e: _endpoint(e, sc, a, days)),
                      F.transform("one_time_model_jobs", lambda j: _job(j, sc)))
-    return d.select("request_id", *carry, "scenario", "region", F.explode(lines).alias("l")).select("request_id", *carry, "scenario", "region", "l.*")
+    # explode_outer: the optimizer copies the whole array expression into a filter in front of a plain explode
+    return d.select("request_id", *carry, "scenario", "region", F.explode_outer(lines).alias("l")).where("l IS NOT NULL").select("request_id", *carry, "scenario", "region", "l.*")
 
 
 def price_tokens(d: DataFrame, conversions: DataFrame, as_of: str) -> DataFrame:

@@ -221,7 +221,7 @@ def override_errors(requests: DataFrame, overrides: DataFrame) -> DataFrame:
     """Component overrides whose id no component of the request has."""
     ask = overrides.withColumn("cid", F.regexp_extract("path", r"^processing\[(.+)\]\.", 1)).where("cid <> ''").select("request_id", "path", "cid").distinct()
     parts = F.split("component_id", "-")
-    have = requests.select("request_id", F.explode("processing.component_id").alias("component_id"))
+    have = requests.select("request_id", F.explode_outer("processing.component_id").alias("component_id")).where("component_id IS NOT NULL")
     have = have.select("request_id", F.explode(F.concat(F.array("component_id"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "-")))).alias("cid")).distinct()
     return ask.join(have, ["request_id", "cid"], "left_anti").select("request_id", "path", F.concat(F.lit("No processing component "), "cid", F.lit(".")).alias("error"))
 
