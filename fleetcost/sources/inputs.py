@@ -196,6 +196,27 @@ SELECT k AS request_id, 'UC-' || CAST(k AS STRING) AS use_case_id, 'Workload ' |
   CASE WHEN k % 14 = 10 THEN NULL ELSE CAST(200000 * (1 + k % 50) AS DOUBLE) END AS j1_in_high, CAST(0 AS DOUBLE) AS j1_out_low, CAST(1000 * (k % 50) AS DOUBLE) AS j1_out_high,
   CASE k % 5 WHEN 0 THEN 'EXCLUDED' WHEN 1 THEN 'unknown' WHEN 2 THEN 'NOT_APPLICABLE' ELSE NULL END AS area_transfer, CASE k % 3 WHEN 0 THEN 'excluded' ELSE NULL END AS area_sql
 FROM (SELECT *, c_custkey AS k FROM {customer})""",
+    # request documents as text, with the planted faults of the input check; one per customer
+    "raw_requests": """
+SELECT k AS request_id, CASE k % 16 WHEN 0 THEN '{{"use_case_id": "UC-' WHEN 1 THEN '[1, 2]' WHEN 8 THEN head || ', "processing": [], "sql": null}}'
+  ELSE head || ', "_areas": ' || CASE k % 16 WHEN 10 THEN '{{"processing": "EXCLUDED", "sql": "MAYBE", "moon": "INCLUDED", "transfer": "included"}}'
+      WHEN 14 THEN '"none"' ELSE '{{"sql": "NOT_APPLICABLE", "storage": "excluded", "model_endpoints": "UNKNOWN", "one_time_model_jobs": "NOT_APPLICABLE", "transfer": "NOT_APPLICABLE"}}' END
+    || CASE k % 16
+      WHEN 2 THEN ', "processing": [{{' || job || ', "runtime_hours_low": 1, "runtime_hours_expected": 2, "runtime_hours_high": 3, "runs_per_month": 30}}]'
+      WHEN 3 THEN ', "processing": [{{' || job || ', "runtime_hours_low": 1, "runtime_hours_expected": 2, "runtime_hours_high": 3}}]'
+      WHEN 4 THEN ', "processing": [{{' || job || ', "runtime_hours_low": 1, "runtime_hours_expected": 2, "runtime_hours_high": 3, "runs_per_month": "30"}}]'
+      WHEN 5 THEN ', "processing": [{{' || job || ', "runtime_hours_expected": -2, "runs_per_month": ' || CAST(k % 9 - 4 AS STRING) || '}}]'
+      WHEN 6 THEN ', "processing": [{{' || job || ', "runtime_hours_expected": 2, "runs_per_mnth": 30, "_comment": 1}}], "regoin": "X"'
+      WHEN 7 THEN ', "model_endpoints": [{{"component_id": "M1", "model": "gone-chat", "role": "Answer", "calls_per_day": 5, "input_tokens_expected": 10}}, {{"component_id": "M2", "model": "pro-chat", "role": "Answer", "calls_per_day": 5, "serving_mode": "PROVISIONED", "input_tokens_low": 1, "input_tokens_high": 2, "output_tokens_expected": 3}}]'
+      WHEN 9 THEN ', "processing": [{{' || job || ', "runtime_hours_low": 1, "runtime_hours_expected": 2, "runtime_hours_high": 3, "runs_per_month": 30}}, {{' || job || ', "runtime_hours_low": 1, "runtime_hours_expected": 2, "runtime_hours_high": 3, "runs_per_month": 30}}]'
+      WHEN 10 THEN ', "processing": [{{' || job || ', "runtime_hours_low": 1, "runtime_hours_expected": 2, "runtime_hours_high": 3, "runs_per_month": 30}}]'
+      WHEN 11 THEN ', "processing": [{{"component_id": 7, "name": 5, "workload_type": "CONTINUOUS_STREAMING", "quantity": 1.5, "requires_gpu": "yes", "dbu_per_hour": {{"LOW": "x"}}}}, 3], "calibration_allowed": 1, "sql": [1]'
+      WHEN 12 THEN ', "processing": [{{"component_id": "C01", "name": "Load", "workload_type": "HOURLY", "streaming_mode": "FAST", "quantity": 0}}], "scenarios": ["LOW", "MID"]'
+      WHEN 13 THEN ', "processing": [{{' || job || ', "runtime_hours_expected": 2, "runs_per_month": 10}}]'
+      WHEN 14 THEN ', "assumptions": {{"batch_dbu_per_hour": -1, "sql_users_per_capacity_band": 0, "sql_active_hours_per_day": {{"HIGH": 3, "NOON": 1}}, "sql_concurrency_factor": 2, "continuous_hours_per_month": {{"LOW": 1}}, "extra": 1}}, "processing": [{{' || job || ', "runtime_hours_low": 1, "runtime_hours_expected": 2, "runtime_hours_high": 3, "runs_per_month": 30}}]'
+      ELSE ', "storage": {{"retained_tb": 2, "encrypted_files_per_day": 3, "kms_requests_per_encrypted_file": null, "s3_write_requests_per_file": null}}, "sql": {{"component_id": "S1", "name": "Reports", "concurrent_users": 0}}, "transfer": {{"daily_gb_low": 1}}, "one_time_model_jobs": [{{"component_id": "J1", "model": "embed-large", "description": "Index", "input_tokens_low": 5}}]' END || '}}' END AS request_json
+FROM (SELECT c_custkey AS k, '{{"use_case_id": "UC-' || CAST(c_custkey AS STRING) || '", "use_case_name": "Check ' || CAST(c_custkey AS STRING) || '"' AS head,
+  '"component_id": "C01", "name": "Load", "workload_type": "SCHEDULED_BATCH", "pattern": "SCHEDULED"' AS job FROM {customer})""",
     # cluster policy documents, one per supplier
     "policy_documents": """
 SELECT s_suppkey AS policy_id, CASE s_suppkey % 4 WHEN 0 THEN 'AWS' WHEN 1 THEN 'AZURE' WHEN 2 THEN 'GCP' ELSE 'OTHER' END AS cloud, s_name AS policy_name,
