@@ -17,11 +17,13 @@ CLASSIFY_RATES = {"short_text": 4.5, "rental_contract": 50.0}
 EXTRACT_RATES = {"short_text": 45.0, "invoice": 45.0, "complex_reasoning": 562.5, "deep_nesting": 537.5}
 
 
-def _costs(df: DataFrame, workload: Column, dbu_month: Column, dbu_hour=F.lit(0.0), hours=F.lit(0.0),
-           vm_hour: Column | None = None) -> DataFrame:
+def _costs(df: DataFrame, workload: Column, dbu_month: Column, dbu_hour: Column | None = None,
+           hours: Column | None = None, vm_hour: Column | None = None) -> DataFrame:
     """Add the cost columns. The total rounds the unrounded sum; a NULL price leaves only the VM cost."""
+    zero = F.lit(0.0)
+    dbu_hour, hours = zero if dbu_hour is None else dbu_hour, zero if hours is None else hours
     dbu_cost = dbu_month * F.col("_price")
-    vm = F.lit(0.0) if vm_hour is None else vm_hour * hours
+    vm = zero if vm_hour is None else vm_hour * hours
     out = dict(zip(COST_COLUMNS, (workload, dbu_hour, hours, dbu_month, F.col("_price"), round_half_up(dbu_cost, 2),
                                   round_half_up(vm, 2), round_half_up(dbu_cost + vm, 2))))
     return df.withColumns(out).drop("_price", "_dbu", "_hours", "_drv_vm", "_wrk_vm", "_vm", "_wh")
