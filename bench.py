@@ -17,7 +17,8 @@ HEADLINES = ("est_jobs_classic", "est_warehouse", "est_compare_options", "price_
 def main() -> None:
     sf_dir, cpus = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("bench").config("spark.ui.enabled", "false")
-             .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g").getOrCreate())
+             .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "12g")
+             .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())      # no call-site capture per Column
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/nation.parquet").count()      # start the executor threads
     seconds: dict[str, float] = {}

@@ -4,12 +4,20 @@ Each works on counts of equal values (merged before the shuffle), buckets them,
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _CUTS = 64
 
 
+def _bucket(x: Column, cuts: Column, lo: int, hi: int) -> Column:
+    """Number of cut points below x: a binary search as nested conditions, so it stays in generated code."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(F.get(cuts, mid) < x, _bucket(x, cuts, mid + 1, hi)).otherwise(_bucket(x, cuts, lo, mid))
+
+
 def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per group, ignoring NULL and non-finite values; one column per name in `probs`.
 
@@ -20,7 +28,7 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, floa
     v = (df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy(F.col(group).alias("g"), x.cast("double").alias("x"))
          .agg(F.count("*").alias("c")))
     cuts = v.groupBy("g").agg(F.percentile_approx("x", [n / _CUTS for n in range(1, _CUTS)], 1000).alias("cuts"))
-    v = v.join(cuts, "g").select("g", "x", "c", F.size(F.filter("cuts", lambda cut: cut < F.col("x"))).alias("b"))
+    v = v.join(cuts, "g").select("g", "x", "c", _bucket(F.col("x"), F.col("cuts"), 0, _CUTS - 1).alias("b"))
     w = Window.partitionBy("g").orderBy("b")
     buckets = v.groupBy("g", "b").agg(F.sum("c").alias("n")).select(
         "g", "b", "n", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
