@@ -64,12 +64,22 @@ def parsed(raw: DataFrame) -> DataFrame:
     return d.withColumn("is_object", F.coalesce(_kind_of(F.col("v")).startswith("OBJECT"), F.lit(False)))
 
 
-def not_json(d: DataFrame) -> DataFrame:
-    """Documents that are not JSON, or not an object."""
+def _rows(d: DataFrame, issues: Column) -> DataFrame:
+    """One row per issue of an array column expression."""
+    # explode_outer: the optimizer copies the whole array expression into a filter in front of a plain explode
+    return d.select("request_id", F.explode_outer(issues).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+
+
+def _json_issues() -> Column:
     none, sec = F.lit(None).cast("string"), F.lit("request")
     bad = F.when(F.col("v").isNull(), _issue(sec, none, "request", "NOT_JSON", "valid JSON", question=F.lit("The request is not valid JSON. Please correct it."))).when(
         ~F.col("is_object"), _issue(sec, none, "request", "WRONG_TYPE", "a JSON object", F.to_json("v"), question=F.lit("Please send the request as a JSON object.")))
-    return d.select("request_id", bad.alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+    return F.array_compact(F.array(bad))
+
+
+def not_json(d: DataFrame) -> DataFrame:
+    """Documents that are not JSON, or not an object."""
+    return _rows(d, _json_issues())
 
 
 def scenario_list(d: DataFrame) -> DataFrame:
@@ -100,8 +110,8 @@ def items(d: DataFrame) -> DataFrame:
     return x.withColumns({"ok": _kind_of(F.col("item")).startswith("OBJECT"), "cid": F.when((F.col("section") != "request") & F.coalesce(text, F.lit(False)), cid).otherwise(F.col("label"))})
 
 
-def wrong_sections(d: DataFrame) -> DataFrame:
-    """Sections that are not a list or object, entries that are not objects, an invalid scenario list, areas that are not an object."""
+def _shape_issues() -> Column:
+    """Of a document: sections that are not a list or object, an invalid scenario list, areas that are not an object."""
     v, none = F.col("v"), F.lit(None).cast("string")
 
     def check(name: str) -> Column:
@@ -113,9 +123,18 @@ def wrong_sections(d: DataFrame) -> DataFrame:
     bad_areas = areas.isNotNull() & ~F.is_variant_null(areas) & ~_kind_of(areas).startswith("OBJECT")
     found = [*[check(n) for n in SECTIONS], F.when(~F.col("scenarios_ok"), _issue(F.lit("request"), none, "scenarios", "INVALID_VALUE", "a list of " + ", ".join(SCENARIOS), F.to_json(_part(v, "scenarios")))),
              F.when(bad_areas, _issue(F.lit("request"), none, "_areas", "WRONG_TYPE", "an object from area to state", F.to_json(areas)))]
-    a = d.where("is_object").select("request_id", F.explode_outer(F.array_compact(F.array(*found))).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
-    b = items(d).where("NOT ok").select("request_id", _issue(F.col("section"), none, F.col("label"), "WRONG_TYPE", "a JSON object", F.to_json("item")).alias("x")).select("request_id", "x.*")
-    return a.unionByName(b)
+    return F.array_compact(F.array(*found))
+
+
+def _entry_shape_issues() -> Column:
+    """Of an entry: not an object."""
+    none = F.lit(None).cast("string")
+    return F.array_compact(F.array(F.when(~F.col("ok"), _issue(F.col("section"), none, F.col("label"), "WRONG_TYPE", "a JSON object", F.to_json("item")))))
+
+
+def wrong_sections(d: DataFrame) -> DataFrame:
+    """Wrong shapes of sections, entries, scenario list and areas."""
+    return _rows(d.where("is_object"), _shape_issues()).unionByName(_rows(items(d), _entry_shape_issues()))
 
 
 def fields(d: DataFrame) -> DataFrame:
@@ -155,11 +174,14 @@ def field_issues(d: DataFrame) -> DataFrame:
     return f.select("request_id", F.explode(F.array_compact(F.array(first, enum, low))).alias("x")).select("request_id", "x.*")
 
 
-def section_issues(d: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Missing required fields, range rules, unknown models: rules over several fields of one entry."""
-    x = items(d).where("ok")
-    sec, cid, item, scen = F.col("section"), F.col("cid"), F.col("item"), F.col("scenarios")
+def _with_models(entries: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Add the priced models as one small array (bounded by the conversion table)."""
     known = conversions.agg(F.sort_array(F.collect_set(F.concat("serving_mode", F.lit("/"), "model")))).scalar()
+    return entries.withColumn("priced_models", known)
+
+
+def _entry_issues() -> Column:
+    sec, cid, item, scen = F.col("section"), F.col("cid"), F.col("item"), F.col("scenarios")
 
     def text(f: str) -> Column:
         return F.try_variant_get(item, f"$.{f}", "string")
@@ -198,12 +220,15 @@ def section_issues(d: DataFrame, conversions: DataFrame) -> DataFrame:
     found.append(F.when(model & other, _issue(sec, cid, "serving_mode", "INVALID_VALUE", "PAY_PER_TOKEN", F.concat(F.lit('"'), mode, F.lit('"')))))
     found.append(F.when(model & ~other & is_text & ~F.array_contains(F.col("priced_models"), F.concat(mode, F.lit("/"), text("model"))),
                         _issue(sec, cid, "model", "INVALID_VALUE", "a model with a conversion", F.concat(F.lit('"'), text("model"), F.lit('"')))))
-    x = x.withColumn("priced_models", known)
-    return x.select("request_id", F.explode_outer(F.array_compact(F.array(*found))).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+    return F.array_compact(F.array(*found))
 
 
-def area_issues(d: DataFrame) -> DataFrame:
-    """Unknown areas, bad states, contradictions between states and inputs, unconfirmed areas, nothing to estimate."""
+def section_issues(d: DataFrame, conversions: DataFrame) -> DataFrame:
+    """Missing required fields, range rules, unknown models: rules over several fields of one entry."""
+    return _rows(_with_models(items(d), conversions).where("ok"), _entry_issues())
+
+
+def _area_issues() -> Column:
     v, none, sec = F.col("v"), F.lit(None).cast("string"), F.lit("request")
     is_map = F.coalesce(_kind_of(_part(v, "_areas")).startswith("OBJECT"), F.lit(False))
     raw = F.when(is_map, F.try_variant_get(v, "$._areas", "map<string,string>"))
@@ -235,8 +260,16 @@ def area_issues(d: DataFrame) -> DataFrame:
     found.append(F.when((unconfirmed != "") & (present > 0), _issue(sec, none, "_areas", "AREA_UNCONFIRMED", "a state for each area", quoted(unconfirmed))))
     included = F.coalesce(F.exists(F.map_values(raw), lambda s: F.upper(s) == "INCLUDED"), F.lit(False))
     found.append(F.when((present == 0) & ~included, _issue(sec, none, "workload", "NO_WORKLOAD", "at least one section", question=F.lit("What should be estimated?"))))
-    every = F.concat(F.array_compact(F.array(*found)), F.coalesce(unknown, F.array().cast(f"array<struct<{', '.join(f'{c}: ' + ('boolean' if c == 'blocking' else 'string') for c in ISSUE_COLUMNS)}>>")))
-    return d.where("is_object").select("request_id", F.explode_outer(every).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+    return F.concat(F.array_compact(F.array(*found)), F.coalesce(unknown, _no_issues()))
+
+
+def _no_issues() -> Column:
+    return F.array().cast(f"array<struct<{', '.join(f'{c}: ' + ('boolean' if c == 'blocking' else 'string') for c in ISSUE_COLUMNS)}>>")
+
+
+def area_issues(d: DataFrame) -> DataFrame:
+    """Unknown areas, bad states, contradictions between states and inputs, unconfirmed areas, nothing to estimate."""
+    return _rows(d.where("is_object"), _area_issues())
 
 
 def duplicate_issues(d: DataFrame) -> DataFrame:
@@ -265,8 +298,10 @@ def assumption_issues(d: DataFrame) -> DataFrame:
 def check(raw: DataFrame, conversions: DataFrame) -> DataFrame:
     """All issue rows of all requests: request_id and the eight issue columns."""
     d = scenario_list(parsed(raw))
-    out = not_json(d)
-    for part in (wrong_sections(d), field_issues(d), section_issues(d, conversions), area_issues(d), duplicate_issues(d), assumption_issues(d)):
+    whole = F.concat(_json_issues(), F.when(F.col("is_object"), F.concat(_shape_issues(), _area_issues())).otherwise(_no_issues()))
+    entry = F.concat(_entry_shape_issues(), F.when(F.col("ok"), _entry_issues()).otherwise(_no_issues()))
+    out = _rows(d, whole)
+    for part in (_rows(_with_models(items(d), conversions), entry), field_issues(d), duplicate_issues(d), assumption_issues(d)):
         out = out.unionByName(part)
     return out
 
