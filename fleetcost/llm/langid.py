@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcost.llm.windows import carried
+
 BUCKETS = 1 << 16
 UNKNOWN = "und"
 
@@ -107,8 +109,9 @@ def fit(labelled: DataFrame, per_language: int = 2000, text_col: str = "text", l
     return Model(counts.toPandas())
 
 
-def identify(docs: DataFrame, model: Model, penalty: float = 3.0, steps: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, lang_pred, score (its share of the words, 0 to 1), languages (of the chosen set), shares.
+def identify(docs: DataFrame, model: Model, penalty: float = 3.0, steps: int = 6, id_col: str = "doc_id", text_col: str = "text",
+             carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, lang_pred, score (its share of the words, 0 to 1), languages (of the chosen set), shares, and the columns named in `carry`.
 
     A word is drawn from one language, with the product of its trigram likelihoods; EM gives the proportions. The set of languages is
     grown in order of proportion while the log-likelihood gains more than `penalty * ln(words)` per language. A text that is null, empty
@@ -121,18 +124,22 @@ def identify(docs: DataFrame, model: Model, penalty: float = 3.0, steps: int = 6
         for b in batches:
             for lo in range(0, len(b), 500):
                 part = b.iloc[lo:lo + 500]
-                theta, n = m.mixtures(part["t"].tolist(), penalty, steps)
+                theta, n = m.mixtures([t or "" for t in part["t"]], penalty, steps)
                 known = (n > 0) & (len(m.languages) > 0)
                 top = theta.argmax(axis=1) if m.languages else np.zeros(len(part), int)
-                yield pd.DataFrame({
-                    "id": part["id"], "lang_pred": [m.languages[i] if k else UNKNOWN for i, k in zip(top, known)],
-                    "score": np.where(known, np.clip(theta.max(axis=1, initial=0), 0, 1), 0.0),
-                    "languages": [[m.languages[i] for i in np.flatnonzero(row > 0)] for row in theta],
-                    "shares": [row[row > 0].tolist() for row in theta]})
-
-    source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    kind = source.schema["id"].dataType.simpleString()
-    return source.mapInPandas(predict, f"id {kind}, lang_pred string, score double, languages array<string>, shares array<double>").withColumnRenamed("id", id_col)
+                yield (part if text_col in carry else part.drop(columns="t")).assign(
+                    lang_pred=[m.languages[i] if k else UNKNOWN for i, k in zip(top, known)],
+                    score=np.where(known, np.clip(theta.max(axis=1, initial=0), 0, 1), 0.0),
+                    languages=[[m.languages[i] for i in np.flatnonzero(row > 0)] for row in theta],
+                    shares=[row[row > 0].tolist() for row in theta])
+
+    others = tuple(c for c in carry if c != text_col)
+    columns, kinds = carried(docs, others)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), *columns)
+    schema = f"id {source.schema['id'].dataType.simpleString()}, lang_pred string, score double, languages array<string>, shares array<double>{kinds}"
+    out = source.mapInPandas(predict, schema + ", t string" * (text_col in carry))
+    back = {text_col: "t"} | {c: f"k{n}" for n, c in enumerate(others)}
+    return out.select(F.col("id").alias(id_col), "lang_pred", "score", "languages", "shares", *[F.col(back[c]).alias(c) for c in carry])
 
 
 def held_out(key) -> F.Column:
