@@ -9,6 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcost.llm.common import slices
 from fleetcost.llm.windows import GROUP, LAST, Kind, Words, carried, covered, extremes, merged_spans, prefix_ranks, rolling, window_starts
 
 DEPTH = 128     # suffixes are sorted by so many words, the longest pattern that is searched
@@ -23,7 +24,9 @@ class Minimum:
             t, half = self.table[-1], 1 << (len(self.table) - 1)
             self.table.append(np.minimum(t[:-half], t[half:]))
         self.flat = np.concatenate(self.table)
-        self.begin = np.cumsum([0, *[len(t) for t in self.table[:-1]]])
+        ends = np.cumsum([len(t) for t in self.table])
+        self.begin = ends - [len(t) for t in self.table]
+        self.table = [self.flat[a:b] for a, b in zip(self.begin, ends)]
 
     def of(self, l: np.ndarray, r: np.ndarray) -> np.ndarray:
         """Minimum over [l, r), which must not be empty."""
@@ -64,7 +67,7 @@ class FMIndex:
         self.wavelet = Wavelet(text[order - 1], symbols)
         every = np.arange(symbols)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:symbols] - self.wavelet.walk(every, np.zeros(symbols, np.int64))
-        self.owner = Minimum(owner[order])
+        self.owner = Minimum(owner[order].astype(np.int32))
         a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(self.n - 1, np.int64)
         for depth, r in reversed(ranks):
             r = np.concatenate([r, np.zeros(DEPTH * 2 + 2, np.uint64)])
@@ -170,12 +173,12 @@ def dedup(docs: DataFrame, size: int = 50, id_col: str = "doc_id", text_col: str
     text has none and keeps its row. A null id counts as larger than any other. Repeated rows are treated alike; what repeats within
     one id stays. Other columns are ignored; an empty table gives no rows.
     """
-    kind = Kind(Words, size, max(1, size * 3 // 5), 3_000_000)
+    kind = Kind(Words, size, max(1, size * 3 // 5), 1_500_000)
     texts, spans = covered(docs, kind, FMMatch(kind), id_col, text_col, group, carry)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for z, s in zip(b["z"], b["spans"]):
                 data = None if z is None else unpack.decompress(z)

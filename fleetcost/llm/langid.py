@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcost.llm.common import slices
 from fleetcost.llm.windows import carried
 
 BUCKETS = 1 << 16
@@ -99,7 +100,7 @@ def fit(labelled: DataFrame, per_language: int = 2000, text_col: str = "text", l
     drawn = rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             for lang, part in b.groupby("lang"):
                 n = np.bincount(trigrams(part["text"].tolist())[0], minlength=BUCKETS)
                 at = np.flatnonzero(n)
@@ -121,17 +122,15 @@ def identify(docs: DataFrame, model: Model, penalty: float = 3.0, steps: int = 6
 
     def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                part = b.iloc[lo:lo + 500]
-                theta, n = m.mixtures([t or "" for t in part["t"]], penalty, steps)
-                known = (n > 0) & (len(m.languages) > 0)
-                top = theta.argmax(axis=1) if m.languages else np.zeros(len(part), int)
-                yield (part if text_col in carry else part.drop(columns="t")).assign(
-                    lang_pred=[m.languages[i] if k else UNKNOWN for i, k in zip(top, known)],
-                    score=np.where(known, np.clip(theta.max(axis=1, initial=0), 0, 1), 0.0),
-                    languages=[[m.languages[i] for i in np.flatnonzero(row > 0)] for row in theta],
-                    shares=[row[row > 0].tolist() for row in theta])
+        for part in slices(batches):
+            theta, n = m.mixtures([t or "" for t in part["t"]], penalty, steps)
+            known = (n > 0) & (len(m.languages) > 0)
+            top = theta.argmax(axis=1) if m.languages else np.zeros(len(part), int)
+            yield (part if text_col in carry else part.drop(columns="t")).assign(
+                lang_pred=[m.languages[i] if k else UNKNOWN for i, k in zip(top, known)],
+                score=np.where(known, np.clip(theta.max(axis=1, initial=0), 0, 1), 0.0),
+                languages=[[m.languages[i] for i in np.flatnonzero(row > 0)] for row in theta],
+                shares=[row[row > 0].tolist() for row in theta])
 
     others = tuple(c for c in carry if c != text_col)
     columns, kinds = carried(docs, others)

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcost.llm.common import written
+from fleetcost.llm.common import slices, written
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
@@ -133,12 +133,11 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: int =
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         encoder, packer, end = Encoder(tokenizer_path), Packer(size, windows, part << 34, part), np.array([end_id], "<u4").tobytes()
-        for b in batches:
-            for lo in range(0, len(b), 500):
-                for doc, text in zip(b["id"].iloc[lo:lo + 500], b["t"].iloc[lo:lo + 500]):
-                    ids = encoder.ids(text) + end
-                    packer.add(doc, 0, ids, len(ids) // 4)
-                yield packer.drain()
+        for b in slices(batches):
+            for doc, text in zip(b["id"], b["t"]):
+                ids = encoder.ids(text) + end
+                packer.add(doc, 0, ids, len(ids) // 4)
+            yield packer.drain()
         for w in packer.open:
             packer.emit(w, still_open=True)
         yield packer.drain()

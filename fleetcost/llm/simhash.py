@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcost.llm.common import written
+from fleetcost.llm.common import slices, written
 from fleetcost.llm.graph import connected_components
 
 BYTES = 8
@@ -53,7 +53,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and fp of every document."""
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches):
             yield pd.DataFrame({"id": b["id"], "fp": [fingerprint(t, shingle) for t in b["t"]]})
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"))
     return source.mapInPandas(of, f"id {source.schema['id'].dataType.simpleString()}, fp long")

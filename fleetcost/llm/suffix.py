@@ -9,6 +9,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcost.llm.common import slices
 from fleetcost.llm.windows import GROUP, LAST, Bytes, Kind, covered, extremes, merged_spans, prefix_ranks, rolling, window_starts
 
 
@@ -73,7 +74,7 @@ def dedup(docs: DataFrame, size: int = 200, keep_first: bool = True, id_col: str
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for i, z, s in zip(b["id"], b["z"], b["spans"]):
                 data = unpack.decompress(z) if z else b""

@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcost.llm.common import written
+from fleetcost.llm.common import slices, written
 
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1        # stands for a null id: after all others
@@ -113,7 +113,7 @@ class Kind:
     unit: type
     size: int
     gram: int
-    chunk: int = 1_000_000
+    chunk: int = 400_000
 
     @property
     def reach(self) -> int:
@@ -135,7 +135,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] =
     """id (null: the largest), th (hash that tells rows of one id apart), z (the whole text, compressed, or null) and the carried columns."""
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
-        for b in batches:
+        for b in slices(batches):
             data = [None if t is None else t.encode("utf-8", "surrogatepass") for t in b["t"]]
             th = np.array([xxhash.xxh32_intdigest(d or b"") for d in data], np.uint32).view(np.int32)
             yield b.drop(columns="t").assign(th=th, z=[None if d is None else pack.compress(d) for d in data])
@@ -144,30 +144,31 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] =
     return source.mapInPandas(squeeze, f"id long, th int, z binary{kinds}")
 
 
-def anchors(texts: DataFrame, kind: Kind) -> DataFrame:
+def anchors(docs: DataFrame, kind: Kind, id_col: str, text_col: str) -> DataFrame:
     """id, th, pos, ah (hash of the anchor), ch (hash of the context and the anchor's place in it) of every anchor."""
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        unpack = zstandard.ZstdDecompressor()
         unit, size, reach = kind.unit, kind.size, kind.reach
-        for b in batches:
-            docs, at, ah, ch = [], [], [], []
-            for n, z in enumerate(b["z"]):
-                s = unit.symbols(unpack.decompress(z) if z else b"")
+        for b in slices(batches):
+            docs, th, at, ah, ch = [], [], [], [], []
+            for n, t in enumerate(b["t"]):
+                data = (t or "").encode("utf-8", "surrogatepass")
+                s = unit.symbols(data)
                 if len(s) < size:
                     continue
                 h = rolling(unit.values(s), kind.gram)
                 p = picked(h, reach + 1)
                 docs.append(np.full(len(p), n))
+                th.append(np.full(len(p), xxhash.xxh32_intdigest(data), np.uint32))
                 at.append(p)
                 ah.append(h[p])
                 for q in p.tolist():
                     lo = q - reach if q > reach else 0
                     ch.append(xxhash.xxh64_intdigest(unit.part(s, lo, q + size), q - lo))
             if docs:
-                d = np.concatenate(docs)
-                yield pd.DataFrame({"id": b["id"].to_numpy()[d], "th": b["th"].to_numpy()[d], "pos": np.concatenate(at).astype(np.int32),
+                yield pd.DataFrame({"id": b["id"].to_numpy()[np.concatenate(docs)], "th": np.concatenate(th).view(np.int32), "pos": np.concatenate(at).astype(np.int32),
                                     "ah": np.concatenate(ah).view(np.int64), "ch": np.array(ch, np.uint64).view(np.int64)})
-    return texts.select("id", "th", "z").mapInPandas(find, "id long, th int, pos int, ah long, ch long")
+    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t"))
+    return source.mapInPandas(find, "id long, th int, pos int, ah long, ch long")
 
 
 #: A unit is what a matcher gets: a context (or the part of it that some window starts can reach) with its group key g and own key c,
@@ -180,7 +181,7 @@ def _contexts(texts: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
     """A unit for each wanted anchor (g, c, n, id, th, pos), read out of the whole texts; once more for each equal row."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in slices(batches, 100):
             rows = []
             for i, th, z, want in zip(b["id"], b["th"], b["z"], b["want"]):
                 s = kind.unit.symbols(unpack.decompress(z))
@@ -197,7 +198,7 @@ def _split(kind: Kind):
     """Units of a large group, each cut into parts by the starts of the windows; the new group key is the hash of what all windows of a
     part hold in common, so a group falls apart by content."""
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in slices(batches, 1000):
             rows = []
             for u in b.itertuples():
                 s = kind.unit.symbols(u.ctx)
@@ -219,16 +220,14 @@ def _chunks(match: Callable[[pd.DataFrame], pd.DataFrame], chunk: int):
     """Feeds whole groups to the matcher, about `chunk` bytes at a time; rows come in order of g."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        for b in batches:
-            for lo in range(0, len(b), 1000):
-                part = b.iloc[lo:lo + 1000]
-                if held and sum(x["ctx"].str.len().sum() for x in held) >= chunk:
-                    rows = pd.concat(held)
-                    rest = rows["g"] == rows["g"].iloc[-1]
-                    if not rest.all():
-                        yield match(rows[~rest].reset_index(drop=True))
-                        held = [rows[rest]]
-                held.append(part)
+        for part in slices(batches, 500):
+            if held and sum(x["ctx"].str.len().sum() for x in held) >= chunk:
+                rows = pd.concat(held)
+                rest = rows["g"] == rows["g"].iloc[-1]
+                if not rest.all():
+                    yield match(rows[~rest].reset_index(drop=True))
+                    held = [rows[rest]]
+            held.append(part)
         if held:
             yield match(pd.concat(held).reset_index(drop=True))
     return run
@@ -268,7 +267,7 @@ def covered(docs: DataFrame, kind: Kind, match, id_col: str, text_col: str, grou
     of whose windows are repeated because of another occurrence of the same unit; match.length gives the symbols of a ctx.
     """
     texts = keyed(docs, id_col, text_col, carry)
-    seen = written(anchors(texts, kind))
+    seen = written(anchors(docs, kind, id_col, text_col))
     groups = written(seen.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("n > 1").select("ah", (F.col("x") < F.col("y")).alias("mixed")))
     rows = written(seen.join(groups, "ah"))
     first = rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("first"), F.first("mixed").alias("mixed"))
