@@ -28,17 +28,23 @@ class Encoder(dict):
     _other = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-į]|<\\|startoftext\\|>|<\\|endoftext\\|>")
     _pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-į]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-į]+")
 
+    #: The byte-level alphabet: a printable byte stands for itself, the others, in order, for the characters from 256 on.
+    _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    _alphabet = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_plain)))}
+
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= _KEPT:
             self.clear()
-        got = self[piece] = np.array(self.tokenizer.encode(piece, add_special_tokens=False).ids, "<u4").tobytes()
+        spelled = piece.encode().decode("latin-1").translate(self._alphabet)
+        got = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
         return got
 
     def ids(self, text: str) -> bytes:

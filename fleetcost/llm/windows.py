@@ -251,9 +251,9 @@ def _matched(units: DataFrame, kind: Kind, match: Callable, group: int, depth: i
     merged = written(merged.select("g", "c", "n", "first.id", "first.th", "first.pos", "base", "lo", "hi", "ctx"))
     below = _matched(merged, kind, match, group, depth + 1)
     # what is decided for the first occurrence of merged parts holds for it alone; the others have it as an earlier copy
-    found = parts.alias("p").join(merged.select("g", "c", F.col("n").alias("mn"), F.struct("id", "th", "pos").alias("first")).alias("m"), ["g", "c"])
-    found = found.join(below.alias("r"), ["g", "c"], "left")
-    whole = match.whole(F.struct("p.id", "p.th", "p.pos"), F.col("m.first"), F.col("mn"))
+    decided = written(merged.join(below, ["g", "c"], "left").select("g", "c", F.col("n").alias("mn"), F.struct("id", "th", "pos").alias("first"), "a", "b"))
+    found = parts.alias("p").join(decided.alias("r"), ["g", "c"])
+    whole = match.whole(F.struct("p.id", "p.th", "p.pos"), F.col("r.first"), F.col("mn"))
     first, last = F.col("p.base"), F.col("p.base") + match.length("p.ctx")
     a, b = F.when(whole, first).otherwise(F.col("r.a")), F.when(whole, last).otherwise(F.col("r.b"))
     up = found.select(F.col("pg").alias("g"), F.col("pc").alias("c"), a.alias("a"), b.alias("b")).where("a IS NOT NULL")
