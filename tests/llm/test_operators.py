@@ -1,0 +1,323 @@
+"""The corpus operators against brute force, round trips, held-out labels and odd inputs."""
+import hashlib
+import random
+import zlib
+from collections import Counter, defaultdict
+from itertools import combinations
+
+import duckdb
+import numpy as np
+import pandas as pd
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from fleetcost import llm
+from fleetcost.llm import chat, fmindex, langid, mih, mixing, packing, quality, simhash, suffix, urls
+from fleetcost.llm.graph import connected_components
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, w string, h long"
+R = random.Random(5)
+WORDS = ["".join(R.choice("abcdefg") for _ in range(R.randint(2, 6))) for _ in range(60)]
+SAID = " ".join(R.choice(WORDS) for _ in range(70))
+
+
+def prose(n):
+    return " ".join(R.choice(WORDS) for _ in range(n))
+
+
+#: Null and empty texts, null ids and sources, repeated rows, ids shared by other texts, a periodic text, copies, shared passages.
+DOCS = ([(1, None, None, None), (2, "", "en", "a"), (3, " \n\t", "en", "a"), (None, prose(90), "en", "a"), (4, "ab " * 400, "de", "b"), (5, SAID, "en", "a"), (5, SAID, "en", "a"),
+         (6, prose(20) + " " + SAID + " " + prose(20), "en", None), (6, prose(30), None, "b"), (7, SAID + " " + SAID, "de", "b"), (8, "x" * 3000, "en", "a"), (9, "Ünï ç", "de", "a")]
+        + [(20 + i, prose(15 + i) + " " + SAID[:200 + 20 * i] + " " + prose(10), "en" if i % 2 else "de", "abc"[i % 3]) for i in range(12)] + [(40 + i, SAID.upper(), "en", "c") for i in range(3)])
+
+
+def frame(spark, rows=DOCS):
+    return spark.createDataFrame([(i, t, la, s, 0, 7, "x", 1) for i, t, la, s in rows], SCHEMA).repartition(3)
+
+
+def same_sql(spark, name, sf_dir):
+    con = duckdb.connect()
+    for t in ("documents", "embeddings", "pages", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
+    want = con.execute(llm.SQL[name])
+    names = [d[0] for d in want.description]
+    got = llm.QUERIES[name](spark, sf_dir)
+    assert sorted(names) == sorted(got.columns)
+    return sorted(map(str, (tuple(r) for r in got.select(*names).collect()))) == sorted(map(str, want.fetchall()))
+
+
+@pytest.mark.parametrize("name", sorted(llm.SQL))
+def test_same_rows_as_the_sql(spark, sf_dir, name):
+    assert same_sql(spark, name, sf_dir)
+
+
+def brute_quality(text):
+    w = [x for x in __import__("re").split(r"[\x20\x09-\x0D]+", text or "") if x]
+    windows = Counter(tuple(w[i:i + 5]) for i in range(len(w) - 4))
+    again = {i + k for i in range(len(w) - 4) if windows[tuple(w[i:i + 5])] > 1 for k in range(5)}
+    lines = [x for x in (text or "").split("\n") if x.split()]
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(again)
+
+
+def test_quality_counts_and_odd_inputs(spark):
+    got = quality.quality(frame(spark)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept").collect()
+    assert sorted(map(str, (r[1:6] for r in got))) == sorted(str(brute_quality(t)) for _, t, _, _ in DOCS)
+    assert all(not r.kept for r in got if r.base_failed) and not [r for r in got if r.n_words == 0 and not r.base_failed]
+    assert quality.quality(frame(spark, [])).count() == 0
+
+
+def test_chat_folds_events_and_reads_back(spark):
+    odd = "a<|im_end|>\\n<|x|>\\\\<\\|\n<|im_start|>assistant ok"
+    log = [(1, 1, "delta", "m1", "user", "Hi"), (1, 2, "delta", "m1", None, " there"), (1, 3, None, "m2", "assistant", "wrong"), (1, 4, "regenerate", "m2", None, None),
+           (1, 5, "delta", "m2", None, odd), (1, 6, "edit", "m1", None, "Hello"), (1, 7, "delta", "m1", None, "!"), (2, 1, "delta", "m", "as\\n\nsistant", odd), (2, 2, "delta", "n", None, None)]
+    events = spark.createDataFrame(log, "conv_id long, seq long, kind string, msg_id string, role string, text string")
+    rendered = chat.render(chat.fold(events))
+    back = {r.conv_id: r for r in chat.read_back(rendered).collect()}
+    assert [tuple(t) for t in back[1].turns] == [("user", "Hello!"), ("assistant", odd)] and back[1].learned == [odd]
+    assert [tuple(t) for t in back[2].turns] == [("as\\n\nsistant", odd), ("", "")] and back[2].learned == []
+    one = rendered.where("conv_id = 1").first()
+    assert one.formatted.count(chat.START) == one.n_turns == 2 and one.formatted[one.loss[0].start:one.loss[0].start + one.loss[0].length].startswith("a<\\|im_end|>")
+    assert chat.render(chat.fold(events.limit(0))).count() == 0
+
+
+def test_packing_is_whole_gapless_and_unpadded(spark):
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tok, docs = Tokenizer.from_file(path), DOCS + [(99, "İ ſ ½ <|endoftext|> 漢字 don't É\u0085x", None, None)]
+    p = packing.pack(frame(spark, docs).repartition(5), path, size=128, windows=2, fan_in=2).toPandas()
+    want = Counter(tok.encode(t or "", add_special_tokens=False).ids.__len__() + 1 for _, t, _, _ in docs)
+    assert sum(p["length"]) == sum(k * n for k, n in want.items())
+    single = p[p["doc_id"] == 99].sort_values("start")
+    ids = np.array(tok.encode(docs[-1][1], add_special_tokens=False).ids + [1], "<u4").tobytes()
+    assert b"".join(single["ids"]) == ids and (single["doc_tokens"] == len(ids) // 4).all()
+    p = p.sort_values(["sequence_id", "offset"])
+    total = p.groupby("sequence_id")["length"]
+    assert (p["offset"] == total.cumsum() - p["length"]).all()
+    sizes = total.sum()
+    assert all(n == 128 or n & (n - 1) == 0 for n in sizes) and (sizes != 128).sum() <= 7
+    assert packing.pack(frame(spark, []), path).count() == 0
+
+
+def test_encoder_is_the_tokenizer():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    tok, enc = Tokenizer.from_file(path), packing.Encoder(path)
+    pool = "abcXYZ019 .,!?'st re ll\n\t#$%ßÄöÉçñÑœŒİıĸ©®°²½¼ªº«»¿¡×÷\xad\x85 \x1c😀漢字é́"
+    for _ in range(1500):
+        t = "".join(R.choice(pool) for _ in range(R.randint(0, 40))) + R.choice(["", "<|endoftext|>", "don't I'LL", "\x00"])
+        assert enc.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+def test_language_held_out_accuracy_and_odd_inputs(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = langid.learned(docs)
+    got = langid.identify(docs.where(langid.held_out("doc_id")), model, carry=("lang",)).where("lang IS NOT NULL").toPandas()
+    assert len(got) > 150 and (got["lang"] == got["lang_pred"]).mean() > 0.97 and got["score"].between(0, 1).all()
+    two = docs.where("lang = 'en' AND n_chars > 2000").first().text[:900] + " " + docs.where("lang = 'de' AND n_chars > 2000").first().text[:900]
+    odd = langid.identify(frame(spark, [(1, None, None, None), (2, "", None, None), (3, "123 !!", None, None), (4, two, None, None)]), model).orderBy("doc_id").collect()
+    assert [r.lang_pred for r in odd[:3]] == ["und"] * 3 and sorted(odd[3].languages) == ["de", "en"] and abs(sum(odd[3].shares) - 1) < 1e-3
+    nothing = langid.fit(frame(spark, [(1, "abc", None, None)]))
+    assert [r.lang_pred for r in langid.identify(frame(spark), nothing).select("lang_pred").distinct().collect()] == ["und"]
+
+
+def test_url_rules_agree_with_a_plain_search(spark):
+    hosts, paths = ["a.org", "b.a.org", "x.y.com", "org", "com", "notorg", "a.org:80", ""], ["", "/", "/en/1", "/en/12", "/en/1/x", "/es/", "/es", "/e"]
+    urls_ = [f"{s}{h.upper() if n % 2 else h}{p}{q}" for n, (s, h, p, q) in enumerate((s, h, p, q) for s in ("http://", "") for h in hosts for p in paths for q in ("", "?a=/en/", "#x"))] + [None, ""]
+    rules = [("org", "/", "allow"), ("a.org", "/en/1", "block"), ("a.org", "/e", "allow"), ("com", "/es/", "block"), ("y.com", "/", "allow"), ("a.org", "/e", "block"), (None, "/", "block"), ("com", None, "block")]
+    pages = spark.createDataFrame(list(enumerate(urls_)), "page_id long, url string").withColumn("rule", F.lit("clash"))
+    table = spark.createDataFrame(rules, "host string, path string, action string")
+
+    def plain(url):
+        host, path = urls.split_url(url)
+        fit = [(h.count(".") + 1, len(p or ""), a == "block", h + (p or ""), a) for h, p, a in rules if h and (host == h or host.endswith("." + h)) and path.startswith(p or "")]
+        return (host, path, *(max(fit)[3:] if fit else (None, "allow")))
+    for most in (200_000, 2):
+        got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(pages, table, max_rules=most).collect()}
+        assert got == {i: plain(u) for i, u in enumerate(urls_)}
+
+
+def test_mixing_meets_targets(spark):
+    docs = frame(spark, [(i, prose(R.randint(1, 40)), "en", "abcd"[min(3, i % 7)]) for i in range(400)] + DOCS)
+    a, b = (mixing.mix(docs).toPandas() for _ in range(2))
+    rows = lambda d: sorted(map(str, d.itertuples(index=False)))
+    assert rows(a) == rows(b) and len(a) == 400 + len(DOCS)
+    per = a.assign(source=a["source"].fillna("~")).groupby("source").agg(taken=("taken", "sum"), target=("target", "first"), size=("source_size", "first"))
+    assert (abs(per["taken"] - per["target"]) <= 1).all() and (a["taken"] <= 3 * a["size"]).all() and abs(per["target"].sum() - per["size"].sum()) < 1e-6
+    assert (per["target"] <= 3 * per["size"] + 1e-9).all()
+    assert mixing.mix(frame(spark, [])).count() == 0
+
+
+def test_mixing_cuts_inside_one_length(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 16)
+    docs = frame(spark, [(i, "a b c", "en", "s" if i % 4 else "t") for i in range(900)])
+    per = mixing.mix(docs).toPandas().groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert (abs(per["taken"] - per["target"]) < 3).all()
+
+
+@pytest.mark.parametrize("budget", [0, 1, 777, 5000])
+def test_subset_sum_is_exact_where_it_can_be(budget):
+    sizes, counts = np.arange(1, 60), np.full(59, 9)
+    take = mixing.subset_sum(sizes, counts, budget, dp_budget=64)
+    assert (take <= counts).all() and (take * sizes).sum() == budget
+
+
+def components(prints):
+    parent = {x: x for x in prints}
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for x, y in combinations(prints, 2):
+        if bin(x ^ y).count("1") <= 4:
+            parent[find(x)] = find(y)
+    return {x: find(x) for x in prints}
+
+
+def test_simhash_positions_cover_every_four_bytes():
+    assert len(simhash.POSITIONS) == 20 and all(any(set(t) <= set(c) for t in simhash.POSITIONS) for c in combinations(range(8), 4))
+
+
+@pytest.mark.parametrize("large", [20_000, 3])
+def test_simhash_links_near_fingerprints(spark, large):
+    base = [R.getrandbits(64) for _ in range(4)]
+    prints = list({b ^ sum(1 << k for k in R.sample(range(64), R.randint(0, 5))) for b in base for _ in range(40)} | {R.getrandbits(64) for _ in range(100)})
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    got = connected_components(simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), large)).collect()
+    want, of = components(prints), dict(zip(signed, prints))
+    sets = lambda m: sorted(sorted(v) for v in m.values() if len(v) > 1)
+    a, b = defaultdict(list), defaultdict(list)
+    for r in got:
+        a[r.root].append(of[r.node])
+    for x, root in want.items():
+        b[root].append(x)
+    assert sets(a) == sets(b)
+
+
+def test_simhash_fingerprint_and_odd_inputs(spark):
+    text = "Ab c\tD e\x0bF É"
+    hs = [xxhash.xxh64_intdigest(x.encode(), 42) for x in ("ab c d e", "c d e f", "d e f É")]
+    assert simhash.fingerprint(text) % 2**64 == sum((2 * sum(h >> b & 1 for h in hs) > 3) << b for b in range(64))
+    assert simhash.fingerprint("A b") % 2**64 == xxhash.xxh64_intdigest(b"a b", 42) and simhash.fingerprint(" \n") == simhash.fingerprint(None) == 0
+    got = simhash.near_duplicates(frame(spark)).collect()
+    assert len(got) == len(DOCS) and {r.component_id for r in got if r.fingerprint == "0" * 16} == {1} and {r.component_id for r in got if r.doc_id in (5, 40, 41, 42)} == {5}
+    assert simhash.near_duplicates(frame(spark, [])).count() == 0
+
+
+def brute_bytes(rows, size, first):
+    seen = defaultdict(list)
+    order = sorted(range(len(rows)), key=lambda k: (rows[k][0] is None, rows[k][0] or 0, np.array(xxhash.xxh32_intdigest((rows[k][1] or "").encode()), np.uint32).view(np.int32)))
+    for k in order:
+        b = (rows[k][1] or "").encode()
+        for p in range(len(b) - size + 1):
+            seen[b[p:p + size]].append((k, p))
+    masks = [bytearray(len((t or "").encode())) for _, t, *_ in rows]
+    for v in seen.values():
+        head = v[0]
+        for k, p in v if len(v) > 1 else ():
+            if not first or (p, rows[k][0], rows[k][1]) != (head[1], rows[head[0]][0], rows[head[0]][1]):
+                masks[k][p:p + size] = b"\1" * size
+    return sorted((str(rows[k][0]), len(m), sum(m), hashlib.sha256(bytes(x for x, y in zip((rows[k][1] or "").encode(), m) if not y)).hexdigest()) for k, m in enumerate(masks))
+
+
+@pytest.mark.parametrize("group", [500, 2])
+@pytest.mark.parametrize("first", [False, True])
+def test_suffix_dedup_is_brute_force(spark, first, group):
+    got = suffix.dedup(frame(spark), size=100, keep_first=first, group=group).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_bytes - len(r.kept), hashlib.sha256(r.kept).hexdigest()) for r in got) == brute_bytes(DOCS, 100, first)
+    assert all(a.end < b.start for r in got for a, b in zip(r.spans, r.spans[1:])) and suffix.dedup(frame(spark, [])).count() == 0
+
+
+def brute_words(rows, size):
+    low = {}
+    rank = lambda i: (i is None, i or 0)
+    for i, t, *_ in rows:
+        w = (t or "").encode().split()
+        for p in range(len(w) - size + 1):
+            k = tuple(w[p:p + size])
+            low[k] = min(low.get(k, rank(i)), rank(i))
+    out = []
+    for i, t, *_ in rows:
+        w = (t or "").encode().split()
+        gone = {q for p in range(len(w) - size + 1) if low[tuple(w[p:p + size])] < rank(i) for q in range(p, p + size)}
+        out.append((str(i), len(w), len(gone), b" ".join(x for k, x in enumerate(w) if k not in gone).decode()))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("group", [500, 2])
+def test_substring_dedup_is_brute_force(spark, group):
+    got = fmindex.dedup(frame(spark), size=20, group=group).collect()
+    assert sorted((str(r.doc_id), r.n_words, sum(s.end - s.start for s in r.spans), r.kept) for r in got) == brute_words(DOCS, 20)
+    assert fmindex.dedup(frame(spark, [])).count() == 0
+
+
+def test_fm_index_counts_and_shortens():
+    text = np.array([R.randint(2, 5) for _ in range(300)] + [0])
+    index = fmindex.FMIndex(text, 6, np.arange(301))
+    for _ in range(200):
+        at, n = R.randint(0, 290), R.randint(1, 9)
+        l, r = np.array([0]), np.array([index.n])
+        for c in text[at:at + n][::-1]:
+            l, r = index.extend(l, r, np.array([c]))
+        count = lambda p: sum((text[k:k + len(p)] == p).all() for k in range(301 - len(p)))
+        assert r[0] - l[0] == count(text[at:at + n])
+        if n > 1:
+            l, r = index.shorten(l, r, np.array([n - 1]))
+            assert r[0] - l[0] == count(text[at:at + n - 1])
+
+
+def test_top_k_is_brute_force_in_any_blocks(spark):
+    codes = [(i, R.getrandbits(64) - 2**63 if i % 3 else 12345 ^ (1 << i % 60)) for i in range(150)] + [(7, 5), (None, 1), (8, None)]
+    df = spark.createDataFrame(codes, "id long, code long").withColumn("cb", F.lit("clash"))
+    whole = {(i, c) for i, c in codes if i is not None and c is not None}
+    for rows in (1 << 20, 40):
+        got = mih.top_k(df, df.where("id % 5 = 0"), k=4, code_rows=rows, query_rows=9).collect()
+        for q, code in [(i, c) for i, c in whole if i % 5 == 0]:
+            want = sorted((bin((c ^ code) % 2**64).count("1"), i) for i, c in whole if i != q)[:4]
+            assert [(r.distance, r.id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
+    assert mih.top_k(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_components_ignore_loops_and_repeats(spark):
+    chain = [(i, i + 1) for i in range(50)] + [(100, 100), (70, 60), (60, 70), (80, 60)]
+    got = {r.node: r.root for r in connected_components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {**{i: 0 for i in range(51)}, 60: 60, 70: 60, 80: 60}
+    assert connected_components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_pipeline_stages_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").unionByName(frame(spark).select(*corpus_pipeline.COLUMNS)).withColumn("key", F.lit(1))
+    for name, stage in corpus_pipeline.STAGES:
+        before = [tuple(r) for r in docs.select(*corpus_pipeline.COLUMNS).collect()]
+        docs = corpus_pipeline.written(stage(spark, docs, sf_dir))
+        after = [tuple(r) for r in docs.collect()]
+        if name != "packing":
+            assert docs.columns == list(corpus_pipeline.COLUMNS)
+        if name == "language":
+            assert not Counter(after) - Counter(before) and {r for r in before if not any(c.isalpha() for c in r[1] or "")} <= set(before) - set(after)
+        if name == "near_duplicates":
+            prints = {r: simhash.fingerprint(r[1]) % 2**64 for r in before}
+            assert len(after) == len(set(components(list(set(prints.values()))).values())) and not Counter(after) - Counter(before)
+        if name == "substrings":
+            want = [(i, " ".join(k.split())) for (i, _, n, k) in brute_words(before, 50) if k or not n]
+            assert sorted((str(r[0]), " ".join((r[1] or "").encode().decode().split())) for r in after) == sorted(want)
+        if name == "mixture":
+            assert set(after) <= set(before) and max(Counter(after).values()) <= 3
+    for stage in (f for _, f in corpus_pipeline.STAGES):
+        assert stage(spark, frame(spark, []), sf_dir).count() == 0
+
+
+def test_crc_is_zlibs(spark, sf_dir):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    for r in packing.run(spark, sf_dir).limit(40).collect():
+        ids = np.array(tok.encode(docs[r.doc_id], add_special_tokens=False).ids + [1], "<u4")
+        assert zlib.crc32(ids[r.start:r.start + r.length].tobytes()) == r.ids_crc32 and r.doc_tokens == len(ids)
+
+
+def test_clean_documents_are_kept(spark):
+    d = "/root/testdata/sf0.01"
+    good = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1"), "doc_id").toPandas()
+    passed = good[~good["base_failed"]]
+    assert isinstance(good, pd.DataFrame) and passed["kept"].mean() > 0.99
