@@ -52,7 +52,8 @@ def time_split(df: DataFrame, group: str, t: str, older: float) -> DataFrame:
     """Add `split`: OLDER where percent_rank of `t` within the group is below `older`, else NEWER.
 
     Only the cut-off time of each group is searched for: minutes are counted, one row per minute is accumulated, and the
-    times of the single boundary minute are ranked. The rows themselves are never sorted or moved.
+    times of the single boundary minute are ranked. The cut-offs, one per group, are one map value that the projection of the
+    rows looks up, so the rows themselves are neither sorted nor shuffled.
     """
     c = (df.where(F.col(group).isNotNull()).groupBy(F.col(group).alias("g"), F.col(t).alias("t")).agg(F.count("*").alias("c"))
          .withColumn("m", F.date_trunc("minute", "t")))
@@ -65,16 +66,16 @@ def time_split(df: DataFrame, group: str, t: str, older: float) -> DataFrame:
     inside = c.join(edge, ["g", "m"]).withColumn("upto", F.sum("c").over(
         Window.partitionBy("g").orderBy("t").rowsBetween(Window.unboundedPreceding, 0)))
     pr = (F.col("before") + F.col("upto") - F.col("c")) / F.greatest(F.col("total") - 1, F.lit(1))
-    cutoff = inside.where(pr < older).groupBy(F.col("g").alias("_g")).agg(F.max("t").alias("_cutoff"))
-    return (df.join(cutoff, F.col(group) == F.col("_g"), "left")
-            .withColumn("split", F.when(F.col(t) <= F.col("_cutoff"), "OLDER").otherwise("NEWER")).drop("_g", "_cutoff"))
+    cutoff = inside.where(pr < older).groupBy("g").agg(F.max("t").alias("cutoff"))
+    cutoffs = cutoff.agg(F.map_from_entries(F.collect_list(F.struct("g", "cutoff"))).alias("cutoffs")).scalar()
+    return df.withColumn("split", F.when(F.col(t) <= F.element_at(cutoffs, F.col(group)), "OLDER").otherwise("NEWER"))
 
 
 def peak_concurrency(df: DataFrame, start: str, end: str) -> DataFrame:
     """One row: the largest number of intervals open at one time (an end at t closes before t's total is read).
 
-    Starts and ends are one pass over the input. Events are summed per time, then accumulated on three levels: minutes
-    (one row per minute of the window), seconds of a minute, times of a second. No task sorts more than one level's rows.
+    Starts and ends are one pass over the input. Events are summed per time, then accumulated level by level: times of a second,
+    seconds of a minute, minutes of a day, days. No task sorts more than one level's rows, and the last level is one row per day.
     """
     ev = (df.where(F.col(end).isNotNull())
           .select(F.explode(F.array(F.struct(F.col(start).alias("t"), F.lit(1).alias("d")), F.struct(F.col(end).alias("t"), F.lit(-1).alias("d")))).alias("e"))
@@ -85,8 +86,10 @@ def peak_concurrency(df: DataFrame, start: str, end: str) -> DataFrame:
            .groupBy("m", "s").agg(F.sum("d").alias("d"), F.max("run").alias("top")))
     mins = (sec.withColumn("run", F.sum("d").over(Window.partitionBy("m").orderBy("s").rowsBetween(*upto)) - F.col("d"))
             .groupBy("m").agg(F.sum("d").alias("d"), F.max(F.col("run") + F.col("top")).alias("top")))
-    # one row per minute of the look-back window: small whatever the number of statements
-    total = mins.withColumn("run", F.sum("d").over(Window.partitionBy(F.lit(1)).orderBy("m").rowsBetween(*upto)) - F.col("d"))
+    mins = mins.withColumn("day", F.date_trunc("day", "m"))
+    days = (mins.withColumn("run", F.sum("d").over(Window.partitionBy("day").orderBy("m").rowsBetween(*upto)) - F.col("d"))
+            .groupBy("day").agg(F.sum("d").alias("d"), F.max(F.col("run") + F.col("top")).alias("top")))
+    total = days.withColumn("run", F.sum("d").over(Window.partitionBy(F.lit(1)).orderBy("day").rowsBetween(*upto)) - F.col("d"))
     return total.agg(F.max(F.col("run") + F.col("top")).alias("peak_concurrent_statements"))
 
 

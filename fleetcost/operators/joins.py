@@ -42,8 +42,12 @@ def interval_overlap(left: DataFrame, right: DataFrame, key: str, l_span: tuple[
 
 
 def either_key(df: DataFrame, runs: DataFrame, task_map: DataFrame, run_ref: str, task_ref: str, out: str) -> DataFrame:
-    """Run id by direct reference, else through the task. Both right sides are made unique first."""
+    """Run id by direct reference, else through the task. Both right sides are made unique first.
+
+    A row without a reference matches nothing; it goes to a partition by a hash of the row, so those rows don't meet in one task.
+    """
+    spread = F.concat(F.lit("\x00"), F.xxhash64(*df.columns).cast("string"))
     r = runs.select(F.col("run_id").alias("_run")).distinct()
     m = task_map.groupBy(F.col("task_run_id").alias("_task")).agg(F.min("run_id").alias("_via"))
-    d = df.join(r, F.col(run_ref) == F.col("_run"), "left").join(m, F.col(task_ref) == F.col("_task"), "left")
+    d = df.join(r, F.coalesce(F.col(run_ref).cast("string"), spread) == F.col("_run"), "left").join(m, F.coalesce(F.col(task_ref).cast("string"), spread) == F.col("_task"), "left")
     return d.withColumn(out, F.coalesce("_run", "_via")).drop("_run", "_via", "_task")

@@ -296,22 +296,10 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
            "pages", "benchmark", "labels", "conversations")
 
 
-# Inputs whose rows cost far more CPU than their bytes suggest.
-COMPACT = ("request_wide", "raw_requests", "sizing_requests")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores where a compact file has fewer splits than the cluster has cores; larger inputs are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Derived input `name` over the tables under `sf_dir`."""
     text = SQL[name]
     used = {t: read_table(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text}
-    if name in COMPACT:
-        used = {t: spread(df) for t, df in used.items()}
     return spark.sql(text, **used)
 
 

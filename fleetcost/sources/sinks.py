@@ -8,9 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder below the one the cluster names in spark.checkpoint.dir; a local one only where none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/fleetcost-{uuid.uuid4().hex}"
+    """A new folder below the one the cluster names in spark.checkpoint.dir; it is removed when the application ends.
+
+    Without that setting executors could not read each other's files, so it is an error, except in a session whose tasks run in the
+    driver's own process.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    path = f"{(base or tempfile.gettempdir()).rstrip('/')}/fleetcost-{uuid.uuid4().hex}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.deleteOnExit(target)
+    return f"{path}/table"
 
 
 def overwrite(df: DataFrame, path: str) -> DataFrame:
