@@ -32,15 +32,15 @@ def verdict(i):
     return rec.verdict(_figures(i), ["request_id"])
 
 
-@query("rec_drift", """SELECT c_custkey AS request_id, 'STREAM_TEMPLATE' AS template, 'storage.retained_tb' AS path, '5.0' AS template_value, CAST(CAST(c_custkey % 9 AS DOUBLE) AS VARCHAR) AS request_value FROM customer WHERE c_custkey % 3 = 0 AND c_custkey % 9 <> 5
- UNION ALL SELECT c_custkey, 'STREAM_TEMPLATE', 'sql.total_users', NULL, CAST(c_custkey % 50 AS VARCHAR) FROM customer WHERE c_custkey % 4 = 0""")
+@query("rec_drift", """SELECT c_custkey AS request_id, 'STREAM_TEMPLATE' AS template, 'storage.retained_tb' AS path, '5.0' AS template_value, CAST(CAST(c_custkey % 9 AS DOUBLE) AS VARCHAR) AS request_value FROM customer WHERE c_custkey % 9 <> 5
+ UNION ALL SELECT c_custkey, 'STREAM_TEMPLATE', 'sql.total_users', NULL, CAST(c_custkey % 50 AS VARCHAR) FROM customer""")
 def drift(i):
     from fleetcost.sources.inputs import read_table
     c = read_table(i.spark, i.sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))
-    asked = c.where("request_id % 3 = 0 OR request_id % 4 = 0").withColumn("template", F.lit("STREAM_TEMPLATE"))
+    asked = c.withColumn("template", F.lit("STREAM_TEMPLATE"))
     k = F.col("request_id")
-    params = c.where("request_id % 3 = 0").select("request_id", F.lit("retained_storage_tb").alias("path"), (k % 9).cast("string").alias("value")).unionByName(
-        c.where("request_id % 4 = 0").select("request_id", F.lit("sql.total_users").alias("path"), (k % 50).cast("string").alias("value")))
+    params = c.select("request_id", F.lit("retained_storage_tb").alias("path"), (k % 9).cast("string").alias("value")).unionByName(
+        c.select("request_id", F.lit("sql.total_users").alias("path"), (k % 50).cast("string").alias("value")))
     templates = rq.templates(i.spark)
     return rec.drift(rq.from_template(asked, templates, params), rq.parse(templates))
 

@@ -28,9 +28,9 @@ def out_totals(i):
     return out.totals_table(requests(i), saved_lines(i), i.ref.rate_card, F.lit(False))
 
 
-@query("out_line_items", f"SELECT {_LINE} FROM est_lines WHERE scenario = 'HIGH'")
+@query("out_line_items", f"SELECT {_LINE} FROM est_lines")
 def out_line_items(i):
-    return shown(lines(i).where("scenario = 'HIGH'"))
+    return shown(lines(i))
 
 
 CTES["rates_used"] = f"SELECT DISTINCT request_id, rate_status || ' $' || {fmt('rate', 6)} || '/' || unit || ' - ' || rate_source AS rate_used FROM est_lines WHERE rate IS NOT NULL"
