@@ -95,12 +95,12 @@ def cross_single(i):
     return rounded(d.select("o_orderkey", F.col("t.n").alias("all_orders"), (F.col("o_totalprice") / F.col("t.total")).alias("share")), "share", 8)
 
 
-_FAMILY = "f.cloud = upper(x.cloud) AND f.node_category = 'GENERAL' AND regexp_matches(x.worker_node, f.instance_pattern)"
+_FAMILY = "f.cloud = upper(x.cloud) AND regexp_matches(x.worker_node, f.instance_pattern)"
 
 
 @query("jn_semi_regex", f"SELECT workload_id, worker_node FROM fleet x WHERE EXISTS (SELECT 1 FROM ref_node_families f WHERE {_FAMILY})")
 def semi_regex(i):
-    f = i.ref.node_families.where("node_category = 'GENERAL'").select(F.col("cloud").alias("f_cloud"), "instance_pattern")
+    f = i.ref.node_families.select(F.col("cloud").alias("f_cloud"), "instance_pattern")
     d = i("fleet").select("workload_id", "cloud", "worker_node")
     return d.join(f, (F.upper("cloud") == F.col("f_cloud")) & F.expr("worker_node RLIKE instance_pattern"), "left_semi").select("workload_id", "worker_node")
 
@@ -125,9 +125,7 @@ def semi_in(i):
 def anti_unknown(i):
     d = i("sizing_requests").select("request_id", normalise_key("workload").alias("name"))
     names = jn.alias_map(i.ref.profiles).select("name", "profile")
-    found = d.join(names, "name").select("request_id", "profile", F.lit("RESOLVED").alias("state"))
-    unknown = d.join(names, "name", "left_anti").select("request_id", F.lit(None).cast("string").alias("profile"), F.lit("UNKNOWN").alias("state"))
-    return found.unionByName(unknown)
+    return d.join(names, "name", "left").select("request_id", "profile", F.when(F.col("profile").isNull(), "UNKNOWN").otherwise("RESOLVED").alias("state"))
 
 
 # yearly price windows of the usage SKUs, with a gap and a duplicate on purpose
@@ -217,7 +215,7 @@ def count_distinct(i):
 
 @query("ag_quartiles_approx", f"SELECT event_type, {rn('quantile_disc(value, 0.25)')} AS q1, {rn('quantile_disc(value, 0.5)')} AS q2, {rn('quantile_disc(value, 0.75)')} AS q3 FROM events GROUP BY 1")
 def quartiles_approx(i):
-    d = table(i, "events").groupBy("event_type").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], 1000000).alias("q"))
+    d = table(i, "events").groupBy("event_type").agg(F.percentile_approx("value", [0.25, 0.5, 0.75]).alias("q"))
     return rounded(d.select("event_type", *[F.col("q")[n].alias(f"q{n + 1}") for n in range(3)]), "q1 q2 q3")
 
 

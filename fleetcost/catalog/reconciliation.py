@@ -1,25 +1,21 @@
 """Reconciliation (REC)."""
 from fleetcost.catalog.registry import F, query, rounded
-from fleetcost.catalog.requests import _MODELS, compare, lines, requests  # noqa: F401
+from fleetcost.catalog.requests import compare, lines, template_totals
 from fleetcost.oracle.base import CTES, r2, rn
 from fleetcost.plans import reconcile as rec, requests as rq, totals as tt
 
-# Presented figures: an earlier record of the totals, with planted gaps and differences.
-CTES["presented"] = """SELECT request_id, scenario, CASE request_id % 5 WHEN 0 THEN NULL WHEN 1 THEN CAST(round(CAST(monthly AS DECIMAL(38,8)), 2) AS DOUBLE) + 5 ELSE CAST(round(CAST(monthly AS DECIMAL(38,8)), 2) AS DOUBLE) END AS presented
- FROM est_totals WHERE request_id % 7 <> 0"""
-CTES["calculated"] = "SELECT request_id, scenario, CASE WHEN request_id % 10 <> 0 THEN monthly END AS calculated FROM est_totals"
 CTES["figures"] = f"""SELECT request_id, scenario, presented, {rn('calculated', 4)} AS calculated, (presented IS NULL AND calculated IS NULL) OR coalesce(abs(calculated - presented) < 0.01, false) AS ok,
  CASE WHEN presented IS NULL AND calculated IS NULL THEN 'MATCH (pending)' WHEN presented IS NULL OR calculated IS NULL THEN 'DIFFERS' WHEN abs(calculated - presented) < 0.01 THEN 'MATCH'
   ELSE 'DIFFERS BY ' || CASE WHEN calculated < presented THEN '-' ELSE '' END || '$' || format('{{:,.2f}}', {r2('abs(calculated - presented)')}) END AS status
- FROM presented FULL JOIN calculated USING (request_id, scenario)"""
+ FROM presented_figures FULL JOIN (SELECT request_id, scenario, monthly AS calculated FROM template_costs) USING (request_id, scenario)"""
+
+
+def _calculated(i):
+    return template_totals(i).select("request_id", "scenario", F.col("recurring_monthly_usd").alias("calculated"))
 
 
 def _figures(i):
-    t = tt.totals(lines(i)).select("request_id", "scenario", "recurring_monthly_usd")
-    k, m = F.col("request_id"), F.col("recurring_monthly_usd")
-    shown = F.round(m.cast("decimal(38,8)"), 2).cast("double")
-    presented = t.where(k % 7 != 0).select("request_id", "scenario", F.when(k % 5 == 0, None).when(k % 5 == 1, shown + 5).otherwise(shown).alias("presented"))
-    return rec.compare_figures(presented, t.select("request_id", "scenario", F.when(k % 10 != 0, m).alias("calculated")), ["request_id", "scenario"])
+    return rec.compare_figures(i("presented_figures"), _calculated(i), ["request_id", "scenario"])
 
 
 @query("rec_figures", "SELECT request_id, scenario, presented, calculated, ok, status FROM figures")
@@ -56,9 +52,8 @@ def substitute(i):
     return rounded(d.select("request_id", "component_id", "model", "scenario", "substituted_usd"), "substituted_usd", 4)
 
 
-@query("rec_parity", f"""SELECT request_id, bool_and(abs(monthly - expected) < 0.005 + 1e-9) AS parity, count(*) AS figures FROM (SELECT *, {r2('monthly')} + CASE WHEN request_id % 6 = 0 AND scenario = 'HIGH' THEN 0.02 ELSE 0 END AS expected FROM est_totals) GROUP BY 1""")
+@query("rec_parity", """SELECT request_id, bool_and(coalesce(abs(monthly - presented) < 0.005 + 1e-9, false)) AS parity, count(*) AS figures
+ FROM presented_figures LEFT JOIN template_costs USING (request_id, scenario) WHERE presented IS NOT NULL GROUP BY 1""")
 def parity(i):
-    t = tt.totals(lines(i)).select("request_id", "scenario", F.col("recurring_monthly_usd").alias("figure"))
-    off = F.when((F.col("request_id") % 6 == 0) & (F.col("scenario") == "HIGH"), 0.02).otherwise(0.0)
-    expected = t.select("request_id", "scenario", (F.round(F.col("figure").cast("decimal(38,8)"), 2).cast("double") + off).alias("expected"))
-    return rec.parity(expected, t, ["request_id", "scenario"], ["request_id"])
+    expected = i("presented_figures").where("presented IS NOT NULL").withColumnRenamed("presented", "expected")
+    return rec.parity(expected, _calculated(i).withColumnRenamed("calculated", "figure"), ["request_id", "scenario"], ["request_id"])

@@ -187,39 +187,58 @@ def resolve(i):
 
 
 _OVERRIDES = [("transfer.daily_gb_high", 3, "CAST(c_custkey % 50 AS STRING)"), ("processing[C01].runs_per_month", 4, "'7.5'"), ("processing[ZZ].runs_per_month", 50, "'1'"),
-              ("model_days_per_month", 6, "'15'"), ("region", 7, "'AP_SOUTH_1'")]
-_OV_SQL = " UNION ALL ".join(f"SELECT c_custkey AS request_id, '{p}' AS path, {v} AS value FROM {{customer}} WHERE c_custkey % {m} = 0" for p, m, v in _OVERRIDES)
+              ("model_days_per_month", 6, "'15'"), ("region", 7, "'AP_SOUTH_1'"), ("assumptions.batch_dbu_per_hour", 5, "'2.5'"), ("_areas.sql", 8, "'EXCLUDED'"),
+              ("storage.retained_tb", 9, "CAST(NULL AS STRING)"), ("sql.concurrent_users", 11, "'many'"), ("moon.phase", 13, "'1'"),
+              ("processing[C01].dbu_per_hour", 14, """'{"HIGH": 9.5}'""")]
 
 
 def _overrides(i):
     from fleetcost.sources.inputs import read_table
-    return i.spark.sql(_OV_SQL, customer=read_table(i.spark, i.sf_dir, "customer"))
+    given = ", ".join(f"CASE WHEN c_custkey % {m} = 0 THEN named_struct('path', '{p}', 'value', {v}) END" for p, m, v in _OVERRIDES)
+    c = read_table(i.spark, i.sf_dir, "customer")
+    return c.select(F.col("c_custkey").alias("request_id"), F.explode(F.expr(f"array({given})")).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
 
 
 @query("dcp_overrides", """SELECT request_id, CASE WHEN request_id % 6 = 0 THEN 15 ELSE model_days END AS model_days_per_month, CASE WHEN request_id % 7 = 0 THEN 'AP_SOUTH_1' ELSE region END AS region,
  CASE WHEN request_id % 3 = 0 THEN CAST(request_id % 50 AS DOUBLE) WHEN t1 THEN t1_high END AS daily_gb_high, CASE WHEN NOT p1 THEN NULL WHEN request_id % 4 = 0 THEN 7.5 ELSE p1_runs END AS c01_runs,
- CASE WHEN NOT p1 AND request_id % 4 = 0 AND request_id % 50 = 0 THEN 2 WHEN NOT p1 AND request_id % 4 = 0 OR request_id % 50 = 0 THEN 1 ELSE 0 END AS errors FROM request_wide""")
+ CASE WHEN NOT p1 THEN NULL WHEN request_id % 14 = 0 THEN 9.5 ELSE CASE WHEN p1_fix_expected IS NOT NULL THEN p1_fix_high END END AS c01_dbu_high, CASE WHEN request_id % 5 = 0 THEN 2.5 ELSE ov_batch END AS batch_dbu_per_hour,
+ CASE WHEN request_id % 8 = 0 THEN 'EXCLUDED' ELSE area_sql END AS sql_area, CASE WHEN st AND request_id % 9 <> 0 THEN st_tb END AS retained_tb, CASE WHEN s1 THEN s1_users END AS sql_users,
+ CAST(NOT p1 AND request_id % 4 = 0 AS INT) + CAST(NOT p1 AND request_id % 14 = 0 AS INT) + CAST(request_id % 50 = 0 AS INT) + CAST(request_id % 11 = 0 AS INT) + CAST(request_id % 13 = 0 AS INT) AS errors FROM request_wide""")
 def overrides(i):
     base, ov = requests(i), _overrides(i)
     d = rq.apply_overrides(base, ov)
     errors = rq.override_errors(base, ov).groupBy("request_id").agg(F.count("*").alias("errors"))
-    first = F.get(F.filter("processing", lambda c: c["component_id"].endswith("-C01")), 0)
+    first = F.when(F.get("processing", 0)["component_id"].endswith("-C01"), F.get("processing", 0))
     return d.join(errors, "request_id", "left").select("request_id", "model_days_per_month", "region", F.col("transfer.daily_gb_high").alias("daily_gb_high"),
-                                                       first["runs_per_month"].alias("c01_runs"), F.coalesce("errors", F.lit(0)).alias("errors"))
+                                                       first["runs_per_month"].alias("c01_runs"), first["dbu_per_hour"]["HIGH"].alias("c01_dbu_high"),
+                                                       F.col("assumptions.batch_dbu_per_hour").alias("batch_dbu_per_hour"), F.col("_areas")["sql"].alias("sql_area"),
+                                                       F.col("storage.retained_tb").alias("retained_tb"), F.col("sql.concurrent_users").alias("sql_users"),
+                                                       F.coalesce("errors", F.lit(0)).cast("int").alias("errors"))
 
 
-@query("dcp_templates", f"""SELECT c_custkey AS request_id, 'EXPECTED' AS scenario, CASE WHEN c_custkey % 2 = 0 THEN 'STREAM_TEMPLATE' ELSE 'MODEL_TEMPLATE' END AS template,
- {rn('''CASE WHEN c_custkey % 2 = 0 THEN 730 * 0.31 + 2 * 0.31 + 1 * 22 * 4 * 2 * 0.44 + 4 * 22 * 0.015 + c_custkey % 9 * 1000 * 0.025 + 150 * 30 / 1000 * 0.006 + 1.0 + 30 * 30 / 10000 * 0.03
-   ELSE (200 * 30 * 1750 / 1e6 * 36 + 200 * 30 * 500 / 1e6 * 210) * 0.08 END''', 4)} AS recurring_monthly_usd,
- {rn("CASE WHEN c_custkey % 2 = 0 THEN c_custkey % 10 * 100 * 0.015 ELSE 11000000 / 1e6 * 2 * 0.08 END", 4)} AS one_time_usd FROM customer""")
-def templates(i):
+# What a template costs, from its inputs and planning values alone: (scenario, stream DBU/h, batch DBU, report DBU, GB a day, input tokens, output tokens, tokens once).
+_PLANNED = [("LOW", 0.5, 0, 0.5 * 22 * 4 * 1, 3, 500, 100, 10_000_000), ("EXPECTED", 1.0, 2, 1 * 22 * 4 * 2, 4, 1750, 500, 11_000_000),
+            ("HIGH", 1.5, 4, 2 * 22 * 4 * 2, 6, 3000, 900, 12_000_000), ("STRESS", 2.0, 16, 4 * 22 * 4 * 3, 6, None, None, None)]
+CTES["template_costs"] = " UNION ALL ".join(
+    f"""SELECT c_custkey AS request_id, '{sc}' AS scenario, 'STREAM_TEMPLATE' AS template, {730 * d} * 0.31 + {b} * 0.31 + {q} * 0.44 + {g} * 22 * 0.015 + c_custkey % 9 * 1000 * 0.025 + 150 * 30 / 1000 * 0.006
+ + 1.0 + 30 * 30 / 10000 * 0.03 AS monthly, c_custkey % 10 * 100 * 0.015 AS one_time FROM customer WHERE c_custkey % 2 = 0"""
+    + ("" if ti is None else f""" UNION ALL SELECT c_custkey, '{sc}', 'MODEL_TEMPLATE', (200 * 30 * {ti} / 1e6 * 36 + 200 * 30 * {to} / 1e6 * 210) * 0.08, {once} / 1e6 * 2 * 0.08 FROM customer WHERE c_custkey % 2 = 1""")
+    for sc, d, b, q, g, ti, to, once in _PLANNED)
+
+
+def template_totals(i):
+    """Totals of every customer's request, made from a template."""
     from fleetcost.sources.inputs import read_table
     c = read_table(i.spark, i.sf_dir, "customer").select(F.col("c_custkey").alias("request_id"))
-    asked = c.withColumn("template", F.when(F.col("request_id") % 2 == 0, "STREAM_TEMPLATE").otherwise("MODEL_TEMPLATE"))
-    even = c.where("request_id % 2 = 0")
     k = F.col("request_id")
-    params = even.select("request_id", F.lit("retained_storage_tb").alias("path"), (k % 9).cast("string").alias("value")).unionByName(
-        even.select("request_id", F.lit("migration_gb").alias("path"), (k % 10 * 100).cast("string").alias("value")))
+    asked = c.withColumn("template", F.when(k % 2 == 0, "STREAM_TEMPLATE").otherwise("MODEL_TEMPLATE"))
+    given = F.when(k % 2 == 0, F.array(F.struct(F.lit("retained_storage_tb").alias("path"), (k % 9).cast("string").alias("value")),
+                                       F.struct(F.lit("migration_gb").alias("path"), (k % 10 * 100).cast("string").alias("value"))))
+    params = c.select("request_id", F.explode(given).alias("x")).select("request_id", "x.*")
     d = rq.from_template(asked, rq.templates(i.spark), params)
-    t = tt.totals(ln.line_items(d, i.ref.rate_card, i.ref.model_conversions, RATES_AS_OF, carry=("template",)), ("request_id", "scenario", "template")).where("scenario = 'EXPECTED'")
-    return rounded(t.select("request_id", "scenario", "template", "recurring_monthly_usd", "one_time_usd"), "recurring_monthly_usd one_time_usd", 4)
+    return tt.totals(ln.line_items(d, i.ref.rate_card, i.ref.model_conversions, RATES_AS_OF, carry=("template",)), ("request_id", "scenario", "template"))
+
+
+@query("dcp_templates", f"SELECT request_id, scenario, template, {rn('monthly', 4)} AS recurring_monthly_usd, {rn('one_time', 4)} AS one_time_usd FROM template_costs")
+def templates(i):
+    return rounded(template_totals(i).select("request_id", "scenario", "template", "recurring_monthly_usd", "one_time_usd"), "recurring_monthly_usd one_time_usd", 4)

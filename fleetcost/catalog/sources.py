@@ -45,23 +45,22 @@ def inline_values(i):
     return rounded(d.groupBy(F.coalesce("label", F.lit("none")).alias("label")).agg(F.count("*").alias("n"), F.sum(F.col("value") * F.col("weight")).alias("weighted")), "weighted", 4)
 
 
-def write_history_frame(i):
-    """The write log in its nested form."""
+def write_history_frame(i, *carry):
+    """The write log in its nested form. Logs of tables that the reader may not open are marked in it."""
     metrics = F.create_map(F.col("metric_key"), F.col("metric_bytes").cast("string"))
     job = F.when(F.col("job_task_id").isNotNull(), F.struct(F.col("job_run_ref").alias("jobRunId"), F.col("job_task_id").alias("runId")))
-    return i("write_log").select("table_name", "operation", F.col("write_time").alias("timestamp"), job.alias("job"), metrics.alias("operationMetrics"))
+    return i("write_log").select("table_name", "operation", F.col("write_time").alias("timestamp"), job.alias("job"), metrics.alias("operationMetrics"), *carry)
 
 
-_READABLE = "table_name NOT LIKE '%5'"
-CTES["history"] = """SELECT coalesce(job_run_ref, job_task_id) AS run_ref, job_task_id AS task_run_id, CASE WHEN metric_key <> 'numOther' THEN CAST(metric_bytes AS DOUBLE) END AS bytes, table_name
+CTES["history"] = """SELECT coalesce(job_run_ref, job_task_id) AS run_ref, job_task_id AS task_run_id, CASE WHEN metric_key <> 'numOther' THEN CAST(metric_bytes AS DOUBLE) END AS bytes, table_name, readable
  FROM write_log WHERE job_task_id IS NOT NULL AND write_time >= TIMESTAMP '2024-01-05 00:00:00' AND operation IN ('WRITE', 'STREAMING UPDATE', 'MERGE', 'COPY INTO', 'UPDATE')"""
 
 
-@query("src_write_history", f"""SELECT table_name, 'READ' AS state, count(*) AS writes, {rn('sum(bytes)', 0)} AS bytes FROM history WHERE {_READABLE} GROUP BY table_name
+@query("src_write_history", f"""SELECT table_name, 'READ' AS state, count(*) AS writes, {rn('sum(bytes)', 0)} AS bytes FROM history WHERE readable GROUP BY table_name
  UNION ALL SELECT DISTINCT target_table_full_name, 'SKIPPED', 0, NULL FROM lineage_log WHERE entity_type = 'JOB' AND target_table_full_name IS NOT NULL
-  AND target_table_full_name NOT IN (SELECT table_name FROM history WHERE {_READABLE})""")
+  AND target_table_full_name NOT IN (SELECT table_name FROM history WHERE readable)""")
 def write_history(i):
-    h = readers.write_history(write_history_frame(i).where(_READABLE), "2024-01-05")
+    h = readers.write_history(write_history_frame(i, "readable").where("readable"), "2024-01-05")
     expected = i("lineage_log").where("entity_type = 'JOB' AND target_table_full_name IS NOT NULL").select(F.col("target_table_full_name").alias("table_name"))
     read = h.groupBy("table_name").agg(F.count("*").alias("writes"), F.sum("bytes").alias("bytes")).withColumn("state", F.lit("READ"))
     skipped = readers.unread_tables(expected, h).withColumn("state", F.lit("SKIPPED"))

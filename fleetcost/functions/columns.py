@@ -27,8 +27,8 @@ def normalise_key(c: str | Column) -> Column:
 
 
 def round_half_up(c: str | Column, digits: int) -> Column:
-    """Round on a decimal, so a tie such as 1.005 rounds up on every engine."""
-    return F.round(col(c).cast("decimal(38,8)"), digits).cast("double")
+    """Round on a decimal of eight digits, so a tie such as 1.005 rounds up on every engine; numbers beyond 1e29 stay as they are."""
+    return F.coalesce(F.round(col(c).try_cast("decimal(38,8)"), digits).cast("double"), col(c).cast("double"))
 
 
 def fmt_number(c: str | Column, digits: int = 4) -> Column:

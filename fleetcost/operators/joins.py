@@ -21,20 +21,25 @@ def effective_price(usage: DataFrame, prices: DataFrame) -> DataFrame:
     return usage.join(p, on, "left").drop("p_cloud", "p_unit", "p_start", "p_end")
 
 
-def _hours(start: str, end: str):
-    return F.sequence(F.floor(F.unix_timestamp(start) / 3600), F.floor(F.unix_timestamp(end) / 3600))
+def _hours(start: str, end: str, until: str | None):
+    """Clock hours of an interval. No overlap begins after `until`, so a very long or never closed interval stays short."""
+    def hour(c):
+        return F.floor(F.unix_timestamp(c) / 3600)
+    last = hour(end) if until is None else F.least(hour(end), hour(F.lit(until).cast("timestamp_ntz")))
+    return F.sequence(hour(start), F.greatest(hour(start), last))
 
 
-def interval_overlap(left: DataFrame, right: DataFrame, key: str, l_span: tuple[str, str], r_span: tuple[str, str]) -> DataFrame:
+def interval_overlap(left: DataFrame, right: DataFrame, key: str, l_span: tuple[str, str], r_span: tuple[str, str], until: str | None = None) -> DataFrame:
     """Pairs of rows with the same key whose intervals overlap, with the overlap in hours.
 
     Both sides are cut into clock hours and joined on key and hour, so a key with very many rows is spread over its hours.
-    A pair that shares several hours is kept only in the hour in which the overlap starts.
+    A pair that shares several hours is kept only in the hour in which the overlap starts. Where all intervals start before `until`, as in a
+    look-back window, hours after it are not listed; the result is the same.
     """
     ls, le = l_span
     rs, re_ = r_span
-    a = left.withColumn("_h", F.explode(_hours(ls, le)))
-    b = right.withColumn("_h", F.explode(_hours(rs, re_)))
+    a = left.withColumn("_h", F.explode(_hours(ls, le, until)))
+    b = right.withColumn("_h", F.explode(_hours(rs, re_, until)))
     first = F.greatest(F.col(ls), F.col(rs))
     d = a.join(b, [key, "_h"]).where((F.col(rs) < F.col(le)) & (F.col(re_) > F.col(ls)) & (F.floor(F.unix_timestamp(first) / 3600) == F.col("_h")))
     hours = (F.unix_timestamp(F.least(F.col(re_), F.col(le))) - F.unix_timestamp(first)) / 3600

@@ -180,50 +180,104 @@ def resolve(questions: DataFrame, named_requests: DataFrame) -> DataFrame:
 
 
 # ---- what-if overrides -----------------------------------------------------------------------------------------------
+TOP_FIELDS = [("use_case_id", _S), ("use_case_name", _S), ("scenarios", "array<string>"), ("region", _S), ("model_days_per_month", _I), ("calibration_allowed", _B),
+              ("scope_included", "array<string>"), ("scope_excluded", "array<string>"), ("notes", "array<string>")]
+ASSUMPTION_FIELDS = [(n, _D) for n in ASSUMPTION_SCALARS] + [(n, "map<string,double>") for n in ASSUMPTION_MAPS]
+_COMPONENT = r"^processing\[(.+)\]\.([^.]+)$"
+
+
+def _paths() -> dict[str, str]:
+    """Every path that names one field, with the type of its value. `processing[].field` stands for any component id."""
+    out = dict(TOP_FIELDS) | {s: section_ddl(s) for s in SECTIONS} | {f"assumptions.{n}": t for n, t in ASSUMPTION_FIELDS}
+    for s in SECTIONS:
+        if s not in LIST_SECTIONS:
+            out |= {f"{s}.{f}": t for f, t in SECTIONS[s]}
+    return out | {f"processing[].{f}": t for f, t in SECTIONS["processing"]}
+
+
+def _typed(value: Column, kind: str) -> Column:
+    """The text of an override as a value of its type, NULL where it does not fit. Lists, maps and sections are JSON; a list may be words with commas."""
+    if kind == _S:
+        return value
+    if kind == "array<string>":
+        return F.when(value.startswith("["), F.from_json(value, kind)).otherwise(F.split(F.trim(value), r"\s*,\s*"))
+    if kind.startswith("map"):
+        m = F.from_json(value, kind)
+        return F.when(F.forall(F.map_values(m), lambda x: x.isNotNull()), m)
+    return F.from_json(value, kind) if "<" in kind else value.try_cast(kind)
+
+
+def _judged(overrides: DataFrame) -> DataFrame:
+    """Overrides with the component id, the field and whether the value fits (NULL: there is no such field)."""
+    known = _paths()
+    o = overrides.select("request_id", "path", "value").withColumns({"cid": F.regexp_extract("path", _COMPONENT, 1), "field": F.regexp_extract("path", _COMPONENT, 2)})
+    path = F.when(F.col("cid") != "", F.concat(F.lit("processing[]."), "field")).otherwise(F.col("path"))
+    o = o.withColumn("generic", path)
+    fits = F.when(F.col("path").startswith("_areas."), True)
+    for kind in dict.fromkeys(known.values()):
+        fits = fits.when(F.col("generic").isin(*[p for p, t in known.items() if t == kind]), F.col("value").isNull() | _typed(F.col("value"), kind).isNotNull())
+    return o.withColumn("fits", fits)
+
+
 def override_maps(overrides: DataFrame) -> DataFrame:
-    """(request_id, path, value) rows to one map per request. Duplicates of a path are merged before the shuffle, so a
-    map holds at most one entry per settable path of the request."""
-    one = overrides.where("value IS NOT NULL").groupBy("request_id", "path").agg(F.max("value").alias("value"))
-    return one.groupBy("request_id").agg(F.map_from_entries(F.collect_list(F.struct("path", "value"))).alias("ov"))
+    """One row per request: a map from path to text, the sections it names (heads), the area states, and the component overrides, longest
+    id first. Only values that fit are in. Duplicates of a path are merged before the shuffle (a value before null, then the largest)."""
+    one = _judged(overrides).where("fits").groupBy("request_id", "path", "cid", "field").agg(F.max("value").alias("value"))
+    head, tail = F.substring_index("path", ".", 1), F.substring_index("path", ".", -1)
+    area, part = head == "_areas", F.col("cid") != ""
+    return one.groupBy("request_id").agg(
+        F.map_from_entries(F.collect_list(F.when(~area & ~part, F.struct("path", "value")))).alias("ov"), F.collect_set(head).alias("heads"),
+        F.map_from_entries(F.collect_list(F.when(area, F.struct(tail, "value")))).alias("stated"),
+        F.sort_array(F.collect_list(F.when(part, F.struct(F.length("cid").alias("n"), "cid", "field", "value"))), asc=False).alias("parts"))
 
 
-def _settable(fields: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    return [(f, t) for f, t in fields if not t.startswith("map")]
+def _set(ov: Column, path: str, kind: str, old: Column) -> Column:
+    """The override of a path where there is one; null sets to null."""
+    return F.when(F.map_contains_key(ov, path), _typed(ov[path], kind)).otherwise(old)
 
 
 def apply_overrides(requests: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Set top-level fields, `section.field` and `processing[id].field` (id exact, or the part of the id after a hyphen)."""
+    """Set top-level fields, whole sections, `section.field`, `assumptions.name`, `_areas.area` and `processing[id].field` (id exact, or the
+    part of the id after a hyphen; the longer one counts). Missing sections are created. What can't be applied is left as it was;
+    override_errors() lists it."""
     d = requests.join(override_maps(overrides), "request_id", "left")
     ov = F.col("ov")
-    top = {f: F.coalesce(ov[f].try_cast(t), F.col(f)) for f, t in (("region", "string"), ("model_days_per_month", "int"), ("use_case_name", "string"), ("calibration_allowed", "boolean"))}
+    d = d.withColumns({f: _set(ov, f, t, F.col(f)) for f, t in [*TOP_FIELDS, *[(s, section_ddl(s)) for s in SECTIONS]] if f in requests.columns})
 
-    def changed(name: str) -> Column:
-        new = F.struct(*[(F.coalesce(ov[f"{name}.{f}"].try_cast(t), F.col(name)[f])).alias(f) for f, t in SECTIONS[name]])
-        touched = F.exists(F.map_keys(ov), lambda k: k.startswith(name + "."))
-        return F.when(F.col(name).isNotNull() | F.coalesce(touched, F.lit(False)), new)
-    out = {**top, **{name: changed(name) for name in ("sql", "transfer", "storage")}}
+    def fields(name: str, own: list[tuple[str, str]]) -> Column:
+        new = F.struct(*[_set(ov, f"{name}.{f}", t, F.col(name)[f]).cast(t).alias(f) for f, t in own])
+        return F.when(F.array_contains("heads", name), new).otherwise(F.col(name))
+    kept = F.map_filter(F.coalesce("_areas", F.create_map().cast("map<string,string>")), lambda k, _: ~F.map_contains_key("stated", k))
 
     def component(c: Column) -> Column:
-        parts = F.split(c["component_id"], "-")
-        ids = F.concat(F.array(c["component_id"]), F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "-")))
-                       .otherwise(F.array().cast("array<string>")))
+        def field(f: str, t: str) -> Column:
+            hit = F.get(F.filter("parts", lambda p: (p["field"] == f) & F.concat(F.lit("-"), c["component_id"]).endswith(F.concat(F.lit("-"), p["cid"]))), 0)
+            return F.when(hit.isNotNull(), _typed(hit["value"], t)).otherwise(c[f]).cast(t).alias(f)
+        return F.struct(*[field(f, t) for f, t in SECTIONS["processing"]])
+    out = {s: fields(s, SECTIONS[s]) for s in SECTIONS if s not in LIST_SECTIONS} | {"assumptions": fields("assumptions", ASSUMPTION_FIELDS)}
+    d = d.withColumns(out | {"_areas": F.when(F.size("stated") > 0, F.map_concat(kept, "stated")).otherwise(F.col("_areas")),
+                             "processing": F.when(F.size("parts") > 0, F.transform("processing", component)).otherwise(F.col("processing"))})
+    return d.drop("ov", "heads", "stated", "parts")
+
 
-        def value(f: str) -> Column:
-            return F.get(F.array_compact(F.transform(ids, lambda x: ov[F.concat(F.lit("processing["), x, F.lit(f"].{f}"))])), 0)
-        settable = dict(_settable(SECTIONS["processing"]))
-        return F.struct(*[(F.coalesce(value(f).try_cast(t), c[f]) if f in settable else c[f]).alias(f) for f, t in SECTIONS["processing"]])
-    has_component = F.exists(F.map_keys(ov), lambda k: k.startswith("processing["))
-    out["processing"] = F.when(F.coalesce(has_component, F.lit(False)), F.transform("processing", component)).otherwise(F.col("processing"))
-    return d.withColumns(out).drop("ov")
+def component_names(component_id: Column) -> Column:
+    """A component id and its parts after each hyphen, longest first."""
+    parts = F.split(component_id, "-")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "-"))
 
 
 def override_errors(requests: DataFrame, overrides: DataFrame) -> DataFrame:
-    """Component overrides whose id no component of the request has."""
-    ask = overrides.withColumn("cid", F.regexp_extract("path", r"^processing\[(.+)\]\.", 1)).where("cid <> ''").select("request_id", "path", "cid").distinct()
-    parts = F.split("component_id", "-")
-    have = requests.select("request_id", F.explode_outer("processing.component_id").alias("component_id")).where("component_id IS NOT NULL")
-    have = have.select("request_id", F.explode(F.concat(F.array("component_id"), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, n, F.size(parts)), "-")))).alias("cid")).distinct()
-    return ask.join(have, ["request_id", "cid"], "left_anti").select("request_id", "path", F.concat(F.lit("No processing component "), "cid", F.lit(".")).alias("error"))
+    """Rows (request_id, path, error) of overrides that can't be applied: unknown field, value of the wrong type, unknown component."""
+    o = _judged(overrides)
+    text = F.when(F.col("fits").isNull(), F.concat(F.lit("There is no field "), "path", F.lit("."))).otherwise(
+        F.concat(F.lit("The value '"), "value", F.lit("' does not fit "), "path", F.lit(".")))
+    wrong = o.where(~F.coalesce("fits", F.lit(False))).select("request_id", "path", text.alias("error"))
+    # outer: a plain explode would copy the whole request expression into a filter on its size
+    have = requests.select("request_id", F.explode_outer("processing.component_id").alias("component_id"))
+    have = have.select("request_id", F.explode_outer(component_names(F.col("component_id"))).alias("cid")).distinct()
+    lost = o.where("cid <> ''").join(have, ["request_id", "cid"], "left_anti").select(
+        "request_id", "path", F.concat(F.lit("No processing component "), "cid", F.lit(".")).alias("error"))
+    return wrong.unionByName(lost).distinct()
 
 
 # ---- a request from flat arguments -------------------------------------------------------------------------------------
