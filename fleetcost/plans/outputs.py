@@ -48,6 +48,11 @@ def totals_table(requests: DataFrame, lines: DataFrame, rate_card: DataFrame, na
         F.lit(DISCLAIMER).alias("disclaimer"))
 
 
+def line_items(lines: DataFrame, scenario: str | None = None) -> DataFrame:
+    """The line items, of one scenario if one is named."""
+    return lines if scenario is None else lines.where(F.col("scenario") == scenario.upper())
+
+
 def rates_used(lines: DataFrame) -> DataFrame:
     """Distinct status, rate, unit and source per request."""
     text = F.concat("rate_status", F.lit(" $"), fmt_number("rate", 6), F.lit("/"), "unit", F.lit(" - "), "rate_source")
@@ -59,21 +64,22 @@ def summary(requests: DataFrame, lines: DataFrame) -> DataFrame:
     order = F.array_position(F.array(*map(F.lit, SCENARIOS)), F.col("scenario"))
     t = tt.totals(lines).withColumn("o", order)
     reference = tt.reference_scenario(F.col("scenarios"))
-    rows = F.array_sort(F.collect_list(F.struct("o", "scenario", "recurring_monthly_usd", "one_time_usd", "pending_one_time_items", "first_year_usd")))
+    rows = F.array_sort(F.collect_list(F.struct("o", "scenario", "recurring_monthly_usd", "one_time_usd", "pending_one_time_items", "first_year_usd", "annual_recurring_usd")))
     g = t.groupBy("request_id").agg(rows.alias("t"))
-    d = (with_defaults(requests).select("request_id", "use_case_id", "use_case_name", reference.alias("ref")).join(g, "request_id")
+    d = (with_defaults(requests).select("request_id", "use_case_id", "use_case_name", "scope_included", "scope_excluded", reference.alias("ref")).join(g, "request_id")
          .join(tt.confidence(lines).select("request_id", "rating", "reason"), "request_id", "left").join(joined_notes(tt.notes(lines)), "request_id", "left"))
     monthly = F.array_join(F.transform("t", lambda x: F.concat(x["scenario"], F.lit(" "), money(x["recurring_monthly_usd"]))), "; ")
     once = F.array_join(F.transform("t", lambda x: F.concat(x["scenario"], F.lit(" "), money(x["one_time_usd"]))), "; ")
-    first = F.get(F.filter("t", lambda x: x["scenario"] == F.col("ref")), 0)["first_year_usd"]
+    chosen = F.get(F.filter("t", lambda x: x["scenario"] == F.col("ref")), 0)
     has_once = F.exists("t", lambda x: (x["one_time_usd"] > 0) | (x["pending_one_time_items"] > 0))
 
-    def block(title: str, c: str) -> Column:
+    def block(title: str, c: str | Column) -> Column:
         return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{title}: "), c))
     parts = F.array_compact(F.array(
         F.concat(F.lit("Use case: "), "use_case_id", F.lit(" | "), "use_case_name"), F.concat(F.lit("Monthly: "), monthly), F.when(has_once, F.concat(F.lit("One-time: "), once)),
-        F.concat(F.lit("First year ("), "ref", F.lit("): "), money(first)), F.concat(F.lit("Confidence: "), F.coalesce("rating", F.lit("LOW")), F.lit(" - "), F.coalesce("reason", F.lit("No recurring cost could be priced."))),
-        block("Pending", "pending"), block("Assumptions", "assumption"), block("Notes", "warning"), F.lit(DISCLAIMER)))
+        F.concat(F.lit("First year ("), "ref", F.lit("): "), money(chosen["first_year_usd"])), F.concat(F.lit("From year 2 on ("), "ref", F.lit("): "), money(chosen["annual_recurring_usd"])), F.concat(F.lit("Confidence: "), F.coalesce("rating", F.lit("LOW")), F.lit(" - "), F.coalesce("reason", F.lit("No recurring cost could be priced."))),
+        block("Pending", "pending"), block("Assumptions", "assumption"), block("Notes", "warning"),
+        block("In scope", F.array_join("scope_included", "; ")), block("Out of scope", F.array_join("scope_excluded", "; ")), F.lit(DISCLAIMER)))
     return d.select("request_id", F.array_join(parts, "\n").alias("summary"))
 
 
