@@ -112,3 +112,23 @@ def test_line_items_are_not_shuffled(spark, sf_dir):
     """Exchanges occur only in the small lookup tables, below a broadcast."""
     plan = REGISTRY["dcp_line_items"].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan and plan.count("FileScan parquet") == 1
+
+
+def test_overrides_reach_every_kind_of_field_and_report_what_they_cannot_set(spark):
+    from fleetcost.plans import requests as rq
+    raw = spark.createDataFrame([(1, '{"use_case_id": "A", "processing": [{"component_id": "A-C01", "quantity": 1}], "storage": {"retained_tb": 5}}')], "request_id long, request_json string")
+    ov = spark.createDataFrame([(1, "storage.retained_tb", None), (1, "sql.concurrent_users", "7"), (1, "assumptions.batch_dbu_per_hour", "2.5"), (1, "_areas.transfer", "EXCLUDED"),
+                                (1, "processing[C01].dbu_per_hour", '{"HIGH": 3}'), (1, "processing[C01].quantity", "many"), (1, "processing[C9].quantity", "2"), (1, "moon", "1"),
+                                (1, "scenarios", "LOW, HIGH")], "request_id long, path string, value string")
+    base = rq.parse(raw)
+    r = rq.apply_overrides(base, ov).first()
+    assert (r["storage"]["retained_tb"], r["sql"]["concurrent_users"], r["assumptions"]["batch_dbu_per_hour"], r["_areas"]) == (None, 7, 2.5, {"transfer": "EXCLUDED"})
+    assert (r["processing"][0]["dbu_per_hour"], r["processing"][0]["quantity"], r["scenarios"]) == ({"HIGH": 3.0}, 1, ["LOW", "HIGH"])
+    assert {e["path"] for e in rq.override_errors(base, ov).collect()} == {"processing[C01].quantity", "processing[C9].quantity", "moon"}
+
+
+def test_intervals_that_never_end_stay_short(spark):
+    left = spark.sql("SELECT 'a' AS k, 1 AS l_id, TIMESTAMP_NTZ '2024-01-01 00:30:00' AS l_s, TIMESTAMP_NTZ '9999-01-01 00:00:00' AS l_e")
+    right = spark.sql("SELECT 'a' AS k, 2 AS r_id, TIMESTAMP_NTZ '2024-01-02 00:00:00' AS r_s, TIMESTAMP_NTZ '2024-01-02 01:30:00' AS r_e")
+    got = jn.interval_overlap(left, right, "k", ("l_s", "l_e"), ("r_s", "r_e"), "2024-01-03 00:00:00").select("l_id", "r_id", "overlap_hours").collect()
+    assert [tuple(x) for x in got] == [(1, 2, 1.5)]
