@@ -62,9 +62,12 @@ _WH_VM = (f"CASE WHEN lower(warehouse_type) = 'serverless' THEN 0.0 ELSE {px.vm(
           f"+ {px.vm('fleet_wh.cloud', 'fleet_wh.region', 'wi')} * coalesce(wc, 0) * coalesce(num_clusters, 1) END")
 
 
-@query("est_warehouse", cost_sql("fleet_wh", "workload_id", "'DBSQL_' || upper(warehouse_type)",
-                                 px.price("fleet_wh.cloud", "fleet_wh.region", "fleet_wh.tier", px.product("'DBSQL'", "false", "false", _NONE, "warehouse_type")),
-                                 WAREHOUSE.replace("fleet.", "fleet_wh."), px.hours("'DBSQL'", given="hours_per_month"), _WH_VM))
+WAREHOUSE_COST = cost_sql("fleet_wh", "workload_id", "'DBSQL_' || upper(warehouse_type)",
+                          px.price("fleet_wh.cloud", "fleet_wh.region", "fleet_wh.tier", px.product("'DBSQL'", "false", "false", _NONE, "warehouse_type")),
+                          WAREHOUSE.replace("fleet.", "fleet_wh."), px.hours("'DBSQL'", given="hours_per_month"), _WH_VM)
+
+
+@query("est_warehouse", WAREHOUSE_COST)
 def warehouse(i):
     return _out(pr.warehouse(i("fleet"), i.ref))
 

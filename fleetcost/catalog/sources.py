@@ -1,9 +1,12 @@
 """Sources, sinks and merges (SRC, SNK)."""
+from fleetcost.catalog.pricing import WAREHOUSE_COST
 from fleetcost.catalog.registry import F, query, rounded
 from fleetcost.operators import merges as mg
 from fleetcost.oracle.base import CTES, rn, rounded as r
-from fleetcost.refdata import frame_of, values_sql
-from fleetcost.sources import inputs, readers, sinks
+from fleetcost.plans import pricing as pr
+from fleetcost.plans.pricecard import price_card, with_pricing_struct
+from fleetcost.refdata import RefData, frame_of, values_sql
+from fleetcost.sources import inputs, rates, readers, sinks
 
 _UNIVERSE = "cloud string, region string, tier string, sku_name string, product_type string, price_per_dbu double"
 
@@ -15,6 +18,23 @@ def rate_csv(i):
     return rounded(readers.read_rate_csv(i.spark, f"{path}/part-*.csv", _UNIVERSE), "price_per_dbu")
 
 
+@query("src_rate_folder", WAREHOUSE_COST)
+def rate_folder(i):
+    """The fleet's warehouses priced from rate files: every table is written as the CSV it is delivered as (one of them in two parts), and
+    all are loaded, the swapped columns of the warehouse table included."""
+    folder, fixtures = sinks.shared_folder(i.spark), RefData.fixtures(i.spark)
+    for name, file in rates.RATE_FILES.items():
+        for part in range(2 if "*" in file else 1):
+            rows = getattr(fixtures, name)
+            rows = rows.where(F.pmod(F.hash("instance_type"), F.lit(2)) == part) if "*" in file else rows
+            rows.withColumn("delivered", F.lit("extra")).write.option("header", True).csv(f"{folder}/{file.replace('*', str(part + 1))}")
+    ref = RefData.of(i.spark, rates.read_rate_tables(i.spark, folder))
+    ref.prices = with_pricing_struct(ref.prices)
+    ref.price_card = price_card(ref.dbu_rates, ref.sku_region_map, ref.prices, inputs.AS_OF)
+    d = pr.warehouse(i("fleet"), ref)
+    return rounded(d.select("workload_id", *pr.COST_COLUMNS), "dbu_per_hour hours_per_month dbu_per_month dbu_price")
+
+
 @query("src_request_json", """SELECT policy_id, cloud, policy_name, CAST(json_extract(definition, '$.num_workers.maxValue') AS INTEGER) AS max_workers FROM policy_documents""")
 def request_json(i):
     path = sinks.shared_folder(i.spark)

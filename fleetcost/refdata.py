@@ -256,6 +256,11 @@ class RefData:
     def fixtures(cls, spark: SparkSession) -> "RefData":
         return cls(**{f.name: frame(spark, f.name) for f in fields(cls) if f.name in TABLES})
 
+    @classmethod
+    def of(cls, spark: SparkSession, tables: dict[str, DataFrame]) -> "RefData":
+        """The given tables (loaded rate files, for instance), and the fixtures for all others."""
+        return cls(**{f.name: tables[f.name] if f.name in tables else frame(spark, f.name) for f in fields(cls) if f.name in TABLES or f.name in tables})
+
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A reduced reference table, cached: it is read by many plans and is recomputed if its executor is lost."""
         if name not in self.kept:

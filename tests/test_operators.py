@@ -13,7 +13,7 @@ from fleetcost.operators import joins as jn
 from fleetcost.plans import pricecard as pc
 from fleetcost.plans import validate as vd
 from fleetcost.refdata import RefData
-from fleetcost.sources import readers
+from fleetcost.sources import rates, readers
 
 T0 = datetime(2024, 1, 1)
 
@@ -132,3 +132,16 @@ def test_intervals_that_never_end_stay_short(spark):
     right = spark.sql("SELECT 'a' AS k, 2 AS r_id, TIMESTAMP_NTZ '2024-01-02 00:00:00' AS r_s, TIMESTAMP_NTZ '2024-01-02 01:30:00' AS r_e")
     got = jn.interval_overlap(left, right, "k", ("l_s", "l_e"), ("r_s", "r_e"), "2024-01-03 00:00:00").select("l_id", "r_id", "overlap_hours").collect()
     assert [tuple(x) for x in got] == [(1, 2, 1.5)]
+
+
+def test_rate_files_are_read_by_header_and_lost_columns_are_named(spark, tmp_path):
+    (tmp_path / "dbu-multipliers.csv").write_text("category,multiplier,feature,sku_type,cloud\nx,2.5,photon,JOBS_COMPUTE,AWS\nx,many,photon,JOBS_COMPUTE,GCP\n")
+    (tmp_path / "sku-region-map.csv").write_text("cloud,sku_region\nAWS,US_EAST_A\n")
+    (tmp_path / "vm-costs_part1.csv").write_text("cloud,region,instance_type,pricing_tier,payment_option,cost_per_hour\nAWS,r,a,on_demand,NA,1\n")
+    (tmp_path / "vm-costs_part2.csv").write_text("cloud,region,instance_type,pricing_tier,payment_option,cost_per_hour\nAWS,r,b,on_demand,NA,2\n")
+    got = rates.read_rate_tables(spark, str(tmp_path), {n: rates.RATE_FILES[n] for n in ("multipliers", "vm_costs")})
+    assert sorted(map(tuple, got["multipliers"].collect()), key=str) == [("AWS", "JOBS_COMPUTE", "photon", 2.5), ("GCP", "JOBS_COMPUTE", "photon", None)]
+    assert {(r["instance_type"], r["cost_per_hour"]) for r in got["vm_costs"].collect()} == {("a", 1.0), ("b", 2.0)}
+    with pytest.raises(ValueError, match="region_code"):
+        rates.read_rate_tables(spark, str(tmp_path), {"sku_region_map": "sku-region-map.csv"})
+    assert RefData.of(spark, got).vm_costs is got["vm_costs"]
