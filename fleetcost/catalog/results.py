@@ -2,6 +2,7 @@
 from fleetcost.catalog import calibration as _c  # noqa: F401
 from fleetcost.catalog.registry import F, query, rounded
 from fleetcost.catalog.requests import _LINE, lines, requests, shown
+from fleetcost.catalog.validation import modes
 from fleetcost.oracle.base import CTES, fmt, r2, rn
 from fleetcost.plans import outputs as out, totals as tt
 from fleetcost.sources import sinks
@@ -23,9 +24,13 @@ for _kind in ("PENDING", "WARNING", "ASSUMPTION"):
  pend_m + pend_o AS pending_items, coalesce(p.t, '') AS pending_detail, t.status, a.area_states, coalesce(c.rating, 'LOW') AS confidence, coalesce(c.reason, 'No recurring cost could be priced.') AS confidence_reason, 'OK' AS request_status, '' AS errors,
  '1.0' AS calculator_version, (SELECT string_agg(DISTINCT source, ', ' ORDER BY source) FROM ref_rate_card WHERE provider = 'PLATFORM' AND unit = 'DBU' AND rate IS NOT NULL) AS rate_card_source,
  'Internal planning estimate, not an invoice or a committed run rate.' AS disclaimer
- FROM est_totals t JOIN request_wide w USING (request_id) JOIN area_text a USING (request_id) LEFT JOIN est_conf c USING (request_id) LEFT JOIN pending_text p USING (request_id)""")
+ FROM est_totals t JOIN request_wide w USING (request_id) JOIN area_text a USING (request_id) LEFT JOIN est_conf c USING (request_id) LEFT JOIN pending_text p USING (request_id)
+ UNION ALL SELECT v.request_id, coalesce(CASE WHEN is_object THEN json_extract_string(j, '$.use_case_id') END, 'ADHOC'), NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, v.status, v.errors, '1.0', NULL,
+  'Internal planning estimate, not an invoice or a committed run rate.' FROM doc_mode v JOIN doc USING (request_id) WHERE v.status <> 'READY'""")
 def out_totals(i):
-    return out.totals_table(requests(i), saved_lines(i), i.ref.rate_card, F.lit(False))
+    """Priced requests, and the raw documents that are not priced with their errors."""
+    priced = out.totals_table(requests(i), saved_lines(i), i.ref.rate_card, F.lit(False))
+    return priced.unionByName(out.refused_totals(priced, i("raw_requests"), modes(i)))
 
 
 @query("out_line_items", f"SELECT {_LINE} FROM est_lines")
@@ -65,9 +70,11 @@ def summary(i):
  UNION ALL SELECT request_id, 'SCOPE_EXCLUDED', NULL, NULL, 'Staging' FROM request_wide UNION ALL SELECT request_id, 'DISCLAIMER', NULL, NULL, 'Internal planning estimate, not an invoice or a committed run rate.' FROM request_wide
  UNION ALL SELECT request_id, 'AREA', area, state, NULL FROM areas UNION ALL SELECT request_id, kind, CASE WHEN kind = 'PENDING' THEN substr(text, 1, instr(text, ': ') - 1) END, NULL, CASE WHEN kind = 'PENDING' THEN substr(text, instr(text, ': ') + 2) ELSE text END FROM est_notes
  UNION ALL SELECT request_id, 'COMPUTE_DECISION', component_id, selected, 'alternative ' || coalesce(alternative, '-') || '; confidence ' || confidence || '; status ' || status || '; streaming ' || streaming_decision || '; eligible ' || replace(eligible, ',', ', ') FROM decided
- UNION ALL SELECT request_id, 'CONFIDENCE', NULL, rating, reason FROM est_conf UNION ALL SELECT request_id, 'RATE', NULL, NULL, rate_used FROM rates_used UNION ALL SELECT request_id, 'SUMMARY', NULL, NULL, summary FROM summaries""")
+ UNION ALL SELECT request_id, 'CONFIDENCE', NULL, rating, reason FROM est_conf UNION ALL SELECT request_id, 'RATE', NULL, NULL, rate_used FROM rates_used UNION ALL SELECT request_id, 'SUMMARY', NULL, NULL, summary FROM summaries
+ UNION ALL SELECT request_id, 'ERROR', NULL, NULL, unnest(string_split(errors, '; ')) FROM doc_mode WHERE status <> 'READY'
+ UNION ALL SELECT request_id, 'DISCLAIMER', NULL, NULL, 'Internal planning estimate, not an invoice or a committed run rate.' FROM doc_mode WHERE status <> 'READY'""")
 def details(i):
-    return out.details(requests(i), saved_lines(i), F.lit(False))
+    return out.details(requests(i), saved_lines(i), F.lit(False)).unionByName(out.refused_details(modes(i)))
 
 
 @query("out_parse_result", f"SELECT request_id, 'OK' AS request_status, scenario, {r2('monthly')} AS recurring_monthly_usd, {r2('one_time')} AS one_time_usd, status FROM est_totals")

@@ -186,6 +186,30 @@ def verdict(i):
     return _verdicts(i).select(F.lit("document").alias("kind"), F.col("request_id").alias("id"), "status", F.col("issues").cast("long").alias("issues"), "questions").unionByName(named)
 
 
+_NAMED = "CASE request_id % 3 WHEN 0 THEN true WHEN 1 THEN false END"
+_BUILT = ", ".join(f"('{s}', '{f}')" for s, fs in vd.REQUIRED.items() if s not in vd.BUILT_WITHOUT for f in fs)
+CTES["i_refused"] = f"""SELECT {_COLS} FROM i_json UNION ALL SELECT {_COLS} FROM i_unknown UNION ALL SELECT {_COLS} FROM i_duplicate UNION ALL SELECT {_COLS} FROM i_assumption
+ UNION ALL SELECT {_COLS} FROM i_type t WHERE field <> '_areas' AND NOT (try_cast(received AS DOUBLE) IS NOT NULL AND EXISTS (SELECT 1 FROM field_dic d WHERE d.section = t.section AND d.field = t.field AND d.kind = 'whole'))
+ UNION ALL SELECT request_id, section, cid, field, 'INVALID_VALUE', true, value FROM doc_fields WHERE kind IN ('number', 'whole') AND val < 0
+ UNION ALL SELECT {_COLS} FROM i_enum WHERE field IN ('workload_type', 'dbu_per_hour_evidence', 'scenarios') UNION ALL SELECT {_COLS} FROM i_missing WHERE (section, field) IN ({_BUILT})"""
+_ERROR = "issue || ' ' || field || coalesce(' (' || component_id || ')', '') || coalesce(', received ' || received, '')"
+CTES["doc_mode"] = f"""SELECT request_id, named, CASE WHEN errors = '' THEN 'READY' WHEN named IS NULL THEN 'REJECTED' ELSE 'NEEDS_INPUT' END AS status, issues, errors FROM (
+ SELECT r.request_id, r.named, coalesce(i.issues, 0) AS issues, coalesce(i.errors, '') AS errors FROM (SELECT request_id, {_NAMED} AS named FROM raw_requests) r
+ LEFT JOIN (SELECT request_id, adhoc, count(*) AS issues, string_agg(DISTINCT CASE WHEN blocking THEN {_ERROR} END, '; ' ORDER BY CASE WHEN blocking THEN {_ERROR} END) AS errors
+  FROM (SELECT true AS adhoc, {_COLS} FROM i_all UNION ALL SELECT false, {_COLS} FROM i_refused) GROUP BY 1, 2) i ON i.request_id = r.request_id AND i.adhoc = (r.named IS NOT DISTINCT FROM false))"""
+
+
+def modes(i):
+    """The documents as loaded use cases, as new ones and without a check, a third each."""
+    raw = i("raw_requests")
+    return vd.judged(raw, vd.check(raw, i.ref.model_conversions), F.expr(_NAMED))
+
+
+@query("chk_modes", "SELECT request_id, named, status, issues, errors FROM doc_mode")
+def check_modes(i):
+    return modes(i).drop("texts")
+
+
 @query("chk_gate", f"""SELECT v.request_id, CASE WHEN v.status = 'READY' THEN 'OK' ELSE v.status END AS status, s.scenario, CASE WHEN v.status = 'READY' THEN {rn("CASE v.request_id % 16 WHEN 2 THEN 30 * s.h * 0.31 ELSE CASE WHEN s.scenario = 'EXPECTED' THEN 10 * 2 * 0.31 ELSE 0 END END", 4)} END AS recurring_monthly_usd, v.questions
  FROM doc_verdict v LEFT JOIN (VALUES ('LOW', 1), ('EXPECTED', 2), ('HIGH', 3)) s(scenario, h) ON v.status = 'READY'""")
 def gate(i):

@@ -48,6 +48,25 @@ def totals_table(requests: DataFrame, lines: DataFrame, rate_card: DataFrame, na
         F.lit(DISCLAIMER).alias("disclaimer"))
 
 
+def refused_totals(totals: DataFrame, raw: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """Rows of the totals table for requests that are not priced (NEEDS_INPUT or REJECTED): no scenario and no figures, but the status and
+    the errors. `verdicts` has request_id, status and errors; the columns are those of `totals`."""
+    own = {"request_id": F.col("request_id"), "use_case_id": F.coalesce(F.get_json_object("request_json", "$.use_case_id"), F.lit("ADHOC")),
+           "request_status": F.col("status"), "errors": F.col("errors"), "calculator_version": F.lit(VERSION), "disclaimer": F.lit(DISCLAIMER)}
+    d = raw.select("request_id", "request_json").join(verdicts.where("status <> 'READY'"), "request_id")
+    return d.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in totals.schema])
+
+
+def refused_details(verdicts: DataFrame) -> DataFrame:
+    """Sections ERROR and DISCLAIMER of requests that are not priced: a row per error."""
+    none = F.lit(None).cast("string")
+
+    def row(section: str, detail: Column) -> Column:
+        return F.struct(F.lit(section).alias("section"), none.alias("component_id"), none.alias("item"), detail.alias("detail"))
+    rows = F.concat(F.transform("texts", lambda e: row("ERROR", e)), F.array(row("DISCLAIMER", F.lit(DISCLAIMER))))
+    return verdicts.where("status <> 'READY'").select("request_id", F.explode(rows).alias("x")).select("request_id", "x.*")
+
+
 def line_items(lines: DataFrame, scenario: str | None = None) -> DataFrame:
     """The line items, of one scenario if one is named."""
     return lines if scenario is None else lines.where(F.col("scenario") == scenario.upper())

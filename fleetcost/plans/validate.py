@@ -314,6 +314,46 @@ def verdicts(raw: DataFrame, issues: DataFrame) -> DataFrame:
     return d.select("request_id", F.when(F.coalesce("blocked", F.lit(False)), "NEEDS_INPUT").otherwise("READY").alias("status"), F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("questions", F.lit("")).alias("questions"))
 
 
+# Checked fields whose content the calculator takes as it is, and sections it builds without asking for a field.
+TAKEN_AS_GIVEN = ("streaming_mode", "latency_requirement", "serving_mode", "model")
+BUILT_WITHOUT = ("storage", "transfer")
+
+
+def refused() -> Column:
+    """True for issues that the calculator itself refuses: no JSON, wrong types and names, negative numbers, unknown workload types and
+    scenarios, duplicates, bad assumptions and missing constructor fields. The other rules ask for what only the input check wants."""
+    field, issue = F.col("field"), F.col("issue")
+    area = field.startswith("_areas")
+    fraction = (F.col("expected") == EXPECTED["whole"]) & F.col("received").try_cast("double").isNotNull()
+    built = F.lit(False)
+    for s, fs in REQUIRED.items():
+        if s not in BUILT_WITHOUT:
+            built = built | ((F.col("section") == s) & field.isin(*fs))
+    return (F.when(issue == "NOT_JSON", True).when(issue == "UNKNOWN_FIELD", ~area).when(issue == "WRONG_TYPE", ~area & ~F.coalesce(fraction, F.lit(False)))
+            .when(issue == "INVALID_VALUE", ~area & ~field.isin(*TAKEN_AS_GIVEN) & (F.col("expected") != "1 or more")).when(issue == "MISSING", built).otherwise(False))
+
+
+def judged(raw: DataFrame, issues: DataFrame, named: Column) -> DataFrame:
+    """Rows (request_id, named, status, issues, texts, errors), one per request, in one aggregation of its issues; errors are the texts joined.
+
+    `named` false: a new document, every blocking issue counts and leads to NEEDS_INPUT. True: a loaded use case, whose completeness was
+    settled when it was loaded, so only what the calculator refuses counts. Null: no check was asked for; what the calculator refuses is
+    REJECTED. Without such an issue the request is READY.
+    """
+    text = F.concat("issue", F.lit(" "), "field", F.coalesce(F.concat(F.lit(" ("), "component_id", F.lit(")")), F.lit("")),
+                    F.coalesce(F.concat(F.lit(", received "), "received"), F.lit("")))
+
+    def found(p: str, counts: Column, stops: Column) -> list[Column]:
+        return [F.count_if(counts).alias(f"{p}_n"), F.array_sort(F.collect_set(F.when(stops, text))).alias(f"{p}_text")]
+    g = issues.withColumn("refused", refused()).groupBy("request_id").agg(*found("all", F.lit(True), F.col("blocking")), *found("own", F.col("refused"), F.col("refused")))
+    d = raw.select("request_id", named.alias("named")).join(g, "request_id", "left")
+    adhoc = F.col("named").eqNullSafe(F.lit(False))
+    texts = F.coalesce(F.when(adhoc, F.col("all_text")).otherwise(F.col("own_text")), F.array().cast("array<string>"))
+    status = F.when(F.size(texts) == 0, "READY").when(F.col("named").isNull(), "REJECTED").otherwise("NEEDS_INPUT")
+    return d.select("request_id", "named", status.alias("status"), F.coalesce(F.when(adhoc, F.col("all_n")).otherwise(F.col("own_n")), F.lit(0)).alias("issues"),
+                    texts.alias("texts"), F.array_join(texts, "; ").alias("errors"))
+
+
 def unknown_use_cases(questions: DataFrame, resolved: DataFrame) -> DataFrame:
     """Questions by name that no single loaded use case answers."""
     return questions.join(resolved.select("question_id"), "question_id", "left_anti").select("question_id", F.lit("UNKNOWN_USE_CASE").alias("status"))

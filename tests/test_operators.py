@@ -10,6 +10,7 @@ from fleetcost.catalog import REGISTRY
 from fleetcost.functions import fmt_number, round_half_up
 from fleetcost.operators import aggregates as agg
 from fleetcost.operators import joins as jn
+from fleetcost.plans import outputs as out
 from fleetcost.plans import pricecard as pc
 from fleetcost.plans import validate as vd
 from fleetcost.refdata import RefData
@@ -145,3 +146,19 @@ def test_rate_files_are_read_by_header_and_lost_columns_are_named(spark, tmp_pat
     with pytest.raises(ValueError, match="region_code"):
         rates.read_rate_tables(spark, str(tmp_path), {"sku_region_map": "sku-region-map.csv"})
     assert RefData.of(spark, got).vm_costs is got["vm_costs"]
+
+
+def test_what_is_refused_follows_from_who_asks(spark):
+    job = '"component_id": "C1", "name": "Load", "workload_type": "SCHEDULED_BATCH"'
+    docs = {1: '{"use_case_id": "U", "use_case_name": "N", "processing": [{%s, "runtime_hours_expected": 1}]}' % job,                  # incomplete
+            2: '{"use_case_id": "U", "use_case_name": "N", "processing": [{%s, "runs_per_month": -1}]}' % job,                          # refused by the calculator
+            3: "no json; at all"}
+    rows = [(k * 10 + n, text, named) for k, text in docs.items() for n, named in enumerate((False, True, None))]
+    raw = spark.createDataFrame(rows, "request_id long, request_json string, named boolean")
+    got = vd.judged(raw, vd.check(raw, RefData.fixtures(spark).model_conversions), F.when(F.col("request_id") % 10 == 0, False).when(F.col("request_id") % 10 == 1, True))
+    got = got.cache()
+    status = {r["request_id"]: r["status"] for r in got.collect()}
+    assert status == {10: "NEEDS_INPUT", 11: "READY", 12: "READY", 20: "NEEDS_INPUT", 21: "NEEDS_INPUT", 22: "REJECTED", 30: "NEEDS_INPUT", 31: "NEEDS_INPUT", 32: "REJECTED"}
+    errors = {(r["request_id"], r["detail"]) for r in out.refused_details(got).where("section = 'ERROR'").collect()}
+    assert (22, "INVALID_VALUE runs_per_month (C1), received -1") in errors and (32, "NOT_JSON request") in errors
+    assert {r[0] for r in errors} == {10, 20, 21, 22, 30, 31, 32}
