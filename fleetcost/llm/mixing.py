@@ -36,11 +36,13 @@ def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: in
     """How many documents of each length to take, so that their lengths sum to `budget` or as little below it as is found.
 
     An even share of each length comes first, then the longest lengths until the rest fits a table of `dp_budget` sums; the rest is a
-    bounded knapsack: counts are split into powers of two and each sum keeps the item that first reached it.
+    bounded knapsack: counts are split into powers of two and each sum keeps the item that first reached it. Documents of length zero
+    add nothing to a sum and are not taken.
     """
+    counts = np.where(sizes > 0, counts, 0)
     total = int((sizes * counts).sum())
     if budget >= total:
-        return counts.copy()
+        return counts
     take = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
     rest = int(budget - (take * sizes).sum())
     for i in np.argsort(-sizes, kind="stable"):

@@ -156,6 +156,13 @@ def test_mixing_cuts_inside_one_length(spark, monkeypatch):
     assert (abs(per["taken"] - per["target"]) < 3).all()
 
 
+def test_mixing_takes_no_documents_without_words_beyond_whole_copies(spark):
+    docs = frame(spark, [(i, "" if i % 2 else "a b c", "en", "s" if i % 4 < 2 else "t") for i in range(80)] + [(100 + i, " ", "en", "u") for i in range(9)])
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 89 and all(r.copies == min((x.copies for x in rows if x.source == r.source)) for r in rows if r.size == 0)
+    assert all(r.copies == 0 for r in rows if r.source == "u")
+
+
 @pytest.mark.parametrize("budget", [0, 1, 777, 5000])
 def test_subset_sum_is_exact_where_it_can_be(budget):
     sizes, counts = np.arange(1, 60), np.full(59, 9)
