@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -25,12 +26,17 @@ def shared_root(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: its lineage ends there, so a lost executor costs no recomputation.
 
-    The table is removed when the application ends.
+    The table is removed when the application ends. The shuffle files of the write are removed when it is done, as nothing reads them
+    again; else they would stay until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.option("compression", "zstd").parquet(path)
+    schema, before = df.schema, spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
