@@ -32,49 +32,71 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame
     return t.select("source", "source_size", F.least(CAP * F.col("source_size"), F.coalesce(common, F.lit(0.0)) * F.col("weight")).cast("double").alias("target"))
 
 
+def _table(sizes: np.ndarray, free: np.ndarray, budget: int, width: int) -> np.ndarray:
+    """How many of the free documents of each length to take, from a table of about `width` sums that covers 0 to `budget`.
+
+    Counts are split into powers of two, and each cell keeps the first sum that falls into it, with its item and the cell before. Up to
+    `width` a cell is one sum, so the result is exact; above, a cell is a range of sums. The largest sum seen at all is the result.
+    """
+    unit = budget // (width + 1) + 1
+    items = []
+    for i in np.argsort(-sizes, kind="stable"):
+        left, n = min(int(free[i]), budget // int(sizes[i])) if sizes[i] else 0, 1
+        while left > 0:
+            items.append((i, min(n, left)))
+            left, n = left - n, 2 * n
+    cells = budget // unit + 1
+    total, by, back = np.full(cells, -1, np.int64), np.full(cells, -1, np.int64), np.full(cells, -1, np.int64)
+    total[0], best, end = 0, 0, (-1, 0)
+    for k, (i, n) in enumerate(items):
+        w = int(sizes[i]) * n
+        source = np.flatnonzero(total[:(budget - w) // unit + 1] >= 0) if w <= budget else np.array([], int)
+        reached = total[source] + w
+        source, reached = source[reached <= budget], reached[reached <= budget]
+        if not len(source):
+            continue
+        if reached[-1] > best:
+            best, end = int(reached[-1]), (k, int(source[-1]))
+        cell = reached // unit
+        fresh = total[cell] < 0
+        cell, first = np.unique(cell[fresh], return_index=True)
+        total[cell], by[cell], back[cell] = reached[fresh][first], k, source[fresh][first]
+        if best == budget:
+            break
+    take = np.zeros_like(free)
+    k, at = end
+    while k >= 0:
+        i, n = items[k]
+        take[i] += n
+        k, at = int(by[at]), int(back[at])
+    return take
+
+
 def subset_sum(sizes: np.ndarray, counts: np.ndarray, budget: int, dp_budget: int = DP_BUDGET) -> np.ndarray:
     """How many documents of each length to take, so that their lengths sum to `budget` or as little below it as is found.
 
     An even share of each length comes first, then the longest lengths until the rest fits a table of `dp_budget` sums; the rest is a
-    bounded knapsack: counts are split into powers of two and each sum keeps the item that first reached it. Documents of length zero
-    add nothing to a sum and are not taken.
+    bounded knapsack. Documents longer than the table are in it too: it covers the whole rest then, in ranges of sums. Where that leaves
+    words over, the knapsack over all that the even share leaves is tried, and the larger sum counts. Documents of length zero add
+    nothing to a sum and are not taken.
     """
     counts = np.where(sizes > 0, counts, 0)
     total = int((sizes * counts).sum())
     if budget >= total:
         return counts
-    take = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
-    rest = int(budget - (take * sizes).sum())
+    even = (counts * (budget / total)).astype(np.int64) if total else np.zeros_like(counts)
+    rest = whole = int(budget - (even * sizes).sum())
+    take = even.copy()
     for i in np.argsort(-sizes, kind="stable"):
         if rest <= dp_budget:
             break
         more = min(int(counts[i] - take[i]), max(0, rest - dp_budget // 2) // int(sizes[i])) if sizes[i] else 0
         take[i] += more
         rest -= more * int(sizes[i])
-    rest_dp = min(rest, dp_budget)
-    items = []
-    for i in np.argsort(-sizes, kind="stable"):
-        free = min(int(counts[i] - take[i]), rest_dp // int(sizes[i])) if sizes[i] else 0
-        n = 1
-        while free > 0:
-            items.append((i, min(n, free)))
-            free, n = free - n, 2 * n
-    reached, by = np.zeros(rest_dp + 1, bool), np.full(rest_dp + 1, -1, np.int64)
-    reached[0] = True
-    for k, (i, n) in enumerate(items):
-        w = int(sizes[i]) * n
-        if w > rest_dp:
-            continue
-        fresh = reached[:-w] & ~reached[w:]
-        by[w:][fresh] = k
-        reached[w:] |= fresh
-        if reached[rest_dp]:
-            break
-    at = int(np.flatnonzero(reached).max())
-    while at:
-        i, n = items[by[at]]
-        take[i] += n
-        at -= int(sizes[i]) * n
+    take = take + _table(sizes, counts - take, rest, dp_budget)
+    if whole > dp_budget and (take * sizes).sum() < budget:
+        other = even + _table(sizes, counts - even, whole, dp_budget)
+        take = max(take, other, key=lambda t: int((t * sizes).sum()))
     return take
 
 

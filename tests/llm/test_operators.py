@@ -328,3 +328,26 @@ def test_clean_documents_are_kept(spark):
     good = quality.quality(spark.read.parquet(f"{d}/documents.parquet")).join(spark.read.parquet(f"{d}/labels.parquet").where("quality = 1"), "doc_id").toPandas()
     passed = good[~good["base_failed"]]
     assert isinstance(good, pd.DataFrame) and passed["kept"].mean() > 0.99
+
+
+@pytest.mark.parametrize("sizes, budget, best", [([70_000, 80_000, 90_000], 100_000, 90_000), ([90_000, 95_000], 95_000, 95_000), ([80_000, 90_000, 100_000], 170_000, 170_000),
+                                                 ([66_000, 200_000, 300_000], 65_999, 0), ([3, 70_000, 80_000], 150_003, 150_003)])
+def test_subset_sum_takes_documents_longer_than_its_table(sizes, budget, best):
+    sizes = np.array(sizes)
+    take = mixing.subset_sum(sizes, np.ones(len(sizes), np.int64), budget)
+    assert (take <= 1).all() and (take * sizes).sum() == best
+
+
+def test_subset_sum_of_long_documents_is_near_brute_force():
+    for _ in range(40):
+        sizes = np.array(sorted(R.sample(range(66_000, 400_000), 9)))
+        budget = R.randint(60_000, int(sizes.sum()) - 1)
+        best = max(s for s in (sum(c) for n in range(10) for c in combinations(sizes.tolist(), n)) if s <= budget)
+        take = mixing.subset_sum(sizes, np.ones(9, np.int64), budget)
+        assert (take <= 1).all() and 0.998 * best <= (take * sizes).sum() <= best
+
+
+def test_mixing_takes_long_documents(spark):
+    docs = frame(spark, [(i, "a " * n, "en", s) for i, (n, s) in enumerate([(70_000, "a"), (80_000, "a"), (90_000, "a"), (60_000, "b"), (300_000, "c")])])
+    per = mixing.mix(docs).toPandas().groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
+    assert per.loc["a", "taken"] == 90_000 and (per["taken"] <= per["target"] + 1).all()
