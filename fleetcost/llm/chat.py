@@ -47,15 +47,15 @@ def fold(events: DataFrame) -> DataFrame:
 def render(messages: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, n_turns, formatted, loss: one text per conversation, and a span for each turn whose text is under the loss mask.
 
-    Turns follow (opened, msg_id). A span has the turn's number, its start in code points in `formatted`, its start within the turn, and
+    Turns follow (opened, msg_id), a null opened last. A span has the turn's number, its start in code points in `formatted`, its start within the turn, and
     its length. A conversation without turns gives no row. The result holds one text per conversation, so a conversation has to fit a row.
     """
     role, text = escape_role(F.col("role")), escape(F.col("text"))
     head = F.concat(F.lit(START), role, F.lit("\n"))
     t = messages.select("conv_id", "opened", "msg_id", (F.col("role") == loss_role).alias("learn"), F.length(head).alias("within"), F.length(text).alias("len"),
                         F.concat(head, text, F.lit(END + "\n")).alias("piece"))
-    before = "coalesce(sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY opened, msg_id, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
-    turn = "row_number() OVER (PARTITION BY conv_id ORDER BY opened, msg_id, piece) - 1"
+    before = "coalesce(sum(length(piece)) OVER (PARTITION BY conv_id ORDER BY opened NULLS LAST, msg_id, piece ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)"
+    turn = "row_number() OVER (PARTITION BY conv_id ORDER BY opened NULLS LAST, msg_id, piece) - 1"
     t = t.select("*", F.expr(before).alias("before"), F.expr(turn).alias("turn"))
     c = t.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "before", "within", "len", "learn", "piece"))).alias("t"))
     span = F.transform(F.filter("t", lambda x: x.learn), lambda x: F.struct(
@@ -75,8 +75,15 @@ def read_back(rendered: DataFrame) -> DataFrame:
 
 
 def events_of(conversations: DataFrame) -> DataFrame:
-    """An event log that says the same as a table of finished turns: each turn is one delta that opens its message."""
-    return conversations.select("conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), F.col("turn").alias("msg_id"), "role", "text")
+    """An event log that says the same as a table of finished turns: each row is one delta that opens its own message.
+
+    Rows of one conversation and turn number stay apart, equal rows too, and stand in order of role and text (null as empty); rows without
+    a turn number come last, in the same order. Equal rows are counted before they are numbered, so many of them are not one task's rows.
+    """
+    role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
+    rows = conversations.select("conv_id", "turn", role, text).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
+    rows = rows.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), F.struct("role", "text", "turn", "no").alias("msg_id"), "role", "text")
 
 
 def run(spark, sf_dir: str) -> DataFrame:

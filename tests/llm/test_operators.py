@@ -351,3 +351,13 @@ def test_mixing_takes_long_documents(spark):
     docs = frame(spark, [(i, "a " * n, "en", s) for i, (n, s) in enumerate([(70_000, "a"), (80_000, "a"), (90_000, "a"), (60_000, "b"), (300_000, "c")])])
     per = mixing.mix(docs).toPandas().groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert per.loc["a", "taken"] == 90_000 and (per["taken"] <= per["target"] + 1).all()
+
+
+def test_chat_keeps_rows_of_repeated_and_null_turns(spark):
+    rows = [(1, 0, "user", "b"), (1, 0, "assistant", "c"), (1, 0, "assistant", "a"), (1, 1, "user", "x"), (1, 1, "user", "x"), (1, None, "assistant", "z"), (1, None, "assistant", None),
+            (1, 2, None, "n"), (2, None, "user", "q"), (2, None, "user", "q"), (2, 7, "assistant", "last but not least")]
+    said = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    back = {r.conv_id: r for r in chat.read_back(chat.render(chat.fold(chat.events_of(said)))).collect()}
+    for conv, r in back.items():
+        want = sorted((t is None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv)
+        assert [tuple(t) for t in r.turns] == [w[2:] for w in want] and r.learned == [w[3] for w in want if w[2] == "assistant"]
