@@ -17,6 +17,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from fleetcost import llm
 from fleetcost.llm import chat, fmindex, langid, mih, mixing, packing, quality, simhash, suffix, urls
+from fleetcost.llm import similar as similar_
 from fleetcost.llm.graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id long, w string, h long"
@@ -361,3 +362,50 @@ def test_chat_keeps_rows_of_repeated_and_null_turns(spark):
     for conv, r in back.items():
         want = sorted((t is None, t or 0, role or "", text or "") for c, t, role, text in rows if c == conv)
         assert [tuple(t) for t in r.turns] == [w[2:] for w in want] and r.learned == [w[3] for w in want if w[2] == "assistant"]
+
+
+def similar_groups(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set())
+    parent = list(range(len(texts)))
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+    for x, y in combinations(range(len(texts)), 2):
+        if 5 * len(sets[x] & sets[y]) >= 4 * len(sets[x] | sets[y]):
+            parent[find(y)] = find(x)
+    return [find(x) for x in range(len(texts))]
+
+
+def edited(text, n):
+    w = text.split()
+    for _ in range(n):
+        w[R.randrange(len(w))] = R.choice(WORDS)
+    return " ".join(w)
+
+
+@pytest.mark.parametrize("common", [100, 5])
+def test_similar_documents_are_brute_force(spark, common):
+    base = [prose(n) for n in (1, 3, 5, 6, 30, 90, 200, 200, 300)]
+    texts = base + [edited(b, R.randint(0, max(1, len(b.split()) // 20))) for b in base for _ in range(12)] + [t for _, t, *_ in DOCS] + [SAID + " " + prose(R.randint(1, 90)) for _ in range(60)]
+    texts += [edited(base[-1], R.randint(0, 8)) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4).select(F.struct("id", F.lit(0).cast("long").alias("row")).alias("key"), "text")
+    got, want = {r.key.id: r.component_id.id for r in similar_.similar(docs, common=common).collect()}, similar_groups(texts)
+    a, b = defaultdict(set), defaultdict(set)
+    for i, root in enumerate(want):
+        a[got[i]].add(i)
+        b[root].add(i)
+    assert sorted(map(sorted, a.values())) == sorted(map(sorted, b.values())) and all(k == min(v) for k, v in a.items())
+    assert similar_.similar(docs.limit(0)).count() == 0
+
+
+def test_pipeline_drops_documents_of_similarity_over_the_bound(spark, sf_dir):
+    rows = [(i, prose(150), "en", "a", 1) for i in range(8)]
+    rows += [(100 + 10 * i + k, edited(t, 2 + k), "en", "a", 1) for i, t, *_ in rows for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
+    want = similar_groups([r[1] for r in rows])
+    assert sorted(r.doc_id for r in kept) == sorted(rows[k][0] for k in set(want))
