@@ -23,11 +23,16 @@ def shared_root(spark: SparkSession) -> str:
     raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
 
 
+def _file_system(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def written(df: DataFrame) -> DataFrame:
     """`df` as a Parquet table in the shared folder, read back: its lineage ends there, so a lost executor costs no recomputation.
 
-    The table is removed when the application ends. The shuffle files of the write are removed when it is done, as nothing reads them
-    again; else they would stay until the driver collects its garbage.
+    The table is removed by dropped(), else when the application ends. The shuffle files of the write are removed when it is done, as
+    nothing reads them again; else they would stay until the driver collects its garbage.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
@@ -37,10 +42,19 @@ def written(df: DataFrame) -> DataFrame:
         df.write.option("compression", "zstd").parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(schema).parquet(path)
+    system, target = _file_system(spark, path)
+    system.deleteOnExit(target)
+    out = spark.read.schema(schema).parquet(path)
+    out.written_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes tables that written() returned and nothing will read again, also not a result that is still to be computed."""
+    for t in tables:
+        system, target = _file_system(t.sparkSession, t.written_at)
+        system.delete(target, True)
+        system.cancelDeleteOnExit(target)
 
 
 def words(text: Column) -> Column:
