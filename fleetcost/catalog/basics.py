@@ -150,11 +150,12 @@ CTES["run_span"] = "SELECT run_id, cluster_id, min(period_start_time) AS start_t
 
 
 @query("jn_interval_overlap", f"""SELECT r.run_id, n.event_id, {rn("date_diff('second', greatest(n.start_time, r.start_t), least(n.end_time, r.end_t)) / 3600.0")} AS overlap_hours
- FROM run_span r JOIN node_log n ON n.cluster_id = r.cluster_id AND n.start_time < r.end_t AND n.end_time > r.start_t""")
+ FROM run_span r JOIN node_log n ON n.cluster_id = r.cluster_id AND n.start_time < r.end_t AND n.end_time > r.start_t WHERE n.start_time < TIMESTAMP '{inputs.AS_OF} 00:00:00' AND r.start_t < TIMESTAMP '{inputs.AS_OF} 00:00:00'""")
 def interval_overlap(i):
-    runs = i("run_log").groupBy("run_id", "cluster_id").agg(F.min("period_start_time").alias("start_t"), F.max("period_end_time").alias("end_t"))
-    nodes = i("node_log").select("event_id", "cluster_id", "start_time", "end_time")
-    d = jn.interval_overlap(runs, nodes, "cluster_id", ("start_t", "end_t"), ("start_time", "end_time"))
+    until = f"{inputs.AS_OF} 00:00:00"      # all intervals start before it, so one that never ends is listed up to it
+    runs = i("run_log").groupBy("run_id", "cluster_id").agg(F.min("period_start_time").alias("start_t"), F.max("period_end_time").alias("end_t")).where(F.col("start_t") < F.lit(until).cast("timestamp_ntz"))
+    nodes = i("node_log").select("event_id", "cluster_id", "start_time", "end_time").where(F.col("start_time") < F.lit(until).cast("timestamp_ntz"))
+    d = jn.interval_overlap(runs, nodes, "cluster_id", ("start_t", "end_t"), ("start_time", "end_time"), until)
     return rounded(d.select("run_id", "event_id", "overlap_hours"), "overlap_hours")
 
 

@@ -55,7 +55,7 @@ for _key, _where in {
         "dcp_storage": "component_id IN ('S3-STORAGE', 'S3-WRITE-REQUESTS')", "dcp_reads": "component_id = 'S3-READ-REQUESTS'",
         "dcp_encryption": "component_id LIKE 'KMS-%'", "dcp_model_endpoints": "engine = 'MODEL_API' AND recurrence = 'RECURRING_MONTHLY'",
         "dcp_one_time_jobs": "engine = 'MODEL_API' AND recurrence = 'ONE_TIME'", "dcp_line_items": "true",
-        "dcp_price_lines": "quantity IS NOT NULL"}.items():
+        "dcp_price_lines": "treatment IN ('INCLUDED', 'PENDING')"}.items():
     _lines_query(_key, _where)
 
 

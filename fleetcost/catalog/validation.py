@@ -1,9 +1,8 @@
 """Input check of request documents (CHK)."""
-from fleetcost.catalog.pricecard import RATES_AS_OF
-from fleetcost.catalog.registry import F, query, rounded
+from fleetcost.catalog.registry import F, query
 from fleetcost.catalog.requests import _ASKED
-from fleetcost.oracle.base import CTES, rn, values
-from fleetcost.plans import lines as ln, requests as rq, totals as tt, validate as vd
+from fleetcost.oracle.base import CTES, derive, values
+from fleetcost.plans import requests as rq, validate as vd
 
 _SECTIONS = ("processing", "sql", "transfer", "storage", "model_endpoints", "one_time_model_jobs")
 _LISTS = ("processing", "model_endpoints", "one_time_model_jobs")
@@ -97,8 +96,8 @@ _ALL = ("i_json", "i_unknown", "i_type", "i_negative", "i_enum", "i_missing", "i
 CTES["i_all"] = " UNION ALL ".join(f"SELECT {_COLS} FROM {n}" for n in _ALL)
 
 
-def _doc(i):
-    return vd.scenario_list(vd.parsed(i("raw_requests")))
+def _issues(i, *rules):
+    return vd.check(i("raw_requests"), i.ref.model_conversions, *rules)
 
 
 def _shown(df):
@@ -107,75 +106,68 @@ def _shown(df):
 
 @query("chk_not_json", f"SELECT {_COLS} FROM i_json")
 def not_json(i):
-    return _shown(vd.not_json(_doc(i)))
+    return _shown(_issues(i, "json"))
 
 
 @query("chk_unknown_field", f"SELECT {_COLS} FROM i_unknown")
 def unknown_field(i):
-    return _shown(vd.field_issues(_doc(i)).where("issue = 'UNKNOWN_FIELD'"))
+    return _shown(_issues(i, "fields").where("issue = 'UNKNOWN_FIELD'"))
 
 
 @query("chk_wrong_type", f"SELECT {_COLS} FROM i_type")
 def wrong_type(i):
-    d = _doc(i)
-    return _shown(vd.field_issues(d).unionByName(vd.wrong_sections(d)).where("issue = 'WRONG_TYPE'"))
+    return _shown(_issues(i, "fields", "shape").where("issue = 'WRONG_TYPE'"))
 
 
 @query("chk_negative", f"SELECT {_COLS} FROM i_negative")
 def negative(i):
-    return _shown(vd.field_issues(_doc(i)).where("issue = 'INVALID_VALUE' AND expected NOT LIKE 'one of%'"))
+    return _shown(_issues(i, "fields").where("issue = 'INVALID_VALUE' AND expected NOT LIKE 'one of%'"))
 
 
 @query("chk_enum", f"SELECT {_COLS} FROM i_enum")
 def enum(i):
-    d = _doc(i)
-    return _shown(vd.field_issues(d).where("issue = 'INVALID_VALUE' AND expected LIKE 'one of%'").unionByName(vd.wrong_sections(d).where("issue = 'INVALID_VALUE'")))
+    return _shown(_issues(i, "fields", "shape").where("issue = 'INVALID_VALUE' AND (expected LIKE 'one of%' OR expected LIKE 'a list of%')"))
 
 
 @query("chk_missing", f"SELECT {_COLS} FROM i_missing")
 def missing(i):
-    return _shown(vd.section_issues(_doc(i), i.ref.model_conversions).where("issue = 'MISSING'"))
+    return _shown(_issues(i, "entries").where("issue = 'MISSING'"))
 
 
 @query("chk_range", f"SELECT {_COLS} FROM i_range")
 def in_range(i):
-    return _shown(vd.section_issues(_doc(i), i.ref.model_conversions).where("issue = 'RANGE_BOUND_MISSING'"))
+    return _shown(_issues(i, "entries").where("issue = 'RANGE_BOUND_MISSING'"))
 
 
 @query("chk_model", f"SELECT {_COLS} FROM i_model")
 def model(i):
-    return _shown(vd.section_issues(_doc(i), i.ref.model_conversions).where("issue = 'INVALID_VALUE'"))
+    return _shown(_issues(i, "entries").where("issue = 'INVALID_VALUE'"))
 
 
 @query("chk_areas", f"SELECT {_COLS} FROM i_areas")
 def areas(i):
-    return _shown(vd.area_issues(_doc(i)).where("issue <> 'NO_WORKLOAD'"))
+    return _shown(_issues(i, "areas").where("issue <> 'NO_WORKLOAD'"))
 
 
 @query("chk_no_workload", f"SELECT {_COLS} FROM i_none")
 def no_workload(i):
-    return _shown(vd.area_issues(_doc(i)).where("issue = 'NO_WORKLOAD'"))
+    return _shown(_issues(i, "areas").where("issue = 'NO_WORKLOAD'"))
 
 
 @query("chk_duplicates", f"SELECT {_COLS} FROM i_duplicate")
 def duplicates(i):
-    return _shown(vd.duplicate_issues(_doc(i)))
+    return _shown(_issues(i, "duplicates"))
 
 
 @query("chk_assumptions", f"SELECT {_COLS} FROM i_assumption")
 def assumptions(i):
-    return _shown(vd.assumption_issues(_doc(i)))
+    return _shown(_issues(i, "assumptions"))
 
 
 CTES["doc_verdict"] = """SELECT r.request_id, CASE WHEN coalesce(b, false) THEN 'NEEDS_INPUT' ELSE 'READY' END AS status, coalesce(n, 0) AS issues, coalesce(q, '') AS questions FROM raw_requests r
  LEFT JOIN (SELECT request_id, bool_or(blocking) AS b, count(*) AS n, string_agg(DISTINCT CASE WHEN blocking THEN issue || ' ' || field END, '; ' ORDER BY CASE WHEN blocking THEN issue || ' ' || field END) AS q FROM i_all GROUP BY 1) USING (request_id)"""
 
 
-def _verdicts(i):
-    raw = i("raw_requests")
-    return vd.verdicts(raw, vd.check(raw, i.ref.model_conversions))
-
-
 @query("chk_verdict", """SELECT 'document' AS kind, request_id AS id, status, issues, questions FROM doc_verdict
  UNION ALL SELECT 'name', question_id, 'UNKNOWN_USE_CASE', 1, 'UNKNOWN_USE_CASE use_case' FROM asked WHERE request_json IS NULL AND question_id NOT IN (SELECT question_id FROM ask_key JOIN (SELECT * FROM ask_exact UNION ALL SELECT * FROM ask_prefix) USING (q) WHERE n = 1)""")
 def verdict(i):
@@ -183,7 +175,8 @@ def verdict(i):
     asked = i.spark.sql(_ASKED, orders=read_table(i.spark, i.sf_dir, "orders"))
     unknown = vd.unknown_use_cases(asked, rq.resolve(asked, i("request_wide").select("use_case_id", "use_case_name")))
     named = unknown.select(F.lit("name").alias("kind"), F.col("question_id").alias("id"), "status", F.lit(1).cast("long").alias("issues"), F.lit("UNKNOWN_USE_CASE use_case").alias("questions"))
-    return _verdicts(i).select(F.lit("document").alias("kind"), F.col("request_id").alias("id"), "status", F.col("issues").cast("long").alias("issues"), "questions").unionByName(named)
+    d = vd.verdicts(vd.checked(i("raw_requests"), i.ref.model_conversions))
+    return d.select(F.lit("document").alias("kind"), F.col("request_id").alias("id"), "status", "issues", "questions").unionByName(named)
 
 
 _NAMED = "CASE request_id % 3 WHEN 0 THEN true WHEN 1 THEN false END"
@@ -199,26 +192,40 @@ CTES["doc_mode"] = f"""SELECT request_id, named, CASE WHEN errors = '' THEN 'REA
   FROM (SELECT true AS adhoc, {_COLS} FROM i_all UNION ALL SELECT false, {_COLS} FROM i_refused) GROUP BY 1, 2) i ON i.request_id = r.request_id AND i.adhoc = (r.named IS NOT DISTINCT FROM false))"""
 
 
-def modes(i):
-    """The documents as loaded use cases, as new ones and without a check, a third each."""
-    raw = i("raw_requests")
-    return vd.judged(raw, vd.check(raw, i.ref.model_conversions), F.expr(_NAMED))
-
-
 @query("chk_modes", "SELECT request_id, named, status, issues, errors FROM doc_mode")
 def check_modes(i):
-    return modes(i).drop("texts")
-
-
-@query("chk_gate", f"""SELECT v.request_id, CASE WHEN v.status = 'READY' THEN 'OK' ELSE v.status END AS status, s.scenario, CASE WHEN v.status = 'READY' THEN {rn("CASE v.request_id % 16 WHEN 2 THEN 30 * s.h * 0.31 ELSE CASE WHEN s.scenario = 'EXPECTED' THEN 10 * 2 * 0.31 ELSE 0 END END", 4)} END AS recurring_monthly_usd, v.questions
- FROM doc_verdict v LEFT JOIN (VALUES ('LOW', 1), ('EXPECTED', 2), ('HIGH', 3)) s(scenario, h) ON v.status = 'READY'""")
-def gate(i):
-    v, raw = _verdicts(i), i("raw_requests")
-    blocked = v.where("status <> 'READY'")
-    ready = raw.join(blocked.select("request_id"), "request_id", "left_anti")
-    t = tt.totals(ln.line_items(rq.parse(ready), i.ref.rate_card, i.ref.model_conversions, RATES_AS_OF))
-    priced = t.select("request_id", F.lit("OK").alias("status"), "scenario", "recurring_monthly_usd", F.lit("").alias("questions"))
-    return rounded(priced.unionByName(blocked.select("request_id", "status", "questions"), allowMissingColumns=True), "recurring_monthly_usd", 4)
+    """The documents as loaded use cases, as new ones and without a check, a third each."""
+    d = vd.judged(vd.checked(i("raw_requests"), i.ref.model_conversions), F.expr(_NAMED))
+    return d.select("request_id", "named", "status", "issues", "errors")
+
+
+# ---- documents with what-if overrides: as rows (path, value), or as a document of their own, also a malformed one -------------------------------------
+_CHANGES = {1: [("transfer.daily_gb_high", "-1")], 4: [("processing[C01].runs_per_month", "12"), ("_areas.processing", "INCLUDED")], 5: [("sql.concurrent_users", "5"), ("region", "EU_WEST_1")],
+            6: [("use_case_name", "7"), ("moon", '{"a": 1}')]}
+_TEXTS = {2: "not; json", 3: "[1]"}
+_IS = "coalesce(json_type(j, '$.{p}'), 'NULL') IN ('NULL', 'OBJECT')"
+CTES["over_json"] = f"""SELECT request_id, k, j, CASE WHEN j IS NULL OR json_type(j) <> 'OBJECT' THEN j WHEN k = 1 THEN json_merge_patch(j, '{{"transfer": {{"daily_gb_high": -1}}}}')
+  WHEN k = 4 THEN CASE WHEN {_IS.format(p='_areas')} THEN json_merge_patch(p, '{{"_areas": {{"processing": "INCLUDED"}}}}') ELSE p END WHEN k = 5 THEN CASE WHEN {_IS.format(p='sql')} THEN json_merge_patch(j, '{{"region": "EU_WEST_1", "sql": {{"concurrent_users": 5}}}}')
+   ELSE json_merge_patch(j, '{{"region": "EU_WEST_1"}}') END WHEN k = 6 THEN json_merge_patch(j, '{{"use_case_name": 7, "moon": {{"a": 1}}}}') ELSE j END AS o
+ FROM (SELECT *, CASE WHEN json_type(j, '$.processing') = 'ARRAY' THEN json_merge_patch(j, json_object('processing', list_transform(json_extract(j, '$.processing[*]'), lambda e:
+   CASE WHEN json_extract_string(e, '$.component_id') = 'C01' THEN json_merge_patch(e, '{{"runs_per_month": 12}}') ELSE e END))) ELSE j END AS p FROM (SELECT request_id, request_id % 7 AS k, CASE WHEN json_valid(request_json) THEN CAST(request_json AS JSON) END AS j FROM raw_requests))"""
+CTES["over_docs"] = "SELECT request_id, CASE WHEN o IS NULL THEN 'none' ELSE CAST(o AS VARCHAR) END AS request_json FROM over_json WHERE k <> 2"
+derive("o_", {"raw_requests": "over_docs"}, "i_all")
+CTES["i_over"] = f"""SELECT {_COLS} FROM o_i_all UNION ALL SELECT request_id, 'overrides', NULL, 'overrides', 'NOT_JSON', true, NULL FROM over_json WHERE k = 2 UNION ALL SELECT request_id, 'overrides', NULL, 'overrides', 'INVALID_VALUE', true, '[1]' FROM over_json WHERE k = 3
+ UNION ALL SELECT request_id, 'overrides', 'C01', 'processing[C01].runs_per_month', 'INVALID_VALUE', true, '12' FROM over_json WHERE k = 4 AND json_type(j) = 'OBJECT' AND NOT coalesce(list_contains(json_extract_string(j, '$.processing[*].component_id'), 'C01'), false)
+ UNION ALL SELECT request_id, 'overrides', NULL, '_areas.processing', 'INVALID_VALUE', true, '"INCLUDED"' FROM over_json WHERE k = 4 AND json_type(j) = 'OBJECT' AND NOT {_IS.format(p='_areas')}
+ UNION ALL SELECT request_id, 'overrides', NULL, 'sql.concurrent_users', 'INVALID_VALUE', true, '5' FROM over_json WHERE k = 5 AND json_type(j) = 'OBJECT' AND NOT {_IS.format(p='sql')}"""
+
+
+@query("chk_overrides", f"SELECT {_COLS} FROM i_over")
+def check_overrides(i):
+    """The documents as changed by what-if overrides, and what is wrong with these."""
+    raw, k = i("raw_requests"), F.col("request_id") % 7
+    given = F.coalesce(*[F.when(k == n, F.array(*[F.struct(F.lit(p).alias("path"), F.lit(v).alias("value")) for p, v in rows])) for n, rows in _CHANGES.items()])
+    rows = raw.select("request_id", F.explode_outer(given).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+    text = F.coalesce("overrides_json", *[F.when(k == n, t) for n, t in _TEXTS.items()])
+    asked = raw.join(vd.override_texts(rows), "request_id", "left").withColumn("overrides_json", text)
+    return _shown(vd.check(asked, i.ref.model_conversions))
 
 
 CTES["intake"] = values([(c, "string") for c in vd.INTAKE_COLUMNS], vd.intake_rows())
@@ -227,6 +234,5 @@ CTES["intake"] = values([(c, "string") for c in vd.INTAKE_COLUMNS], vd.intake_ro
 @query("chk_intake_catalog", "SELECT m.request_id, d.* FROM i_missing m JOIN intake d ON d.area = m.section AND d.field = m.field")
 def intake_catalog(i):
     """Questions still open per request: the catalogue joined to the issues of each document."""
-    raw = i("raw_requests")
-    missing = vd.check(raw, i.ref.model_conversions).where("issue = 'MISSING' AND component_id IS NOT NULL").select("request_id", F.col("section").alias("area"), "field")
+    missing = _issues(i, "entries").where("issue = 'MISSING'").select("request_id", F.col("section").alias("area"), "field")
     return missing.join(vd.intake_catalog(i.spark), ["area", "field"]).select("request_id", "area", "field", "type", "requirement", "default_value", "question")

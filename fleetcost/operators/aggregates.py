@@ -1,51 +1,59 @@
 """Order statistics that no single task has to hold: exact quantiles, time split, peak concurrency.
 
-Each works on counts of equal values (merged before the shuffle), buckets them, and sorts only inside a bucket.
+Each works on counts of equal values (merged before the shuffle) and sorts only inside a part of them.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_CUTS = 64
+from fleetcost.sources import sinks
 
+BOUND = 20_000      # different values of one group that a task sorts
+PARTS = 1_024       # parts into which a range of values is cut
 
-def _bucket(x: Column, cuts: Column, lo: int, hi: int) -> Column:
-    """Number of cut points below x: a binary search as nested conditions, so it stays in generated code."""
-    if lo == hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(F.get(cuts, mid) < x, _bucket(x, cuts, mid + 1, hi)).otherwise(_bucket(x, cuts, lo, mid))
 
+def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, float], rows: str | None = None, bound: int = BOUND, parts: int = PARTS) -> DataFrame:
+    """Linear-interpolated quantiles per group, ignoring NULL and non-finite values; one column per name in `probs`. With `rows`, a column
+    of that name counts all rows of the group.
 
-def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, float]) -> DataFrame:
-    """Linear-interpolated quantiles per group, ignoring NULL and non-finite values; one column per name in `probs`.
-
-    Values are split at approximate cut points, a running count over at most 65 buckets per group finds the bucket of
-    each wanted position, and only those buckets are sorted. The cut points steer the split, never the result.
+    The input is read once: equal values are counted before the shuffle, and the counts are written. Each wanted position then starts
+    with the range of all its group's values. While a range holds more than `bound` different ones it is cut into equal parts, the parts are counted,
+    and the part that holds the position is the new range, from its smallest to its largest value; so the range shrinks each time, and an outlier costs one
+    more round. Only what is left is sorted. Positions are rows of a table: neither groups nor values come to the driver.
     """
-    x = F.col(value)
-    v = (df.where(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))).groupBy(F.col(group).alias("g"), x.cast("double").alias("x"))
-         .agg(F.count("*").alias("c")))
-    cuts = v.groupBy("g").agg(F.percentile_approx("x", [n / _CUTS for n in range(1, _CUTS)], 1000).alias("cuts"))
-    v = v.join(cuts, "g").select("g", "x", "c", _bucket(F.col("x"), F.col("cuts"), 0, _CUTS - 1).alias("b"))
-    w = Window.partitionBy("g").orderBy("b")
-    buckets = v.groupBy("g", "b").agg(F.sum("c").alias("n")).select(
-        "g", "b", "n", (F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"),
-        F.sum("n").over(Window.partitionBy("g")).alias("total"))
-    wanted = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), ((F.col("total") - 1) * F.lit(p)).alias("z")) for n, p in probs.items()]))
-    need = (buckets.select("*", wanted.alias("q")).select("g", "b", "n", "before", "q.name", "q.z", F.floor("q.z").alias("lo"), F.ceil("q.z").alias("hi"))
-            .where((F.col("hi") >= F.col("before")) & (F.col("lo") < F.col("before") + F.col("n"))))
-    ranked = (v.join(need.select("g", "b").distinct(), ["g", "b"], "left_semi")
-              .withColumn("upto", F.sum("c").over(Window.partitionBy("g", "b").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))))
-    first = F.col("before") + F.col("upto") - F.col("c")
-
-    def at(position: str):
-        return F.max(F.when((F.col(position) >= first) & (F.col(position) < first + F.col("c")), F.col("x")))
-
-    pos = ranked.join(need, ["g", "b"]).groupBy("g", "name").agg(at("lo").alias("vlo"), at("hi").alias("vhi"), F.max("z").alias("z"))
-    val = F.col("vlo") + (F.col("vhi") - F.col("vlo")) * (F.col("z") - F.floor("z"))
-    return pos.groupBy(F.col("g").alias(group)).agg(*[F.max(F.when(F.col("name") == n, val)).alias(n) for n in probs])
+    x, spark = F.col(value).cast("double"), df.sparkSession
+    good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+
+    def saved(d: DataFrame) -> DataFrame:
+        return sinks.overwrite(d, sinks.shared_folder(spark))
+    v = saved(df.groupBy(F.col(group).alias("g"), F.when(good, x).alias("x")).agg(F.count("*").alias("c")))
+    some = F.col("x").isNotNull()
+    total = saved(v.groupBy("g").agg(F.sum("c").alias("rows"), F.sum(F.when(some, F.col("c"))).alias("n"), F.count("x").alias("d"), F.min("x").alias("lo"), F.max("x").alias("hi")))
+    place = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * F.lit(p)).alias("z")) for name, p in probs.items()]))
+    wanted = total.where("d > 0").select("g", "d", "lo", "hi", place.alias("q")).select("g", "d", "lo", "hi", "q.name", "q.z")
+    state = saved(wanted.select("g", F.explode(F.array_distinct(F.array(F.floor("z"), F.ceil("z")))).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), "d").distinct())
+    while True:
+        large = state.where(F.col("d") > bound)
+        if large.isEmpty():
+            break
+        r = large.select(F.col("g").alias("r_g"), "lo", "hi", "before").distinct()
+        part = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * parts), F.lit(parts - 1))
+        hist = (v.join(r, F.col("g").eqNullSafe(F.col("r_g")) & F.col("x").between(F.col("lo"), F.col("hi"))).groupBy("r_g", F.col("lo").alias("r_lo"), F.col("before").alias("r_before"), part.alias("b"))
+                .agg(F.sum("c").alias("n"), F.count("*").alias("p_d"), F.min("x").alias("p_lo"), F.max("x").alias("p_hi")))
+        upto = F.sum("n").over(Window.partitionBy("r_g", "r_lo").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))
+        hist = hist.withColumn("p_before", F.col("r_before") + upto - F.col("n"))
+        holds = (F.col("p_before") <= F.col("rank")) & (F.col("rank") < F.col("p_before") + F.col("n"))
+        found = large.join(hist, F.col("g").eqNullSafe(F.col("r_g")) & (F.col("lo") == F.col("r_lo")) & holds)
+        state = saved(state.where(F.col("d") <= bound).unionByName(found.select("g", "rank", F.col("p_lo").alias("lo"), F.col("p_hi").alias("hi"), F.col("p_before").alias("before"), F.col("p_d").alias("d"))))
+    r = state.select(F.col("g").alias("r_g"), "lo", "hi", "before").distinct()
+    upto = F.sum("c").over(Window.partitionBy("r_g", "lo").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    sorted_ = v.join(r, F.col("g").eqNullSafe(F.col("r_g")) & F.col("x").between(F.col("lo"), F.col("hi"))).select("r_g", F.col("lo").alias("r_lo"), "x", "c", (F.col("before") + upto - F.col("c")).alias("first"))
+    at = state.join(sorted_, F.col("g").eqNullSafe(F.col("r_g")) & (F.col("lo") == F.col("r_lo")) & (F.col("first") <= F.col("rank")) & (F.col("rank") < F.col("first") + F.col("c"))).select("r_g", "rank", F.col("x").alias("at"))
+    met = wanted.join(at, F.col("g").eqNullSafe(F.col("r_g")) & F.col("rank").isin(F.floor("z"), F.ceil("z"))).groupBy("g", "name", "z").agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    val = F.col("a") + (F.col("b") - F.col("a")) * (F.col("z") - F.floor("z"))
+    q = met.groupBy(F.col("g").alias("r_g")).agg(*[F.max(F.when(F.col("name") == n, val)).alias(n) for n in probs])
+    return total.join(q, F.col("g").eqNullSafe(F.col("r_g")), "left").select(F.col("g").alias(group), *probs, *([F.col("rows").alias(rows)] if rows else []))
 
 
 def time_split(df: DataFrame, group: str, t: str, older: float) -> DataFrame:

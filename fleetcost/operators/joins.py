@@ -11,14 +11,42 @@ def alias_map(profiles: DataFrame) -> DataFrame:
     return profiles.select(F.explode(names).alias("name"), *profiles.columns)
 
 
+def price_windows(prices: DataFrame) -> DataFrame:
+    """One row per SKU, cloud and unit: `p_bounds`, the times at which its valid USD prices change, sorted, and `p_valid`, the prices that
+    are valid from each of them on (none in a gap, several where windows overlap)."""
+    windows = prices.where("currency_code = 'USD' AND price_start_time IS NOT NULL").groupBy(F.col("sku_name").alias("p_sku"), F.col("cloud").alias("p_cloud"), F.col("usage_unit").alias("p_unit")).agg(
+        F.collect_list(F.struct(F.col("price_start_time").alias("start"), F.col("price_end_time").alias("end"), F.col("price").alias("price"))).alias("w"))
+    ends = F.filter(F.transform("w", lambda x: x.end), lambda t: t.isNotNull())
+    bounds = F.array_sort(F.array_distinct(F.concat(F.transform("w", lambda x: x.start), ends)))
+    # two levels, as one expression would work the bounds out again for each of them
+    d = windows.select("p_sku", "p_cloud", "p_unit", "w", bounds.alias("p_bounds"))
+    valid = F.transform("p_bounds", lambda t: F.transform(F.filter("w", lambda x: (x.start <= t) & (x.end.isNull() | (t < x.end))), lambda x: F.struct(x.price.alias("price"))))
+    return d.select("p_sku", "p_cloud", "p_unit", "p_bounds", valid.alias("p_valid"))
+
+
+def _not_after(bounds: str, t: str):
+    """How many of the sorted bounds are not after t, by halving."""
+    def halve(acc, _):
+        middle, open_ = F.shiftright(acc.lo + acc.hi, 1), acc.lo < acc.hi
+        right = F.coalesce(F.get(bounds, middle) <= F.col(t), F.lit(False))
+        return F.struct(F.when(open_ & right, middle + 1).otherwise(acc.lo).alias("lo"), F.when(open_ & ~right, middle).otherwise(acc.hi).alias("hi"))
+    size = F.size(bounds)
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(size + F.lit(1))).cast("int"))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), size.alias("hi")), halve, lambda acc: acc.lo)
+
+
 def effective_price(usage: DataFrame, prices: DataFrame) -> DataFrame:
-    """Left join the USD price valid at the start of each usage row. `prices` has sku_name, cloud, usage_unit, window, price."""
-    p = prices.where("currency_code = 'USD'").select(
-        F.col("sku_name").alias("p_sku"), F.col("cloud").alias("p_cloud"), F.col("usage_unit").alias("p_unit"),
-        F.col("price_start_time").alias("p_start"), F.col("price_end_time").alias("p_end"), F.col("price").alias("unit_price"))
-    on = ((F.col("sku_name") == F.col("p_sku")) & (F.col("cloud") == F.col("p_cloud")) & (F.col("usage_unit") == F.col("p_unit"))
-          & (F.col("usage_start_time") >= F.col("p_start")) & (F.col("p_end").isNull() | (F.col("usage_start_time") < F.col("p_end"))))
-    return usage.join(p, on, "left").drop("p_cloud", "p_unit", "p_start", "p_end")
+    """Usage rows with p_sku and unit_price, the USD price valid at their start: both NULL where none is, a row for each where several are.
+    `prices` has sku_name, cloud, usage_unit, currency_code, price_start_time, price_end_time and price.
+
+    The windows of a SKU are one sorted array that each usage row searches. The arrays are one row per SKU, cloud and unit; Spark broadcasts them while
+    their size is below its threshold, so usage stays where it was read however many rows a SKU has. Beyond that it joins on the three keys, and a hot SKU's
+    usage can be split, as the other side has one row for it.
+    """
+    w = price_windows(prices)
+    d = usage.join(w, (F.col("sku_name") == F.col("p_sku")) & (F.col("cloud") == F.col("p_cloud")) & (F.col("usage_unit") == F.col("p_unit")), "left")
+    d = d.withColumn("p_at", F.explode_outer(F.get("p_valid", _not_after("p_bounds", "usage_start_time") - 1)))
+    return d.select(*[F.col(f"`{c}`") for c in usage.columns], F.when(F.col("p_at").isNotNull(), F.col("p_sku")).alias("p_sku"), F.col("p_at.price").alias("unit_price"))
 
 
 def _hours(start: str, end: str, until: str | None):

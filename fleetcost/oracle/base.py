@@ -46,6 +46,26 @@ def _named(name: str) -> str | None:
     return None
 
 
+def derive(prefix: str, replaced: dict[str, str], *roots: str) -> None:
+    """Register copies `<prefix><name>` of the subqueries that `roots` need and that use a replaced name, so the same SQL runs over other rows."""
+    done = dict(replaced)
+
+    def copy(name: str) -> str:
+        body = _named(name)
+        if name in done or body is None:
+            return done.get(name, name)
+        done[name] = name       # a name within its own text is a column
+        parts = re.split(r"('[^']*')", body)
+        new = "".join(x if n % 2 else re.sub(r"[a-z_][a-z0-9_]*", lambda m: copy(m[0]), x) for n, x in enumerate(parts))
+        if new != body:
+            done[name] = prefix + name
+            CTES[prefix + name] = new
+        return done[name]
+
+    for root in roots:
+        copy(root)
+
+
 def compose(sql: str) -> str:
     """Prefix the named subqueries that `sql` uses, in dependency order."""
     order: list[str] = []

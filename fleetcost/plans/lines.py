@@ -183,22 +183,24 @@ def _job(j: Column, sc: Column) -> Column:
                   evidence=RANGE, basis=F.concat(F.lit("input="), ib, F.lit("; output="), ob), model=j["model"], serving_mode=j["serving_mode"], input_tokens=it, output_tokens=ot)
 
 
-def drafts(requests: DataFrame, calibration: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per request, scenario and line before pricing. `calibration` is a one-row table of historical reference points."""
+def drafts(requests: DataFrame, calibration: DataFrame | None = None, carry: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """One row per request, scenario and line before pricing. `calibration` is a one-row table of historical reference points. With `keep` a scenario
+    without lines keeps one row whose component_id is NULL."""
     d = with_decisions(with_defaults(requests)).withColumn("a", resolved_assumptions(F.col("assumptions")))
     cal = None
     if calibration is not None:
         d = d.withColumn("cal", F.when(F.col("calibration_allowed"), calibration.select(F.struct("*")).scalar()))
         cal = F.col("cal")
-    keep = ["request_id", "region", "model_days_per_month", "a", "components", "sql", "transfer", "storage", "model_endpoints", "one_time_model_jobs", *carry]
-    d = d.select(*keep, *(["cal"] if cal is not None else []), F.explode_outer("scenarios").alias("scenario")).where("scenario IS NOT NULL")
+    own = ["request_id", "region", "model_days_per_month", "a", "components", "sql", "transfer", "storage", "model_endpoints", "one_time_model_jobs", *carry]
+    d = d.select(*own, *(["cal"] if cal is not None else []), F.explode_outer("scenarios").alias("scenario")).where("scenario IS NOT NULL")
     sc, a, days = F.col("scenario"), F.col("a"), F.col("model_days_per_month")
     s, t, st = F.col("sql"), F.col("transfer"), F.col("storage")
     single = F.array_compact(F.array(F.when(s.isNotNull(), _sql(s, sc, a, cal)), *_transfer(t, sc), *_storage(st)))
     lines = F.concat(F.transform("components", lambda x: _processing(x, sc, a, cal)), single, F.transform("model_endpoints", lambda e: _endpoint(e, sc, a, days)),
                      F.transform("one_time_model_jobs", lambda j: _job(j, sc)))
     # explode_outer: the optimizer copies the whole array expression into a filter in front of a plain explode
-    return d.select("request_id", *carry, "scenario", "region", F.explode_outer(lines).alias("l")).where("l IS NOT NULL").select("request_id", *carry, "scenario", "region", "l.*")
+    d = d.select("request_id", *carry, "scenario", "region", F.explode_outer(lines).alias("l"))
+    return (d if keep else d.where("l IS NOT NULL")).select("request_id", *carry, "scenario", "region", "l.*")
 
 
 def price_tokens(d: DataFrame, conversions: DataFrame, as_of: str) -> DataFrame:
@@ -241,9 +243,9 @@ LINE_COLUMNS = ("scenario", "component_id", "engine", "description", "quantity",
                 "treatment", "evidence", "basis", "formula", "warnings")
 
 
-def line_items(requests: DataFrame, rate_card: DataFrame, conversions: DataFrame, as_of: str, calibration: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """All line items of all requests: 16 columns per line, plus request_id and the carried request columns."""
-    d = price_lines(price_tokens(drafts(requests, calibration, carry), conversions, as_of), rate_card, as_of)
+def line_items(requests: DataFrame, rate_card: DataFrame, conversions: DataFrame, as_of: str, calibration: DataFrame | None = None, carry: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+    """All line items of all requests: 16 columns per line, plus request_id and the carried request columns. `keep`: see drafts()."""
+    d = price_lines(price_tokens(drafts(requests, calibration, carry, keep), conversions, as_of), rate_card, as_of)
     return d.select("request_id", *carry, *LINE_COLUMNS)
 
 

@@ -1,4 +1,4 @@
-"""Result tables of estimates. Callers write the line items once and derive totals, confidence and notes from that table."""
+"""Result tables of estimates. Totals and summaries are one grouping of the line items; the details read them several times, so their caller writes them once."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from fleetcost.functions.columns import fmt_number, round_half_up
 from fleetcost.plans import compute
+from fleetcost.plans import lines as ln
 from fleetcost.plans import totals as tt
-from fleetcost.plans.requests import SCENARIOS, area_states, with_defaults
+from fleetcost.plans.requests import SCENARIOS, area_states, parse, with_defaults
+from fleetcost.sources import sinks
 
 VERSION = "1.0"
 DISCLAIMER = "Internal planning estimate, not an invoice or a committed run rate."
@@ -18,53 +20,97 @@ def money(c: str | Column) -> Column:
     return F.concat(F.lit("$"), F.format_number(round_half_up(c, 2), 2))
 
 
-def joined_notes(notes: DataFrame) -> DataFrame:
-    """Per request: its pending, warning and assumption texts, each sorted and joined. Texts are distinct rows already."""
-    def texts(kind: str) -> Column:
-        return F.array_join(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("text")))), "; ")
-    return notes.groupBy("request_id").agg(*[texts(k).alias(k.lower()) for k in ("PENDING", "WARNING", "ASSUMPTION")])
-
-
 def rate_source(rate_card: DataFrame) -> DataFrame:
     """One value: the sources of the platform DBU rates."""
     used = rate_card.where("provider = 'PLATFORM' AND unit = 'DBU' AND rate IS NOT NULL")
     return used.agg(F.array_join(F.array_sort(F.collect_set("source")), ", "))
 
 
-def totals_table(requests: DataFrame, lines: DataFrame, rate_card: DataFrame, named: Column) -> DataFrame:
-    """Totals by scenario with pending details, area states and confidence. `lines` carries scenarios and calibration_allowed."""
-    t = tt.totals(lines)
-    head = with_defaults(requests).select("request_id", "use_case_id", "use_case_name", F.array_join(F.transform(area_states(named), lambda a: F.concat(a["area"], F.lit(": "), a["state"])), "; ").alias("area_states"))
-    conf = tt.confidence(lines).select("request_id", F.col("rating").alias("confidence"), F.col("reason").alias("confidence_reason"))
-    d = t.join(head, "request_id").join(conf, "request_id", "left").join(joined_notes(tt.notes(lines)).select("request_id", "pending"), "request_id", "left")
-    two = {n: round_half_up(c, 2).alias(n) for n, c in (
+def request_head(requests: DataFrame, named: Column) -> DataFrame:
+    """Requests with the texts that result tables repeat: `area_states`."""
+    d = with_defaults(requests)
+    return d.withColumn("area_states", F.array_join(F.transform(area_states(named), lambda a: F.concat(a["area"], F.lit(": "), a["state"])), "; "))
+
+
+def gathered(lines: DataFrame, head: tuple[str, ...] = ()) -> DataFrame:
+    """One row per request out of one grouping of its lines: `t` (scenario, measures and what follows from them, for each scenario with lines, in order), rating, reason,
+    and its pending, warning and assumption texts, each sorted and joined. `lines` carries scenarios, calibration_allowed and the columns of `head`.
+
+    Sums, counts and sets of texts merge before the shuffle, so a request costs one small row per task that has lines of it.
+    """
+    line = F.col("component_id").isNotNull()
+    names = list(tt.measures())
+    sums = {f"{s}_{n}": c for s in SCENARIOS for n, c in tt.measures(line & (F.col("scenario") == s)).items()}
+    counts = {f"{s}_lines": F.count_if(line & (F.col("scenario") == s)) for s in SCENARIOS}
+    rests = {f"r_{n}": c for n, c in tt.shares(line).items()}
+    g = lines.groupBy("request_id").agg(
+        *[c.alias(n) for n, c in (sums | counts | rests).items()], *[F.any_value(c).alias(c) for c in head], F.any_value(tt.reference_scenario(F.col("scenarios"))).alias("ref"),
+        F.array_distinct(F.flatten(F.collect_set(F.when(line, tt.note_list())))).alias("notes"))
+
+    def scenario(s: str) -> Column:
+        m = lambda n: F.col(f"{s}_{n}")
+        return F.when(F.col(f"{s}_lines") > 0, F.struct(F.lit(s).alias("scenario"), *[m(n).alias(n) for n in names], *[c.alias(n) for n, c in tt.derived(m).items()]))
+
+    def texts(kind: str) -> Column:
+        return F.array_join(F.array_sort(F.transform(F.filter("notes", lambda n: n["kind"] == kind), lambda n: n["text"])), "; ").alias(kind.lower())
+    out = tt.rated(lambda n: F.col(f"r_{n}"), F.col("ref"))
+    known = F.col("r_lines") > 0
+    return g.select("request_id", *head, "ref", F.array_compact(F.array(*map(scenario, SCENARIOS))).alias("t"), F.when(known, out["rating"]).otherwise("LOW").alias("rating"),
+                    F.when(known, out["reason"]).otherwise(tt.NOTHING_PRICED).alias("reason"), *[texts(k) for k in ("PENDING", "WARNING", "ASSUMPTION")])
+
+
+HEAD = ("use_case_id", "use_case_name", "area_states", "request_status", "errors")
+
+
+def totals_table(lines: DataFrame, rate_card: DataFrame) -> DataFrame:
+    """Totals by scenario with pending details, area states and confidence; a request that is not priced (NEEDS_INPUT or REJECTED) has one row without
+    scenario and figures, with its status and errors. `lines` carries scenarios, calibration_allowed and the columns of HEAD."""
+    refused = F.col("request_status") != "OK"
+    g = gathered(lines, HEAD)
+    rows = F.when(refused, F.array(F.get("t", -1))).otherwise(F.col("t"))
+    # explode_outer, as a plain explode copies the array expression into a filter
+    d = g.select("*", F.explode_outer(rows).alias("x")).where(refused | F.col("x").isNotNull())
+    priced = lambda c: F.when(~refused, c)
+    x = lambda n: F.col(f"x.{n}")
+    two = [round_half_up(x(c), 2).alias(n) for n, c in (
         ("recurring_monthly_usd", "recurring_monthly_usd"), ("core_monthly_usd", "core_monthly_usd"), ("annual_usd", "annual_recurring_usd"), ("one_time_usd", "one_time_usd"),
-        ("first_year_usd", "first_year_usd"), ("dbu", "dbu_monthly"), ("dbu_usd", "dbu_monthly_usd"), ("cloud_usd", "cloud_monthly_usd"))}
+        ("first_year_usd", "first_year_usd"), ("dbu", "dbu_monthly"), ("dbu_usd", "dbu_monthly_usd"), ("cloud_usd", "cloud_monthly_usd"))]
     return d.select(
-        "request_id", "use_case_id", "use_case_name", "scenario", F.when(F.col("scenario") == "STRESS", STRESS_LABEL).otherwise(F.col("scenario")).alias("scenario_label"), *two.values(),
-        (F.col("pending_recurring_items") + F.col("pending_one_time_items")).alias("pending_items"), F.coalesce("pending", F.lit("")).alias("pending_detail"), "status", "area_states",
-        F.coalesce("confidence", F.lit("LOW")).alias("confidence"), F.coalesce("confidence_reason", F.lit("No recurring cost could be priced.")).alias("confidence_reason"),
-        F.lit("OK").alias("request_status"), F.lit("").alias("errors"), F.lit(VERSION).alias("calculator_version"), rate_source(rate_card).scalar().alias("rate_card_source"),
-        F.lit(DISCLAIMER).alias("disclaimer"))
+        "request_id", "use_case_id", priced(F.col("use_case_name")).alias("use_case_name"), x("scenario").alias("scenario"), F.when(x("scenario") == "STRESS", STRESS_LABEL).otherwise(x("scenario")).alias("scenario_label"), *two,
+        (x("pending_recurring_items") + x("pending_one_time_items")).alias("pending_items"), priced(F.col("pending")).alias("pending_detail"), x("status").alias("status"), priced(F.col("area_states")).alias("area_states"),
+        priced(F.col("rating")).alias("confidence"), priced(F.col("reason")).alias("confidence_reason"), "request_status", "errors", F.lit(VERSION).alias("calculator_version"),
+        priced(rate_source(rate_card).scalar()).alias("rate_card_source"), F.lit(DISCLAIMER).alias("disclaimer"))
+
+
+# ---- documents to results: one set of requests is checked, then priced or refused -------------------------------------------------------------
+def settled(judged: DataFrame) -> DataFrame:
+    """Judged documents (validate.judged) with what pricing needs of them, written once: request_id, named, texts, errors, request_status (OK, NEEDS_INPUT or REJECTED), the
+    document as its overrides have changed it where it is to be priced, and the id that was asked for. It is the one cut between the check's plan and the calculator's."""
+    ready = F.col("status") == "READY"
+    d = judged.select("request_id", "named", "texts", "errors", F.when(ready, "OK").otherwise(F.col("status")).alias("request_status"),
+                      F.when(ready, F.to_json("v")).alias("request_json"), F.coalesce(F.try_variant_get("v", "$.use_case_id", "string"), F.lit("ADHOC")).alias("asked_id"))
+    return sinks.overwrite(d, sinks.shared_folder(d.sparkSession))
+
 
+def settled_requests(documents: DataFrame) -> DataFrame:
+    """Settled documents as requests. One that is refused has no sections, so no lines, but keeps its use_case_id."""
+    return parse(documents).withColumn("use_case_id", F.coalesce("use_case_id", "asked_id")).drop("asked_id", "request_json")
 
-def refused_totals(totals: DataFrame, raw: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows of the totals table for requests that are not priced (NEEDS_INPUT or REJECTED): no scenario and no figures, but the status and
-    the errors. `verdicts` has request_id, status and errors; the columns are those of `totals`."""
-    own = {"request_id": F.col("request_id"), "use_case_id": F.coalesce(F.get_json_object("request_json", "$.use_case_id"), F.lit("ADHOC")),
-           "request_status": F.col("status"), "errors": F.col("errors"), "calculator_version": F.lit(VERSION), "disclaimer": F.lit(DISCLAIMER)}
-    d = raw.select("request_id", "request_json").join(verdicts.where("status <> 'READY'"), "request_id")
-    return d.select(*[own.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in totals.schema])
 
+def estimate_documents(documents: DataFrame, rate_card: DataFrame, conversions: DataFrame, as_of: str) -> DataFrame:
+    """Line items of settled documents, with all that totals_table() needs; a refused document keeps rows without a component. Nothing is shuffled."""
+    r = request_head(settled_requests(documents), F.coalesce("named", F.lit(False)))
+    return ln.line_items(r, rate_card, conversions, as_of, carry=(*HEAD, "scenarios", "calibration_allowed"), keep=True)
 
-def refused_details(verdicts: DataFrame) -> DataFrame:
-    """Sections ERROR and DISCLAIMER of requests that are not priced: a row per error."""
+
+def refused_details(requests: DataFrame) -> DataFrame:
+    """Sections ERROR and DISCLAIMER of requests (request_id, request_status, texts) that are not priced: a row per error."""
     none = F.lit(None).cast("string")
 
     def row(section: str, detail: Column) -> Column:
         return F.struct(F.lit(section).alias("section"), none.alias("component_id"), none.alias("item"), detail.alias("detail"))
     rows = F.concat(F.transform("texts", lambda e: row("ERROR", e)), F.array(row("DISCLAIMER", F.lit(DISCLAIMER))))
-    return verdicts.where("status <> 'READY'").select("request_id", F.explode(rows).alias("x")).select("request_id", "x.*")
+    return requests.where("request_status <> 'OK'").select("request_id", F.explode(rows).alias("x")).select("request_id", "x.*")
 
 
 def line_items(lines: DataFrame, scenario: str | None = None) -> DataFrame:
@@ -78,15 +124,12 @@ def rates_used(lines: DataFrame) -> DataFrame:
     return lines.where("rate IS NOT NULL").select("request_id", text.alias("rate_used")).distinct()
 
 
-def summary(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    """Plain-language summary per request; at most four scenario rows are gathered per request."""
-    order = F.array_position(F.array(*map(F.lit, SCENARIOS)), F.col("scenario"))
-    t = tt.totals(lines).withColumn("o", order)
-    reference = tt.reference_scenario(F.col("scenarios"))
-    rows = F.array_sort(F.collect_list(F.struct("o", "scenario", "recurring_monthly_usd", "one_time_usd", "pending_one_time_items", "first_year_usd", "annual_recurring_usd")))
-    g = t.groupBy("request_id").agg(rows.alias("t"))
-    d = (with_defaults(requests).select("request_id", "use_case_id", "use_case_name", "scope_included", "scope_excluded", reference.alias("ref")).join(g, "request_id")
-         .join(tt.confidence(lines).select("request_id", "rating", "reason"), "request_id", "left").join(joined_notes(tt.notes(lines)), "request_id", "left"))
+SUMMARY_HEAD = ("use_case_id", "use_case_name", "scope_included", "scope_excluded")
+
+
+def summary(lines: DataFrame) -> DataFrame:
+    """Plain-language summary per request, out of one grouping of its lines. `lines` carries scenarios, calibration_allowed and the columns of SUMMARY_HEAD."""
+    d = gathered(lines, SUMMARY_HEAD).where(F.size("t") > 0)
     monthly = F.array_join(F.transform("t", lambda x: F.concat(x["scenario"], F.lit(" "), money(x["recurring_monthly_usd"]))), "; ")
     once = F.array_join(F.transform("t", lambda x: F.concat(x["scenario"], F.lit(" "), money(x["one_time_usd"]))), "; ")
     chosen = F.get(F.filter("t", lambda x: x["scenario"] == F.col("ref")), 0)
@@ -96,14 +139,15 @@ def summary(requests: DataFrame, lines: DataFrame) -> DataFrame:
         return F.when(F.coalesce(c, F.lit("")) != "", F.concat(F.lit(f"{title}: "), c))
     parts = F.array_compact(F.array(
         F.concat(F.lit("Use case: "), "use_case_id", F.lit(" | "), "use_case_name"), F.concat(F.lit("Monthly: "), monthly), F.when(has_once, F.concat(F.lit("One-time: "), once)),
-        F.concat(F.lit("First year ("), "ref", F.lit("): "), money(chosen["first_year_usd"])), F.concat(F.lit("From year 2 on ("), "ref", F.lit("): "), money(chosen["annual_recurring_usd"])), F.concat(F.lit("Confidence: "), F.coalesce("rating", F.lit("LOW")), F.lit(" - "), F.coalesce("reason", F.lit("No recurring cost could be priced."))),
+        F.concat(F.lit("First year ("), "ref", F.lit("): "), money(chosen["first_year_usd"])), F.concat(F.lit("From year 2 on ("), "ref", F.lit("): "), money(chosen["annual_recurring_usd"])), F.concat(F.lit("Confidence: "), "rating", F.lit(" - "), "reason"),
         block("Pending", "pending"), block("Assumptions", "assumption"), block("Notes", "warning"),
         block("In scope", F.array_join("scope_included", "; ")), block("Out of scope", F.array_join("scope_excluded", "; ")), F.lit(DISCLAIMER)))
     return d.select("request_id", F.array_join(parts, "\n").alias("summary"))
 
 
 def details(requests: DataFrame, lines: DataFrame, named: Column) -> DataFrame:
-    """Explanations in one long form (request_id, section, component_id, item, detail). Sections out of the request itself are one explode."""
+    """Explanations in one long form (request_id, section, component_id, item, detail). Sections out of the request itself are one explode. `lines` is a written table that carries
+    scenarios, calibration_allowed and the columns of SUMMARY_HEAD."""
     none = F.lit(None).cast("string")
 
     def row(section: str, component=none, item=none, detail=none) -> Column:
@@ -125,7 +169,7 @@ def details(requests: DataFrame, lines: DataFrame, named: Column) -> DataFrame:
     c = compute.decisions(r).select("request_id", F.lit("COMPUTE_DECISION").alias("section"), "component_id", F.col("selected").alias("item"), text.alias("detail"))
     e = tt.confidence(lines).select("request_id", F.lit("CONFIDENCE").alias("section"), none.alias("component_id"), F.col("rating").alias("item"), F.col("reason").alias("detail"))
     f = rates_used(lines).select("request_id", F.lit("RATE").alias("section"), none.alias("component_id"), none.alias("item"), F.col("rate_used").alias("detail"))
-    g = summary(requests, lines).select("request_id", F.lit("SUMMARY").alias("section"), none.alias("component_id"), none.alias("item"), F.col("summary").alias("detail"))
+    g = summary(lines).select("request_id", F.lit("SUMMARY").alias("section"), none.alias("component_id"), none.alias("item"), F.col("summary").alias("detail"))
     out = a.select(*cols)
     for x in (b, c, e, f, g):
         out = out.unionByName(x)

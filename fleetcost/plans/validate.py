@@ -1,7 +1,7 @@
 """Input check of request documents: issue rows for a table of JSON texts.
 
-Documents are parsed once to VARIANT. Field checks work on a long table (request, section, field, value) joined to a small
-field dictionary; rules that look at several fields of one section stay inside the row as an array of issues.
+Documents are parsed once to VARIANT, changed there by their what-if overrides, and judged within their row: each rule gives an array of issues, out of the
+document, its entries or their fields. Nothing is joined or shuffled; issues become rows only where a caller asks for rows.
 """
 from __future__ import annotations
 
@@ -34,14 +34,6 @@ INTAKE_SKIP = ("component_id", "name", "evidence", "dbu_per_hour_basis", "dbu_pe
 ISSUE_COLUMNS = ("section", "component_id", "field", "issue", "blocking", "expected", "received", "question")
 
 
-def field_dictionary(spark: SparkSession) -> DataFrame:
-    """Known fields: (d_section, d_field, kind, choices, floor)."""
-    rows = [("request", f, k, None, None) for f, k in REQUEST_FIELDS.items()]
-    rows += [(s, f, _KIND[t], list(ENUMS[s, f]) if (s, f) in ENUMS else None, 1.0 if (s, f) in AT_LEAST_ONE else None) for s, fs in SECTIONS.items() for f, t in fs]
-    body = ", ".join(f"('{s}', '{f}', '{k}', {'array(' + ', '.join(repr(x) for x in c) + ')' if c else 'CAST(NULL AS ARRAY<STRING>)'}, {'CAST(NULL AS DOUBLE)' if m is None else f'{m}D'})" for s, f, k, c, m in rows)
-    return spark.sql(f"SELECT * FROM VALUES {body} AS d(d_section, d_field, kind, choices, floor)")
-
-
 def _issue(section: Column, cid: Column, field, issue: str, expected, received=None, blocking: bool = True, question=None) -> Column:
     field = field if isinstance(field, Column) else F.lit(field)
     received = F.lit(None) if received is None else received
@@ -58,28 +50,118 @@ def _part(v: Column, path: str) -> Column:
     return F.try_variant_get(v, f"$.{path}", "variant")
 
 
-def parsed(raw: DataFrame) -> DataFrame:
-    """Add `v`, the document as VARIANT (NULL when it is not JSON), and `is_object`."""
-    d = raw.withColumn("v", F.try_parse_json("request_json"))
-    return d.withColumn("is_object", F.coalesce(_kind_of(F.col("v")).startswith("OBJECT"), F.lit(False)))
+def _object(v: Column) -> Column:
+    """The fields of an object as a map; NULL for anything else."""
+    return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _rows(d: DataFrame, issues: Column) -> DataFrame:
-    """One row per issue of an array column expression."""
-    # explode_outer: the optimizer copies the whole array expression into a filter in front of a plain explode
-    return d.select("request_id", F.explode_outer(issues).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+def _is(v: Column, shape: str) -> Column:
+    return F.coalesce(_kind_of(v).startswith(shape), F.lit(False))
 
 
-def _json_issues() -> Column:
-    none, sec = F.lit(None).cast("string"), F.lit("request")
-    bad = F.when(F.col("v").isNull(), _issue(sec, none, "request", "NOT_JSON", "valid JSON", question=F.lit("The request is not valid JSON. Please correct it."))).when(
-        ~F.col("is_object"), _issue(sec, none, "request", "WRONG_TYPE", "a JSON object", F.to_json("v"), question=F.lit("Please send the request as a JSON object.")))
-    return F.array_compact(F.array(bad))
+def _no_issues() -> Column:
+    return F.array().cast(f"array<struct<{', '.join(f'{c}: ' + ('boolean' if c == 'blocking' else 'string') for c in ISSUE_COLUMNS)}>>")
 
 
-def not_json(d: DataFrame) -> DataFrame:
-    """Documents that are not JSON, or not an object."""
-    return _rows(d, _json_issues())
+def _found(*issues: Column) -> Column:
+    return F.array_compact(F.array(*issues))
+
+
+# ---- what-if overrides on the document itself --------------------------------------------------------------------------------
+_HEAD, _LAST = r"^(.*)\.[^.]*$", r"([^.]*)$"
+_COMPONENT = r"^processing\[(.*)\]$"
+
+
+def override_texts(overrides: DataFrame) -> DataFrame:
+    """Rows (request_id, path, value) as one override document per request: request_id, overrides_json. A value that is JSON is taken as such, any other as a text."""
+    value = F.coalesce(F.try_parse_json("value"), F.try_parse_json(F.to_json(F.array("value"))))
+    text = F.try_parse_json("value").isNull() & F.col("value").isNotNull()
+    given = F.when(text, F.try_variant_get(value, "$[0]", "variant")).when(F.col("value").isNull(), F.parse_json(F.lit("null"))).otherwise(value)
+    one = overrides.groupBy("request_id", "path").agg(F.max("value").alias("value"))
+    return one.groupBy("request_id").agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("path", given.alias("value"))))).alias("overrides_json"))
+
+
+def _patches() -> Column:
+    """The entries of an override document: path, the part before its last point (`head`), the rest (`field`), the component id if there is one, the value."""
+    def of(e: Column) -> Column:
+        head = F.when(e.key.contains("."), F.regexp_extract(e.key, _HEAD, 1))
+        return F.struct(e.key.alias("path"), head.alias("head"), F.regexp_extract(e.key, _LAST, 1).alias("field"), F.when(head.rlike(_COMPONENT), F.regexp_extract(head, _COMPONENT, 1)).alias("cid"), e.value.alias("value"))
+    return F.transform(F.map_entries(_object(F.col("o"))), of)
+
+
+def _names(component: Column, cid: Column) -> Column:
+    """Whether an override's component id means this component: its whole id, or the end of it after a hyphen."""
+    own = F.coalesce(F.try_variant_get(component, "$.component_id", "string"), F.lit(""))
+    return (own == cid) | own.endswith(F.concat(F.lit("-"), cid))
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value worked out once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _with(fields: Column, new: Column) -> Column:
+    """An object: the fields of a map, replaced or joined by entries (field, value), of which the last of a field counts."""
+    def joined(n: Column) -> Column:
+        kept = F.map_filter(F.coalesce(fields, F.create_map().cast("map<string,variant>")), lambda k, _: ~F.exists(n, lambda p: p.field == k))
+        last = F.filter(n, lambda p, at: ~F.exists(F.slice(n, at + 2, F.size(n)), lambda q: q.field == p.field))
+        return F.to_variant_object(F.map_concat(kept, F.map_from_entries(F.transform(last, lambda p: F.struct(p.field, p.value)))))
+    return _let(new, joined)
+
+
+def patched(d: DataFrame) -> DataFrame:
+    """Documents (v) with their override document (o) applied: top-level fields, whole sections, `section.field` (a missing section is created), `_areas.area` and
+    `processing[id].field`. A whole section is set before its fields. What can't be applied leaves the document as it was; override_issues() says so."""
+    d = d.withColumn("patches", _patches())
+    part = lambda keep: F.filter("patches", keep)
+    d = d.withColumns({"p_top": part(lambda p: p.head.isNull()), "p_section": part(lambda p: p.head.isNotNull() & p.cid.isNull()), "p_component": part(lambda p: p.cid.isNotNull())})
+    some = lambda c: F.col("is_object") & F.coalesce(F.size(c) > 0, F.lit(False))
+    fields = _object(F.col("v"))
+    d = d.withColumn("v", F.when(some("p_top"), _with(fields, F.col("p_top"))).otherwise(F.col("v")))
+
+    def section(head: Column) -> Column:
+        def filled(old: Column) -> Column:
+            free = old.isNull() | F.is_variant_null(old) | _is(old, "OBJECT")
+            return F.when(free, _with(_object(old), F.filter("p_section", lambda p: p.head == head))).otherwise(old)
+        return F.struct(head.alias("field"), _let(F.try_element_at(fields, head), filled).alias("value"))
+    heads = F.array_distinct(F.transform("p_section", lambda p: p.head))
+    d = d.withColumn("v", F.when(some("p_section"), _with(fields, F.transform(heads, section))).otherwise(F.col("v")))
+
+    def component(c: Column) -> Column:
+        own = lambda mine: F.when(_is(c, "OBJECT") & (F.size(mine) > 0), _with(_object(c), mine)).otherwise(c)
+        return _let(F.filter("p_component", lambda p: _names(c, p.cid)), own)
+    listed = F.transform(F.try_variant_get("v", "$.processing", "array<variant>"), component)
+    whole = F.array(F.struct(F.lit("processing").alias("field"), F.to_variant_object(listed).alias("value")))
+    d = d.withColumn("v", F.when(some("p_component") & _is(_part(F.col("v"), "processing"), "ARRAY"), _with(fields, whole)).otherwise(F.col("v")))
+    return d.drop("p_top", "p_section", "p_component")
+
+
+def _override_issues() -> Column:
+    """Of an override document: no JSON object, a component the request does not have, a field of something that is not an object."""
+    none, sec = F.lit(None).cast("string"), F.lit("overrides")
+    want = "an object of field: value pairs"
+    bad = F.when(F.col("overrides_json").isNotNull() & F.col("o").isNull(), _issue(sec, none, "overrides", "NOT_JSON", "valid JSON", question=F.lit("The changes are not valid JSON. Please send them as field: value pairs."))).when(
+        F.col("o").isNotNull() & ~_is(F.col("o"), "OBJECT"), _issue(sec, none, "overrides", "INVALID_VALUE", want, F.to_json("o"), question=F.lit("Please send the changes as field: value pairs.")))
+    have = F.coalesce(F.try_variant_get("v", "$.processing", "array<variant>"), F.array().cast("array<variant>"))
+
+    def lost(p: Column) -> Column:
+        unknown = p.cid.isNotNull() & ~F.exists(have, lambda c: _names(c, p.cid))
+        part = F.try_element_at(_object(F.col("v")), p.head)
+        closed = p.cid.isNull() & p.head.isNotNull() & part.isNotNull() & ~F.is_variant_null(part) & ~_is(part, "OBJECT")
+        return F.when(unknown, _issue(sec, p.cid, p.path, "INVALID_VALUE", "a processing component of the request", F.to_json(p.value))).when(
+            closed, _issue(sec, none, p.path, "INVALID_VALUE", "a field of an object", F.to_json(p.value)))
+    return F.concat(_found(bad), F.coalesce(F.when(F.col("is_object"), F.array_compact(F.transform("patches", lost))), _no_issues()))
+
+
+# ---- documents, parsed once ----------------------------------------------------------------------------------------------------
+def parsed(raw: DataFrame) -> DataFrame:
+    """Add `v`, the document as VARIANT (NULL when it is not JSON) with its override document applied, `is_object`, `o` and `patches` (NULL without overrides_json)."""
+    d = raw.withColumn("v", F.try_parse_json("request_json"))
+    d = d.withColumn("is_object", _is(F.col("v"), "OBJECT"))
+    if "overrides_json" not in raw.columns:
+        return d
+    text = F.nullif(F.trim("overrides_json"), F.lit(""))
+    return patched(d.withColumn("overrides_json", text).withColumn("o", F.try_parse_json("overrides_json")))
 
 
 def scenario_list(d: DataFrame) -> DataFrame:
@@ -93,25 +175,39 @@ def scenario_list(d: DataFrame) -> DataFrame:
     return d.withColumns({"scenarios_ok": missing | F.coalesce(good, F.lit(False)), "scenarios": F.when(~missing & F.coalesce(good, F.lit(False)) & (F.size(s) > 0), s).otherwise(default)})
 
 
-def items(d: DataFrame) -> DataFrame:
-    """One row per section entry (request_id, scenarios, section, label, item), the document itself as section `request`."""
+def _items() -> Column:
+    """The entries of all sections of a document: section, label, item, whether it is an object (`ok`), and the id to report (`cid`); the document itself first, as section `request`."""
+    def entry(section: str, label: Column, item: Column) -> Column:
+        own = F.try_variant_get(item, "$.component_id", "string")
+        text = F.coalesce(_kind_of(_part(item, "component_id")) == "STRING", F.lit(False))
+        cid = label if section == "request" else F.when(text, own).otherwise(label)
+        return F.struct(F.lit(section).alias("section"), label.alias("label"), item.alias("item"), _is(item, "OBJECT").alias("ok"), cid.alias("cid"))
+
     def entries(name: str) -> Column:
         if name in LIST_SECTIONS:
-            return F.transform(F.try_variant_get(F.col("v"), f"$.{name}", "array<variant>"),
-                               lambda x, n: F.struct(F.lit(name).alias("section"), F.concat(F.lit(f"{name}["), n.cast("string"), F.lit("]")).alias("label"), x.alias("item")))
+            return F.transform(F.try_variant_get(F.col("v"), f"$.{name}", "array<variant>"), lambda x, n: entry(name, F.concat(F.lit(f"{name}["), n.cast("string"), F.lit("]")), x))
         part = _part(F.col("v"), name)
-        return F.when(_kind_of(part).startswith("OBJECT"), F.array(F.struct(F.lit(name).alias("section"), F.lit(name).alias("label"), part.alias("item"))))
-    own = F.array(F.struct(F.lit("request").alias("section"), F.lit(None).cast("string").alias("label"), F.col("v").alias("item")))
-    empty = F.slice(own, 1, 0)
-    every = F.concat(own, *[F.coalesce(entries(n), empty) for n in SECTIONS])
-    x = d.where("is_object").select("request_id", "scenarios", F.explode_outer(every).alias("x")).where("x IS NOT NULL").select("request_id", "scenarios", "x.*")
-    cid = F.try_variant_get("item", "$.component_id", "string")
-    text = _kind_of(_part(F.col("item"), "component_id")) == "STRING"
-    return x.withColumns({"ok": _kind_of(F.col("item")).startswith("OBJECT"), "cid": F.when((F.col("section") != "request") & F.coalesce(text, F.lit(False)), cid).otherwise(F.col("label"))})
+        return F.when(_is(part, "OBJECT"), F.array(entry(name, F.lit(name), part)))
+    own = F.array(entry("request", F.lit(None).cast("string"), F.col("v")))
+    return F.when(F.col("is_object"), F.concat(own, *[F.coalesce(entries(n), F.slice(own, 1, 0)) for n in SECTIONS]))
+
+
+def documents(raw: DataFrame, conversions: DataFrame) -> DataFrame:
+    """The documents with all that the rules look at: v, is_object, scenarios, items, and the priced models as one small array (bounded by the conversion table)."""
+    known = conversions.agg(F.sort_array(F.collect_set(F.concat("serving_mode", F.lit("/"), "model")))).scalar()
+    return scenario_list(parsed(raw)).withColumn("items", _items()).withColumn("priced_models", known)
+
+
+# ---- rules: each gives an array of the issues of one document ------------------------------------------------------------------
+def _json_issues() -> Column:
+    """Documents that are not JSON, or not an object."""
+    none, sec = F.lit(None).cast("string"), F.lit("request")
+    return _found(F.when(F.col("v").isNull(), _issue(sec, none, "request", "NOT_JSON", "valid JSON", question=F.lit("The request is not valid JSON. Please correct it."))).when(
+        ~F.col("is_object"), _issue(sec, none, "request", "WRONG_TYPE", "a JSON object", F.to_json("v"), question=F.lit("Please send the request as a JSON object."))))
 
 
 def _shape_issues() -> Column:
-    """Of a document: sections that are not a list or object, an invalid scenario list, areas that are not an object."""
+    """Sections that are not a list or object, entries that are not an object, an invalid scenario list, areas that are not an object."""
     v, none = F.col("v"), F.lit(None).cast("string")
 
     def check(name: str) -> Column:
@@ -121,67 +217,61 @@ def _shape_issues() -> Column:
         return F.when(bad, _issue(F.lit(name), none, name, "WRONG_TYPE", text, F.to_json(part)))
     areas = _part(v, "_areas")
     bad_areas = areas.isNotNull() & ~F.is_variant_null(areas) & ~_kind_of(areas).startswith("OBJECT")
-    found = [*[check(n) for n in SECTIONS], F.when(~F.col("scenarios_ok"), _issue(F.lit("request"), none, "scenarios", "INVALID_VALUE", "a list of " + ", ".join(SCENARIOS), F.to_json(_part(v, "scenarios")))),
-             F.when(bad_areas, _issue(F.lit("request"), none, "_areas", "WRONG_TYPE", "an object from area to state", F.to_json(areas)))]
-    return F.array_compact(F.array(*found))
-
-
-def _entry_shape_issues() -> Column:
-    """Of an entry: not an object."""
-    none = F.lit(None).cast("string")
-    return F.array_compact(F.array(F.when(~F.col("ok"), _issue(F.col("section"), none, F.col("label"), "WRONG_TYPE", "a JSON object", F.to_json("item")))))
-
-
-def wrong_sections(d: DataFrame) -> DataFrame:
-    """Wrong shapes of sections, entries, scenario list and areas."""
-    return _rows(d.where("is_object"), _shape_issues()).unionByName(_rows(items(d), _entry_shape_issues()))
+    entries = F.transform(F.filter("items", lambda x: ~x.ok), lambda x: _issue(x.section, none, x.label, "WRONG_TYPE", "a JSON object", F.to_json(x.item)))
+    return F.concat(_found(*[check(n) for n in SECTIONS], F.when(~F.col("scenarios_ok"), _issue(F.lit("request"), none, "scenarios", "INVALID_VALUE", "a list of " + ", ".join(SCENARIOS), F.to_json(_part(v, "scenarios")))),
+                           F.when(bad_areas, _issue(F.lit("request"), none, "_areas", "WRONG_TYPE", "an object from area to state", F.to_json(areas)))), entries)
 
 
-def fields(d: DataFrame) -> DataFrame:
-    """Long table of all stated, non-null fields: (request_id, section, cid, field, value, t)."""
-    x = items(d).where("ok").select("request_id", "section", "cid", "item")
-    f = d.sparkSession.sql("SELECT i.request_id, i.section, i.cid, f.key AS field, f.value AS value FROM {x} i, LATERAL variant_explode(i.item) f", x=x)
-    outer = F.col("section").eqNullSafe("request") & F.col("field").isin("assumptions", *SECTIONS)
-    return f.where(~outer & ~F.col("field").startswith("_")).withColumn("t", _kind_of(F.col("value")))
+def _known_fields() -> tuple[Column, Column]:
+    """Maps from `section.field` to (kind, choices, floor), and from section to its field names in order."""
+    rows = [("request", f, k, None, None) for f, k in REQUEST_FIELDS.items()]
+    rows += [(s, f, _KIND[t], ENUMS.get((s, f)), 1.0 if (s, f) in AT_LEAST_ONE else None) for s, fs in SECTIONS.items() for f, t in fs]
+    choices = lambda c: F.array(*map(F.lit, c)) if c else F.lit(None).cast("array<string>")
+    fields = F.create_map(*[x for s, f, k, c, m in rows for x in (F.lit(f"{s}.{f}"), F.struct(F.lit(k).alias("kind"), choices(c).alias("choices"), F.lit(m).cast("double").alias("floor")))])
+    names = F.create_map(*[x for s in ("request", *SECTIONS) for x in (F.lit(s), F.array(*map(F.lit, sorted(f for o, f, *_ in rows if o == s))))])
+    return fields, names
 
 
-def field_issues(d: DataFrame) -> DataFrame:
+def _field_issues() -> Column:
     """Unknown fields (with the nearest known name), wrong types, negative numbers, unknown choices, values below their floor."""
-    spark = d.sparkSession
-    dic = field_dictionary(spark)
-    f = fields(d).join(dic, (F.col("section") == F.col("d_section")) & (F.col("field") == F.col("d_field")), "left")
-    names = dic.groupBy(F.col("d_section").alias("n_section")).agg(F.sort_array(F.collect_list("d_field")).alias("known"))
-    f = f.join(names, F.col("section") == F.col("n_section"))
-    sec, cid, name, t, kind = F.col("section"), F.col("cid"), F.col("field"), F.col("t"), F.col("kind")
-    got, number = F.to_json("value"), t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-    val = F.when(number, F.try_variant_get("value", "$", "double"))
-    near = F.array_min(F.transform("known", lambda k: F.struct(F.levenshtein(k, F.col("field")).alias("distance"), k.alias("name"))))
-    close = near["distance"] <= F.greatest(F.lit(1), F.floor(F.length("field") * 0.4))
-    unknown_question = F.concat(name, F.lit(" is not a field of "), sec, F.when(close, F.concat(F.lit(": is "), near["name"], F.lit(" meant?"))).otherwise(": please remove or rename it."))
-    numeric = kind.isin("number", "whole")
-    bad_map = ~t.startswith("OBJECT") | t.rlike(": (STRING|BOOLEAN|VOID|ARRAY|OBJECT)")
-    wrong = ((numeric & ~number) | ((kind == "flag") & (t != "BOOLEAN")) | ((kind == "text") & (t != "STRING")) | ((kind == "map") & bad_map) | ((kind == "list") & ~t.startswith("ARRAY"))
-             | ((kind == "whole") & (val >= 0) & (val != F.floor(val))))
-    expected = F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv])[kind]
-    first = (F.when(kind.isNull(), _issue(sec, cid, name, "UNKNOWN_FIELD", F.array_join("known", ", "), F.concat(F.lit('"'), name, F.lit('"')), question=unknown_question))
-             .when(t == "VOID", None)
-             .when((kind == "list") & (name == "scenarios"), None)      # reported with the scenario list
-             .when(wrong, _issue(sec, cid, name, "WRONG_TYPE", expected, got))
-             .when(numeric & (val < 0), _issue(sec, cid, name, "INVALID_VALUE", "a number of 0 or more", got)))
-    enum = F.when((t == "STRING") & F.col("choices").isNotNull() & ~F.array_contains("choices", F.try_variant_get("value", "$", "string")),
-                  _issue(sec, cid, name, "INVALID_VALUE", F.concat(F.lit("one of "), F.array_join("choices", ", ")), got))
-    low = F.when(val < F.col("floor"), _issue(sec, cid, name, "INVALID_VALUE", "1 or more", got))
-    return f.select("request_id", F.explode(F.array_compact(F.array(first, enum, low))).alias("x")).select("request_id", "x.*")
-
-
-def _with_models(entries: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Add the priced models as one small array (bounded by the conversion table)."""
-    known = conversions.agg(F.sort_array(F.collect_set(F.concat("serving_mode", F.lit("/"), "model")))).scalar()
-    return entries.withColumn("priced_models", known)
+    known, names = _known_fields()
+    expected = F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv])
+
+    def judge(x: Column, e: Column) -> Column:
+        sec, cid, name, value = x.section, x.cid, e.key, e.value
+        d, t, near_names = F.try_element_at(known, F.concat(sec, F.lit("."), name)), _kind_of(value), names[sec]
+        kind, got, number = d["kind"], F.to_json(value), t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+        val = F.when(number, F.try_variant_get(value, "$", "double"))
+        near = F.array_min(F.transform(near_names, lambda k: F.struct(F.levenshtein(k, name).alias("distance"), k.alias("name"))))
+        close = near["distance"] <= F.greatest(F.lit(1), F.floor(F.length(name) * 0.4))
+        unknown_question = F.concat(name, F.lit(" is not a field of "), sec, F.when(close, F.concat(F.lit(": is "), near["name"], F.lit(" meant?"))).otherwise(": please remove or rename it."))
+        numeric = kind.isin("number", "whole")
+        bad_map = ~t.startswith("OBJECT") | t.rlike(": (STRING|BOOLEAN|VOID|ARRAY|OBJECT)")
+        wrong = ((numeric & ~number) | ((kind == "flag") & (t != "BOOLEAN")) | ((kind == "text") & (t != "STRING")) | ((kind == "map") & bad_map) | ((kind == "list") & ~t.startswith("ARRAY"))
+                 | ((kind == "whole") & (val >= 0) & (val != F.floor(val))))
+        first = (F.when(kind.isNull(), _issue(sec, cid, name, "UNKNOWN_FIELD", F.array_join(near_names, ", "), F.concat(F.lit('"'), name, F.lit('"')), question=unknown_question))
+                 .when(t == "VOID", None)
+                 .when((kind == "list") & (name == "scenarios"), None)      # reported with the scenario list
+                 .when(wrong, _issue(sec, cid, name, "WRONG_TYPE", expected[kind], got))
+                 .when(numeric & (val < 0), _issue(sec, cid, name, "INVALID_VALUE", "a number of 0 or more", got)))
+        enum = F.when((t == "STRING") & d["choices"].isNotNull() & ~F.array_contains(d["choices"], F.try_variant_get(value, "$", "string")),
+                      _issue(sec, cid, name, "INVALID_VALUE", F.concat(F.lit("one of "), F.array_join(d["choices"], ", ")), got))
+        return _found(first, enum, F.when(val < d["floor"], _issue(sec, cid, name, "INVALID_VALUE", "1 or more", got)))
+
+    def entry(x: Column) -> Column:
+        outer = (x.section == "request") & F.lit(True)
+        stated = F.filter(F.map_entries(_object(x.item)), lambda e: ~e.key.startswith("_") & ~(outer & e.key.isin("assumptions", *SECTIONS)))
+        return F.flatten(F.transform(stated, lambda e: judge(x, e)))
+    return F.flatten(F.transform(F.filter("items", lambda x: x.ok), entry))
 
 
 def _entry_issues() -> Column:
-    sec, cid, item, scen = F.col("section"), F.col("cid"), F.col("item"), F.col("scenarios")
+    """Missing required fields, range rules, unknown models: rules over several fields of one entry."""
+    return F.flatten(F.transform(F.filter("items", lambda x: x.ok), _one_entry))
+
+
+def _one_entry(x: Column) -> Column:
+    sec, cid, item, scen = x.section, x.cid, x.item, F.col("scenarios")
 
     def text(f: str) -> Column:
         return F.try_variant_get(item, f"$.{f}", "string")
@@ -190,7 +280,7 @@ def _entry_issues() -> Column:
         return text(f).isNull()
 
     def stated(f: str) -> Column:      # named in the document, also with null
-        return F.array_contains(F.json_object_keys(F.to_json(item)), f)
+        return F.map_contains_key(_object(item), f)
 
     def missing(f: str, condition: Column = F.lit(True)) -> Column:
         return F.when(condition & absent(f), _issue(sec, cid, f, "MISSING", "required"))
@@ -220,32 +310,19 @@ def _entry_issues() -> Column:
     found.append(F.when(model & other, _issue(sec, cid, "serving_mode", "INVALID_VALUE", "PAY_PER_TOKEN", F.concat(F.lit('"'), mode, F.lit('"')))))
     found.append(F.when(model & ~other & is_text & ~F.array_contains(F.col("priced_models"), F.concat(mode, F.lit("/"), text("model"))),
                         _issue(sec, cid, "model", "INVALID_VALUE", "a model with a conversion", F.concat(F.lit('"'), text("model"), F.lit('"')))))
-    return F.array_compact(F.array(*found))
-
-
-def section_issues(d: DataFrame, conversions: DataFrame) -> DataFrame:
-    """Missing required fields, range rules, unknown models: rules over several fields of one entry."""
-    return _rows(_with_models(items(d), conversions).where("ok"), _entry_issues())
+    return _found(*found)
 
 
 def _area_issues() -> Column:
+    """Unknown areas, bad states, contradictions between states and inputs, unconfirmed areas, nothing to estimate."""
     v, none, sec = F.col("v"), F.lit(None).cast("string"), F.lit("request")
-    is_map = F.coalesce(_kind_of(_part(v, "_areas")).startswith("OBJECT"), F.lit(False))
-    raw = F.when(is_map, F.try_variant_get(v, "$._areas", "map<string,string>"))
-
-    def size(name: str) -> Column:
-        return F.coalesce(F.size(F.try_variant_get(v, f"$.{name}", "array<variant>")), F.lit(0))
+    raw = F.when(_is(_part(v, "_areas"), "OBJECT"), F.try_variant_get(v, "$._areas", "map<string,string>"))
 
     def given(name: str) -> Column:
         part = _part(v, name)
         there = part.isNotNull() & ~F.is_variant_null(part)
-        return there & (size(name) > 0) if name in LIST_SECTIONS else there
-
-    def entries(name: str) -> Column:      # entries that are objects
-        if name in LIST_SECTIONS:
-            return F.coalesce(F.size(F.filter(F.try_variant_get(v, f"$.{name}", "array<variant>"), lambda e: F.schema_of_variant(e).startswith("OBJECT"))), F.lit(0))
-        return F.coalesce(_kind_of(_part(v, name)).startswith("OBJECT"), F.lit(False)).cast("int")
-    present = sum((entries(n) for n in SECTIONS), F.lit(0))
+        return there & (F.coalesce(F.size(F.try_variant_get(v, f"$.{name}", "array<variant>")), F.lit(0)) > 0) if name in LIST_SECTIONS else there
+    present = F.exists("items", lambda x: x.ok & (x.section != "request"))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
     unknown = F.transform(F.array_except(F.map_keys(raw), F.array(*map(F.lit, AREAS))), lambda k: _issue(sec, none, F.concat(F.lit("_areas."), k), "UNKNOWN_FIELD", ", ".join(AREAS), F.concat(F.lit('"'), k, F.lit('"'))))
     found, open_areas = [], []
@@ -257,61 +334,65 @@ def _area_issues() -> Column:
                      .when(~given(a) & (state == "INCLUDED"), _issue(F.lit(a), none, a, "MISSING", "required: the area is included but has no inputs")))
         open_areas.append(F.when(state.isNull() & ~given(a), F.lit(a)))
     unconfirmed = F.array_join(F.array_compact(F.array(*open_areas)), ",")
-    found.append(F.when((unconfirmed != "") & (present > 0), _issue(sec, none, "_areas", "AREA_UNCONFIRMED", "a state for each area", quoted(unconfirmed))))
+    found.append(F.when((unconfirmed != "") & present, _issue(sec, none, "_areas", "AREA_UNCONFIRMED", "a state for each area", quoted(unconfirmed))))
     included = F.coalesce(F.exists(F.map_values(raw), lambda s: F.upper(s) == "INCLUDED"), F.lit(False))
-    found.append(F.when((present == 0) & ~included, _issue(sec, none, "workload", "NO_WORKLOAD", "at least one section", question=F.lit("What should be estimated?"))))
-    return F.concat(F.array_compact(F.array(*found)), F.coalesce(unknown, _no_issues()))
+    found.append(F.when(~present & ~included, _issue(sec, none, "workload", "NO_WORKLOAD", "at least one section", question=F.lit("What should be estimated?"))))
+    return F.concat(_found(*found), F.coalesce(unknown, _no_issues()))
 
 
-def _no_issues() -> Column:
-    return F.array().cast(f"array<struct<{', '.join(f'{c}: ' + ('boolean' if c == 'blocking' else 'string') for c in ISSUE_COLUMNS)}>>")
+def _duplicate_issues() -> Column:
+    """Component ids that occur more than once in a request."""
+    named = F.filter("items", lambda x: x.ok & x.section.isin("processing", "sql", "model_endpoints", "one_time_model_jobs"))
+    ids = F.array_compact(F.transform(named, lambda x: F.try_variant_get(x.item, "$.component_id", "string")))
+    again = F.filter(F.array_distinct(ids), lambda i: F.size(F.filter(ids, lambda j: j == i)) > 1)
+    return F.transform(again, lambda i: _issue(F.lit("request"), F.lit(None), "component_id", "INVALID_VALUE", "unique component ids", F.concat(F.lit('"'), i, F.lit('"'))))
 
 
-def area_issues(d: DataFrame) -> DataFrame:
-    """Unknown areas, bad states, contradictions between states and inputs, unconfirmed areas, nothing to estimate."""
-    return _rows(d.where("is_object"), _area_issues())
+def _assumption_issues() -> Column:
+    """Unknown assumptions, wrong shapes, negative values, unknown scenarios, no users per band."""
+    def judge(e: Column) -> Column:
+        name, value = e.key, e.value
+        t, val = _kind_of(value), F.try_variant_get(value, "$", "double")
+        scalar, mapped = name.isin(*ASSUMPTION_SCALARS), name.isin(*ASSUMPTION_MAPS)
+        entries = F.try_variant_get(value, "$", "map<string,double>")
+        foreign = F.size(F.array_except(F.map_keys(entries), F.array(*map(F.lit, SCENARIOS)))) > 0
+        reason = (F.when(~scalar & ~mapped, "unknown assumption").when(scalar & t.rlike("^(OBJECT|ARRAY)"), "must be a single number").when(mapped & ~t.startswith("OBJECT"), "must be a scenario map")
+                  .when(scalar & (val < 0), "must not be negative").when((name == "sql_users_per_capacity_band") & (val <= 0), "must be greater than zero")
+                  .when(mapped & foreign, "unknown scenario").when(mapped & F.exists(F.map_values(entries), lambda z: z < 0), "must not be negative"))
+        return F.when(reason.isNotNull(), _issue(F.lit("request"), F.lit(None), F.concat(F.lit("assumptions."), name), "INVALID_VALUE", reason, F.to_json(value)))
+    given = F.filter(F.map_entries(_object(_part(F.col("v"), "assumptions"))), lambda e: ~e.key.startswith("_"))
+    return F.coalesce(F.array_compact(F.transform(given, judge)), _no_issues())
 
 
-def duplicate_issues(d: DataFrame) -> DataFrame:
-    """Component ids that occur more than once in a request."""
-    x = items(d).where("ok AND section IN ('processing', 'sql', 'model_endpoints', 'one_time_model_jobs')").select("request_id", F.try_variant_get("item", "$.component_id", "string").alias("id"))
-    g = x.where("id IS NOT NULL").groupBy("request_id", "id").agg(F.count("*").alias("n")).where("n > 1")
-    return g.select("request_id", _issue(F.lit("request"), F.lit(None), "component_id", "INVALID_VALUE", "unique component ids", F.concat(F.lit('"'), "id", F.lit('"'))).alias("x")).select("request_id", "x.*")
+RULES = {"json": _json_issues, "shape": _shape_issues, "fields": _field_issues, "entries": _entry_issues, "areas": _area_issues, "duplicates": _duplicate_issues, "assumptions": _assumption_issues}
 
 
-def assumption_issues(d: DataFrame) -> DataFrame:
-    """Unknown assumptions, wrong shapes, negative values, unknown scenarios, no users per band."""
-    part = _part(F.col("v"), "assumptions")
-    x = d.where("is_object").select("request_id", part.alias("a")).where(F.coalesce(_kind_of(F.col("a")).startswith("OBJECT"), F.lit(False)))
-    f = d.sparkSession.sql("SELECT i.request_id, f.key AS field, f.value AS value FROM {x} i, LATERAL variant_explode(i.a) f", x=x).withColumn("t", _kind_of(F.col("value")))
-    t, val = F.col("t"), F.try_variant_get("value", "$", "double")
-    scalar, mapped = F.col("field").isin(*ASSUMPTION_SCALARS), F.col("field").isin(*ASSUMPTION_MAPS)
-    entries = F.try_variant_get("value", "$", "map<string,double>")
-    foreign = F.size(F.array_except(F.map_keys(entries), F.array(*map(F.lit, SCENARIOS)))) > 0
-    reason = (F.when(~scalar & ~mapped, "unknown assumption").when(scalar & t.rlike("^(OBJECT|ARRAY)"), "must be a single number").when(mapped & ~t.startswith("OBJECT"), "must be a scenario map")
-              .when(scalar & (val < 0), "must not be negative").when((F.col("field") == "sql_users_per_capacity_band") & (val <= 0), "must be greater than zero")
-              .when(mapped & foreign, "unknown scenario").when(mapped & F.exists(F.map_values(entries), lambda z: z < 0), "must not be negative"))
-    return f.where(~F.col("field").startswith("_")).select("request_id", F.when(reason.isNotNull(), _issue(F.lit("request"), F.lit(None), F.concat(F.lit("assumptions."), "field"), "INVALID_VALUE", reason, F.to_json("value"))).alias("x")).where(
-        "x IS NOT NULL").select("request_id", "x.*")
-
-
-def check(raw: DataFrame, conversions: DataFrame) -> DataFrame:
-    """All issue rows of all requests: request_id and the eight issue columns."""
-    d = scenario_list(parsed(raw))
-    whole = F.concat(_json_issues(), F.when(F.col("is_object"), F.concat(_shape_issues(), _area_issues())).otherwise(_no_issues()))
-    entry = F.concat(_entry_shape_issues(), F.when(F.col("ok"), _entry_issues()).otherwise(_no_issues()))
-    out = _rows(d, whole)
-    for part in (_rows(_with_models(items(d), conversions), entry), field_issues(d), duplicate_issues(d), assumption_issues(d)):
-        out = out.unionByName(part)
-    return out
-
-
-def verdicts(raw: DataFrame, issues: DataFrame) -> DataFrame:
-    """READY or NEEDS_INPUT per request, with the number of issues and the blocking ones as text."""
-    text = F.concat("issue", F.lit(" "), "field")
-    g = issues.groupBy("request_id").agg(F.bool_or("blocking").alias("blocked"), F.count("*").alias("issues"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("blocking"), text))), "; ").alias("questions"))
-    d = raw.select("request_id").join(g, "request_id", "left")
-    return d.select("request_id", F.when(F.coalesce("blocked", F.lit(False)), "NEEDS_INPUT").otherwise("READY").alias("status"), F.coalesce("issues", F.lit(0)).alias("issues"), F.coalesce("questions", F.lit("")).alias("questions"))
+def checked(raw: DataFrame, conversions: DataFrame, *rules: str) -> DataFrame:
+    """The rows of `raw` (request_id, request_json, perhaps overrides_json) with v, is_object and `issues`, an array of all that the named rules (all without a
+    name) find. A document is parsed once and judged within its row: nothing is shuffled.
+
+    With overrides_json the document is judged as changed by it. An override text that is no JSON is the only issue of its request.
+    """
+    d = documents(raw, conversions)
+    found = [F.when(F.col("is_object"), RULES[r]()).otherwise(_no_issues()) if r != "json" else RULES[r]() for r in rules or RULES]
+    issues = F.concat(*found)
+    if "overrides_json" in raw.columns and not rules:
+        own = _override_issues()
+        issues = F.when(F.col("overrides_json").isNotNull() & F.col("o").isNull(), own).otherwise(F.concat(own, issues))
+    return d.select(*[F.col(c) for c in raw.columns], "v", "is_object", issues.alias("issues"))
+
+
+def check(raw: DataFrame, conversions: DataFrame, *rules: str) -> DataFrame:
+    """The issues as rows: request_id and the eight issue columns."""
+    # explode_outer: the optimizer copies the whole array expression into a filter in front of a plain explode
+    return checked(raw, conversions, *rules).select("request_id", F.explode_outer("issues").alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+
+
+def verdicts(checked_: DataFrame) -> DataFrame:
+    """READY or NEEDS_INPUT per checked document, with the number of issues and the blocking ones as text."""
+    stops = F.filter("issues", lambda x: x.blocking)
+    text = F.array_join(F.array_sort(F.array_distinct(F.transform(stops, lambda x: F.concat(x.issue, F.lit(" "), x.field)))), "; ")
+    return checked_.select("request_id", F.when(F.size(stops) > 0, "NEEDS_INPUT").otherwise("READY").alias("status"), F.size("issues").cast("long").alias("issues"), text.alias("questions"))
 
 
 # Checked fields whose content the calculator takes as it is, and sections it builds without asking for a field.
@@ -319,39 +400,36 @@ TAKEN_AS_GIVEN = ("streaming_mode", "latency_requirement", "serving_mode", "mode
 BUILT_WITHOUT = ("storage", "transfer")
 
 
-def refused() -> Column:
+def refused(x: Column) -> Column:
     """True for issues that the calculator itself refuses: no JSON, wrong types and names, negative numbers, unknown workload types and
-    scenarios, duplicates, bad assumptions and missing constructor fields. The other rules ask for what only the input check wants."""
-    field, issue = F.col("field"), F.col("issue")
+    scenarios, duplicates, bad assumptions and overrides, and missing constructor fields. The other rules ask for what only the input check wants."""
+    field, issue = x.field, x.issue
     area = field.startswith("_areas")
-    fraction = (F.col("expected") == EXPECTED["whole"]) & F.col("received").try_cast("double").isNotNull()
+    fraction = (x.expected == EXPECTED["whole"]) & x.received.try_cast("double").isNotNull()
     built = F.lit(False)
     for s, fs in REQUIRED.items():
         if s not in BUILT_WITHOUT:
-            built = built | ((F.col("section") == s) & field.isin(*fs))
+            built = built | ((x.section == s) & field.isin(*fs))
     return (F.when(issue == "NOT_JSON", True).when(issue == "UNKNOWN_FIELD", ~area).when(issue == "WRONG_TYPE", ~area & ~F.coalesce(fraction, F.lit(False)))
-            .when(issue == "INVALID_VALUE", ~area & ~field.isin(*TAKEN_AS_GIVEN) & (F.col("expected") != "1 or more")).when(issue == "MISSING", built).otherwise(False))
+            .when(issue == "INVALID_VALUE", (~area | (x.section == "overrides")) & ~field.isin(*TAKEN_AS_GIVEN) & (x.expected != "1 or more")).when(issue == "MISSING", built).otherwise(False))
 
 
-def judged(raw: DataFrame, issues: DataFrame, named: Column) -> DataFrame:
-    """Rows (request_id, named, status, issues, texts, errors), one per request, in one aggregation of its issues; errors are the texts joined.
+def judged(checked_: DataFrame, named: Column) -> DataFrame:
+    """Checked documents with named, status, issues (their number), texts and errors (the texts joined).
 
     `named` false: a new document, every blocking issue counts and leads to NEEDS_INPUT. True: a loaded use case, whose completeness was
     settled when it was loaded, so only what the calculator refuses counts. Null: no check was asked for; what the calculator refuses is
     REJECTED. Without such an issue the request is READY.
     """
-    text = F.concat("issue", F.lit(" "), "field", F.coalesce(F.concat(F.lit(" ("), "component_id", F.lit(")")), F.lit("")),
-                    F.coalesce(F.concat(F.lit(", received "), "received"), F.lit("")))
-
-    def found(p: str, counts: Column, stops: Column) -> list[Column]:
-        return [F.count_if(counts).alias(f"{p}_n"), F.array_sort(F.collect_set(F.when(stops, text))).alias(f"{p}_text")]
-    g = issues.withColumn("refused", refused()).groupBy("request_id").agg(*found("all", F.lit(True), F.col("blocking")), *found("own", F.col("refused"), F.col("refused")))
-    d = raw.select("request_id", named.alias("named")).join(g, "request_id", "left")
+    def text(x: Column) -> Column:
+        return F.concat(x.issue, F.lit(" "), x.field, F.coalesce(F.concat(F.lit(" ("), x.component_id, F.lit(")")), F.lit("")), F.coalesce(F.concat(F.lit(", received "), x.received), F.lit("")))
     adhoc = F.col("named").eqNullSafe(F.lit(False))
-    texts = F.coalesce(F.when(adhoc, F.col("all_text")).otherwise(F.col("own_text")), F.array().cast("array<string>"))
-    status = F.when(F.size(texts) == 0, "READY").when(F.col("named").isNull(), "REJECTED").otherwise("NEEDS_INPUT")
-    return d.select("request_id", "named", status.alias("status"), F.coalesce(F.when(adhoc, F.col("all_n")).otherwise(F.col("own_n")), F.lit(0)).alias("issues"),
-                    texts.alias("texts"), F.array_join(texts, "; ").alias("errors"))
+    d = checked_.withColumn("named", named)
+    d = d.withColumn("counted", F.when(adhoc, F.col("issues")).otherwise(F.filter("issues", lambda x: refused(x))))
+    stops = F.filter("counted", lambda x: x.blocking | ~adhoc)
+    d = d.withColumns({"texts": F.array_sort(F.array_distinct(F.transform(stops, text))), "issues": F.size("counted").cast("long")})
+    status = F.when(F.size("texts") == 0, "READY").when(F.col("named").isNull(), "REJECTED").otherwise("NEEDS_INPUT")
+    return d.withColumns({"status": status, "errors": F.array_join("texts", "; ")}).drop("counted")
 
 
 def unknown_use_cases(questions: DataFrame, resolved: DataFrame) -> DataFrame:

@@ -34,3 +34,12 @@ def append_evolving(df: DataFrame, path: str) -> DataFrame:
     """Append rows that may bring new columns, and read the table with the merged schema."""
     df.write.mode("append").parquet(path)
     return df.sparkSession.read.option("mergeSchema", True).parquet(path)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """`df` written once as a table in as many buckets by `key` as a shuffle has partitions, and read back: grouping it by the key needs no
+    exchange, nor does its side of a join on the key."""
+    spark = df.sparkSession
+    n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"fleetcost_{uuid.uuid4().hex}", shared_folder(spark)
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+    return spark.table(name)
