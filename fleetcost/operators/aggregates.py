@@ -19,8 +19,8 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, floa
 
     The input is read once: equal values are counted before the shuffle, and the counts are written. Each wanted position then starts
     with the range of all its group's values. While a range holds more than `bound` different ones it is cut into equal parts, the parts are counted,
-    and the part that holds the position is the new range, from its smallest to its largest value; so the range shrinks each time, and an outlier costs one
-    more round. Only what is left is sorted. Positions are rows of a table: neither groups nor values come to the driver.
+    and the part that holds the position is the new range, from its smallest to its largest value; so the range shrinks each time. Parts are of
+    equal width and, every other time, of equal ratio from the smallest value on, for values over many orders of magnitude. Only what is left is sorted. Positions are rows of a table: neither groups nor values come to the driver.
     """
     x, spark = F.col(value).cast("double"), df.sparkSession
     good = x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
@@ -33,12 +33,17 @@ def exact_quantiles(df: DataFrame, group: str, value: str, probs: dict[str, floa
     place = F.explode(F.array(*[F.struct(F.lit(name).alias("name"), ((F.col("n") - 1) * F.lit(p)).alias("z")) for name, p in probs.items()]))
     wanted = total.where("d > 0").select("g", "d", "lo", "hi", place.alias("q")).select("g", "d", "lo", "hi", "q.name", "q.z")
     state = saved(wanted.select("g", F.explode(F.array_distinct(F.array(F.floor("z"), F.ceil("z")))).alias("rank"), "lo", "hi", F.lit(0).cast("long").alias("before"), "d").distinct())
+    log = False
     while True:
         large = state.where(F.col("d") > bound)
         if large.isEmpty():
             break
         r = large.select(F.col("g").alias("r_g"), "lo", "hi", "before").distinct()
-        part = F.least(F.floor((F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * parts), F.lit(parts - 1))
+        along = (F.col("x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2)
+        if log:
+            along = F.log1p(along * 2.0 ** 50) / F.log1p(F.lit(2.0 ** 50))
+        log = not log
+        part = F.least(F.floor(along * parts), F.lit(parts - 1))
         hist = (v.join(r, F.col("g").eqNullSafe(F.col("r_g")) & F.col("x").between(F.col("lo"), F.col("hi"))).groupBy("r_g", F.col("lo").alias("r_lo"), F.col("before").alias("r_before"), part.alias("b"))
                 .agg(F.sum("c").alias("n"), F.count("*").alias("p_d"), F.min("x").alias("p_lo"), F.max("x").alias("p_hi")))
         upto = F.sum("n").over(Window.partitionBy("r_g", "r_lo").orderBy("b").rowsBetween(Window.unboundedPreceding, 0))

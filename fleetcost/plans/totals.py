@@ -15,8 +15,9 @@ def _sum(condition: Column, value: str = "cost_usd") -> Column:
     return F.coalesce(F.sum(F.when(condition, F.col(value))), F.lit(0.0))
 
 
-def measures(of: Column = F.lit(True)) -> dict[str, Column]:
-    """Sums over the lines for which `of` holds: only INCLUDED lines are added, PENDING lines are counted."""
+def measures(of: Column | None = None) -> dict[str, Column]:
+    """Sums over the lines (those for which `of` holds): only INCLUDED lines are added, PENDING lines are counted."""
+    of = F.lit(True) if of is None else of
     inc, month, once, pend = (F.col("treatment") == INCLUDED) & of, F.col("recurrence") == MONTHLY, F.col("recurrence") == ONE_TIME, (F.col("treatment") == PENDING) & of
     dbu = inc & month & (F.col("unit") == "DBU")
     return {"recurring_monthly_usd": _sum(inc & month), "one_time_usd": _sum(inc & once), "dbu_monthly": _sum(dbu, "quantity"), "dbu_monthly_usd": _sum(dbu),
@@ -39,9 +40,9 @@ def reference_scenario(scenarios: Column) -> Column:
     return F.when(F.array_contains(scenarios, "EXPECTED"), "EXPECTED").otherwise(F.get(scenarios, 0))
 
 
-def shares(of: Column = F.lit(True)) -> dict[str, Column]:
-    """Monthly sums over the reference scenario's lines for which `of` holds, by what they rest on. `lines` carries `scenarios`."""
-    of = of & (F.col("scenario") == reference_scenario(F.col("scenarios"))) & (F.col("recurrence") == MONTHLY)
+def shares(of: Column | None = None) -> dict[str, Column]:
+    """Monthly sums over the reference scenario's lines (those for which `of` holds), by what they rest on. `lines` carries `scenarios`."""
+    of = (F.lit(True) if of is None else of) & (F.col("scenario") == reference_scenario(F.col("scenarios"))) & (F.col("recurrence") == MONTHLY)
     inc = of & (F.col("treatment") == INCLUDED)
     return {"total": _sum(inc), "planning": _sum(inc & (F.col("evidence") == PLANNING)), "ranged": _sum(inc & (F.col("evidence") == RANGE)), "pending": F.count_if(of & (F.col("treatment") == PENDING)),
             "lines": F.count_if(of)}

@@ -155,10 +155,103 @@ def test_what_is_refused_follows_from_who_asks(spark):
             3: "no json; at all"}
     rows = [(k * 10 + n, text, named) for k, text in docs.items() for n, named in enumerate((False, True, None))]
     raw = spark.createDataFrame(rows, "request_id long, request_json string, named boolean")
-    got = vd.judged(raw, vd.check(raw, RefData.fixtures(spark).model_conversions), F.when(F.col("request_id") % 10 == 0, False).when(F.col("request_id") % 10 == 1, True))
-    got = got.cache()
-    status = {r["request_id"]: r["status"] for r in got.collect()}
+    judged = vd.judged(vd.checked(raw, RefData.fixtures(spark).model_conversions), F.when(F.col("request_id") % 10 == 0, False).when(F.col("request_id") % 10 == 1, True))
+    got = out.settled(judged)
+    status = {r["request_id"]: r["request_status"].replace("OK", "READY") for r in got.collect()}
     assert status == {10: "NEEDS_INPUT", 11: "READY", 12: "READY", 20: "NEEDS_INPUT", 21: "NEEDS_INPUT", 22: "REJECTED", 30: "NEEDS_INPUT", 31: "NEEDS_INPUT", 32: "REJECTED"}
     errors = {(r["request_id"], r["detail"]) for r in out.refused_details(got).where("section = 'ERROR'").collect()}
     assert (22, "INVALID_VALUE runs_per_month (C1), received -1") in errors and (32, "NOT_JSON request") in errors
     assert {r[0] for r in errors} == {10, 20, 21, 22, 30, 31, 32}
+
+
+def _asked(spark, *rows):
+    return spark.createDataFrame([(n, d, o) for n, (d, o) in enumerate(rows)], "request_id long, request_json string, overrides_json string")
+
+
+def test_overrides_change_the_document_before_it_is_checked(spark):
+    doc = '{"use_case_id": "A", "use_case_name": "n", "processing": [{"component_id": "A-C01", "runs_per_month": 3}, 7, {"component_id": "C01"}], "sql": [1], "storage": null, "odd": {"x": 1}}'
+    changes = ('{"processing[C01].runs_per_month": "many", "processing[C9].quantity": 1, "sql.concurrent_users": 2, "storage.retained_tb": null, "storage.files_per_day": 5, "_areas.sql": "EXCLUDED",'
+               ' "transfer": {"daily_gb_low": 1, "daily_gb_high": 1}, "transfer.daily_gb_high": -1, "region": "X"}')
+    d = vd.parsed(_asked(spark, (doc, changes), (doc, None), (doc, " "), ("[1]", changes), ("{", changes), (None, changes), (doc, "[1]")))
+    got = {r["request_id"]: r["v"] for r in d.select("request_id", F.to_json("v").alias("v")).collect()}
+    import json
+    new = json.loads(got[0])
+    assert new == {"use_case_id": "A", "use_case_name": "n", "processing": [{"component_id": "A-C01", "runs_per_month": "many"}, 7, {"component_id": "C01", "runs_per_month": "many"}], "sql": [1],
+                   "storage": {"retained_tb": None, "files_per_day": 5}, "odd": {"x": 1}, "_areas": {"sql": "EXCLUDED"}, "transfer": {"daily_gb_low": 1, "daily_gb_high": -1}, "region": "X"}
+    assert all(json.loads(got[n]) == json.loads(doc) for n in (1, 2, 6)) and got[3] == "[1]" and got[4] is got[5] is None
+
+
+def test_a_negative_override_is_refused_by_name_and_a_malformed_one_stops_the_rest(spark):
+    doc = '{"use_case_id": "SEND", "use_case_name": "n", "transfer": {"daily_gb_low": 3, "daily_gb_expected": 4, "daily_gb_high": 6}}'
+    conv = RefData.fixtures(spark).model_conversions
+    rows = _asked(spark, (doc, '{"transfer.daily_gb_high": -1}'), (doc, '{"transfer.daily_gb_high": 9}'), (doc, "{"), (doc, '{"processing[C1].quantity": 2}'), (doc, "7"))
+    d = vd.judged(vd.checked(rows, conv), F.lit(True)).select("request_id", "status", "texts").collect()
+    got = {r["request_id"]: (r["status"], r["texts"]) for r in d}
+    assert got == {0: ("NEEDS_INPUT", ["INVALID_VALUE daily_gb_high (transfer), received -1"]), 1: ("READY", []), 2: ("NEEDS_INPUT", ["NOT_JSON overrides"]),
+                   3: ("NEEDS_INPUT", ["INVALID_VALUE processing[C1].quantity (C1), received 2"]), 4: ("NEEDS_INPUT", ["INVALID_VALUE overrides, received 7"])}
+    texts = vd.override_texts(spark.createDataFrame([(1, "a.b", "-1"), (1, "c", "word"), (1, "d", None), (1, "e", '{"x": [1]}')], "request_id long, path string, value string")).first()
+    import json
+    assert json.loads(texts["overrides_json"]) == {"a.b": -1, "c": "word", "d": None, "e": {"x": [1]}}
+
+
+def test_the_check_reads_its_documents_once_and_shuffles_nothing(spark, sf_dir):
+    from fleetcost.sources.inputs import load
+    plan = vd.verdicts(vd.checked(load(spark, sf_dir, "raw_requests"), RefData.fixtures(spark).model_conversions))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1 and "Join" not in plan and plan.split("Subquery")[0].count("Exchange") == 0
+
+
+@pytest.mark.parametrize("bound, parts", [(20_000, 1_024), (40, 64)])
+def test_quantiles_by_refinement(spark, bound, parts):
+    rnd = random.Random(9)
+    rows = ([("a", rnd.lognormvariate(0, 3)) for _ in range(2000)] + [("a", 1e300), ("a", -1e300), ("a", float("-inf")), ("a", 7.0)] + [("b", 2.0)] * 500 + [("b", 3.0)] + [("c", float(2 ** n)) for n in range(300)]
+            + [(None, float(n % 40)) for n in range(90)] + [("empty", None), ("empty", float("nan"))])
+    d = spark.createDataFrame(rows, "grp string, v double")
+    got = {r["grp"]: r for r in agg.exact_quantiles(d, "grp", "v", {"q0": 0.0, "q1": 0.25, "q2": 0.5, "q3": 0.9, "q4": 1.0}, rows="n", bound=bound, parts=parts).collect()}
+    assert got["empty"]["n"] == 2 and got["empty"]["q2"] is None and got.keys() == {"a", "b", "c", None, "empty"}
+    for g in ("a", "b", "c", None):
+        v = np.array(sorted(x for k, x in rows if k == g and x is not None and np.isfinite(x)))
+        assert got[g]["n"] == sum(k == g for k, _ in rows)
+        for name, p in (("q0", 0.0), ("q1", 0.25), ("q2", 0.5), ("q3", 0.9), ("q4", 1.0)):
+            z = (len(v) - 1) * p
+            lo, hi = v[int(np.floor(z))], v[int(np.ceil(z))]
+            assert got[g][name] == pytest.approx(lo + (hi - lo) * (z - np.floor(z)), rel=1e-12), (g, name)
+
+
+def test_quantiles_of_a_million_different_values(spark):
+    d = spark.range(1_000_000).select(F.lit("g").alias("g"), (F.pmod(F.col("id") * 7_919, F.lit(1_000_003)) / 3).alias("v"))
+    v = np.sort(np.arange(1_000_000) * 7_919 % 1_000_003 / 3)
+    got = agg.exact_quantiles(d, "g", "v", {"a": 0.1, "b": 0.5, "c": 0.999}, bound=1_000).first()
+    assert np.allclose([got["a"], got["b"], got["c"]], np.quantile(v, [0.1, 0.5, 0.999]), rtol=1e-12)
+
+
+def test_effective_prices_are_a_plain_join_and_usage_is_not_shuffled(spark, sf_dir):
+    rnd = random.Random(6)
+    day = lambda n: T0 + timedelta(days=n)
+    prices = [(rnd.choice("st"), rnd.choice("cd"), "DBU", "USD", day(a), rnd.choice([None, day(a + rnd.randrange(0, 9))]), rnd.choice([None, n / 10])) for n, a in enumerate(rnd.randrange(0, 40) for _ in range(40))]
+    prices += [("s", "c", "DBU", "EUR", day(0), None, 9.0), ("s", "c", "DBU", "USD", None, None, 8.0)]
+    usage = [(n, rnd.choice(["s", "t", "u", None]), rnd.choice("cd"), "DBU", rnd.choice([None, day(rnd.randrange(-2, 60)), T0 + timedelta(hours=rnd.randrange(0, 1400))])) for n in range(300)]
+    p = spark.createDataFrame(prices, "sku_name string, cloud string, usage_unit string, currency_code string, price_start_time timestamp_ntz, price_end_time timestamp_ntz, price double")
+    u = spark.createDataFrame(usage, "id int, sku_name string, cloud string, usage_unit string, usage_start_time timestamp_ntz")
+    want = []
+    for n, s, c, unit, t in usage:
+        hits = [x for x in prices if x[:4] == (s, c, unit, "USD") and x[4] is not None and t is not None and x[4] <= t and (x[5] is None or t < x[5])]
+        want += [(n, s, x[6]) for x in hits] or [(n, None, None)]
+    got = [tuple(r) for r in jn.effective_price(u, p).select("id", "p_sku", "unit_price").collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    plan = REGISTRY["jn_effective_price"].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and plan.count("FileScan parquet") == 1 and "hashpartitioning(l_" not in plan
+
+
+def test_run_facts_are_read_in_buckets(spark, sf_dir):
+    """The evidence reads each measured log once; the table of runs joins what is measured without an exchange of its own."""
+    from fleetcost.catalog.calibration import _History
+    from fleetcost.catalog.registry import Inputs
+    h = _History(Inputs(spark, sf_dir))
+    plan = h.evidence()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("events.parquet") == 3 and plan.count("supplier.parquet") == 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        joined = h.facts.runs.select("run_id", "nm").join(h.facts.tasks.groupBy("run_id").count(), "run_id")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in joined and "Bucketed: true" in joined
