@@ -128,7 +128,7 @@ def quoted(src: str, quote: str = "quote_ref") -> str:
     """Rows of `src` (provider, sku, unit, region) with their quote."""
     return f"""SELECT b.* EXCLUDE (n, rate, status, source, notes, card_sku, q_provider, q_sku, q_unit, q_region), CASE WHEN ok THEN rate END AS quote_rate, CASE WHEN ok THEN status ELSE 'PENDING' END AS quote_status,
  CASE WHEN n = 1 THEN source ELSE '' END AS quote_source,
- CASE WHEN coalesce(n, 0) <> 1 THEN 'No single exact rate for ' || provider || '/' || sku || '/' || unit || '/' || region || ' (matches=' || CAST(coalesce(n, 0) AS VARCHAR) || ').'
+ CASE WHEN coalesce(n, 0) <> 1 THEN 'No unambiguous rate for ' || provider || '/' || sku || '/' || unit || '/' || region || ' (matches=' || CAST(coalesce(n, 0) AS VARCHAR) || ').'
       WHEN NOT ok THEN 'Rate ' || card_sku || ' is not usable (' || status || ').' WHEN status = 'REFERENCE_ONLY' THEN notes END AS quote_warning
  FROM (SELECT s.*, q.*, coalesce({_OK.replace('status', 'q.status').replace('rate IS', 'q.rate IS')}, false) AS ok FROM {src} s LEFT JOIN {quote} q
    ON q.q_provider = upper(s.provider) AND q.q_sku = upper(s.sku) AND q.q_unit = upper(s.unit) AND q.q_region = upper(s.region)) b"""
@@ -168,7 +168,7 @@ CTES["conversion_ref"] = f"""SELECT model AS m_model, serving_mode AS m_mode, co
 
 
 @query("model_conversion", """SELECT o_orderkey, model, serving_mode, ok, CASE WHEN ok THEN m_account_sku END AS account_sku, CASE WHEN ok THEN m_input END AS input_dbu, CASE WHEN ok THEN m_output END AS output_dbu,
- CASE WHEN coalesce(m_n, 0) <> 1 THEN 'No single exact conversion for model ' || model || ' (' || serving_mode || ').' WHEN NOT ok THEN 'Conversion for ' || model || ' is ' || m_status || '; not publishable.' END AS reason
+ CASE WHEN coalesce(m_n, 0) <> 1 THEN 'No unambiguous conversion of model ' || model || ' (' || serving_mode || ').' WHEN NOT ok THEN 'Conversion for ' || model || ' is ' || m_status || '; not publishable.' END AS reason
  FROM (SELECT *, coalesce(m_n = 1 AND m_status IN ('GOVERNED', 'VALIDATED_OBSERVED'), false) AS ok FROM model_questions LEFT JOIN conversion_ref ON m_model = model AND m_mode = serving_mode)""")
 def model_conversion(i):
     d = pc.with_conversion(i("model_questions"), i.ref.model_conversions, RATES_AS_OF)

@@ -17,9 +17,9 @@ def lines(i, carry=(), calibration=None):
     return ln.line_items(requests(i), i.ref.rate_card, i.ref.model_conversions, RATES_AS_OF, calibration, carry)
 
 
-def shown(df):
+def shown(df, *more):
     """Lines with rounded numbers and joined warnings, without internal order."""
-    return rounded(df.select("request_id", *ln.LINE_COLUMNS).withColumn("warnings", F.array_join("warnings", "; ")), "quantity cost_usd")
+    return rounded(df.select("request_id", *ln.LINE_COLUMNS, *more).withColumn("warnings", F.array_join("warnings", "; ")), "quantity cost_usd")
 
 
 def _lines_query(key: str, where: str):

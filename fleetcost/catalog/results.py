@@ -95,7 +95,7 @@ _ORD = "CASE scenario WHEN 'LOW' THEN 1 WHEN 'EXPECTED' THEN 2 WHEN 'HIGH' THEN
 CTES["summaries"] = f"""SELECT w.request_id, 'Use case: ' || w.use_case_id || ' | ' || w.use_case_name || chr(10) || 'Monthly: ' || t.monthly_text || chr(10) || CASE WHEN t.has_once THEN 'One-time: ' || t.once_text || chr(10) ELSE '' END
  || 'First year (' || w.ref || '): ' || {_usd('t.fy[w.ref]')} || chr(10) || 'From year 2 on (' || w.ref || '): ' || {_usd('t.an[w.ref]')} || chr(10) || 'Confidence: ' || coalesce(c.rating, 'LOW') || ' - ' || coalesce(c.reason, 'Nothing that recurs has a price.') || chr(10)
  || CASE WHEN p.t IS NOT NULL THEN 'Pending: ' || p.t || chr(10) ELSE '' END || CASE WHEN a.t IS NOT NULL THEN 'Assumptions: ' || a.t || chr(10) ELSE '' END || CASE WHEN n.t IS NOT NULL THEN 'Notes: ' || n.t || chr(10) ELSE '' END
- || 'In scope: Compute' || chr(10) || 'Out of scope: Staging' || chr(10) || 'Internal planning estimate, not an invoice or a committed run rate.' AS summary
+ || 'In scope: Compute' || chr(10) || 'Out of scope: Staging' || chr(10) || 'A figure for planning: it is neither a bill nor a promise of what will be spent.' AS summary
  FROM (SELECT *, CASE WHEN scenario_list LIKE '%EXPECTED%' THEN 'EXPECTED' ELSE string_split(scenario_list, ',')[1] END AS ref FROM request_wide) w
  JOIN (SELECT request_id, string_agg(scenario || ' ' || {_usd('monthly')}, '; ' ORDER BY {_ORD}) AS monthly_text, string_agg(scenario || ' ' || {_usd('one_time')}, '; ' ORDER BY {_ORD}) AS once_text, bool_or(one_time > 0 OR pend_o > 0) AS has_once,
    map(list(scenario), list(first_year)) AS fy, map(list(scenario), list(annual)) AS an FROM est_totals GROUP BY 1) t USING (request_id)

@@ -35,6 +35,19 @@ def rate_folder(i):
     return rounded(d.select("workload_id", *pr.COST_COLUMNS), "dbu_per_hour hours_per_month dbu_per_month dbu_price")
 
 
+@query("src_rate_rejects", f"""SELECT CASE WHEN p_size % 11 = 0 THEN 'rejected' ELSE 'loaded' END AS kind, count(*) AS records, {rn('sum(CASE WHEN p_size % 11 <> 0 THEN p_retailprice END)', 2)} AS price, count(*) FILTER (p_size % 11 <> 0 AND p_type IS NULL) AS gaps FROM part GROUP BY 1""")
+def rate_rejects(i):
+    """Rate files of which some records have a word where a number belongs: loaded and rejected records add up to those delivered."""
+    path = sinks.shared_folder(i.spark)
+    p = inputs.read_table(i.spark, i.sf_dir, "part")
+    price = F.when(F.col("p_size") % 11 == 0, "on request").otherwise(F.col("p_retailprice").cast("string"))
+    p.select("p_partkey", "p_type", price.alias("price")).repartition(4).write.option("header", True).csv(path)
+    rows, rejected = readers.read_rate_csv_checked(i.spark, f"{path}/part-*.csv", "p_partkey long, p_type string, price double")
+    good = rows.agg(F.lit("loaded").alias("kind"), F.count("*").alias("records"), F.sum("price").alias("price"), F.count_if(F.col("p_type").isNull()).alias("gaps"))
+    bad = rejected.where("file IS NOT NULL AND record LIKE '%,on request'").agg(F.lit("rejected").alias("kind"), F.count("*").alias("records"), F.lit(None).cast("double").alias("price"), F.lit(0).cast("long").alias("gaps"))
+    return rounded(good.unionByName(bad), "price", 2)
+
+
 @query("src_request_json", """SELECT policy_id, cloud, policy_name, CAST(json_extract(definition, '$.num_workers.maxValue') AS INTEGER) AS max_workers FROM policy_documents""")
 def request_json(i):
     path = sinks.shared_folder(i.spark)
@@ -88,6 +101,21 @@ def write_history(i):
     return rounded(d.withColumn("writes", F.coalesce("writes", F.lit(0))), "bytes", 0)
 
 
+@query("src_history_files", f"""SELECT table_name, if(readable, 'READ', 'SKIPPED') AS state, CASE WHEN readable THEN count(*) ELSE 0 END AS writes, CASE WHEN readable THEN {rn('sum(metric_bytes)', 0)} END AS bytes
+ FROM write_log WHERE table_name <> 'tbl_gone' GROUP BY table_name, readable UNION ALL SELECT 'tbl_gone', 'SKIPPED', 0, NULL""")
+def history_files(i):
+    """The write logs of all tables as one read over their folders, of which some hold a broken file and one is missing."""
+    folder, log = sinks.shared_folder(i.spark), i("write_log")
+    log.where("readable").select("table_name", "metric_bytes").write.partitionBy("table_name").parquet(folder)
+    names = {r["table_name"]: r["readable"] for r in log.select("table_name", "readable").distinct().collect()}
+    for name in (n for n, readable in names.items() if not readable):
+        sinks.put_text(i.spark, f"{folder}/table_name={name}/part-0.parquet", "no Parquet at all")
+    rows, files = readers.read_tables(i.spark, {n: f"{folder}/table_name={n}" for n in [*names, "tbl_gone"]}, "metric_bytes long")
+    sums = rows.groupBy("table_name").agg(F.sum("metric_bytes").cast("double").alias("bytes"))
+    d = files.groupBy("table_name").agg(F.min("state").alias("state"), F.sum("rows").alias("writes")).join(sums, "table_name", "left")
+    return rounded(d, "bytes", 0)
+
+
 @query("src_load_counts", " UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in inputs._TABLES))
 def load_counts(i):
     return readers.row_counts({t: inputs.read_table(i.spark, i.sf_dir, t) for t in inputs._TABLES})
@@ -125,13 +153,20 @@ def _pair(i):
     return i.spark.sql(_TARGET, customer=c), i.spark.sql(_SOURCE, customer=c)
 
 
+def _merged(i, target, source, merge):
+    """A table of several files by ranges of the id, merged file by file."""
+    path = sinks.shared_folder(i.spark)
+    target.repartitionByRange(4, "id").write.parquet(path)
+    return mg.by_file(path, source, "id", merge)
+
+
 @query("mrg_conditional_upsert", f"""SELECT coalesce(t.id, s.id) AS id, {rn("CASE WHEN t.id IS NULL OR s.id IS NOT NULL AND coalesce(t.status, 'ASSUMED') = 'ASSUMED' THEN s.rate ELSE t.rate END", 4)} AS rate,
  CASE WHEN t.id IS NULL OR s.id IS NOT NULL AND coalesce(t.status, 'ASSUMED') = 'ASSUMED' THEN 'ASSUMED' ELSE t.status END AS status, t.note, CASE WHEN t.id IS NULL THEN 0 ELSE t.runs END AS runs
  FROM merge_target t FULL JOIN merge_source s ON t.id = s.id""")
 def conditional_upsert(i):
     t, s = _pair(i)
-    d = mg.conditional_upsert(t, s, "id", F.coalesce("status", F.lit("ASSUMED")) == "ASSUMED", {"rate": F.col("s_rate"), "status": F.lit("ASSUMED")},
-                              {"rate": F.col("s_rate"), "status": F.lit("ASSUMED"), "runs": F.lit(0)})
+    d = _merged(i, t, s, lambda t, s: mg.conditional_upsert(t, s, "id", F.coalesce("status", F.lit("ASSUMED")) == "ASSUMED", {"rate": F.col("s_rate"), "status": F.lit("ASSUMED")},
+                                                            {"rate": F.col("s_rate"), "status": F.lit("ASSUMED"), "runs": F.lit(0)}))
     return rounded(d, "rate", 4)
 
 
@@ -146,9 +181,9 @@ def insert_missing(i):
  FROM merge_target t LEFT JOIN (SELECT * FROM merge_source WHERE action LIKE 'calibrate%' AND rate > 0) s ON s.id = t.id""")
 def apply_calibration(i):
     t, s = _pair(i)
-    d = mg.update_matched(t, s.where("action LIKE 'calibrate%' AND rate > 0"), "id", {
+    d = _merged(i, t, s.where("action LIKE 'calibrate%' AND rate > 0"), lambda t, s: mg.update_matched(t, s, "id", {
         "rate": F.greatest("s_rate", F.lit(1000.0)), "status": F.lit("CALIBRATED"), "runs": F.col("s_runs"),
-        "note": F.concat(F.lit("from "), F.col("s_runs").cast("string"), F.lit(" runs"))})
+        "note": F.concat(F.lit("from "), F.col("s_runs").cast("string"), F.lit(" runs"))}))
     return rounded(d, "rate", 4)
 
 
@@ -157,14 +192,14 @@ def apply_calibration(i):
 def policy_limits(i):
     t, s = _pair(i)
     limit, note = F.nullif("s_runs", F.lit(-1)), F.nullif("s_note", F.lit(""))
-    return mg.conditional_upsert(t.select("id", "runs", "note"), s, "id", F.lit(True), {"runs": F.coalesce(limit, "runs"), "note": note},
-                                 {"runs": F.coalesce(limit, F.lit(100)), "note": note})
+    return _merged(i, t.select("id", "runs", "note"), s, lambda t, s: mg.conditional_upsert(t, s, "id", F.lit(True), {"runs": F.coalesce(limit, "runs"), "note": note},
+                                                                                            {"runs": F.coalesce(limit, F.lit(100)), "note": note}))
 
 
 @query("mrg_replace_keys", f"SELECT id, {rn('rate', 4)} AS rate, runs FROM merge_target WHERE id NOT IN (SELECT id FROM merge_source) UNION ALL SELECT id, {rn('rate', 4)}, runs FROM merge_source")
 def replace_keys(i):
     t, s = _pair(i)
-    return rounded(mg.replace_keys(t.select("id", "rate", "runs"), s.select("id", "rate", "runs"), "id"), "rate", 4)
+    return rounded(_merged(i, t.select("id", "rate", "runs"), s.select("id", "rate", "runs"), lambda t, s: mg.replace_keys(t, s, "id")), "rate", 4)
 
 
 @query("so_union_many", """SELECT id, runs, status, CAST(NULL AS VARCHAR) AS action FROM merge_target UNION ALL SELECT id, runs, NULL, action FROM merge_source UNION ALL SELECT id, NULL, status, NULL FROM merge_target WHERE runs > 20""")

@@ -86,7 +86,7 @@ def price_status_text(df: DataFrame, price_card: DataFrame, cloud, region, tier,
     from fleetcost.functions.columns import fmt_number
     d = governed_price(df, price_card, cloud, region, tier, product, "_p", ("status", "billing_sku", "source"))
     text = (F.when(F.col("_p_status").isNull(),
-                   F.concat(F.lit("PENDING - no price-card row for "), F.upper(col(tier)), F.lit(" "), F.upper(col(product)),
+                   F.concat(F.lit("PENDING - the price card lacks "), F.upper(col(tier)), F.lit(" "), F.upper(col(product)),
                             F.lit(" in "), F.upper(col(cloud)), F.lit(" "), F.lower(col(region))))
             .when(F.col("_p_status") == "PENDING", F.concat(F.lit("PENDING - "), F.col("_p_source")))
             .otherwise(F.concat(F.col("_p_status"), F.lit(" $"), fmt_number("_p", 6), F.lit("/DBU "), F.col("_p_billing_sku"),

@@ -1,12 +1,33 @@
-"""Merges of keyed tables as joins (no row-level MERGE on plain files): the result is the whole new table, to be written back.
+"""Merges of keyed tables as joins (no row-level MERGE on plain files): the result is the new state of the rows that go in.
 
-Keys are unique on both sides, so no join here multiplies rows.
+Keys are unique on both sides, so no join here multiplies rows. by_file() applies a merge to a table on disk and rewrites only the files that hold a key of the source.
 """
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fleetcost.sources import sinks
+
+
+def by_file(path: str, source: DataFrame, key: str, merge: Callable[[DataFrame, DataFrame], DataFrame]) -> DataFrame:
+    """Apply merge(rows, source) to the Parquet table at `path` and read it back. Only the files that hold a key of the source are read whole, merged and replaced by new
+    files; all others keep their name and time. A merge that inserts gives the new rows too, as every matched key is in the files it gets.
+
+    The names of the touched files come to the driver, like a table's file list. New files are added before the old ones go; between the two a reader can see both, so a
+    table that is read meanwhile needs a lock or a table format with snapshots.
+    """
+    spark = source.sparkSession
+    whole = spark.read.parquet(path)
+    keys = source.select(key).distinct()
+    held = whole.select(key, F.col("_metadata.file_path").alias("_file")).join(keys, key, "left_semi").select("_file").distinct()
+    touched = sorted(r["_file"] for r in held.collect())
+    rows = spark.read.schema(whole.schema).parquet(*touched) if touched else whole.limit(0)
+    sinks.replace_files(merge(rows, source), path, touched)
+    return spark.read.schema(whole.schema).parquet(path)
+
 
 def _marked(target: DataFrame, source: DataFrame, key: str, how: str) -> DataFrame:
     """Join with target columns as they are, source columns as s_<name>, and the marks _t / _s."""

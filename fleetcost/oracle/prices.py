@@ -73,6 +73,6 @@ def hours(kind: str, runs="runs_per_day", minutes="runtime_minutes", days="days_
 def status_text(cloud: str, region: str, tier: str, prod: str) -> str:
     def field(c):
         return price(cloud, region, tier, prod, c)
-    return f"""CASE WHEN {field('status')} IS NULL THEN 'PENDING - no price-card row for ' || upper({tier}) || ' ' || upper({prod}) || ' in ' || upper({cloud}) || ' ' || lower({region})
+    return f"""CASE WHEN {field('status')} IS NULL THEN 'PENDING - the price card lacks ' || upper({tier}) || ' ' || upper({prod}) || ' in ' || upper({cloud}) || ' ' || lower({region})
  WHEN {field('status')} = 'PENDING' THEN 'PENDING - ' || {field('source')}
  ELSE {field('status')} || ' $' || {fmt(field('price_per_dbu'), 6)} || '/DBU ' || {field('billing_sku')} || ' (' || {field('source')} || ')' END"""

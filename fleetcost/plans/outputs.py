@@ -11,9 +11,10 @@ from fleetcost.plans import totals as tt
 from fleetcost.plans.requests import SCENARIOS, area_states, parse, with_defaults
 from fleetcost.sources import sinks
 
+# The version of the result tables, and how a stress figure is labelled.
 VERSION = "1.0"
-DISCLAIMER = "Internal planning estimate, not an invoice or a committed run rate."
 STRESS_LABEL = "STRESS (operating sensitivity, not a forecast)"
+DISCLAIMER = "A figure for planning: it is neither a bill nor a promise of what will be spent."
 
 
 def money(c: str | Column) -> Column:

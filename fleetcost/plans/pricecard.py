@@ -110,7 +110,7 @@ def with_quote(df: DataFrame, rate_card: DataFrame, as_of: str, provider="provid
     on = ((F.upper(p) == F.col("q_provider")) & (F.upper(s) == F.col("q_sku")) & (F.upper(u) == F.col("q_unit")) & (F.upper(r) == F.col("q_region")))
     d = df.join(quotes(rate_card, as_of), on, "left")
     n = F.coalesce("matches", F.lit(0))
-    none = F.concat(F.lit("No single exact rate for "), p, F.lit("/"), s, F.lit("/"), u, F.lit("/"), r, F.lit(" (matches="), n.cast("string"), F.lit(")."))
+    none = F.concat(F.lit("No unambiguous rate for "), p, F.lit("/"), s, F.lit("/"), u, F.lit("/"), r, F.lit(" (matches="), n.cast("string"), F.lit(")."))
     return d.withColumns({
         "quote_status": F.coalesce("quote_status", F.lit(PENDING)), "quote_source": F.coalesce("quote_source", F.lit("")),
         "quote_warning": F.when(n != 1, none).otherwise(F.col("quote_warning"))}).drop("matches", "q_provider", "q_sku", "q_unit", "q_region")
@@ -131,7 +131,7 @@ def conversions(table: DataFrame, as_of: str) -> DataFrame:
 
 def with_conversion(df: DataFrame, table: DataFrame, as_of: str, model="model", mode="serving_mode") -> DataFrame:
     d = df.join(conversions(table, as_of), (F.col(model) == F.col("m_model")) & (F.col(mode) == F.col("m_mode")), "left")
-    none = F.concat(F.lit("No single exact conversion for model "), F.col(model), F.lit(" ("), F.col(mode), F.lit(")."))
+    none = F.concat(F.lit("No unambiguous conversion of model "), F.col(model), F.lit(" ("), F.col(mode), F.lit(")."))
     return d.withColumns({"m_ok": F.coalesce("m_ok", F.lit(False)),
                           "m_reason": F.when(F.coalesce("m_matches", F.lit(0)) != 1, none).otherwise(F.col("m_reason"))}).drop("m_model", "m_mode", "m_matches")
 

@@ -169,8 +169,17 @@ def doc_extract(volume: DataFrame, ref: RefData) -> DataFrame:
 
 
 def compare_options(fleet: DataFrame, ref: RefData) -> DataFrame:
-    """Classic and serverless jobs side by side: one priced row per option."""
-    keep = [c for c in fleet.columns if c not in COST_COLUMNS]
-    classic = jobs_classic(fleet, ref).select(*keep, *COST_COLUMNS)
-    other = serverless(fleet.withColumn("kind", F.lit("JOBS")), ref).select(*keep, *COST_COLUMNS)
-    return classic.unionByName(other)
+    """Classic and serverless jobs side by side: each workload becomes a row per option, and all rows are priced in one pass over the fleet."""
+    keep, none = [c for c in fleet.columns if c not in COST_COLUMNS], F.lit(None).cast("string")
+    d = fleet.select(*keep, F.explode(F.array(F.lit(False), F.lit(True))).alias("_srv"))
+    srv = F.col("_srv")
+    d = d.withColumns({"kind": F.when(srv, "JOBS").otherwise(F.col("kind")), "_photon": F.when(srv, True).otherwise(F.col("photon"))})
+    d = lk.classic_dbu(d, ref, "cloud", "driver_node", "worker_node", "num_workers", "_photon", F.lit("JOBS"), none, "_dbu")
+    twice = srv & (F.lower(F.coalesce("serverless_mode", F.lit("standard"))) == "performance")
+    d = d.withColumns({"_dbu": F.col("_dbu") * F.when(twice, 2.0).otherwise(1.0), "_hours": _hours("JOBS")})
+    d = lk.governed_price(d, ref.price_card, "cloud", "region", "tier", lk.product_type(F.lit("JOBS"), srv, "_photon", none, none), "_price")
+    for node, out in (("driver_node", "_drv_vm"), ("worker_node", "_wrk_vm")):
+        d = lk.vm_cost(d, ref, "cloud", "region", node, F.lit("on_demand"), F.lit("NA"), out)
+    vm = F.when(srv, 0.0).otherwise(F.col("_drv_vm") + F.col("_wrk_vm") * F.coalesce("num_workers", F.lit(0)))
+    label = F.when(srv, "JOBS_SERVERLESS").otherwise("JOBS_CLASSIC")
+    return _costs(d, label, F.col("_dbu") * F.col("_hours"), F.col("_dbu"), F.col("_hours"), vm).select(*keep, *COST_COLUMNS)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 from fleetcost.functions.columns import clean_token, fmt_number, normalise_key, round_half_up
 from fleetcost.operators import lookups as lk
+from fleetcost.operators import merges as mg
 from fleetcost.operators.joins import alias_map
 from fleetcost.refdata import RefData
 
-DEFAULT_LIMIT = 100      # fixed value: worker limit without a policy
+# The worker limit without a policy, and the source that names it.
+DEFAULT_LIMIT = 100
 DEFAULT_SOURCE = "default guardrail"
 
 
@@ -36,7 +38,7 @@ def with_profile(requests: DataFrame, ref: RefData) -> DataFrame:
         "sgb": F.when(F.col("volume_basis") == "PEAK_HOUR", F.col("data_gb") / 24.0 * F.col("peak_factor")).otherwise(F.col("data_gb") / F.col("runs")),
         "win": F.when(F.col("always_on"), 60).otherwise(window),
         "pmax": F.greatest(F.coalesce("max_workers", "pol_max", F.lit(DEFAULT_LIMIT)), F.lit(1)),
-        "pmax_source": F.when(F.col("max_workers").isNotNull(), "given by the user").otherwise(F.coalesce("pol_source", F.lit(DEFAULT_SOURCE)))})
+        "pmax_source": F.when(F.col("max_workers").isNotNull(), "set in the request").otherwise(F.coalesce("pol_source", F.lit(DEFAULT_SOURCE)))})
     return d.withColumns({"eff_h": F.greatest(F.col("win") - F.col("startup_minutes"), F.lit(1)) / 60.0, "req_mem": F.col("sgb") * F.col("working_set_factor")})
 
 
@@ -166,8 +168,10 @@ def basis_text() -> Column:
         F.lit("; values "), F.when(F.col("calibration_status") == "CALIBRATED", F.concat(F.lit("calibrated from "), _int("calibration_runs"), F.lit(" runs."))).otherwise("assumed."))
 
 
-def throughput_basis() -> Column:
-    return F.when(F.col("calibration_status") == "CALIBRATED", F.concat(F.lit("CALIBRATED from "), _int("calibration_runs"), F.lit(" job runs"))).otherwise(
+def throughput_basis(calibrated_at: Column) -> Column:
+    """What the throughput rests on; with the day of the calibration where the profile knows it."""
+    day = F.coalesce(F.concat(F.lit(" ("), F.substring(calibrated_at.cast("string"), 1, 10), F.lit(")")), F.lit(""))
+    return F.when(F.col("calibration_status") == "CALIBRATED", F.concat(F.lit("CALIBRATED from "), _int("calibration_runs"), F.lit(" job runs"), day)).otherwise(
         "ASSUMED planning values")
 
 
@@ -190,7 +194,7 @@ def recommend(requests: DataFrame, ref: RefData, carry: tuple[str, ...] = ()) ->
         c("srt_l").alias("serverless_runtime_minutes_low"), c("srt_e").alias("serverless_runtime_minutes_expected"), c("srt_h").alias("serverless_runtime_minutes_high"),
         "startup_minutes", "always_on", c("photon_default").alias("photon_recommended"), "serverless_ok",
         F.greatest(c("wk") * c("vcpus") * 2, F.lit(200.0)).cast("int").alias("shuffle_partitions"),
-        "gb_per_core_hour_low", "gb_per_core_hour_expected", "gb_per_core_hour_high", throughput_basis().alias("throughput_basis"),
+        "gb_per_core_hour_low", "gb_per_core_hour_expected", "gb_per_core_hour_high", throughput_basis(c("calibrated_at") if "calibrated_at" in d.columns else F.lit(None)).alias("throughput_basis"),
         options_text().alias("options"), basis_text().alias("assumptions"), "tips")
 
 
@@ -241,6 +245,14 @@ def priced(requests: DataFrame, ref: RefData) -> DataFrame:
 _POLICY = "map<string, struct<type: string, value: string, maxValue: int, values: array<string>>>"
 
 
+def update_policy(policy: DataFrame, documents: DataFrame) -> DataFrame:
+    """The policy table with what cluster policy documents say (cloud, policy_id, policy_name, definition): of each cloud the document with the largest id counts. A limit that the
+    document does not set stays, or is the default for a new cloud; the allowed nodes are those of the document, none named allows all."""
+    d = parse_policy(documents).groupBy("cloud").agg(F.max_by(F.struct("max_workers", "allowed_node_pattern", "policy_name", F.col("policy_id").cast("string").alias("policy_id")), "policy_id").alias("p")).select("cloud", "p.*")
+    own = {c: F.col(f"s_{c}") for c in ("allowed_node_pattern", "policy_name", "policy_id")} | {"source": F.concat(F.lit("cluster policy "), F.col("s_policy_name"))}
+    return mg.conditional_upsert(policy, d, "cloud", F.lit(True), own | {"max_workers": F.coalesce("s_max_workers", "max_workers")}, own | {"max_workers": F.coalesce("s_max_workers", F.lit(DEFAULT_LIMIT))})
+
+
 def parse_policy(documents: DataFrame, definition: str = "definition") -> DataFrame:
     """Worker limit (smallest numeric limit) and allowed-node pattern of cluster policy documents."""
     d = documents.withColumn("_d", F.from_json(definition, _POLICY))

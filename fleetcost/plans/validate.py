@@ -202,8 +202,8 @@ def documents(raw: DataFrame, conversions: DataFrame) -> DataFrame:
 def _json_issues() -> Column:
     """Documents that are not JSON, or not an object."""
     none, sec = F.lit(None).cast("string"), F.lit("request")
-    return _found(F.when(F.col("v").isNull(), _issue(sec, none, "request", "NOT_JSON", "valid JSON", question=F.lit("The request is not valid JSON. Please correct it."))).when(
-        ~F.col("is_object"), _issue(sec, none, "request", "WRONG_TYPE", "a JSON object", F.to_json("v"), question=F.lit("Please send the request as a JSON object."))))
+    return _found(F.when(F.col("v").isNull(), _issue(sec, none, "request", "NOT_JSON", "valid JSON", question=F.lit("This text is no JSON; please mend it."))).when(
+        ~F.col("is_object"), _issue(sec, none, "request", "WRONG_TYPE", "a JSON object", F.to_json("v"), question=F.lit("A request has to be one JSON object."))))
 
 
 def _shape_issues() -> Column:
@@ -336,7 +336,7 @@ def _area_issues() -> Column:
     unconfirmed = F.array_join(F.array_compact(F.array(*open_areas)), ",")
     found.append(F.when((unconfirmed != "") & present, _issue(sec, none, "_areas", "AREA_UNCONFIRMED", "a state for each area", quoted(unconfirmed))))
     included = F.coalesce(F.exists(F.map_values(raw), lambda s: F.upper(s) == "INCLUDED"), F.lit(False))
-    found.append(F.when(~present & ~included, _issue(sec, none, "workload", "NO_WORKLOAD", "at least one section", question=F.lit("What should be estimated?"))))
+    found.append(F.when(~present & ~included, _issue(sec, none, "workload", "NO_WORKLOAD", "at least one section", question=F.lit("Which workload is it about?"))))
     return F.concat(_found(*found), F.coalesce(unknown, _no_issues()))
 
 

@@ -7,7 +7,7 @@ checked that size against spark.sql.autoBroadcastJoinThreshold, and becomes a sh
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, field, fields
+from dataclasses import dataclass, field, fields, replace
 from datetime import datetime
 
 import pyarrow as pa
@@ -261,6 +261,10 @@ class RefData:
         """The given tables (loaded rate files, for instance), and the fixtures for all others."""
         return cls(**{f.name: tables[f.name] if f.name in tables else frame(spark, f.name) for f in fields(cls) if f.name in TABLES or f.name in tables})
 
+    def replaced(self, **tables: DataFrame) -> "RefData":
+        """The same tables but for these; what was reduced from them is reduced anew."""
+        return replace(self, kept={}, **tables)
+
     def keep(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A reduced reference table, cached: it is read by many plans and is recomputed if its executor is lost."""
         if name not in self.kept:

@@ -43,3 +43,27 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
     n, name, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"fleetcost_{uuid.uuid4().hex}", shared_folder(spark)
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
     return spark.table(name)
+
+
+def replace_files(df: DataFrame, path: str, old: list[str]) -> None:
+    """Add the rows to the table at `path`, then remove the old files (their names may be URI-encoded, as in _metadata.file_path)."""
+    spark = df.sparkSession
+    df.write.mode("append").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for name in old:
+        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(name))
+        target.getFileSystem(conf).delete(target, False)
+
+
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file with the text, in whatever store the path names."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(conf).create(target)
+    out.writeBytes(text)
+    out.close()
+
+
+def overwrite_partitions(df: DataFrame, path: str, *by: str) -> None:
+    """Replace the partitions that `df` has rows of; all others stay. Rows are gathered by partition first, so each has few files."""
+    df.repartition(*by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)

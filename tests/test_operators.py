@@ -255,3 +255,58 @@ def test_run_facts_are_read_in_buckets(spark, sf_dir):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "Exchange" not in joined and "Bucketed: true" in joined
+
+
+def test_merges_leave_untouched_files_alone(spark, tmp_path):
+    from fleetcost.operators import merges as mg
+    path = str(tmp_path / "a table")
+    rows = spark.range(0, 1000, 1, 1).select("id", (F.col("id") * 2).alias("v"))
+    rows.repartitionByRange(5, "id").write.parquet(path)
+    files = lambda: {f.name: f.stat().st_mtime_ns for f in (tmp_path / "a table").glob("*.parquet")}
+    before = files()
+    source = spark.createDataFrame([(3, 7), (5, 8), (2000, 9)], "id long, v long")
+    out = mg.by_file(path, source, "id", lambda t, s: mg.conditional_upsert(t, s, "id", F.lit(True), {"v": F.col("s_v")}, {"v": F.col("s_v")}))
+    after = files()
+    kept = before.keys() & after.keys()
+    assert len(before) == 5 and len(kept) == 4 and all(before[f] == after[f] for f in kept)
+    want = {n: n * 2 for n in range(1000)} | {3: 7, 5: 8, 2000: 9}
+    assert {r["id"]: r["v"] for r in out.collect()} == want and out.count() == 1001
+    again = mg.by_file(path, spark.createDataFrame([(-1, 1)], "id long, v long"), "id", lambda t, s: mg.replace_keys(t, s, "id"))
+    assert again.count() == 1002 and after.items() <= files().items()
+
+
+def test_broken_missing_and_empty_tables_are_listed(spark, tmp_path):
+    ok, bad = tmp_path / "ok+1 %", tmp_path / "bad"
+    spark.range(5).write.parquet(str(ok))
+    spark.range(7).coalesce(1).write.parquet(str(bad))
+    (bad / "part-x.parquet").write_text("nothing of the kind")
+    rows, files = readers.read_tables(spark, {"ok": str(ok), "bad": f"file://{bad}", "gone": str(tmp_path / "gone")}, "id long")
+    assert {r["table_name"]: r["n"] for r in rows.groupBy("table_name").agg(F.count("*").alias("n")).collect()} == {"ok": 5, "bad": 7}
+    got = sorted((r["table_name"], r["state"], r["rows"]) for r in files.collect() if r["rows"] or r["table_name"] != "ok")
+    assert [x for x in got if x[0] != "ok"] == [("bad", "READ", 7), ("bad", "SKIPPED", 0), ("gone", "SKIPPED", 0)] and sum(x[2] for x in got if x[0] == "ok") == 5
+    rows, files = readers.read_tables(spark, {"gone": str(tmp_path / "gone")}, "id long")
+    assert rows.count() == 0 and [tuple(r) for r in files.collect()] == [("gone", None, 0, "SKIPPED")]
+
+
+def test_every_record_of_a_rate_file_is_loaded_or_rejected(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("sku,price\nx,1.5\ny,many\nz,\n")
+    (tmp_path / "b.csv").write_text("sku,price\nw,2,3\nv,4\n")
+    good, bad = readers.read_rate_csv_checked(spark, str(tmp_path), "sku string, price double")
+    assert sorted(map(tuple, good.collect())) == [("v", 4.0), ("x", 1.5), ("z", None)]
+    assert sorted((r["file"].rsplit("/", 1)[1], r["record"]) for r in bad.collect()) == [("a.csv", "y,many"), ("b.csv", "w,2,3")]
+    assert good.count() + bad.count() == 5
+
+
+def test_days_are_added_and_only_the_window_is_read(spark, tmp_path):
+    from fleetcost.plans import calibrate as cal
+    rows = [("w1" if n % 5 else "w2", (T0 + timedelta(days=n % 40)).date(), T0 + timedelta(days=n % 40, hours=1), T0 + timedelta(days=n % 40, hours=1 + n % 4), "x_jobs_y", f"j{n % 3}", None, None, float(n % 7)) for n in range(300)]
+    u = spark.createDataFrame(rows, "workspace_id string, usage_date date, usage_start_time timestamp_ntz, usage_end_time timestamp_ntz, sku_name string, job_id string, cluster_id string, warehouse_id string, usage_quantity double")
+    path = str(tmp_path / "days")
+    for first, last in (("2024-01-01", "2024-01-20"), ("2024-01-15", "2024-02-05"), ("2024-01-01", "2024-01-03")):
+        cal.add_billing_days(u, "w1", first, last, path)
+    table = spark.read.parquet(path)
+    got, want = (sorted(map(tuple, cal.billing_resources(d, 30).collect()), key=str) for d in (
+        cal.window_of_days(table, "w1", "2024-02-01", 30), cal.billing_days(readers.lookback(u, "w1", "usage_start_time", "2024-02-01 00:00:00", 30))))
+    assert got == want and len(got) > 0
+    plan = cal.window_of_days(table, "w1", "2024-02-01", 30)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(workspace_id" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]

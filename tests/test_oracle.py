@@ -10,7 +10,9 @@ from fleetcost.sources.inputs import _TABLES
 
 SAMPLE = ("est_jobs_classic", "est_warehouse", "est_doc_parse", "lkp_vm_cost", "lkp_price_status", "price_card", "rate_quote", "rate_card_refresh", "src_rate_folder", "src_write_history",
           "snk_append_evolve", "mrg_conditional_upsert", "jn_interval_overlap", "ag_quartiles_exact", "wn_time_split", "wn_unique_best_match", "fn_string", "siz_recommend",
-          "siz_policy_parse", "dcp_line_items", "dcp_notes", "dcp_overrides", "chk_wrong_type", "chk_areas", "chk_modes", "out_details", "out_summary", "cal_evidence", "cal_billing_peers", "rec_drift")
+          "siz_policy_parse", "dcp_line_items", "dcp_notes", "dcp_overrides", "chk_wrong_type", "chk_areas", "chk_modes", "out_details", "out_summary", "cal_evidence", "cal_billing_peers", "rec_drift",
+          "src_rate_rejects", "src_history_files", "mrg_policy_limits", "mrg_replace_keys", "mrg_apply_calibration", "jn_effective_price", "siz_new_policy", "siz_calibrated", "siz_priced",
+          "chk_overrides", "chk_gate", "chk_verdict", "out_totals", "cal_summary", "cal_usage", "cal_billing_days", "dcp_price_lines")
 KEYS = sorted(k for k, q in REGISTRY.items() if q.sql) if os.environ.get("FULL_ORACLE") else SAMPLE
 
 
