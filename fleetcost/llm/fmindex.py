@@ -12,9 +12,6 @@ from pyspark.sql import functions as F
 from fleetcost.llm.common import slices
 from fleetcost.llm.windows import GROUP, LAST, Kind, Words, carried, covered, extremes, merged_spans, prefix_ranks, rolling, window_starts
 
-DEPTH = 128     # suffixes are sorted by so many words, the longest pattern that is searched
-
-
 class Minimum:
     """Smallest value of any range, from a table of ranges of 1, 2, 4, ... values."""
 
@@ -56,25 +53,27 @@ class Wavelet:
 
 
 class FMIndex:
-    """Backward search over a text of symbols 0 <= x < symbols, with LCP values for the way back, and an owner per position."""
+    """Backward search over a text of symbols 0 <= x < symbols, with LCP values for the way back, and an owner per position. Suffixes are sorted by their first `depth`
+    symbols, so no longer pattern may be searched."""
 
-    def __init__(self, text: np.ndarray, symbols: int, owner: np.ndarray):
+    def __init__(self, text: np.ndarray, symbols: int, owner: np.ndarray, depth: int):
         self.n = len(text)
         nxt = np.concatenate([text[1:], [0]]).astype(np.uint64)
-        ranks = [(1, text.astype(np.uint64) + np.uint64(1)), *prefix_ranks(text.astype(np.uint64) << np.uint64(21) | nxt, 2, DEPTH)]
+        ranks = [(1, text.astype(np.uint64) + np.uint64(1)), *prefix_ranks(text.astype(np.uint64) << np.uint64(21) | nxt, 2, max(2, depth))]
         rank = ranks[-1][1]
         order = (np.sort(rank << np.uint64(21) | np.arange(self.n, dtype=np.uint64)) & np.uint64((1 << 21) - 1)).astype(np.int64)
         self.wavelet = Wavelet(text[order - 1], symbols)
         every = np.arange(symbols)
         self.before = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=symbols))])[:symbols] - self.wavelet.walk(every, np.zeros(symbols, np.int64))
         self.owner = Minimum(owner[order].astype(np.int32))
+        limit = max(2, depth)
         a, b, lcp = order[:-1].copy(), order[1:].copy(), np.zeros(self.n - 1, np.int64)
         for depth, r in reversed(ranks):
-            r = np.concatenate([r, np.zeros(DEPTH * 2 + 2, np.uint64)])
-            same = (r[a] == r[b]) & (r[a] > 0) & (np.maximum(a, b) + depth <= self.n) & (lcp + depth < 2 * DEPTH)
+            r = np.concatenate([r, np.zeros(limit * 2 + 2, np.uint64)])
+            same = (r[a] == r[b]) & (r[a] > 0) & (np.maximum(a, b) + depth <= self.n) & (lcp + depth < 2 * limit)
             lcp[same] += depth
             a, b = a + same * depth, b + same * depth
-        self.lcp = Minimum(np.minimum(np.concatenate([[0], lcp, [0]]), 2 * DEPTH).astype(np.int16))     # lcp[x]: of rows x - 1 and x
+        self.lcp = Minimum(np.minimum(np.concatenate([[0], lcp, [0]]), 2 * limit).astype(np.int32))     # lcp[x]: of rows x - 1 and x
 
     def extend(self, l: np.ndarray, r: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rows that begin with the symbol followed by what the rows [l, r) begin with."""
@@ -133,7 +132,7 @@ class FMMatch:
         text = np.concatenate([x for s in ids for x in (s, [1])] + [[0]]).astype(np.int64)      # 1 ends a unit, 0 ends the text
         length = np.fromiter(map(len, ids), np.int64, len(ids)) + 1
         begin = np.cumsum(length) - length
-        index = FMIndex(text, len(names) + 2, np.append(np.repeat(ident[rows], length), len(units)))
+        index = FMIndex(text, len(names) + 2, np.append(np.repeat(ident[rows], length), len(units)), self.kind.size + self.kind.reach)
         some = np.flatnonzero(right[rows] >= 0)
         low, e = begin[some] + left[rows][some], begin[some] + right[rows][some]
         me = ident[rows][some]

@@ -18,11 +18,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcost.llm.common import slices, written
+from fleetcost.llm.common import dropped, slices, written
 
 BASE = 0x9E3779B97F4A7C15
 LAST = (1 << 63) - 1        # stands for a null id: after all others
 GROUP = 500                 # contexts of one anchor that a task takes at most
+PIECE = 1 << 18             # window starts of a text whose hashes are held at once
 SPLIT = 6                   # parts into which the window starts of a larger group are cut
 _words: dict[bytes, int] = {}
 
@@ -108,12 +109,13 @@ class Words:
 
 @dataclass(frozen=True)
 class Kind:
-    """What a window is: the kind of symbol, its size, the length of an anchor; and about how many bytes of contexts a matcher gets at
-    once (their symbols must stay below 2**21)."""
+    """What a window is: the kind of symbol, its size, the length of an anchor; about how many bytes of contexts a matcher gets at once
+    (more than 2**21 symbols are an error of prefix_ranks()); and how many bytes of a text's hash tell rows of one id, or without one, apart."""
     unit: type
     size: int
     gram: int
     chunk: int = 400_000
+    row_bytes: int = 16
 
     @property
     def reach(self) -> int:
@@ -121,6 +123,20 @@ class Kind:
         return self.size - self.gram
 
 
+def picks(symbols, kind: Kind, piece: int = PIECE) -> tuple[np.ndarray, np.ndarray]:
+    """Positions and hashes of the anchors of a text. A long text goes in pieces of `piece` window starts that overlap by a window, so its arrays stay small."""
+    at, found = [], []
+    for lo in range(0, max(0, len(symbols) - kind.size + 1), piece):
+        h = rolling(kind.unit.values(symbols[lo:lo + piece + kind.size - 1]), kind.gram)
+        p = picked(h, kind.reach + 1)
+        at.append(p + lo)
+        found.append(h[p])
+    if len(at) < 2:
+        return (at[0], found[0]) if at else (np.array([], np.int64), np.array([], np.uint64))
+    position, first = np.unique(np.concatenate(at), return_index=True)
+    return position, np.concatenate(found)[first]
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
@@ -131,17 +147,17 @@ def carried(docs: DataFrame, carry: tuple[str, ...]) -> tuple[list, str]:
             "".join(f", k{n} {docs.schema[c].dataType.simpleString()}" for n, c in enumerate(carry)))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """id (null: the largest), th (hash that tells rows of one id apart), z (the whole text, compressed, or null) and the carried columns."""
+def keyed(docs: DataFrame, kind: Kind, id_col: str, text_col: str, carry: tuple[str, ...] = ()) -> DataFrame:
+    """id (null: the largest), th (128-bit hash of the text, that tells rows of one id apart), z (the whole text, compressed, or null) and the carried columns."""
     def squeeze(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pack = zstandard.ZstdCompressor(level=1)
         for b in slices(batches):
             data = [None if t is None else t.encode("utf-8", "surrogatepass") for t in b["t"]]
-            th = np.array([xxhash.xxh32_intdigest(d or b"") for d in data], np.uint32).view(np.int32)
+            th = [xxhash.xxh3_128_digest(d or b"")[:kind.row_bytes] for d in data]
             yield b.drop(columns="t").assign(th=th, z=[None if d is None else pack.compress(d) for d in data])
     columns, kinds = carried(docs, carry)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t"), *columns)
-    return source.mapInPandas(squeeze, f"id long, th int, z binary{kinds}")
+    return source.mapInPandas(squeeze, f"id long, th binary, z binary{kinds}")
 
 
 def anchors(docs: DataFrame, kind: Kind, id_col: str, text_col: str) -> DataFrame:
@@ -155,26 +171,25 @@ def anchors(docs: DataFrame, kind: Kind, id_col: str, text_col: str) -> DataFram
                 s = unit.symbols(data)
                 if len(s) < size:
                     continue
-                h = rolling(unit.values(s), kind.gram)
-                p = picked(h, reach + 1)
+                p, h = picks(s, kind)
                 docs.append(np.full(len(p), n))
-                th.append(np.full(len(p), xxhash.xxh32_intdigest(data), np.uint32))
+                th += [xxhash.xxh3_128_digest(data)[:kind.row_bytes]] * len(p)
                 at.append(p)
-                ah.append(h[p])
+                ah.append(h)
                 for q in p.tolist():
                     lo = q - reach if q > reach else 0
                     ch.append(xxhash.xxh64_intdigest(unit.part(s, lo, q + size), q - lo))
             if docs:
-                yield pd.DataFrame({"id": b["id"].to_numpy()[np.concatenate(docs)], "th": np.concatenate(th).view(np.int32), "pos": np.concatenate(at).astype(np.int32),
+                yield pd.DataFrame({"id": b["id"].to_numpy()[np.concatenate(docs)], "th": th, "pos": np.concatenate(at).astype(np.int32),
                                     "ah": np.concatenate(ah).view(np.int64), "ch": np.array(ch, np.uint64).view(np.int64)})
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("t"))
-    return source.mapInPandas(find, "id long, th int, pos int, ah long, ch long")
+    return source.mapInPandas(find, "id long, th binary, pos int, ah long, ch long")
 
 
 #: A unit is what a matcher gets: a context (or the part of it that some window starts can reach) with its group key g and own key c,
 #: how often it occurs, its first occurrence (id, th, pos of the anchor), its first symbol's place relative to the anchor, and the
 #: starts of the windows that count.
-UNIT = "g long, c long, n long, id long, th int, pos int, base int, lo int, hi int, ctx binary"
+UNIT = "g long, c long, n long, id long, th binary, pos int, base int, lo int, hi int, ctx binary"
 
 
 def _contexts(texts: DataFrame, wanted: DataFrame, kind: Kind) -> DataFrame:
@@ -266,22 +281,26 @@ def covered(docs: DataFrame, kind: Kind, match, id_col: str, text_col: str, grou
     match(units) -> (g, c, a, b) decides about the first occurrence of each unit; match.whole(own, first, n) is true for an occurrence all
     of whose windows are repeated because of another occurrence of the same unit; match.length gives the symbols of a ctx.
     """
-    texts = keyed(docs, id_col, text_col, carry)
+    texts = keyed(docs, kind, id_col, text_col, carry)
     seen = written(anchors(docs, kind, id_col, text_col))
     groups = written(seen.groupBy("ah").agg(F.count("*").alias("n"), F.min("ch").alias("x"), F.max("ch").alias("y")).where("n > 1").select("ah", (F.col("x") < F.col("y")).alias("mixed")))
     rows = written(seen.join(groups, "ah"))
+    dropped(seen, groups)
     first = rows.groupBy("ah", "ch").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "pos")).alias("first"), F.first("mixed").alias("mixed"))
     first = written(first)
     wanted = first.where("mixed").select(F.col("ah").alias("g"), F.col("ch").alias("c"), "n", "first.id", "first.th", "first.pos")
     units = written(_contexts(texts, wanted, kind))
     inside = _matched(units, kind, match, group).select(F.col("g").alias("ah"), F.col("c").alias("ch"), "a", "b")
     state = written(first.join(inside, ["ah", "ch"], "left").select(F.col("ah").alias("g"), F.col("ch").alias("c"), "n", "first", "a", "b"))
+    dropped(first, units)
     found = rows.join(state, (F.col("ah") == F.col("g")) & (F.col("ch") == F.col("c")))
     whole = match.whole(F.struct("id", "th", "pos"), F.col("first"), F.col("n"))
     a = F.when(whole, F.lit(-kind.reach)).otherwise(F.col("a"))
     b = F.when(whole, F.lit(kind.size)).otherwise(F.col("b"))
     spans = found.select("id", "th", F.greatest(F.col("pos") + a, F.lit(0)).alias("start"), (F.col("pos") + b).alias("end")).where("start IS NOT NULL AND end IS NOT NULL")
-    return texts, spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    spans = written(spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans")))
+    dropped(rows, state)
+    return texts, spans
 
 
 def window_starts(units: pd.DataFrame, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -305,8 +324,10 @@ def extremes(units: pd.DataFrame, owner: np.ndarray, begin: np.ndarray, end: np.
 
 def prefix_ranks(first: np.ndarray, depth: int, until: int) -> Iterator[tuple[int, np.ndarray]]:
     """Dense ranks (from 1) of all suffixes by their first `depth`, 2 * `depth`, ... `until` symbols; `first` says the first `depth` in
-    at most 42 bits. Sorted as one 64-bit number each, so there can be 2**21 - 1 suffixes at most."""
+    at most 42 bits. Sorted as one 64-bit number each, so more than 2**21 - 1 suffixes are an error."""
     n, low = len(first), np.uint64((1 << 21) - 1)
+    if n > int(low):
+        raise ValueError(f"{n} suffixes at once; {int(low)} fit: windows are too long, or a group's contexts too many, for one shard")
     at = np.arange(n, dtype=np.uint64)
     key = first.astype(np.uint64)
     while True:
@@ -319,7 +340,7 @@ def prefix_ranks(first: np.ndarray, depth: int, until: int) -> Iterator[tuple[in
             return
         step = min(depth, until - depth)
         key = rank << np.uint64(21)
-        key[:n - step] |= rank[step:]
+        key[:max(0, n - step)] |= rank[step:]
         depth += step
 
 
