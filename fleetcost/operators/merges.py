@@ -5,6 +5,7 @@ Keys are unique on both sides, so no join here multiplies rows. by_file() applie
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,7 +24,7 @@ def by_file(path: str, source: DataFrame, key: str, merge: Callable[[DataFrame,
     whole = spark.read.parquet(path)
     keys = source.select(key).distinct()
     held = whole.select(key, F.col("_metadata.file_path").alias("_file")).join(keys, key, "left_semi").select("_file").distinct()
-    touched = sorted(r["_file"] for r in held.collect())
+    touched = sorted(unquote(r["_file"]) for r in held.collect())       # the metadata give names as URIs
     rows = spark.read.schema(whole.schema).parquet(*touched) if touched else whole.limit(0)
     sinks.replace_files(merge(rows, source), path, touched)
     return spark.read.schema(whole.schema).parquet(path)

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcost.sources import sinks
@@ -45,21 +45,24 @@ def read_tables(spark: SparkSession, paths: dict[str, str], schema: str) -> tupl
     have = {name: path for name, path in paths.items() if there(path)}
     place = spark.createDataFrame([(n, have.get(n)) for n in paths], "table_name string, path string")
 
-    def named(df: DataFrame, file: str) -> DataFrame:
-        """With the table of each file: the part of a file's name before its last slash is the table's path."""
-        folder = F.regexp_replace(F.url_decode(F.regexp_replace(F.regexp_replace(file, "[+]", "%2B"), "/[^/]*$", "")), "^file:/+", "/")
-        own = place.where("path IS NOT NULL").select("table_name", F.regexp_replace(F.regexp_replace("path", "/+$", ""), "^file:/+", "/").alias("_path"))
+    def plain(path) -> Column:
+        """A path in one form for local files."""
+        return F.regexp_replace(path, "^file:/+", "/")
+
+    def named(df: DataFrame) -> DataFrame:
+        """With the table of each file (a URI): what stands before its name is the table's path."""
+        folder = plain(F.url_decode(F.regexp_replace(F.regexp_replace("file", "/[^/]*$", ""), "[+]", "%2B")))
+        own = place.where("path IS NOT NULL").select("table_name", plain(F.regexp_replace("path", "/+$", "")).alias("_path"))
         return df.withColumn("_path", folder).join(own, "_path").drop("_path")
     if not have:
         rows = spark.createDataFrame([], f"{schema}, table_name string")
         return rows, place.select("table_name", F.lit(None).cast("string").alias("file"), F.lit(0).cast("long").alias("rows"), F.lit("SKIPPED").alias("state"))
     read = spark.read.schema(schema).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).parquet(*have.values()).withColumn("file", F.col("_metadata.file_path"))
-    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(have.values())).select(F.col("path").alias("file"))
-    plain = lambda c: F.regexp_replace(F.url_decode(F.regexp_replace(c, "[+]", "%2B")), "^file:/+", "/")
-    counts = read.groupBy(plain(F.col("file")).alias("f")).agg(F.count("*").alias("rows"))
-    files = named(listed.withColumn("f", plain(F.col("file"))), "file").join(counts, "f", "left").select("table_name", "file", F.coalesce("rows", F.lit(0)).alias("rows"))
+    listed = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(list(have.values())).select(F.col("_metadata.file_path").alias("file"))
+    counts = read.groupBy("file").agg(F.count("*").alias("rows"))
+    files = named(listed).join(counts, "file", "left").select("table_name", "file", F.coalesce("rows", F.lit(0)).alias("rows"))
     states = place.join(files, "table_name", "left").select("table_name", "file", F.coalesce("rows", F.lit(0)).alias("rows"), F.when(F.col("rows") > 0, "READ").otherwise("SKIPPED").alias("state"))
-    return named(read, "file").drop("file"), states
+    return named(read).drop("file"), states
 
 
 def read_documents(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:

@@ -46,12 +46,12 @@ def bucketed(df: DataFrame, key: str) -> DataFrame:
 
 
 def replace_files(df: DataFrame, path: str, old: list[str]) -> None:
-    """Add the rows to the table at `path`, then remove the old files (their names may be URI-encoded, as in _metadata.file_path)."""
+    """Add the rows to the table at `path`, then remove the old files."""
     spark = df.sparkSession
     df.write.mode("append").parquet(path)
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for name in old:
-        target = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(name))
+        target = jvm.org.apache.hadoop.fs.Path(name)
         target.getFileSystem(conf).delete(target, False)
 
 

@@ -299,7 +299,7 @@ def test_every_record_of_a_rate_file_is_loaded_or_rejected(spark, tmp_path):
 
 def test_days_are_added_and_only_the_window_is_read(spark, tmp_path):
     from fleetcost.plans import calibrate as cal
-    rows = [("w1" if n % 5 else "w2", (T0 + timedelta(days=n % 40)).date(), T0 + timedelta(days=n % 40, hours=1), T0 + timedelta(days=n % 40, hours=1 + n % 4), "x_jobs_y", f"j{n % 3}", None, None, float(n % 7)) for n in range(300)]
+    rows = [("w1" if n % 5 else "w2", (T0 + timedelta(days=n % 40)).date(), T0 + timedelta(days=n % 40, hours=1), T0 + timedelta(days=n % 40, hours=1 + n % 4), "x_jobs_y", f"j{n % 40 // 9}", None, None, float(n % 7)) for n in range(300)]
     u = spark.createDataFrame(rows, "workspace_id string, usage_date date, usage_start_time timestamp_ntz, usage_end_time timestamp_ntz, sku_name string, job_id string, cluster_id string, warehouse_id string, usage_quantity double")
     path = str(tmp_path / "days")
     for first, last in (("2024-01-01", "2024-01-20"), ("2024-01-15", "2024-02-05"), ("2024-01-01", "2024-01-03")):
