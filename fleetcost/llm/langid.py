@@ -72,22 +72,22 @@ class Model:
         full, _ = em(np.full((len(some), k), 1 / k, np.float32), steps)
         order = np.argsort(-full, axis=1, kind="stable")
         rank = np.argsort(order, axis=1, kind="stable")
-        best, best_score = None, np.full(len(some), -np.inf)
-        for m in range(1, k + 1):       # the m likeliest languages, for as long as one more pays for some text
+        best, best_score, grows = np.zeros((len(some), k)), np.full(len(some), -np.inf), np.ones(len(some), bool)
+        for m in range(1, k + 1):       # the m likeliest languages, of each text for as long as one more pays for it
             w = np.where(rank < m, full + 1e-6, 0)
             w, fit = em((w / w.sum(axis=1, keepdims=True)).astype(np.float32), 0 if m == 1 else 4)
             score = fit - penalty * (m - 1) * np.log(n[some] + 1)
-            better = score > best_score
-            best = w if best is None else np.where(better[:, None], w, best)
-            best_score = np.where(better, score, best_score)
-            if not better.any():
+            grows &= score > best_score
+            best = np.where(grows[:, None], w, best)
+            best_score = np.where(grows, score, best_score)
+            if not grows.any():
                 break
         theta[some] = best
         return theta, n
 
 
 def fit(labelled: DataFrame, per_language: int = 2000, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> Model:
-    """Trigram counts of about `per_language` rows of each label, drawn by a hash of the key; rows without text or label don't count.
+    """Trigram counts of about `per_language` rows of each label, drawn by a hash of key and text; rows without text or label don't count. Equal rows are drawn together.
 
     That is the documented bound of the training sample. The counts themselves are made on the executors; the driver gets at most
     2**16 numbers per label.
@@ -97,7 +97,7 @@ def fit(labelled: DataFrame, per_language: int = 2000, text_col: str = "text", l
     if not totals:
         return Model(pd.DataFrame({"lang": [], "bucket": np.array([], int), "n": []}))
     share = F.create_map(*[F.lit(x) for r in totals for x in (r["lang"], min(1.0, per_language / r["count"]))])
-    drawn = rows.where(F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
+    drawn = rows.where(F.pmod(F.xxhash64("key", "text", F.lit("sample")), F.lit(1 << 20)) < F.element_at(share, F.col("lang")) * (1 << 20)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
@@ -116,7 +116,8 @@ def identify(docs: DataFrame, model: Model, penalty: float = 3.0, steps: int = 6
 
     A word is drawn from one language, with the product of its trigram likelihoods; EM gives the proportions. The set of languages is
     grown in order of proportion while the log-likelihood gains more than `penalty * ln(words)` per language. A text that is null, empty
-    or without a letter is `und` with score 0, as is every text when nothing was learned. Whole texts are read; other columns are ignored.
+    or without a letter is `und` with score 0, as is every text when nothing was learned. Each text is judged by itself. Repeated rows and rows without an id are judged like
+    any other and kept; an empty table gives no rows. Whole texts are read; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
