@@ -1,7 +1,7 @@
 """Chat formatting: conversations rebuilt from an event log, rendered with turn marks and a loss mask. DataFrame functions only."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -32,7 +32,7 @@ def fold(events: DataFrame) -> DataFrame:
     Events of a message apply in order of seq; equal seq are ordered by kind, role and text. `delta` (also any unknown or null kind)
     adds its text, `edit` replaces what the message says, `regenerate` empties it, and later deltas fill it anew. A message opens with
     its first event, stands where it opened, and has the first role that is not null (else an empty one); a null text is empty.
-    Messages are folded one by one, so a long conversation is spread over tasks until it is rendered.
+    Messages are folded one by one.
     """
     kind = F.coalesce(F.lower("kind"), F.lit("delta"))
     e = events.select("conv_id", "msg_id", F.struct(F.col("seq"), kind.alias("kind"), F.col("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")).alias("e"))
@@ -78,12 +78,12 @@ def events_of(conversations: DataFrame) -> DataFrame:
     """An event log that says the same as a table of finished turns: each row is one delta that opens its own message.
 
     Rows of one conversation and turn number stay apart, equal rows too, and stand in order of role and text (null as empty); rows without
-    a turn number come last, in the same order. Equal rows are counted before they are numbered, so many of them are not one task's rows.
+    a turn number come last, in the same order. Rows without a conversation are one conversation of their own. Other columns are ignored. A message's id is its row's number
+    in that order, so nothing but the numbering shuffles texts: what follows groups by the conversation too.
     """
     role, text = (F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("role", "text"))
-    rows = conversations.select("conv_id", "turn", role, text).groupBy("conv_id", "turn", "role", "text").agg(F.count("*").alias("n"))
-    rows = rows.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
-    return rows.select("conv_id", F.col("turn").alias("seq"), F.lit("delta").alias("kind"), F.struct("role", "text", "turn", "no").alias("msg_id"), "role", "text")
+    number = F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_last("turn"), "role", "text"))
+    return conversations.select("conv_id", F.col("turn").alias("seq"), role, text, F.col("turn")).select("conv_id", "seq", F.lit("delta").alias("kind"), number.alias("msg_id"), "role", "text")
 
 
 def run(spark, sf_dir: str) -> DataFrame:
