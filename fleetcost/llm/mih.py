@@ -1,16 +1,20 @@
 """Exact top-k search over binary codes by incremental multi-index hashing."""
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fleetcost.llm import blocks
+
 SEGMENTS, BITS = 4, 16
-CODE_ROWS, QUERY_ROWS = 1 << 20, 1 << 14
+CODE_ROWS = 1 << 20
+LEAST = 6           # blocks, so that a small table still uses several tasks; fewer codes in a block mean larger search radii
 
 
 @lru_cache(maxsize=None)
@@ -64,38 +68,35 @@ class Index:
 
 
 def sign_code(vector: str) -> F.Column:
-    """64 sign bits of a vector column, its first component highest: 1 where it is not negative; of longer vectors the last 64 count."""
-    return F.aggregate(F.col(vector), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x >= 0, 1).otherwise(0).cast("long")))
+    """64 sign bits of a vector column, its first component highest: 1 where it is not negative, 0 also where it is null; null for a null vector. Any other length than 64 is an error."""
+    bits = F.aggregate(F.col(vector), F.lit(0).cast("long"), lambda acc, x: F.shiftleft(acc, 1).bitwiseOR(F.when(x >= 0, 1).otherwise(0).cast("long")))
+    return F.when(F.col(vector).isNull(), None).when(F.size(vector) == SEGMENTS * BITS, bits).otherwise(F.raise_error(F.lit("a vector does not have 64 components")).cast("long"))
 
 
-def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, code_rows: int = CODE_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(codes: DataFrame, queries: DataFrame, k: int = 10, code_rows: int = CODE_ROWS) -> DataFrame:
     """query_id, rank, id and distance of the k codes nearest to each query by Hamming distance, ties by id; the query's own id is left out.
 
-    Both tables have id (long) and code (long); rows with a null in either are left out, repeated (id, code) rows count once per block.
+    Both tables have id (long) and code (long), other columns are ignored; rows with a null in either are left out, repeated (id, code) rows count once.
     A query gets fewer than k rows only if there are fewer codes. Empty tables give no rows.
 
-    Codes and queries are dealt by a hash of their ids to blocks of about `code_rows` and `query_rows`; each pair of blocks is one group,
-    which builds the index of its codes and searches it exactly, and the best k per query and block meet in one ranking. What a task
-    holds is bounded by the block sizes, however common one code is.
+    Codes are dealt by a hash of their ids to blocks of about `code_rows` (LEAST blocks at least). A block is shuffled once and its index built once; the queries stream
+    through it and are searched exactly, and the best k per query and block meet in one ranking. What a task holds is bounded by the block size, however common one code is.
     """
-    codes, queries = (d.select("id", "code").where("id IS NOT NULL AND code IS NOT NULL") for d in (codes, queries))
-    nc, nq = (max(1, -(-d.count() // rows)) for d, rows in ((codes, code_rows), (queries, query_rows)))
-    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n).cast("long"))
-    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    c = codes.select("id", "code", block(nc).alias("cb"), every(nq).alias("qb"))
-    q = queries.distinct().select("id", "code", block(nq).alias("qb"), every(nc).alias("cb"))
-
-    def search(own: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(own) and len(others):
-            others = others.drop_duplicates(["id", "code"])
-            index = Index(others["id"].to_numpy(np.int64), others["code"].to_numpy(np.int64).view(np.uint64))
-            for i, code in zip(own["id"].to_numpy(np.int64), own["code"].to_numpy(np.int64).view(np.uint64)):
-                ids, dist = index.search(i, code, k)
-                out.append(pd.DataFrame({"query_id": i, "code": np.int64(code.view(np.int64)), "id": ids, "distance": dist}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "code": [], "id": [], "distance": []}, dtype="int64")
-
-    best = q.groupBy("cb", "qb").cogroup(c.groupBy("cb", "qb")).applyInPandas(search, "query_id long, code long, id long, distance long")
+    codes, queries = (d.select(F.col("id").cast("long"), F.col("code").cast("long")).where("id IS NOT NULL AND code IS NOT NULL") for d in (codes, queries))
+
+    def index(block: pa.Table) -> Index:
+        own = block.select(["id", "code"]).to_pandas().drop_duplicates()
+        return Index(own["id"].to_numpy(np.int64), own["code"].to_numpy(np.int64).view(np.uint64))
+
+    def answer(built: Index, part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        found = []
+        for i, code in zip(part.column("id").to_numpy(), part.column("code").to_numpy()):
+            ids, dist = built.search(i, np.int64(code).view(np.uint64), k)
+            found.append((np.full(len(ids), i), np.full(len(ids), code), ids, dist))
+        yield pa.record_batch({c: np.concatenate(x) for c, x in zip(("query_id", "code", "id", "distance"), zip(*found))})
+
+    n = max(LEAST, -(-codes.count() // code_rows))
+    best = blocks.against(codes, queries.distinct(), F.col("id"), n, index, answer, "query_id long, code long, id long, distance long")
     rank = F.row_number().over(Window.partitionBy("query_id", "code").orderBy("distance", "id"))
     return best.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
 
