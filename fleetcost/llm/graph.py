@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetcost.llm.common import written
+from fleetcost.llm.common import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -24,7 +24,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """node and root (the smallest node reachable) of every node in the edges (u, v); self-links and repeated edges do no harm.
 
-    Each round writes its edges to the shared folder; only a count and a checksum come to the driver. Ends when a round changes nothing.
+    Each round writes its edges to the shared folder and drops those before; only a count and a checksum come to the driver. Ends when a round changes nothing.
     """
     edges = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
     seen = None
@@ -32,4 +32,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state[0] == 0 or state == seen:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
-        seen, edges = state, written(_small_star(_large_star(edges)))
+        seen, before = state, edges
+        edges = written(_small_star(_large_star(before)))
+        dropped(before)
