@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from fleetcost import llm
-from fleetcost.llm import chat, fmindex, langid, mih, mixing, packing, quality, simhash, suffix, urls
+from fleetcost.llm import chat, fmindex, langid, mih, mixing, packing, quality, simhash, suffix, urls, windows
 from fleetcost.llm import similar as similar_
 from fleetcost.llm.graph import connected_components
 
@@ -262,7 +262,7 @@ def test_substring_dedup_is_brute_force(spark, group):
 
 def test_fm_index_counts_and_shortens():
     text = np.array([R.randint(2, 5) for _ in range(300)] + [0])
-    index = fmindex.FMIndex(text, 6, np.arange(301))
+    index = fmindex.FMIndex(text, 6, np.arange(301), 128)
     for _ in range(200):
         at, n = R.randint(0, 290), R.randint(1, 9)
         l, r = np.array([0]), np.array([index.n])
@@ -280,7 +280,7 @@ def test_top_k_is_brute_force_in_any_blocks(spark):
     df = spark.createDataFrame(codes, "id long, code long").withColumn("cb", F.lit("clash"))
     whole = {(i, c) for i, c in codes if i is not None and c is not None}
     for rows in (1 << 20, 40):
-        got = mih.top_k(df, df.where("id % 5 = 0"), k=4, code_rows=rows, query_rows=9).collect()
+        got = mih.top_k(df, df.where("id % 5 = 0"), k=4, code_rows=rows).collect()
         for q, code in [(i, c) for i, c in whole if i % 5 == 0]:
             want = sorted((bin((c ^ code) % 2**64).count("1"), i) for i, c in whole if i != q)[:4]
             assert [(r.distance, r.id) for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == want
@@ -305,13 +305,38 @@ def test_pipeline_stages_by_brute_force(spark, sf_dir):
         if name == "language":
             assert not Counter(after) - Counter(before) and {r for r in before if not any(c.isalpha() for c in r[1] or "")} <= set(before) - set(after)
         if name == "near_duplicates":
-            prints = {r: simhash.fingerprint(r[1]) % 2**64 for r in before}
-            assert len(after) == len(set(components(list(set(prints.values()))).values())) and not Counter(after) - Counter(before)
+            groups = defaultdict(list)
+            for r, root in zip(before, similar_groups([r[1] for r in before])):
+                groups[root].append(r)
+            assert len(after) == len(groups) and not Counter(after) - Counter(before)
+            assert all(min(x[0] is None or -1 for x in g) is not None and sum((Counter(after) & Counter(g)).values()) >= 1 for g in groups.values())
         if name == "substrings":
             want = [(i, " ".join(k.split())) for (i, _, n, k) in brute_words(before, 50) if k or not n]
             assert sorted((str(r[0]), " ".join((r[1] or "").encode().decode().split())) for r in after) == sorted(want)
         if name == "mixture":
             assert set(after) <= set(before) and max(Counter(after).values()) <= 3
+            size = lambda r: len((r[1] or "").split())
+            for source in {r[3] for r in before}:
+                have, took = (sum(size(r) for r in rows if r[3] == source) for rows in (before, after))
+                assert took <= 3 * have
+            targets = {r.source: r.target for r in mixing.mix(spark.createDataFrame([(n, *r[1:]) for n, r in enumerate(before)], "doc_id long, text string, lang string, source string, n_chars long")).select("source", "target").distinct().collect()}
+            for source, target in targets.items():
+                took = sum(size(r) for r in after if r[3] == source)
+                assert took <= target + 1 and took >= 0.9 * target - max((size(r) for r in before if r[3] == source), default=0)
+        if name == "packing":
+            tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+            tokens = Counter(tuple(tok.encode(r[1] or "", add_special_tokens=False).ids) + (1,) for r in before)
+            pieces, sequences, again = docs.toPandas(), defaultdict(int), Counter()
+            for at, length in zip(pieces.groupby("sequence_id")["offset"], pieces.groupby("sequence_id")["length"]):
+                ends = sorted(zip(at[1], length[1]))
+                assert ends[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(ends, ends[1:])) and sum(ends[-1]) <= 2048
+            assert pieces["length"].sum() == sum(len(t) * n for t, n in tokens.items())
+            for _, g in pieces.groupby("doc_id", dropna=False):
+                for start, ids, total in zip(g["start"], g["ids"], g["doc_tokens"]):
+                    ids = tuple(np.frombuffer(ids, "<u4").tolist())
+                    again[total] += len(ids)
+                    assert any(len(t) == total and t[start:start + len(ids)] == ids for t in tokens)
+            assert again == Counter({n: sum(len(t) * m for t, m in tokens.items() if len(t) == n) for n in {len(t) for t in tokens}})
     for stage in (f for _, f in corpus_pipeline.STAGES):
         assert stage(spark, frame(spark, []), sf_dir).count() == 0
 
@@ -387,12 +412,16 @@ def edited(text, n):
     return " ".join(w)
 
 
-@pytest.mark.parametrize("common", [100, 5])
-def test_similar_documents_are_brute_force(spark, common):
+@pytest.mark.parametrize("common, hold", [(100, 50_000), (5, 50_000), (100, 20)])
+def test_similar_documents_are_brute_force(spark, monkeypatch, common, hold):
+    monkeypatch.setattr(similar_, "HOLD", hold)
     base = [prose(n) for n in (1, 3, 5, 6, 30, 90, 200, 200, 300)]
     texts = base + [edited(b, R.randint(0, max(1, len(b.split()) // 20))) for b in base for _ in range(12)] + [t for _, t, *_ in DOCS] + [SAID + " " + prose(R.randint(1, 90)) for _ in range(60)]
     texts += [edited(base[-1], R.randint(0, 8)) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4).select(F.struct("id", F.lit(0).cast("long").alias("row")).alias("key"), "text")
+    met = list(similar_._met(iter(pd.DataFrame({"t": t, "sig": s, "n": 50, "pos": 0}) for t, s in ([[1, 1, 2], [3, 9, 4]], [[2] * 30, range(5, 35)], [[2, 2, 3], [40, 41, 1]], [[3], [8]]))))
+    pairs = pd.concat(met)
+    assert set(map(tuple, pairs.dropna(subset="u")[["u", "v"]].to_numpy())) == {(3, 9), (1, 8), *((4, v) for v in [*range(5, 35), 40, 41])} and sorted(pairs["sig"].dropna()) == [4, *range(5, 35), 40, 41]
     got, want = {r.key.id: r.component_id.id for r in similar_.similar(docs, common=common).collect()}, similar_groups(texts)
     a, b = defaultdict(set), defaultdict(set)
     for i, root in enumerate(want):
@@ -409,3 +438,133 @@ def test_pipeline_drops_documents_of_similarity_over_the_bound(spark, sf_dir):
     kept = corpus_pipeline.near_duplicates(spark, docs, sf_dir).collect()
     want = similar_groups([r[1] for r in rows])
     assert sorted(r.doc_id for r in kept) == sorted(rows[k][0] for k in set(want))
+
+
+def test_longest_previous_factors_are_brute_force():
+    for text in (b"abracadabra" * 5, b"aaaaaaaaaaaaaaaaaaaaaaa", bytes(R.choice(b"ab") for _ in range(200)), b"xyz"):
+        n = len(text)
+        order = sorted(range(n), key=lambda i: text[i:])
+        both = lambda i, j: next((k for k in range(n) if max(i, j) + k >= n or text[i + k] != text[j + k]), n)
+        lcp = np.array([0] + [both(a, b) for a, b in zip(order, order[1:])])
+        got = dict(zip(order, suffix.longest_previous(np.array(order), lcp).tolist()))
+        assert got == {i: max((both(i, j) for j in range(i)), default=0) for i in range(n)}
+    assert len(suffix.longest_previous(np.array([], np.int64), np.array([], np.int64))) == 0
+
+
+def test_rows_without_an_id_are_told_apart_where_short_hashes_are_equal(spark):
+    """Two texts without an id whose 32-bit hashes are equal, and a third that shares the start of one of them."""
+    seen, pair = {}, None
+    while pair is None:
+        t = "%0280x" % R.getrandbits(1100)
+        h = xxhash.xxh32_intdigest(t)
+        pair, seen[h] = (seen[h], t) if h in seen else None, t
+    rows = [(None, pair[0], None, None), (None, pair[1] + "#" * 100 + prose(40), None, None), (9, pair[0][:260], None, None)]
+    got = suffix.dedup(frame(spark, rows), keep_first=False).collect()
+    assert sorted((r.n_bytes, r.n_bytes - len(r.kept)) for r in got) == sorted([(280, 260), (len(rows[1][1].encode()), 0), (260, 260)])
+    rows = [(None, prose(60), None, None), (None, prose(70) + " " + SAID, None, None), (9, SAID, None, None), (None, prose(60), None, None)]
+    got = fmindex.dedup(frame(spark, rows)).collect()
+    assert sorted((r.n_words, r.n_words - len(r.kept.split())) for r in got) == sorted([(60, 0), (140, 70), (70, 0), (60, 0)])
+
+
+def test_long_windows_are_exact_and_too_many_suffixes_an_error(spark):
+    rows = [(1, " ".join(str(n) for n in range(500)), None, None), (2, " ".join(str(n) for n in range(90, 400)) + " x " + " ".join(str(n) for n in range(50)), None, None)]
+    got = {r.doc_id: r.n_words - len(r.kept.split()) for r in fmindex.dedup(frame(spark, rows), size=200).collect()}
+    assert got == {1: 0, 2: 310}
+    with pytest.raises(ValueError):
+        next(windows.prefix_ranks(np.zeros(1 << 21, np.uint64), 1, 2))
+
+
+def test_a_vector_of_another_length_is_an_error(spark):
+    df = spark.createDataFrame([(1, [1.0] * 65), (2, None), (3, [1.0] * 64)], "id long, v array<float>")
+    assert [r.c for r in df.where("id > 1").select(mih.sign_code("v").alias("c")).collect()] == [None, -1]
+    with pytest.raises(Exception, match="64 components"):
+        df.select(mih.sign_code("v")).collect()
+
+
+def plain_mixture(model, text, penalty, steps):
+    """The mixture of one text by EM written out: words, likelihoods, proportions, the set grown while it pays."""
+    grams, first, _ = langid.trigrams([text])
+    if not len(first):
+        return {}
+    ends = [*first[1:], len(grams)]
+    words = []
+    for a, b in zip(first, ends):
+        ll = [sum(float(model.log[g][k]) for g in grams[a:b]) for k in range(len(model.languages))]
+        words.append([np.exp(max(x - max(ll), -60)) for x in ll])
+
+    def em(w, rounds):
+        for _ in range(rounds):
+            share = [[p * q for p, q in zip(w, x)] for x in words]
+            w = [sum(s[k] / sum(s) for s in share) / len(words) for k in range(len(w))]
+        return w, sum(np.log(max(sum(p * q for p, q in zip(w, x)), 1e-300)) for x in words)
+    full, _ = em([1 / len(model.languages)] * len(model.languages), steps)
+    order = sorted(range(len(full)), key=lambda k: -full[k])
+    best, top = None, -np.inf
+    for m in range(1, len(full) + 1):
+        w = [full[k] + 1e-6 if k in order[:m] else 0 for k in range(len(full))]
+        w, fit = em([x / sum(w) for x in w], 0 if m == 1 else 4)
+        if fit - penalty * (m - 1) * np.log(len(words) + 1) <= top:
+            break
+        best, top = w, fit - penalty * (m - 1) * np.log(len(words) + 1)
+    return dict(zip(model.languages, best))
+
+
+def test_language_mixtures_are_plain_em_and_judged_alone(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.learned(docs)
+    texts = [r.text for r in docs.where("lang IS NOT NULL").orderBy("doc_id").limit(24).collect()]
+    texts = [t[:400] for t in texts] + [a[:200] + " " + b[:300] for a, b in zip(texts, texts[7:])] + ["", "1 2 3", "a"]
+    together, _ = model.mixtures(texts, 3.0, 6)
+    for n, t in enumerate(texts):
+        want = plain_mixture(model, t, 3.0, 6)
+        alone, _ = model.mixtures([t], 3.0, 6)
+        assert np.allclose(alone[0], together[n], atol=1e-6)
+        assert np.allclose(together[n], [want.get(x, 0) for x in model.languages], atol=2e-3), t[:60]
+    rows = [(None, f"Sample text number {n} in some words here", "en", "a") for n in range(300)]
+    odd = langid.fit(frame(spark, rows), per_language=100)
+    assert odd.languages == ["en"]      # rows without an id are drawn one by one
+    assert langid.identify(frame(spark, []), model).count() == 0 and langid.identify(frame(spark, DOCS), model).count() == len(DOCS)
+
+
+def test_chat_shuffles_texts_once(spark, sf_dir):
+    plan = chat.run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    rows = [(None, 1, "user", "a"), (None, None, "assistant", None), (None, None, "assistant", None)]
+    df = spark.createDataFrame([(*r, "x", 4) for r in rows], "conv_id long, turn int, role string, text string, kind string, seq int")
+    back = chat.read_back(chat.render(chat.fold(chat.events_of(df)))).collect()
+    assert [(t.role, t.text) for t in back[0].turns] == [("user", "a"), ("assistant", ""), ("assistant", "")] and len(back) == 1
+
+
+def test_packing_rebuilds_every_document(spark, sf_dir):
+    tok = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    docs = {r.doc_id: tok.encode(r.text or "", add_special_tokens=False).ids + [1] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pieces = packing.run(spark, sf_dir).toPandas()
+    for i, g in pieces.sort_values("start").groupby("doc_id"):
+        at = 0
+        for start, length, crc, total in zip(g["start"], g["length"], g["ids_crc32"], g["doc_tokens"]):
+            assert start == at and total == len(docs[i]) and zlib.crc32(np.array(docs[i][at:at + length], "<u4").tobytes()) == crc
+            at += length
+        assert at == len(docs[i])
+    assert set(pieces["doc_id"]) == set(docs)
+
+
+def test_anchors_of_a_long_text_do_not_depend_on_its_pieces():
+    for kind, symbols in ((windows.Kind(windows.Bytes, 20, 9), bytes(R.choice(b"abc") for _ in range(700))), (windows.Kind(windows.Words, 7, 4), [R.choice(b"ab cd ef gh".split()) for _ in range(300)])):
+        whole = windows.picks(symbols, kind)
+        assert len(whole[0]) > 20
+        for piece in (1, 13, 250):
+            assert all((a == b).all() for a, b in zip(whole, windows.picks(symbols, kind, piece)))
+    assert len(windows.picks(b"short", windows.Kind(windows.Bytes, 20, 9))[0]) == 0
+
+
+def test_sketches_rule_out_no_similar_sets():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 40, 900, 5000):
+        a = rng.integers(0, 1 << 63, n, np.uint64) << np.uint64(1)
+        for keep in (1.0, 0.95, 0.89, 0.8, 0.5, 0.0):
+            b = np.concatenate([a[:int(keep * n)], rng.integers(0, 1 << 63, n - int(keep * n), np.uint64) << np.uint64(1)])
+            for other in (b, b[:max(1, int(0.85 * n))], np.concatenate([b, rng.integers(0, 1 << 63, n // 8, np.uint64)])):
+                shared, whole = len(np.intersect1d(a, other)), len(np.union1d(a, other))
+                said = similar_.may_be_similar(similar_.sketch(np.unique(a)), similar_.sketch(np.unique(other)))
+                assert said or 5 * shared < 4 * whole
+                assert not (said and n >= 900 and keep <= 0.5)
