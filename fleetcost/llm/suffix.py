@@ -13,12 +13,36 @@ from fleetcost.llm.common import slices
 from fleetcost.llm.windows import GROUP, LAST, Bytes, Kind, covered, extremes, merged_spans, prefix_ranks, rolling, window_starts
 
 
+def previous_smaller(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """For each entry in suffix order: its longest common prefix with the nearest entry before it whose position is smaller, 0 without one. lcp[i] is that of i and i - 1.
+
+    Every entry looks at the one before it and, while that is not smaller, jumps to where that one looks, all at once: whatever lies between is not smaller either. The
+    prefix is the smallest on the way; an entry stops where that is 0. This is the stack of the linear algorithm, followed by all entries together."""
+    best = lcp.copy()
+    best[:1] = 0
+    at = np.arange(-1, len(position) - 1)
+    live = np.flatnonzero(best)
+    live = live[position[live - 1] >= position[live]]
+    while len(live):
+        to = at[live]
+        best[live], at[live] = np.minimum(best[live], best[to]), at[to]
+        live = live[best[live] > 0]
+        live = live[position[at[live]] >= position[live]]
+    return best
+
+
+def longest_previous(position: np.ndarray, lcp: np.ndarray) -> np.ndarray:
+    """Longest previous factor of each entry in suffix order: the longer of its common prefixes with the previous and the next entry of a smaller position."""
+    back = np.concatenate([lcp[:1], lcp[:0:-1]])
+    return np.maximum(previous_smaller(position, lcp), previous_smaller(position[::-1], back)[::-1])
+
+
 class SuffixMatch:
-    """Longest-previous-factor test over a suffix array of one shard.
+    """Longest-previous-factor array over a suffix array of one shard.
 
-    Suffixes are sorted by their first `size` bytes; those that share them form a run. Positions are numbered by (id, text, place). The
-    longest previous factor of a position is `size` or more exactly if the previous or the next smaller position in suffix order lies in
-    its run, that is, if it is not the smallest of the run. With keep_first those positions count, else all of a run of several.
+    Windows are put in suffix order by their first `size` bytes. Of the common prefix of neighbours only matters whether it reaches `size`, so it is `size` or 0. Positions are
+    numbered by (id, text, place). A window also starts earlier if its longest previous factor is `size`; those count with keep_first. Else all windows of a content count of
+    which one also starts earlier, or whose unit occurs more than once.
     """
 
     def __init__(self, kind: Kind, keep_first: bool):
@@ -51,12 +75,15 @@ class SuffixMatch:
         doc = units.groupby(["id", "th"]).ngroup().to_numpy(np.int64)
         position = doc[owner] << 32 | (units["pos"].to_numpy(np.int64)[owner] + start)
         order = (np.sort(rank[place] << np.uint64(21) | np.arange(len(place), dtype=np.uint64)) & np.uint64((1 << 21) - 1)).astype(np.int64)
-        run = np.flatnonzero(np.r_[True, np.diff(rank[place][order].astype(np.int64)) != 0])
-        least, most = np.minimum.reduceat(position[order], run), np.maximum.reduceat(position[order], run)
-        several = (least != most) | np.maximum.reduceat((units["n"].to_numpy() > 1)[owner][order], run)
-        size_of = np.diff(np.r_[run, len(order)])
+        ranked = rank[place][order]
+        lcp = np.where(np.r_[False, ranked[1:] == ranked[:-1]], np.int32(size), np.int32(0))
+        found = longest_previous(position[order], lcp) >= size
+        if not self.keep_first:
+            run = np.flatnonzero(lcp < size)
+            found |= (units["n"].to_numpy() > 1)[owner][order]
+            found = np.repeat(np.maximum.reduceat(found, run), np.diff(np.r_[run, len(order)]))
         hit = np.empty(len(order), bool)
-        hit[order] = position[order] > np.repeat(least, size_of) if self.keep_first else np.repeat(several, size_of)
+        hit[order] = found
         return extremes(units, owner[hit], start[hit], start[hit] + size)
 
 
