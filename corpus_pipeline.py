@@ -45,7 +45,8 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (null last; of equal ids the one with the smallest
-    hash of its row). Near duplicates share 0.8 of their five-word shingles, directly or over others. Of equal rows one stays."""
+    hash of its row). Near duplicates share 0.8 of their five-word shingles, directly or over others: pairs come from SimHash fingerprints,
+    linked as in op7, and from lists of shared shingles for those whose fingerprints are further apart; each is verified. Of equal rows one stays."""
     docs = _keyed(docs)
     judged = similar.similar(docs)
     kept = judged.where("key = component_id").select("key").distinct()

@@ -45,7 +45,11 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     end = np.cumsum(size + 1) - 1
     begin = end - size
     digest, spans = xxhash.xxh64_digest, zip(begin[:len(words) - n + 1].tolist(), end[n - 1:].tolist())
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in spans]), np.uint8).reshape(-1, 8)
+    return vote(np.frombuffer(b"".join([digest(joined[a:b], 42) for a, b in spans]), np.uint8).reshape(-1, 8))
+
+
+def vote(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of hashes, each a row of eight bytes, the high one first; of none: 0."""
     votes = np.unpackbits(hashes, axis=1).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big", signed=True)
 

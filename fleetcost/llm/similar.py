@@ -1,4 +1,5 @@
-"""Documents whose sets of word shingles are similar: prefix lists bring pairs together, each pair is verified, links give components."""
+"""Documents whose sets of word shingles are similar: near SimHash fingerprints and prefix lists bring pairs together, each pair is
+verified, links give components."""
 from __future__ import annotations
 
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetcost.llm import simhash
 from fleetcost.llm.common import dropped, slices, written
 from fleetcost.llm.graph import connected_components
 
@@ -77,20 +79,31 @@ def _often(source: DataFrame, size: int, common: int) -> np.ndarray:
 
 
 def _prefixes(source: DataFrame, size: int, common: np.ndarray) -> tuple[DataFrame, DataFrame]:
-    """id, row, sig of every document, and sig, n, prefix, sketch and low (smallest id and row) of every different set."""
+    """id, row, sig of every document, and sig, n, fp, prefix, sketch and low (smallest id and row) of every different set."""
     shared = source.sparkSession.sparkContext.broadcast(common)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             sets = [shingles(t, size) for t in b["t"]]
-            yield b.drop(columns="t").assign(sig=[_signature(s) for s in sets], n=[len(s) for s in sets], prefix=[prefix(s, shared.value).view(np.int64) for s in sets], sketch=[sketch(s) for s in sets])
-    whole = written(source.mapInPandas(of, "id long, row long, sig long, n long, prefix array<long>, sketch binary"))
-    nodes = written(whole.groupBy("sig").agg(F.min(F.struct("id", "row")).alias("low"), F.any_value("n").alias("n"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch")))
+            yield b.drop(columns="t").assign(sig=[_signature(s) for s in sets], n=[len(s) for s in sets], fp=[simhash.vote(s.astype(">u8").view(np.uint8).reshape(-1, 8)) for s in sets], prefix=[prefix(s, shared.value).view(np.int64) for s in sets], sketch=[sketch(s) for s in sets])
+    whole = written(source.mapInPandas(of, "id long, row long, sig long, n long, fp long, prefix array<long>, sketch binary"))
+    nodes = written(whole.groupBy("sig").agg(F.min(F.struct("id", "row")).alias("low"), F.any_value("n").alias("n"), F.any_value("fp").alias("fp"), F.any_value("prefix").alias("prefix"), F.any_value("sketch").alias("sketch")))
     prints = written(whole.select("id", "row", "sig"))
     dropped(whole)
     return prints, nodes
 
 
+def _near_prints(nodes: DataFrame) -> DataFrame:
+    """Pairs u < v of sets whose fingerprints are at most simhash.RADIUS bits apart, as many as connect them: sets of one fingerprint pair with the smallest of them, those with the smallest of the next fingerprint."""
+    prints = written(nodes.groupBy("fp").agg(F.min("sig").alias("m")))
+    end = lambda u, m: prints.select(F.col("fp").alias(u), F.col("m").alias(m))
+    near = simhash.links(prints.select("fp")).join(end("u", "a"), "u").join(end("v", "b"), "v").select("a", "b")
+    near = near.unionByName(nodes.join(prints, "fp").where("sig <> m").select(F.col("sig").alias("a"), F.col("m").alias("b")))
+    pairs = written(near.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")))
+    dropped(prints)
+    return pairs
+
+
 def _fit(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Whether the sizes and the places of a first common shingle leave room for similar sets."""
     least = -(-PART * (n[i] + n[j]) // (PART + WHOLE))
@@ -213,7 +226,8 @@ def similar(docs: DataFrame, size: int = 5, common: int = COMMON) -> DataFrame:
     Two documents are linked if at least 0.8 of the word shingles that either has are in both, by 64-bit hash. Texts without words are
     linked to each other only. Repeated rows are kept. An empty table gives no rows.
 
-    Shingles have one order for all documents. Two similar sets share one of the first fifth of each, so lists of the documents by such
+    First, fingerprints of the sets are linked as in op7 (simhash.links); the pairs are verified with those of the lists. Fingerprints of many similar
+    sets are further apart, so lists complete them. Shingles have one order for all documents. Two similar sets share one of the first fifth of each, so lists of the documents by such
     shingles bring all similar pairs together; sizes and places in the order rule out most others, and what is left is verified, so no
     pair is missed and none is wrong. The shingles with over `common` entries come last in the order, so a passage of many documents makes
     no long list. What stays long is mostly a large group of near copies: its list links to one member first, and then only lists whose members are not all
@@ -222,13 +236,14 @@ def similar(docs: DataFrame, size: int = 5, common: int = COMMON) -> DataFrame:
     """
     source = docs.select(F.col("key.id").alias("id"), F.col("key.row").alias("row"), F.col("text").alias("t"))
     prints, nodes = _prefixes(source, size, _often(source, size, common))
+    near = _near_prints(nodes.select("sig", "fp"))
     post = nodes.select("sig", "n", F.posexplode("prefix").alias("pos", "t"))
     met = written(post.select("t", "sig", "n", F.col("pos").cast("long").alias("pos")).repartition("t").sortWithinPartitions("t", "sig").mapInPandas(_met, "u long, v long, t long, sig long, n long, pos long"))
     sets = written(nodes.select("sig", "low", "sketch"))
     dropped(nodes)
-    pairs = written(met.where("u IS NOT NULL").select("u", "v").distinct())
+    pairs = written(met.where("u IS NOT NULL").select("u", "v").unionByName(near).distinct())
     links = _verified(source, sets, pairs, size)
-    dropped(pairs)
+    dropped(pairs, near)
     roots = connected_components(links)
     long = met.where("t IS NOT NULL").join(roots, F.col("sig") == F.col("node"), "left").select("t", "sig", "n", "pos", F.coalesce("root", "sig").alias("root"))
     long = written(long)

@@ -440,6 +440,26 @@ def test_pipeline_drops_documents_of_similarity_over_the_bound(spark, sf_dir):
     assert sorted(r.doc_id for r in kept) == sorted(rows[k][0] for k in set(want))
 
 
+def keyed(spark, texts):
+    return spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(4).select(F.struct("id", F.lit(0).cast("long").alias("row")).alias("key"), "text")
+
+
+def test_near_fingerprints_bring_similar_documents_together(spark, monkeypatch):
+    texts = [prose(400) for _ in range(12)]
+    texts += [t + " " + t.split()[0] for t in texts]
+    prints = [similar_.simhash.vote(similar_.shingles(t, 5).astype(">u8").view(np.uint8).reshape(-1, 8)) for t in texts]
+    assert prints[0] == simhash.fingerprint(texts[0], 5) and simhash.vote(np.zeros((0, 8), np.uint8)) == 0
+    near = [(i, j) for i, j in combinations(range(len(texts)), 2) if ((prints[i] ^ prints[j]) % 2**64).bit_count() <= simhash.RADIUS]
+    assert near and all(j == i + 12 for i, j in near)
+
+    def none(batches):
+        for _ in batches:
+            yield pd.DataFrame({c: pd.array([], "Int64") for c in ("u", "v", "t", "sig", "n", "pos")})
+    monkeypatch.setattr(similar_, "_met", none)
+    got = {r.key.id: r.component_id.id for r in similar_.similar(keyed(spark, texts)).collect()}
+    assert got == {**{i: i for i in range(24)}, **{j: i for i, j in near}}
+
+
 def test_longest_previous_factors_are_brute_force():
     for text in (b"abracadabra" * 5, b"aaaaaaaaaaaaaaaaaaaaaaa", bytes(R.choice(b"ab") for _ in range(200)), b"xyz"):
         n = len(text)
