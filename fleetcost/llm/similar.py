@@ -2,7 +2,8 @@
 verified, links give components."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +17,8 @@ from fleetcost.llm.graph import connected_components
 
 PART, WHOLE = 4, 5      # similar: shared shingles are at least PART / WHOLE of all shingles of a pair
 SMALL = 16              # in a list of at most so many documents all pairs are looked at; a longer one first links to one member
-COMMON = 100            # shingles in more lists than this come last in the order
-MOST = 100_000          # of those, so many at most
+COMMON = SMALL          # shingles in lists of more documents than this come last in the order
+MOST = 100_000          # of those, so many at most from each of two counts
 HOLD = 50_000           # entries of a list that a task keeps before it links them to the first one
 
 
@@ -34,14 +35,29 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b], 42) for a, b in spans), np.uint64, len(words) - n + 1))
 
 
+def _is_common(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which shingles of a set are among the common ones (sorted)."""
+    return common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s if len(common) else np.zeros(len(s), bool)
+
+
 def prefix(s: np.ndarray, common: np.ndarray) -> np.ndarray:
     """The first shingles in order (common ones last, then by hash) of which two similar sets share one."""
     if len(common) and len(s):
-        last = common[np.minimum(np.searchsorted(common, s), len(common) - 1)] == s
+        last = _is_common(s, common)
         s = np.concatenate([s[~last], s[last]])
     return s[:len(s) - -(-PART * len(s) // WHOLE) + 1] if len(s) else s
 
 
+def further(s: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """The shingles after the plain prefix that come into it when its common ones go last: as many as it takes to fill it if as large a
+    share of them is common, and some more. None if no shingle of the plain prefix is common; all if four fifths are."""
+    p = len(prefix(s, common[:0]))
+    q = int(_is_common(s[:p], common).sum())
+    if not q or PART * p <= WHOLE * q:
+        return s[p:] if q else s[:0]
+    return s[p:-(-p * p // (p - q)) + 2 * math.isqrt(p) + 8]
+
+
 def sketch(s: np.ndarray) -> bytes:
     """How many shingles of a set fall into each of a power of two of classes by their first bits, about two to a class."""
     bits = min(16, max(5, (len(s) // 2).bit_length()))
@@ -63,12 +79,22 @@ def _signature(s: np.ndarray) -> int:
 
 
 def _often(source: DataFrame, size: int, common: int) -> np.ndarray:
-    """The shingles in the plain prefixes of over `common` documents, MOST of them at most, the most frequent first; not those of copies of one text. Only counts are
-    shuffled, merged before that."""
+    """The common shingles: those in the plain prefixes of over `common` documents, then those that come into a prefix in their place in
+    over `common` documents; of each MOST at most, the most frequent first; not those of copies of one text. Only counts are shuffled,
+    merged before that. The order decides how long lists are, never which pairs are found."""
+    none = np.array([], np.uint64)
+    first = _counted(source, size, common, lambda s: prefix(s, none))
+    if not len(first):
+        return first
+    shared = source.sparkSession.sparkContext.broadcast(first)
+    return np.union1d(first, _counted(source, size, common, lambda s: further(s, shared.value)))
+
+
+def _counted(source: DataFrame, size: int, common: int, part: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in slices(batches):
             sets = [shingles(t, size) for t in b["t"]]
-            parts = [prefix(s, np.array([], np.uint64)) for s in sets]
+            parts = [part(s) for s in sets]
             owner = np.repeat(np.array([_signature(s) & 0x7FFFFFFF for s in sets], np.int32), [len(p) for p in parts])
             yield pd.DataFrame({"t": np.concatenate(parts).view(np.int64), "owner": owner})
     listed = source.select("t").mapInPandas(of, "t long, owner int").groupBy("t").agg(F.count("*").alias("n"), F.min("owner").alias("x"), F.max("owner").alias("y"))
@@ -112,7 +138,7 @@ def _fit(n: np.ndarray, pos: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.nda
 
 def _pairs(t: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, root: np.ndarray | None) -> pd.DataFrame:
     """Pairs to verify within whole lists; rows come ordered by t. Without roots: all pairs of a small list, in a longer one those with its
-    smallest member. With roots: all pairs of the longer lists whose roots differ."""
+    first member. With roots: all pairs of the longer lists whose roots differ."""
     begin = np.flatnonzero(np.r_[True, t[1:] != t[:-1]]) if len(t) else np.array([], int)
     size = np.diff(np.r_[begin, len(t)])
     us, vs = [np.array([], np.int64)], [np.array([], np.int64)]
@@ -128,7 +154,7 @@ def _pairs(t: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, root:
     for b, m in zip(begin[size > SMALL], size[size > SMALL]):
         rows = np.arange(b, b + m)
         if root is None:
-            put(np.full(m, b + int(np.argmin(sig[b:b + m]))), rows)
+            put(np.full(m, b), rows)
             continue
         names, number = np.unique(root[b:b + m], return_inverse=True)
         if len(names) > 1:
@@ -140,8 +166,8 @@ def _pairs(t: np.ndarray, sig: np.ndarray, n: np.ndarray, pos: np.ndarray, root:
 
 
 def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Of lists in order of t and sig: pairs (u < v) to verify, and the entries of long lists (t, sig, n, pos). A list may end in a later batch; of one that goes on for long
-    only its first entry, its smallest member, is kept."""
+    """Of lists in order of t, pos and sig: pairs (u < v) to verify, and the entries of long lists (t, sig, n, pos). The first entry has the fewest shingles that come before t, so of near
+    copies it is the one with the fewest edits of its own, and most others are similar to it. A list may end in a later batch; of one that goes on for long only its first entry is kept."""
     names = ["t", "sig", "n", "pos"]
     held, hub = [np.array([], np.int64)] * 4, None
 
@@ -154,7 +180,8 @@ def _met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             both = [np.concatenate([h, x]) for h, x in zip(lead, part)]
             j = np.arange(1, len(both[0]))
             ok = _fit(both[2], both[3], np.zeros(len(j), int), j)
-            pairs, long = pd.DataFrame({"u": np.full(ok.sum(), lead[1][0]), "v": part[1][ok]}).query("u < v"), np.ones(len(part[0]), bool)
+            u, v = np.full(ok.sum(), lead[1][0]), part[1][ok]
+            pairs, long = pd.DataFrame({"u": np.minimum(u, v), "v": np.maximum(u, v)}), np.ones(len(part[0]), bool)
         return pd.concat([pairs.astype("Int64"), pd.DataFrame({c: x[long] for c, x in zip(names, part)}).astype("Int64")])
     for b in batches:
         held = [np.concatenate([h, b[c].to_numpy(np.int64)]) for h, c in zip(held, names)]
@@ -238,7 +265,7 @@ def similar(docs: DataFrame, size: int = 5, common: int = COMMON) -> DataFrame:
     prints, nodes = _prefixes(source, size, _often(source, size, common))
     near = _near_prints(nodes.select("sig", "fp"))
     post = nodes.select("sig", "n", F.posexplode("prefix").alias("pos", "t"))
-    met = written(post.select("t", "sig", "n", F.col("pos").cast("long").alias("pos")).repartition("t").sortWithinPartitions("t", "sig").mapInPandas(_met, "u long, v long, t long, sig long, n long, pos long"))
+    met = written(post.select("t", "sig", "n", F.col("pos").cast("long").alias("pos")).repartition("t").sortWithinPartitions("t", "pos", "sig").mapInPandas(_met, "u long, v long, t long, sig long, n long, pos long"))
     sets = written(nodes.select("sig", "low", "sketch"))
     dropped(nodes)
     pairs = written(met.where("u IS NOT NULL").select("u", "v").unionByName(near).distinct())

@@ -460,6 +460,28 @@ def test_near_fingerprints_bring_similar_documents_together(spark, monkeypatch):
     assert got == {**{i: i for i in range(24)}, **{j: i for i, j in near}}
 
 
+def test_pairs_looked_at_grow_with_a_group_of_near_copies(spark, monkeypatch):
+    base, r = [f"w{k}" for k in range(150)], random.Random(7)
+    def copy():
+        w = list(base)
+        for _ in range(r.randint(0, 5)):
+            w[r.randrange(len(w))] = f"x{r.random()}"
+        return " ".join(w)
+    texts, seen, verified = [copy() for _ in range(600)], [], similar_._verified
+    monkeypatch.setattr(similar_, "_verified", lambda source, nodes, pairs, size: (seen.append(pairs.count()), verified(source, nodes, pairs, size))[1])
+    groups = []
+    for n in (300, 600):
+        seen.append(None)
+        got = {x.key.id: x.component_id.id for x in similar_.similar(keyed(spark, texts[:n])).collect()}
+        want, low = similar_groups(texts[:n]), {}
+        for i, root in enumerate(want):
+            low.setdefault(root, i)
+        assert got == {i: low[root] for i, root in enumerate(want)}
+        groups.append(len(low))
+    few, many = (sum(x) for x in (seen[1:seen.index(None, 1)], seen[seen.index(None, 1) + 1:]))
+    assert many < 12 * 600 and many < 3 * few and 1 < groups[1] < 400
+
+
 def test_longest_previous_factors_are_brute_force():
     for text in (b"abracadabra" * 5, b"aaaaaaaaaaaaaaaaaaaaaaa", bytes(R.choice(b"ab") for _ in range(200)), b"xyz"):
         n = len(text)
