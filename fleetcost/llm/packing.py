@@ -1,6 +1,7 @@
 """Packing: documents to token sequences of one length, by bounded-space online best fit in each partition and a merge of what is left."""
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -15,43 +16,69 @@ from fleetcost.llm.common import slices, written
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 1
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, open boolean, part long"
-_KEPT = 500_000
+_KEPT = 500_000         # entries of a lookup table
+_LONGEST = 64           # characters of an entry
 
 
-class Encoder(dict):
-    """Token ids of a text; equal to the tokenizer's own encode().
-
-    The tokenizer splits a lower-cased text into letter runs, digits and symbol runs and encodes each by itself, so those are looked up
-    in this dict, which asks the tokenizer once per piece. Texts with characters whose case, normal form or class needs the tokenizer's
-    tables, or with its special tokens, go through the tokenizer whole.
-    """
-    _other = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-į]|<\\|startoftext\\|>|<\\|endoftext\\|>")
-    _pieces = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-į]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-į]+")
+class Pieces(dict):
+    """Ids of a letter run, a digit or a symbol run, as the tokenizer's model has them; it is asked once per piece."""
 
     #: The byte-level alphabet: a printable byte stands for itself, the others, in order, for the characters from 256 on.
     _plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     _alphabet = {b: 256 + n for n, b in enumerate(sorted(set(range(256)) - set(_plain)))}
 
+    def __init__(self, model):
+        super().__init__()
+        self.model = model
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= _KEPT:
+            self.clear()
+        spelled = piece.encode().decode("latin-1").translate(self._alphabet)
+        got = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        if len(piece) <= _LONGEST:
+            self[piece] = got
+        return got
+
+
+class Encoder(dict):
+    """Token ids of a text; equal to the tokenizer's own encode().
+
+    The tokenizer splits a lower-cased text into letter runs, digits and symbol runs and encodes each by itself; none has white space in
+    it. So the text is cut at white space, words are looked up in this dict, and their pieces when a word is new. Texts with characters
+    whose case, normal form or class needs the tokenizer's tables, or with its special tokens, go through the tokenizer whole.
+    """
+    _other = re.compile("[^\t\n\r\x20-\x7e\xa1-\xa9\xab\xac\xae-\xb1\xb4\xb6-\xb8\xbb\xbf-į]")
+    _special = re.compile("<\\|startoftext\\|>|<\\|endoftext\\|>")
+    _split = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-į]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-į]+")
+
     def __init__(self, path: str):
         import os
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
+        self.pieces = Pieces(self.tokenizer.model)
 
-    def __missing__(self, piece: str) -> bytes:
+    def __missing__(self, word: str) -> bytes:
         if len(self) >= _KEPT:
             self.clear()
-        spelled = piece.encode().decode("latin-1").translate(self._alphabet)
-        got = self[piece] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(spelled)])
+        got = b"".join(map(self.pieces.__getitem__, self._split.findall(word)))
+        if len(word) <= _LONGEST:
+            self[word] = got
         return got
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
-        if self._other.search(text):
+        if self._other.search(text) or "<|" in text and self._special.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join([self[p] for p in self._pieces.findall(text.lower())])
+        return b"".join(map(self.__getitem__, text.lower().split()))
+
+
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One to a Python process, so the next task there finds what the one before has looked up."""
+    return Encoder(path)
 
 
 class Packer:
@@ -138,10 +165,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 2048, windows: int =
 
     def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
-        encoder, packer, end = Encoder(tokenizer_path), Packer(size, windows, part << 34, part), np.array([end_id], "<u4").tobytes()
+        encode, packer, end = encoder(tokenizer_path).ids, Packer(size, windows, part << 34, part), np.array([end_id], "<u4").tobytes()
         for b in slices(batches):
             for doc, text in zip(b["id"], b["t"]):
-                ids = encoder.ids(text) + end
+                ids = encode(text) + end
                 packer.add(doc, 0, ids, len(ids) // 4)
             yield packer.drain()
         for w in packer.open:

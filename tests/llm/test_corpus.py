@@ -111,6 +111,17 @@ def test_encoder_is_the_tokenizer():
         assert enc.ids(t) == np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_words_are_encoded_once_a_process():
+    path = public_tokenizers.path(packing.TOKENIZER)
+    assert packing.encoder(path) is packing.encoder(path)
+    enc, text, long = packing.Encoder(path), "Don't stop, x1! <| ß|\u00e9>", "ab1" * 50
+    want, whole = enc.ids(text), enc.ids(long)
+    assert whole == np.array(Tokenizer.from_file(path).encode(long, add_special_tokens=False).ids, "<u4").tobytes() and long not in enc
+    enc.pieces.clear()
+    enc.pieces.model = None
+    assert enc.ids(text + "\n" + text) == want * 2
+
+
 def test_language_held_out_accuracy_and_odd_inputs(spark, sf_dir):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = langid.learned(docs)
