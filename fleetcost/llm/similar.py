@@ -258,7 +258,7 @@ def similar(docs: DataFrame, size: int = 5, common: int = COMMON) -> DataFrame:
     shingles bring all similar pairs together; sizes and places in the order rule out most others, and what is left is verified, so no
     pair is missed and none is wrong. The shingles with over `common` entries come last in the order, so a passage of many documents makes
     no long list. What stays long is mostly a large group of near copies: its list links to one member first, and then only lists whose members are not all
-    connected are looked at again, for pairs that are not. Equal sets are one node. Texts are cut into shingles to count common ones and to list
+    connected are looked at again, for pairs that are not. Equal sets are one node. Texts are cut into shingles twice to count common ones, once to list
     them, and once more where they occur in a pair; entries of lists are shuffled once; tables are dropped when they have been read.
     """
     source = docs.select(F.col("key.id").alias("id"), F.col("key.row").alias("row"), F.col("text").alias("t"))
