@@ -22,8 +22,8 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 
-    def __call__(self, name: str) -> DataFrame:
-        return load(self.spark, self.sf_dir, name)
+    def __call__(self, name: str, spread: bool = False) -> DataFrame:
+        return load(self.spark, self.sf_dir, name, spread)
 
     @property
     def ref(self) -> RefData:

@@ -24,8 +24,8 @@ CTES["over_refused"] = "SELECT request_id, use_case_id, CASE WHEN named THEN 'NE
 
 
 def documents(i):
-    """The request documents as changed by their overrides, checked and written."""
-    d = rq.assemble(i("request_wide"))
+    """The request documents as changed by their overrides, checked and written. A document takes long to check, so the rows are dealt out to all tasks first."""
+    d = rq.assemble(i("request_wide", spread=True))
     fields = [c for c in d.columns if c != "request_id"]
     d = d.withColumn("k", F.col("request_id"))
     given = F.array_compact(F.array(*[F.when(F.expr(c), F.lit(f'"{p}": {v}')) for c, p, v in _CHANGES]))

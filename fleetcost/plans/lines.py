@@ -183,10 +183,10 @@ def _job(j: Column, sc: Column) -> Column:
                   evidence=RANGE, basis=F.concat(F.lit("input="), ib, F.lit("; output="), ob), model=j["model"], serving_mode=j["serving_mode"], input_tokens=it, output_tokens=ot)
 
 
-def drafts(requests: DataFrame, calibration: DataFrame | None = None, carry: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
+def drafts(requests: DataFrame, calibration: DataFrame | None = None, carry: tuple[str, ...] = (), keep: bool = False, filled: bool = False) -> DataFrame:
     """One row per request, scenario and line before pricing. `calibration` is a one-row table of historical reference points. With `keep` a scenario
-    without lines keeps one row whose component_id is NULL."""
-    d = with_decisions(with_defaults(requests)).withColumn("a", resolved_assumptions(F.col("assumptions")))
+    without lines keeps one row whose component_id is NULL. `filled`: the requests come out of parse(), so they have their defaults."""
+    d = with_decisions(requests if filled else with_defaults(requests)).withColumn("a", resolved_assumptions(F.col("assumptions")))
     cal = None
     if calibration is not None:
         d = d.withColumn("cal", F.when(F.col("calibration_allowed"), calibration.select(F.struct("*")).scalar()))
@@ -243,9 +243,9 @@ LINE_COLUMNS = ("scenario", "component_id", "engine", "description", "quantity",
                 "treatment", "evidence", "basis", "formula", "warnings")
 
 
-def line_items(requests: DataFrame, rate_card: DataFrame, conversions: DataFrame, as_of: str, calibration: DataFrame | None = None, carry: tuple[str, ...] = (), keep: bool = False) -> DataFrame:
-    """All line items of all requests: 16 columns per line, plus request_id and the carried request columns. `keep`: see drafts()."""
-    d = price_lines(price_tokens(drafts(requests, calibration, carry, keep), conversions, as_of), rate_card, as_of)
+def line_items(requests: DataFrame, rate_card: DataFrame, conversions: DataFrame, as_of: str, calibration: DataFrame | None = None, carry: tuple[str, ...] = (), keep: bool = False, filled: bool = False) -> DataFrame:
+    """All line items of all requests: 16 columns per line, plus request_id and the carried request columns. `keep`, `filled`: see drafts()."""
+    d = price_lines(price_tokens(drafts(requests, calibration, carry, keep, filled), conversions, as_of), rate_card, as_of)
     return d.select("request_id", *carry, *LINE_COLUMNS)
 
 

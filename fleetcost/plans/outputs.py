@@ -28,9 +28,8 @@ def rate_source(rate_card: DataFrame) -> DataFrame:
 
 
 def request_head(requests: DataFrame, named: Column) -> DataFrame:
-    """Requests with the texts that result tables repeat: `area_states`."""
-    d = with_defaults(requests)
-    return d.withColumn("area_states", F.array_join(F.transform(area_states(named), lambda a: F.concat(a["area"], F.lit(": "), a["state"])), "; "))
+    """Parsed requests with the texts that result tables repeat: `area_states`."""
+    return requests.withColumn("area_states", F.array_join(F.transform(area_states(named), lambda a: F.concat(a["area"], F.lit(": "), a["state"])), "; "))
 
 
 def gathered(lines: DataFrame, head: tuple[str, ...] = ()) -> DataFrame:
@@ -101,7 +100,7 @@ def settled_requests(documents: DataFrame) -> DataFrame:
 def estimate_documents(documents: DataFrame, rate_card: DataFrame, conversions: DataFrame, as_of: str) -> DataFrame:
     """Line items of settled documents, with all that totals_table() needs; a refused document keeps rows without a component. Nothing is shuffled."""
     r = request_head(settled_requests(documents), F.coalesce("named", F.lit(False)))
-    return ln.line_items(r, rate_card, conversions, as_of, carry=(*HEAD, "scenarios", "calibration_allowed"), keep=True)
+    return ln.line_items(r, rate_card, conversions, as_of, carry=(*HEAD, "scenarios", "calibration_allowed"), keep=True, filled=True)
 
 
 def refused_details(requests: DataFrame) -> DataFrame:

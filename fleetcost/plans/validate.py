@@ -55,8 +55,12 @@ def _object(v: Column) -> Column:
     return F.try_variant_get(v, "$", "map<string,variant>")
 
 
-def _is(v: Column, shape: str) -> Column:
-    return F.coalesce(_kind_of(v).startswith(shape), F.lit(False))
+_BARE = {"OBJECT": "struct<>", "ARRAY": "array<struct<>>"}
+
+
+def _is(v: Column, shape: str, path: str = "$") -> Column:
+    """Whether a value, or its part at a path, is an OBJECT or an ARRAY; what is in it is neither copied nor described."""
+    return F.try_variant_get(v, path, _BARE[shape]).isNotNull()
 
 
 def _no_issues() -> Column:
@@ -146,8 +150,8 @@ def _override_issues() -> Column:
 
     def lost(p: Column) -> Column:
         unknown = p.cid.isNotNull() & ~F.exists(have, lambda c: _names(c, p.cid))
-        part = F.try_element_at(_object(F.col("v")), p.head)
-        closed = p.cid.isNull() & p.head.isNotNull() & part.isNotNull() & ~F.is_variant_null(part) & ~_is(part, "OBJECT")
+        part = F.when(p.cid.isNull() & p.head.isNotNull(), F.try_element_at(_object(F.col("v")), p.head))
+        closed = _let(part, lambda x: x.isNotNull() & ~F.is_variant_null(x) & ~_is(x, "OBJECT"))
         return F.when(unknown, _issue(sec, p.cid, p.path, "INVALID_VALUE", "a processing component of the request", F.to_json(p.value))).when(
             closed, _issue(sec, none, p.path, "INVALID_VALUE", "a field of an object", F.to_json(p.value)))
     return F.concat(_found(bad), F.coalesce(F.when(F.col("is_object"), F.array_compact(F.transform("patches", lost))), _no_issues()))
@@ -177,19 +181,19 @@ def scenario_list(d: DataFrame) -> DataFrame:
 
 def _items() -> Column:
     """The entries of all sections of a document: section, label, item, whether it is an object (`ok`), and the id to report (`cid`); the document itself first, as section `request`."""
-    def entry(section: str, label: Column, item: Column) -> Column:
-        own = F.try_variant_get(item, "$.component_id", "string")
-        text = F.coalesce(_kind_of(_part(item, "component_id")) == "STRING", F.lit(False))
-        cid = label if section == "request" else F.when(text, own).otherwise(label)
-        return F.struct(F.lit(section).alias("section"), label.alias("label"), item.alias("item"), _is(item, "OBJECT").alias("ok"), cid.alias("cid"))
+    def entry(section: str, label: Column, item: Column, ok: Column, own_id: Column | None) -> Column:
+        cid = label if own_id is None else F.when(F.coalesce(_kind_of(own_id) == "STRING", F.lit(False)), F.try_variant_get(own_id, "$", "string")).otherwise(label)
+        return F.struct(F.lit(section).alias("section"), label.alias("label"), item.alias("item"), ok.alias("ok"), cid.alias("cid"))
 
     def entries(name: str) -> Column:
         if name in LIST_SECTIONS:
-            return F.transform(F.try_variant_get(F.col("v"), f"$.{name}", "array<variant>"), lambda x, n: entry(name, F.concat(F.lit(f"{name}["), n.cast("string"), F.lit("]")), x))
-        part = _part(F.col("v"), name)
-        return F.when(_is(part, "OBJECT"), F.array(entry(name, F.lit(name), part)))
-    own = F.array(entry("request", F.lit(None).cast("string"), F.col("v")))
-    return F.when(F.col("is_object"), F.concat(own, *[F.coalesce(entries(n), F.slice(own, 1, 0)) for n in SECTIONS]))
+            return F.transform(F.try_variant_get(F.col("v"), f"$.{name}", "array<variant>"),
+                               lambda x, n: entry(name, F.concat(F.lit(f"{name}["), n.cast("string"), F.lit("]")), x, _is(x, "OBJECT"), _part(x, "component_id")))
+        whole = entry(name, F.lit(name), _part(F.col("v"), name), F.lit(True), _part(F.col("v"), f"{name}.component_id"))
+        return F.when(_is(F.col("v"), "OBJECT", f"$.{name}"), F.array(whole))
+    own = F.array(entry("request", F.lit(None).cast("string"), F.col("v"), F.lit(True), None))
+    none = F.array().cast("array<struct<section: string, label: string, item: variant, ok: boolean, cid: string>>")
+    return F.when(F.col("is_object"), F.concat(own, *[F.coalesce(entries(n), none) for n in SECTIONS]))
 
 
 def documents(raw: DataFrame, conversions: DataFrame) -> DataFrame:
@@ -213,34 +217,48 @@ def _shape_issues() -> Column:
     def check(name: str) -> Column:
         part = _part(v, name)
         want, text = ("ARRAY", "a list of objects") if name in LIST_SECTIONS else ("OBJECT", "a JSON object")
-        bad = part.isNotNull() & ~F.is_variant_null(part) & ~_kind_of(part).startswith(want)
+        bad = ~_is(v, want, f"$.{name}") & part.isNotNull() & ~F.is_variant_null(part)
         return F.when(bad, _issue(F.lit(name), none, name, "WRONG_TYPE", text, F.to_json(part)))
     areas = _part(v, "_areas")
-    bad_areas = areas.isNotNull() & ~F.is_variant_null(areas) & ~_kind_of(areas).startswith("OBJECT")
+    bad_areas = ~_is(v, "OBJECT", "$._areas") & areas.isNotNull() & ~F.is_variant_null(areas)
     entries = F.transform(F.filter("items", lambda x: ~x.ok), lambda x: _issue(x.section, none, x.label, "WRONG_TYPE", "a JSON object", F.to_json(x.item)))
     return F.concat(_found(*[check(n) for n in SECTIONS], F.when(~F.col("scenarios_ok"), _issue(F.lit("request"), none, "scenarios", "INVALID_VALUE", "a list of " + ", ".join(SCENARIOS), F.to_json(_part(v, "scenarios")))),
                            F.when(bad_areas, _issue(F.lit("request"), none, "_areas", "WRONG_TYPE", "an object from area to state", F.to_json(areas)))), entries)
 
 
 def _known_fields() -> tuple[Column, Column]:
-    """Maps from `section.field` to (kind, choices, floor), and from section to its field names in order."""
+    """Maps from section to its fields: to a map from name to (kind, choices, floor), and to the names in order."""
     rows = [("request", f, k, None, None) for f, k in REQUEST_FIELDS.items()]
     rows += [(s, f, _KIND[t], ENUMS.get((s, f)), 1.0 if (s, f) in AT_LEAST_ONE else None) for s, fs in SECTIONS.items() for f, t in fs]
     choices = lambda c: F.array(*map(F.lit, c)) if c else F.lit(None).cast("array<string>")
-    fields = F.create_map(*[x for s, f, k, c, m in rows for x in (F.lit(f"{s}.{f}"), F.struct(F.lit(k).alias("kind"), choices(c).alias("choices"), F.lit(m).cast("double").alias("floor")))])
-    names = F.create_map(*[x for s in ("request", *SECTIONS) for x in (F.lit(s), F.array(*map(F.lit, sorted(f for o, f, *_ in rows if o == s))))])
+    field = lambda k, c, m: F.struct(F.lit(k).alias("kind"), choices(c).alias("choices"), F.lit(m).cast("double").alias("floor"))
+    sections = ("request", *SECTIONS)
+    fields = F.create_map(*[x for s in sections for x in (F.lit(s), F.create_map(*[y for o, f, *d in rows if o == s for y in (F.lit(f), field(*d))]))])
+    names = F.create_map(*[x for s in sections for x in (F.lit(s), F.array(*map(F.lit, sorted(f for o, f, *_ in rows if o == s))))])
     return fields, names
 
 
 def _field_issues() -> Column:
-    """Unknown fields (with the nearest known name), wrong types, negative numbers, unknown choices, values below their floor."""
+    """Unknown fields (with the nearest known name), wrong types, negative numbers, unknown choices, values below their floor. The type of a field and what is known of it are
+    looked up once; only a field that does not plainly fit is judged rule by rule."""
     known, names = _known_fields()
     expected = F.create_map(*[F.lit(x) for kv in EXPECTED.items() for x in kv])
-
-    def judge(x: Column, e: Column) -> Column:
-        sec, cid, name, value = x.section, x.cid, e.key, e.value
-        d, t, near_names = F.try_element_at(known, F.concat(sec, F.lit("."), name)), _kind_of(value), names[sec]
-        kind, got, number = d["kind"], F.to_json(value), t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    is_number = lambda t: t.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+
+    def looked_up(x: Column, e: Column) -> Column:
+        return F.struct(e.key.alias("name"), e.value.alias("value"), _kind_of(e.value).alias("t"), F.try_element_at(known[x.section], e.key).alias("d"))
+
+    def fits(f: Column) -> Column:
+        """True of most fields that nothing is wrong with, and of no other."""
+        kind, val = f.d["kind"], F.try_variant_get(f.value, "$", "double")
+        chosen = f.d["choices"].isNull() | F.array_contains(f.d["choices"], F.try_variant_get(f.value, "$", "string"))
+        plain = (F.when(f.t == "VOID", True).when(kind == "text", (f.t == "STRING") & chosen).when(kind == "number", is_number(f.t) & (val >= 0))
+                 .when(kind == "whole", is_number(f.t) & (val >= 0) & (val == F.floor(val))).when(kind == "flag", f.t == "BOOLEAN").when(kind == "list", f.t.startswith("ARRAY")))
+        return F.coalesce(kind.isNotNull() & plain & (f.d["floor"].isNull() | (val >= f.d["floor"])), F.lit(False))
+
+    def judge(x: Column, f: Column) -> Column:
+        sec, cid, name, value, d, t, near_names = x.section, x.cid, f["name"], f.value, f.d, f.t, names[x.section]
+        kind, got, number = d["kind"], F.to_json(value), is_number(t)
         val = F.when(number, F.try_variant_get(value, "$", "double"))
         near = F.array_min(F.transform(near_names, lambda k: F.struct(F.levenshtein(k, name).alias("distance"), k.alias("name"))))
         close = near["distance"] <= F.greatest(F.lit(1), F.floor(F.length(name) * 0.4))
@@ -261,7 +279,8 @@ def _field_issues() -> Column:
     def entry(x: Column) -> Column:
         outer = (x.section == "request") & F.lit(True)
         stated = F.filter(F.map_entries(_object(x.item)), lambda e: ~e.key.startswith("_") & ~(outer & e.key.isin("assumptions", *SECTIONS)))
-        return F.flatten(F.transform(stated, lambda e: judge(x, e)))
+        doubtful = F.filter(F.transform(stated, lambda e: looked_up(x, e)), lambda f: ~fits(f))
+        return F.flatten(F.transform(doubtful, lambda f: judge(x, f)))
     return F.flatten(F.transform(F.filter("items", lambda x: x.ok), entry))
 
 
@@ -271,6 +290,7 @@ def _entry_issues() -> Column:
 
 
 def _one_entry(x: Column) -> Column:
+    """The rules of the entry's own section."""
     sec, cid, item, scen = x.section, x.cid, x.item, F.col("scenarios")
 
     def text(f: str) -> Column:
@@ -285,59 +305,66 @@ def _one_entry(x: Column) -> Column:
     def missing(f: str, condition: Column = F.lit(True)) -> Column:
         return F.when(condition & absent(f), _issue(sec, cid, f, "MISSING", "required"))
 
-    def ranged(base: str, condition: Column) -> list[Column]:
-        lo, ex, hi = (absent(f"{base}_{b}") for b in ("low", "expected", "high"))
-        none = lo & ex & hi
-        middle = (~lo & ~hi) if base.endswith("tokens") else F.lit(False)
-        out = [F.when(condition & (none | (ex & F.array_contains(scen, "EXPECTED") & ~middle)), _issue(sec, cid, f"{base}_expected", "MISSING", "required"))]
-        for b, gone, uses in (("low", lo, F.array_contains(scen, "LOW")), ("high", hi, F.arrays_overlap(scen, F.array(F.lit("HIGH"), F.lit("STRESS"))))):
-            out.append(F.when(condition & ~none & gone & uses, _issue(sec, cid, f"{base}_{b}", "RANGE_BOUND_MISSING", "optional: without it a scenario stays pending", blocking=False)))
-        return out
-    found = [missing(f, sec == s) for s, fs in REQUIRED.items() for f in fs]
+    def ranged(base: str) -> Column:
+        def judge(gone: Column) -> Column:
+            lo, ex, hi = gone.low, gone.expected, gone.high
+            none = lo & ex & hi
+            middle = (~lo & ~hi) if base.endswith("tokens") else F.lit(False)
+            out = [F.when(none | (ex & F.array_contains(scen, "EXPECTED") & ~middle), _issue(sec, cid, f"{base}_expected", "MISSING", "required"))]
+            for b, uses in (("low", F.array_contains(scen, "LOW")), ("high", F.arrays_overlap(scen, F.array(F.lit("HIGH"), F.lit("STRESS"))))):
+                out.append(F.when(~none & gone[b] & uses, _issue(sec, cid, f"{base}_{b}", "RANGE_BOUND_MISSING", "optional: without it a scenario stays pending", blocking=False)))
+            return _found(*out)
+        return _let(F.struct(*[absent(f"{base}_{b}").alias(b) for b in ("low", "expected", "high")]), judge)
+    required = {s: _found(*[missing(f) for f in fs]) if fs else _no_issues() for s, fs in REQUIRED.items()}
     kind = text("workload_type")
-    batch = (sec == "processing") & kind.isin(*[w for w in WORKLOAD_TYPES if w != "CONTINUOUS_STREAMING"])
-    found += ranged("runtime_hours", batch) + ranged("daily_gb", sec == "transfer")
-    found.append(missing("runs_per_month", batch & (kind != "EVENT_DRIVEN_BATCH")))
-    store = sec == "storage"
-    found.append(missing("s3_write_requests_per_file", store & stated("s3_write_requests_per_file")))
+    batch = kind.isin(*[w for w in WORKLOAD_TYPES if w != "CONTINUOUS_STREAMING"])
+    runs = _found(missing("runs_per_month", kind != "EVENT_DRIVEN_BATCH"))
     encrypted = F.coalesce(F.try_variant_get(item, "$.encrypted_files_per_day", "double"), F.lit(0.0)) > 0
-    found.append(missing("kms_requests_per_encrypted_file", store & encrypted & stated("kms_requests_per_encrypted_file")))
-    for base in ("input_tokens", "output_tokens"):
-        found += ranged(base, sec == "model_endpoints")
-    model, mode = sec.isin("model_endpoints", "one_time_model_jobs"), F.coalesce(text("serving_mode"), F.lit("PAY_PER_TOKEN"))
+    requests = _found(F.when(absent("s3_write_requests_per_file"), missing("s3_write_requests_per_file", stated("s3_write_requests_per_file"))),
+                      F.when(encrypted & absent("kms_requests_per_encrypted_file"), missing("kms_requests_per_encrypted_file", stated("kms_requests_per_encrypted_file"))))
+    mode = F.coalesce(text("serving_mode"), F.lit("PAY_PER_TOKEN"))
     other = mode != "PAY_PER_TOKEN"
     is_text = F.coalesce(_kind_of(_part(item, "model")) == "STRING", F.lit(False))
-    found.append(F.when(model & other, _issue(sec, cid, "serving_mode", "INVALID_VALUE", "PAY_PER_TOKEN", F.concat(F.lit('"'), mode, F.lit('"')))))
-    found.append(F.when(model & ~other & is_text & ~F.array_contains(F.col("priced_models"), F.concat(mode, F.lit("/"), text("model"))),
-                        _issue(sec, cid, "model", "INVALID_VALUE", "a model with a conversion", F.concat(F.lit('"'), text("model"), F.lit('"')))))
-    return _found(*found)
+    models = _found(F.when(other, _issue(sec, cid, "serving_mode", "INVALID_VALUE", "PAY_PER_TOKEN", F.concat(F.lit('"'), mode, F.lit('"')))),
+                    F.when(~other & is_text & ~F.array_contains(F.col("priced_models"), F.concat(mode, F.lit("/"), text("model"))),
+                           _issue(sec, cid, "model", "INVALID_VALUE", "a model with a conversion", F.concat(F.lit('"'), text("model"), F.lit('"')))))
+    more = {"processing": [F.when(batch, F.concat(ranged("runtime_hours"), runs)).otherwise(_no_issues())], "transfer": [ranged("daily_gb")], "storage": [requests],
+            "model_endpoints": [ranged("input_tokens"), ranged("output_tokens"), models], "one_time_model_jobs": [models]}
+    found = _no_issues()
+    for s, own in required.items():
+        found = F.when(sec == s, F.concat(own, *more.get(s, []))).otherwise(found)
+    return found
 
 
 def _area_issues() -> Column:
     """Unknown areas, bad states, contradictions between states and inputs, unconfirmed areas, nothing to estimate."""
     v, none, sec = F.col("v"), F.lit(None).cast("string"), F.lit("request")
-    raw = F.when(_is(_part(v, "_areas"), "OBJECT"), F.try_variant_get(v, "$._areas", "map<string,string>"))
 
     def given(name: str) -> Column:
+        if name in LIST_SECTIONS:
+            return _part(v, f"{name}[0]").isNotNull()
         part = _part(v, name)
-        there = part.isNotNull() & ~F.is_variant_null(part)
-        return there & (F.coalesce(F.size(F.try_variant_get(v, f"$.{name}", "array<variant>")), F.lit(0)) > 0) if name in LIST_SECTIONS else there
+        return _is(v, "OBJECT", f"$.{name}") | (part.isNotNull() & ~F.is_variant_null(part))
     present = F.exists("items", lambda x: x.ok & (x.section != "request"))
     quoted = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    unknown = F.transform(F.array_except(F.map_keys(raw), F.array(*map(F.lit, AREAS))), lambda k: _issue(sec, none, F.concat(F.lit("_areas."), k), "UNKNOWN_FIELD", ", ".join(AREAS), F.concat(F.lit('"'), k, F.lit('"'))))
-    found, open_areas = [], []
-    for a in AREAS:
-        state, value = F.upper(raw[a]), raw[a]
-        good = state.isin(*AREA_STATES)
-        found.append(F.when(state.isNotNull() & ~good, _issue(sec, none, f"_areas.{a}", "INVALID_VALUE", ", ".join(AREA_STATES), quoted(value)))
-                     .when(given(a) & state.isin("EXCLUDED", "NOT_APPLICABLE"), _issue(F.lit(a), none, f"_areas.{a}", "INVALID_VALUE", "INCLUDED (inputs are given)", quoted(value)))
-                     .when(~given(a) & (state == "INCLUDED"), _issue(F.lit(a), none, a, "MISSING", "required: the area is included but has no inputs")))
-        open_areas.append(F.when(state.isNull() & ~given(a), F.lit(a)))
-    unconfirmed = F.array_join(F.array_compact(F.array(*open_areas)), ",")
-    found.append(F.when((unconfirmed != "") & present, _issue(sec, none, "_areas", "AREA_UNCONFIRMED", "a state for each area", quoted(unconfirmed))))
-    included = F.coalesce(F.exists(F.map_values(raw), lambda s: F.upper(s) == "INCLUDED"), F.lit(False))
-    found.append(F.when(~present & ~included, _issue(sec, none, "workload", "NO_WORKLOAD", "at least one section", question=F.lit("Which workload is it about?"))))
-    return F.concat(_found(*found), F.coalesce(unknown, _no_issues()))
+
+    def judge(of: Column) -> Column:
+        raw = of["raw"]
+        unknown = F.transform(F.array_except(F.map_keys(raw), F.array(*map(F.lit, AREAS))), lambda k: _issue(sec, none, F.concat(F.lit("_areas."), k), "UNKNOWN_FIELD", ", ".join(AREAS), F.concat(F.lit('"'), k, F.lit('"'))))
+        found, open_areas = [], []
+        for a in AREAS:
+            state, value = F.upper(raw[a]), raw[a]
+            good = state.isin(*AREA_STATES)
+            found.append(F.when(state.isNotNull() & ~good, _issue(sec, none, f"_areas.{a}", "INVALID_VALUE", ", ".join(AREA_STATES), quoted(value)))
+                         .when(of[a] & state.isin("EXCLUDED", "NOT_APPLICABLE"), _issue(F.lit(a), none, f"_areas.{a}", "INVALID_VALUE", "INCLUDED (inputs are given)", quoted(value)))
+                         .when(~of[a] & (state == "INCLUDED"), _issue(F.lit(a), none, a, "MISSING", "required: the area is included but has no inputs")))
+            open_areas.append(F.when(state.isNull() & ~of[a], F.lit(a)))
+        unconfirmed = F.array_join(F.array_compact(F.array(*open_areas)), ",")
+        found.append(_let(unconfirmed, lambda u: F.when((u != "") & of["present"], _issue(sec, none, "_areas", "AREA_UNCONFIRMED", "a state for each area", quoted(u)))))
+        included = F.coalesce(F.exists(F.map_values(raw), lambda s: F.upper(s) == "INCLUDED"), F.lit(False))
+        found.append(F.when(~of["present"] & ~included, _issue(sec, none, "workload", "NO_WORKLOAD", "at least one section", question=F.lit("Which workload is it about?"))))
+        return F.concat(_found(*found), F.coalesce(unknown, _no_issues()))
+    return _let(F.struct(F.try_variant_get(v, "$._areas", "map<string,string>").alias("raw"), present.alias("present"), *[given(a).alias(a) for a in AREAS]), judge)
 
 
 def _duplicate_issues() -> Column:

@@ -302,10 +302,12 @@ _TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineit
            "pages", "benchmark", "labels", "conversations")
 
 
-def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Derived input `name` over the tables under `sf_dir`."""
+def load(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """Derived input `name` over the tables under `sf_dir`. With `spread` the rows of the tables are dealt out evenly to as many tasks as a shuffle has partitions, for
+    work that is long for each row: a table of a few MB is one split of a file. Only the columns that the input needs are moved, each row once."""
     text = SQL[name]
-    used = {t: read_table(spark, sf_dir, t) for t in _TABLES if "{" + t + "}" in text}
+    dealt = (lambda t: t.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))) if spread else (lambda t: t)
+    used = {t: dealt(read_table(spark, sf_dir, t)) for t in _TABLES if "{" + t + "}" in text}
     return spark.sql(text, **used)
 
 

@@ -200,6 +200,21 @@ def test_the_check_reads_its_documents_once_and_shuffles_nothing(spark, sf_dir):
     assert plan.count("FileScan parquet") == 1 and "Join" not in plan and plan.split("Subquery")[0].count("Exchange") == 0
 
 
+def test_documents_of_one_small_file_are_checked_by_all_tasks(spark, tmp_path):
+    from fleetcost.catalog import results
+    from fleetcost.catalog.registry import Inputs
+    keys = [*range(64), 7, 7, None]
+    spark.createDataFrame([(k,) for k in keys], "c_custkey long").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    got = results.documents(Inputs(spark, str(tmp_path))).select("request_id", F.col("_metadata.file_path").alias("file")).collect()
+    assert sorted(str(r["request_id"]) for r in got) == sorted(map(str, keys)) and len({r["file"] for r in got}) == 8
+
+
+def test_the_check_describes_single_fields_and_no_whole_document(spark, sf_dir):
+    from fleetcost.sources.inputs import load
+    plan = vd.checked(load(spark, sf_dir, "raw_requests"), RefData.fixtures(spark).model_conversions)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("SchemaOfVariant") <= 20      # a field, a component id of each section, a model
+
+
 @pytest.mark.parametrize("bound, parts", [(20_000, 1_024), (40, 64)])
 def test_quantiles_by_refinement(spark, bound, parts):
     rnd = random.Random(9)
