@@ -121,7 +121,7 @@ def details(i):
     saved = lambda d: sinks.overwrite(d, sinks.shared_folder(i.spark))
     r = out.settled_requests(documents(i))
     priced = r.where("request_status = 'OK'")
-    ready = saved(ln.line_items(priced, i.ref.rate_card, i.ref.model_conversions, RATES_AS_OF, carry=("scenarios", "calibration_allowed", *out.SUMMARY_HEAD)))
+    ready = saved(ln.line_items(priced, i.ref.rate_card, i.ref.model_conversions, RATES_AS_OF, carry=("scenarios", "calibration_allowed", *out.SUMMARY_HEAD), filled=True))
     return out.details(priced, ready, F.coalesce("named", F.lit(False))).unionByName(out.refused_details(r))
 
 

@@ -34,7 +34,7 @@ def round_half_up(c: str | Column, digits: int) -> Column:
 def fmt_number(c: str | Column, digits: int = 4) -> Column:
     """Readable number text: thousands separators, at most `digits` decimals, no trailing zeros."""
     text = F.format_number(round_half_up(c, digits), digits)
-    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.rtrim(F.rtrim(text, F.lit("0")), F.lit(".")) if digits else text
 
 
 def by_scenario(scenario: Column, low: Column, expected: Column, high: Column) -> Column:

@@ -8,7 +8,7 @@ from fleetcost.functions.columns import fmt_number, round_half_up
 from fleetcost.plans import compute
 from fleetcost.plans import lines as ln
 from fleetcost.plans import totals as tt
-from fleetcost.plans.requests import SCENARIOS, area_states, parse, with_defaults
+from fleetcost.plans.requests import SCENARIOS, area_states, parse
 from fleetcost.sources import sinks
 
 # The version of the result tables, and how a stress figure is labelled.
@@ -146,8 +146,8 @@ def summary(lines: DataFrame) -> DataFrame:
 
 
 def details(requests: DataFrame, lines: DataFrame, named: Column) -> DataFrame:
-    """Explanations in one long form (request_id, section, component_id, item, detail). Sections out of the request itself are one explode. `lines` is a written table that carries
-    scenarios, calibration_allowed and the columns of SUMMARY_HEAD."""
+    """Explanations in one long form (request_id, section, component_id, item, detail) of parsed requests. Sections out of the request itself are one explode. `lines` is a written
+    table that carries scenarios, calibration_allowed and the columns of SUMMARY_HEAD."""
     none = F.lit(None).cast("string")
 
     def row(section: str, component=none, item=none, detail=none) -> Column:
@@ -155,18 +155,17 @@ def details(requests: DataFrame, lines: DataFrame, named: Column) -> DataFrame:
 
     def texts(section: str, c: str) -> Column:
         return F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: row(section, detail=x))
-    r = with_defaults(requests)
     own = F.concat(texts("NOTE", "notes"), texts("SCOPE_INCLUDED", "scope_included"), texts("SCOPE_EXCLUDED", "scope_excluded"),
                    F.transform(area_states(named), lambda a: row("AREA", a["area"], a["state"])), F.array(row("DISCLAIMER", detail=F.lit(DISCLAIMER))))
     cols = ["request_id", "section", "component_id", "item", "detail"]
-    a = r.select("request_id", F.explode_outer(own).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
+    a = requests.select("request_id", F.explode_outer(own).alias("x")).where("x IS NOT NULL").select("request_id", "x.*")
     n = tt.notes(lines)
     cid, _, rest = F.substring_index("text", ": ", 1), None, F.expr("substr(text, instr(text, ': ') + 2)")
     pending = F.col("kind") == "PENDING"
     b = n.select("request_id", F.col("kind").alias("section"), F.when(pending, cid).alias("component_id"), none.alias("item"), F.when(pending, rest).otherwise(F.col("text")).alias("detail"))
     text = F.concat(F.lit("alternative "), F.coalesce("alternative", F.lit("-")), F.lit("; confidence "), "confidence", F.lit("; status "), "status", F.lit("; streaming "), "streaming_decision",
                     F.lit("; eligible "), F.array_join("eligible", ", "))
-    c = compute.decisions(r).select("request_id", F.lit("COMPUTE_DECISION").alias("section"), "component_id", F.col("selected").alias("item"), text.alias("detail"))
+    c = compute.decisions(requests).select("request_id", F.lit("COMPUTE_DECISION").alias("section"), "component_id", F.col("selected").alias("item"), text.alias("detail"))
     e = tt.confidence(lines).select("request_id", F.lit("CONFIDENCE").alias("section"), none.alias("component_id"), F.col("rating").alias("item"), F.col("reason").alias("detail"))
     f = rates_used(lines).select("request_id", F.lit("RATE").alias("section"), none.alias("component_id"), none.alias("item"), F.col("rate_used").alias("detail"))
     g = summary(lines).select("request_id", F.lit("SUMMARY").alias("section"), none.alias("component_id"), none.alias("item"), F.col("summary").alias("detail"))

@@ -76,6 +76,13 @@ def test_rounding_and_number_text(spark):
     assert tuple(r) == (1.01, 252.95, "10,000,000", "1,234.5", "0", "100")
 
 
+def test_number_text_needs_no_pattern(spark):
+    rows = [(100.0, "100"), (-1200.5, "-1,200.5"), (0.0, "0"), (0.00004, "0"), (10.0305, "10.0305"), (1e6, "1,000,000"), (None, None)]
+    d = spark.createDataFrame(rows, "x double, text string").select(fmt_number("x").alias("got"), fmt_number("x", 0).alias("whole"), "text")
+    assert [r["got"] for r in d.collect()] == [t for _, t in rows] and d.first()["whole"] == "100"
+    assert "regexp" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_one_document_per_file(spark, tmp_path):
     for n in range(3):
         (tmp_path / f"{n}.json").write_text('{\n "use_case_id": "U%d",\n "sql": {"concurrent_users": %d}\n}' % (n, n))
