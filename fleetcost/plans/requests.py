@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetcost.functions.columns import clean_token
+from fleetcost.sources import sinks
 
 # ---- fixed values: request sections with their fields and types, areas, and planning defaults ----------------------
 _S, _D, _I, _B = "string", "double", "int", "boolean"
@@ -350,8 +351,12 @@ def templates(spark: SparkSession) -> DataFrame:
 
 
 def from_template(asked: DataFrame, template_rows: DataFrame, parameters: DataFrame) -> DataFrame:
-    """Requests (request_id, template) out of their template, with (request_id, path, value) parameters or dotted paths applied."""
-    d = parse(asked.join(template_rows, "template"))
+    """Requests (request_id, template) out of their template, with (request_id, path, value) parameters or dotted paths applied.
+
+    A template is parsed once, not once per request. The parsed templates are written, so their size is known and Spark need not pair tables of unknown size.
+    """
+    parsed = sinks.overwrite(parse(template_rows), sinks.shared_folder(asked.sparkSession))
+    d = asked.join(parsed, "template")
     names = F.create_map(*[F.lit(x) for kv in TEMPLATE_PARAMETERS.items() for x in kv])
     return apply_overrides(d, parameters.withColumn("path", F.coalesce(names[F.col("path")], F.col("path"))))
 

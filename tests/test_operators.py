@@ -332,3 +332,37 @@ def test_days_are_added_and_only_the_window_is_read(spark, tmp_path):
     assert got == want and len(got) > 0
     plan = cal.window_of_days(table, "w1", "2024-02-01", 30)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(workspace_id" in plan and "day" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_drift_parses_a_template_once_and_merges_two_maps(spark, sf_dir):
+    from fleetcost.plans import reconcile as rec, requests as rq
+    docs = {"same": '{"region": "US", "sql": {"component_id": "S", "concurrent_users": 3}}',
+            "less": '{"region": "US"}',
+            "more": '{"region": "EU", "sql": {"component_id": "S", "concurrent_users": 4, "total_users": 9}, "processing": [{"component_id": "C1", "quantity": 2}, {"component_id": "C2", "dbu_per_hour": {"HIGH": 2}}]}',
+            "nulls": '{"region": null, "sql": {"component_id": null, "concurrent_users": null}, "storage": {"retained_tb": null}}',
+            "no JSON": "x", "empty": "{}", "null": None}
+    base = rq.parse(spark.createDataFrame([("T", docs["same"]), ("U", docs["more"]), ("unused", "{}")], "template string, request_json string"))
+    own = rq.parse(spark.createDataFrame([(n, t, docs[d]) for n, (t, d) in enumerate((t, d) for t in ("T", "U", "gone", None) for d in docs)], "request_id long, template string, request_json string"))
+    own = own.unionByName(own.where("request_id = 2"))      # one request twice
+    maps = {r["template"]: r["m"] for r in base.select("template", rec.input_map().alias("m")).collect()}
+    want = [(r["request_id"], r["template"], k, maps[r["template"]].get(k), r["m"].get(k)) for r in own.select("request_id", "template", rec.input_map().alias("m")).collect() if r["template"] in maps
+            for k in r["m"].keys() | maps[r["template"]].keys() if r["m"].get(k) != maps[r["template"]].get(k)]
+    assert len(want) > 60 and sorted(map(str, want)) == sorted(str(tuple(r)) for r in rec.drift(own, base).collect())
+    none = own.where("request_id = 0").withColumn("processing", F.lit(None).cast(rq.section_ddl("processing")))
+    assert rec.drift(none, base).collect() == []            # a list that is null gives no map, so no rows
+    twice = rq.parse(spark.createDataFrame([(0, "T", '{"processing": [{"component_id": "C"}, {"component_id": "C"}]}')], "request_id long, template string, request_json string"))
+    with pytest.raises(Exception, match="DUPLICATED_MAP_KEY"):
+        rec.drift(twice, base).collect()
+    plan = REGISTRY["rec_drift"].run(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "ExistingRDD" not in plan and "array_union" not in plan
+
+
+def test_requests_out_of_templates(spark):
+    from fleetcost.plans import requests as rq
+    templates = spark.createDataFrame([("A", '{"region": "US", "storage": {"retained_tb": 2}}'), ("B", "{}"), ("B", '{"region": "EU"}'), (None, "{}")], "template string, request_json string")
+    asked = spark.createDataFrame([(1, "A"), (1, "A"), (2, "B"), (3, "none"), (4, None), (None, "A")], "request_id long, template string")
+    given = spark.createDataFrame([(1, "retained_storage_tb", "7"), (1, "retained_storage_tb", None), (2, "region", "AP"), (2, "sql.total_users", "many"), (None, "region", "AP"), (9, "region", "AP")], "request_id long, path string, value string")
+    d = rq.from_template(asked, templates, given)
+    assert d.columns[:3] == ["request_id", "template", "request_json"]
+    got = sorted((str(r["request_id"]), r["template"], r["region"], r["storage"]["retained_tb"] if r["storage"] else None) for r in d.collect())
+    assert got == [("1", "A", "US", 7.0), ("1", "A", "US", 7.0), ("2", "B", "AP", None), ("2", "B", "AP", None), ("None", "A", "US", 2.0)]
