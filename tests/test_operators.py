@@ -366,3 +366,40 @@ def test_requests_out_of_templates(spark):
     assert d.columns[:3] == ["request_id", "template", "request_json"]
     got = sorted((str(r["request_id"]), r["template"], r["region"], r["storage"]["retained_tb"] if r["storage"] else None) for r in d.collect())
     assert got == [("1", "A", "US", 7.0), ("1", "A", "US", 7.0), ("2", "B", "AP", None), ("2", "B", "AP", None), ("None", "A", "US", 2.0)]
+
+
+def test_calibrated_values_keep_no_sketch_per_job(spark, tmp_path):
+    import math
+    import re
+    from fleetcost.plans import calibrate as cal
+    rnd = random.Random(8)
+
+    def one(n):
+        basis = rnd.choice([cal.WRITTEN, cal.PROXY, None]) if n % 50 == 0 else cal.WRITTEN if n % 3 else cal.PROXY
+        return (rnd.choice(["A", "A", "A", "B", None]), basis, None if n % 11 == 0 else "hot" if n % 5 == 0 else f"j{n % 200}", rnd.choice([None, float(n % 9)]), rnd.choice([0.0, 1.5, None]),
+                rnd.choice([None, 0.0, n % 37 / 8]), None if n % 4 == 0 else float(n % 100), rnd.choice([None, 2.0]), cal.USED if n % 7 else "below min_gb_per_run")
+    rows = [one(n) for n in range(3000)] + [("only proxy", cal.PROXY, None, None, 0.0, 1.0, None, None, cal.USED)] * 2 + [("few", b, "x", 1.0, 2.0, 3.0, 4.0, 5.0, cal.USED) for b in (cal.WRITTEN, cal.PROXY)] + [("left out", cal.PROXY, "x", 1.0, 2.0, 3.0, 4.0, 5.0, "no")]
+    ev = spark.createDataFrame(rows, "profile string, volume_basis string, job_id string, setup_minutes double, gb_sized double, gb_per_core_hour double, cpu_pct double, dbu_cost_usd double, calibration_use string")
+    assert ev.columns == list(cal.VALUED)
+    ev.write.parquet(str(tmp_path / "ev"))
+    ev = spark.read.parquet(str(tmp_path / "ev"))
+
+    def at(v, p):
+        v = sorted(x for x in v if x is not None)
+        return v[max(0, math.ceil(p * len(v)) - 1)] if v else None
+    want = []
+    for profile in {r[0] for r in rows}:
+        of = {b: [r for r in rows if r[0] == profile and r[1] == b and r[8] == cal.USED and (r[5] or 0) > 0] for b in (cal.WRITTEN, cal.PROXY)}
+        if not any(r[0] == profile and r[8] == cal.USED and (r[5] or 0) > 0 for r in rows):
+            continue
+        basis = cal.WRITTEN if len(of[cal.WRITTEN]) >= 5 or not of[cal.PROXY] else cal.PROXY
+        u = of[basis]
+        paid, gb = ([r[k] for r in u if r[k] is not None] for k in (7, 4))
+        want.append((profile, basis, len(u), *[at([r[5] for r in u], p) for p in (0.25, 0.5, 0.75)], at([r[3] for r in u], 0.5), at([r[6] for r in u], 0.5), len({r[2] for r in u} - {None}), sum(paid) / sum(gb) if paid and sum(gb) else None))
+    d = cal.calibrated_values(ev, 5)
+    got = [tuple(r) for r in d.collect()]
+    assert d.columns == ["profile", "basis", "runs", "cal_low", "cal_expected", "cal_high", "cal_startup", "median_cpu_pct", "jobs", "usd_per_gb"]
+    assert sorted(map(str, got)) == sorted(map(str, want)) and {r[0] for r in got} == {"A", "B", None, "only proxy", "few"}
+    assert cal.calibrated_values(ev.where("false"), 5).collect() == []
+    keys = re.findall(r"keys=\[([^\]]*)\][^\n]*percentile_approx", d._jdf.queryExecution().executedPlan().toString())
+    assert keys and not any("job_id" in k for k in keys)
